@@ -4,14 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import byte_bpe, warc
 from .common import table
+from .sharding import shard_by_bytes
 from .substring_dedup import remove_repeats
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_sharding(spark, sf_dir):
+    return shard_by_bytes(table(spark, sf_dir, "documents"), 8)
+
 
 def op3_substring_dedup(spark, sf_dir):
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup}
-ORACLE_SQL: dict[str, str] = {}
+def bpe_digests(docs, *keep):
+    """n_tokens and the digests of ids and decoded bytes."""
+    import public_tokenizers
+
+    ranks = byte_bpe.ranks_of(public_tokenizers.path(VOCABULARY))
+    out = byte_bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN)
+    return out.select(*keep, (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_byte_bpe(spark, sf_dir):
+    return bpe_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
+def op10_warc(spark, sf_dir):
+    out = warc.archived(table(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, sha256(payload) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+QUERIES = {"op1_sharding": op1_sharding, "op5_byte_bpe": op5_byte_bpe, "op10_warc": op10_warc, "op3_substring_dedup": op3_substring_dedup}
+ORACLE_SQL = {"op10_warc": OP10_SQL}
