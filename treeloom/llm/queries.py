@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import byte_bpe, warc
 from .common import table
 from .sharding import shard_by_bytes
+from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +22,11 @@ def op3_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_simhash(spark, sf_dir):
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def bpe_digests(docs, *keep):
     """n_tokens and the digests of ids and decoded bytes."""
     import public_tokenizers
@@ -49,5 +55,5 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
 FROM f
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op5_byte_bpe": op5_byte_bpe, "op10_warc": op10_warc, "op3_substring_dedup": op3_substring_dedup}
+QUERIES = {"op1_sharding": op1_sharding, "op4_simhash": op4_simhash, "op5_byte_bpe": op5_byte_bpe, "op10_warc": op10_warc, "op3_substring_dedup": op3_substring_dedup}
 ORACLE_SQL = {"op10_warc": OP10_SQL}
