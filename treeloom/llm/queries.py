@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, warc
+from . import byte_bpe, language, warc
 from .common import table
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
@@ -40,6 +40,13 @@ def op5_byte_bpe(spark, sf_dir):
     return bpe_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
+def op9_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = language.fold("doc_id", 3) == 1
+    model = language.fit(docs.filter(~held_out & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
+    return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_warc(spark, sf_dir):
     out = warc.archived(table(spark, sf_dir, "pages"))
     return out.select(F.col("id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
@@ -55,5 +62,5 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
 FROM f
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_simhash": op4_simhash, "op5_byte_bpe": op5_byte_bpe, "op10_warc": op10_warc, "op3_substring_dedup": op3_substring_dedup}
+QUERIES = {"op1_sharding": op1_sharding, "op4_simhash": op4_simhash, "op5_byte_bpe": op5_byte_bpe, "op9_language": op9_language, "op10_warc": op10_warc, "op3_substring_dedup": op3_substring_dedup}
 ORACLE_SQL = {"op10_warc": OP10_SQL}
