@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, warc
+from . import byte_bpe, embedding_dedup, language, warc
 from .common import table
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
@@ -22,6 +22,10 @@ def op3_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash(spark, sf_dir):
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
@@ -62,5 +66,5 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
 FROM f
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_simhash": op4_simhash, "op5_byte_bpe": op5_byte_bpe, "op9_language": op9_language, "op10_warc": op10_warc, "op3_substring_dedup": op3_substring_dedup}
+QUERIES = {"op1_sharding": op1_sharding, "op2_embedding_dedup": op2_embedding_dedup, "op4_simhash": op4_simhash, "op5_byte_bpe": op5_byte_bpe, "op9_language": op9_language, "op10_warc": op10_warc, "op3_substring_dedup": op3_substring_dedup}
 ORACLE_SQL = {"op10_warc": OP10_SQL}
