@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, embedding_dedup, language, suffix_tree_lm, warc
+from . import byte_bpe, decontamination, embedding_dedup, html_extraction, language, suffix_tree_lm, warc
 from .common import table
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
@@ -48,6 +48,12 @@ def op6_decontamination(spark, sf_dir):
     return decontamination.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_html_extraction(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = html_extraction.extract(pages, html_extraction.fit(pages))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_suffix_tree_lm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_tree_lm.score(docs, language.fold("doc_id", 7) == 2)
@@ -75,5 +81,5 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
 FROM f
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_embedding_dedup": op2_embedding_dedup, "op4_simhash": op4_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_decontamination": op6_decontamination, "op8_suffix_tree_lm": op8_suffix_tree_lm, "op9_language": op9_language, "op10_warc": op10_warc, "op3_substring_dedup": op3_substring_dedup}
+QUERIES = {"op1_sharding": op1_sharding, "op2_embedding_dedup": op2_embedding_dedup, "op4_simhash": op4_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_decontamination": op6_decontamination, "op7_html_extraction": op7_html_extraction, "op8_suffix_tree_lm": op8_suffix_tree_lm, "op9_language": op9_language, "op10_warc": op10_warc, "op3_substring_dedup": op3_substring_dedup}
 ORACLE_SQL = {"op10_warc": OP10_SQL}
