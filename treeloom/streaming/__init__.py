@@ -1,0 +1 @@
+"""The reference has no streaming operators; incremental work is batch over snapshots (operators.refresh)."""
