@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import words_of, written
 
 HALF = 32  # words between passages; a passage is two halves
-CONTENT_SHARE = 1e-3  # a term in no more of the half passages than this is a content term
-LEAST_CONTENT = 6  # an item with fewer of them takes its rarest terms
+CONTENT_SHARE = 2e-4  # a term in no more of the half passages than this is a content term
+LEAST_CONTENT = 8  # an item with fewer of them takes its rarest terms
 GROUP_ITEMS = 400
 EXTRA_RANK, OVERSAMPLE = 48, 16
 COSINE = 0.35
@@ -174,7 +174,7 @@ class Rows:
 def summed_matrix(rows: DataFrame, shape: tuple[int, int], idf: np.ndarray, by: np.ndarray, gram: bool) -> np.ndarray:
     """Over all rows a: the sum of a^T (a by), or with gram of (a by)^T (a by). Tasks send blocks of lines, which are summed before the driver gets them."""
     shared = rows.sparkSession.sparkContext.broadcast((idf, by))
-    lines = 128
+    lines = 8  # a block of all tasks stays small however many tasks there are
 
     def run(batches):
         weights, m = shared.value
