@@ -5,7 +5,8 @@ the benchmark's content terms, weighted by frequencies counted over all passages
 documents. A randomised SVD of the passages that hold at least two such terms is computed
 where they lie (tasks send a range matrix and a small Gram matrix). Passages and benchmark
 items meet by cosine in the latent space; each candidate is then checked by the longest
-common subsequence of words and by the item's answer, its rarest terms.
+common subsequence of words and by the item's answer: the content terms, without which a passage
+says something else in the same common words.
 
 The benchmark is a stated query set: its items are held by the driver and every task, at
 most GROUP_ITEMS of them at a time, so its size bounds all that is broadcast.
@@ -31,7 +32,7 @@ EXTRA_RANK, OVERSAMPLE = 48, 16
 COSINE = 0.35
 LCS = 0.6  # of the item's words, with the answer; SURE without
 SURE = 0.9
-ANSWER_TERMS, ANSWER_SHARE = 4, 0.5
+ANSWER_SHARE = 0.5
 EDGES = b".,;:!?()[]{}\"'`*#%&$|-_/\\<>=+~^@"
 
 
@@ -112,7 +113,7 @@ def items_of(rows: list[tuple], rank: dict[bytes, int], n: int, df: np.ndarray)
             if t in at:
                 vectors[i, at[t]] += idf[at[t]]
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    answers = [set(c[:ANSWER_TERMS]) for c in content]
+    answers = [set(c) for c in content]
     return Items([i for i, _ in rows], [w for _, w in rows], terms, idf, vectors, answers)
 
 
@@ -266,7 +267,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """(id, item_id, cosine, lcs, answer, place): one row for each document and item that it repeats, at its best passage.
 
     lcs is the share of the item's words in the longest common subsequence, answer the share of its
-    rarest terms that are there, place the passage's first word. Null and empty texts and items match
+    content terms that are there, place the passage's first word. Null and empty texts and items match
     nothing. Rows that share an id are reported together; a null id is reported as null. An empty
     benchmark or table gives no rows.
     """
