@@ -288,7 +288,9 @@ def in_page_order(page: Page, label: list[bool]) -> tuple[Page, list[bool]]:
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Trees:
     """Learns from SAMPLE_PAGES pages of at most SAMPLE_CHARS characters and COPIES changed copies of each."""
-    rows = pages.filter(F.length(html_col) <= SAMPLE_CHARS).select(F.xxhash64(id_col).alias("h"), F.col(html_col).alias("html")).orderBy("h", "html").limit(SAMPLE_PAGES).collect()
+    usable = pages.filter(F.length(html_col) <= SAMPLE_CHARS).select(F.xxhash64(id_col).alias("h"), F.col(html_col).alias("html"))
+    chosen = [r["h"] for r in usable.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]  # hashes alone are ranked: tasks send no pages for it
+    rows = usable.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
     rng = random.Random(7)
     whole = [parse(r["html"]) for r in rows]
     labels = [weak_labels(p) for p in whole]
