@@ -34,6 +34,8 @@ OVERLAP = 2
 MOST_OVERLAP = 4
 SAMPLE = 20_000  # rows that the centres are fitted on
 MOST_CENTRES = 1024
+MOST_LEVELS = 8
+PIECE_ROWS = 10_000  # rows that meet a shard's centres in one call
 AUDIT = 200  # vectors searched by brute force over all rows
 RECALL = 0.98
 DEGREE, POOL, ALPHA = 24, 48, 1.2
@@ -85,59 +87,48 @@ def nearest_centres(x: np.ndarray, c: np.ndarray, overlap: int) -> np.ndarray:
     return np.argsort(-s, axis=1, kind="stable")[:, :k] if k < len(c) else np.tile(np.arange(k), (len(x), 1))
 
 
+SHARD_ROW = "shard string, id long, unit binary, copies long"
+
+
 def shards_of(one: DataFrame, overlap: int) -> DataFrame:
     """(shard, id, unit, copies): each vector in several shards, none of much more than SHARD_ROWS rows.
 
     The first level has at most MOST_CENTRES centres, fitted on SAMPLE rows; each level below cuts the
-    shards that are too large by centres fitted on SAMPLE / 10 of their own rows.
+    shards that are too large by centres fitted on SAMPLE / 10 of their own rows. A shard that is cut is
+    dealt out in pieces of PIECE_ROWS, each of which meets the shard's centres once.
     """
-    n = one.count()
-    dims = one.select(F.octet_length("unit").alias("d")).distinct().orderBy("d")
     base = one.withColumn("shard", F.octet_length("unit").cast("string"))  # vectors of other lengths are other spaces
-    sizes = {str(r["d"]): None for r in dims.collect()}
-    for _ in range(8):
-        count = base.groupBy("shard").count()
-        large = count.filter(F.col("count") > SHARD_ROWS)
-        if sizes is not None:
-            large, sizes = (count.filter(F.col("count") > SHARD_ROWS)), None
-        if not large.limit(1).count():
+
+    def centres(key, data):
+        x = matrix(data["unit"])
+        order = np.argsort(np.array(data["id"].to_pylist()))
+        k = int(min(MOST_CENTRES, max(2, -(-data["members"][0].as_py() // TARGET_ROWS))))
+        return pa.table({"shard": pa.array([key[0].as_py()]), "members": data["members"].slice(0, 1), "centres": pa.array([centres_of(x[order], k).tobytes()], pa.binary())})
+
+    def dealt(key, rows, fitted):
+        x = matrix(rows["unit"])
+        if not len(x) or not fitted.num_rows:
+            return rows.select(["shard", "id", "unit", "copies"]).slice(0, 0)
+        near = nearest_centres(x, np.frombuffer(fitted["centres"][0].as_py(), np.float64).reshape(-1, x.shape[1]), overlap)
+        take = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
+        names = pa.array([f"{key[0].as_py()}.{k}" for k in near.reshape(-1).tolist()])
+        return pa.table([names, *[rows[c].take(take) for c in ("id", "unit", "copies")]], names=["shard", "id", "unit", "copies"])
+
+    for level in range(MOST_LEVELS):
+        large = written(base.groupBy("shard").agg(F.count("*").alias("members")).filter(F.col("members") > SHARD_ROWS), "large")
+        if large.isEmpty():
             break
-        large = written(large, "large")
-        keyed = base.join(large.withColumnRenamed("count", "members"), "shard", "left")
-        most = SAMPLE if n <= SAMPLE * 50 else SAMPLE // 10
-        share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < (F.lit(float(most)) / F.col("members") * (1 << 20))
-
-        def centres(key, data):
-            x = matrix(data["unit"])
-            order = np.argsort(np.array(data["id"].to_pylist()))
-            k = int(min(MOST_CENTRES, max(2, -(-data["members"][0].as_py() // TARGET_ROWS))))
-            return pa.table({"shard": pa.array([key[0].as_py()]), "centres": pa.array([centres_of(x[order], k).tobytes()], pa.binary())})
-
-        fitted = written(keyed.filter("members is not null").filter(share).groupBy("shard").applyInArrow(centres, "shard string, centres binary"), "centres")
-
-        def dealt(batches):
-            for batch in batches:
-                t = pa.Table.from_batches([batch])
-                out = {k: [] for k in ("shard", "id", "unit", "copies")}
-                held = t["centres"].to_pylist()
-                shard, ids, units, copies = (t[k].to_pylist() for k in ("shard", "id", "unit", "copies"))
-                by: dict = {}
-                for i, s in enumerate(shard):
-                    by.setdefault(s, []).append(i)
-                for s, rows in by.items():
-                    if held[rows[0]] is None:
-                        for i in rows:
-                            out["shard"].append(s), out["id"].append(ids[i]), out["unit"].append(units[i]), out["copies"].append(copies[i])
-                        continue
-                    x = np.frombuffer(b"".join(units[i] for i in rows), np.float64).reshape(len(rows), -1)
-                    c = np.frombuffer(held[rows[0]], np.float64).reshape(-1, x.shape[1])
-                    for i, near in zip(rows, nearest_centres(x, c, overlap)):
-                        for k in near.tolist():
-                            out["shard"].append(f"{s}.{k}"), out["id"].append(ids[i]), out["unit"].append(units[i]), out["copies"].append(copies[i])
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("shard", pa.string()), ("id", pa.int64()), ("unit", pa.binary()), ("copies", pa.int64())]))
-
-        base = written(base.join(fitted, "shard", "left").select("shard", "id", "unit", "copies", "centres").mapInArrow(dealt, "shard string, id long, unit binary, copies long").dropDuplicates(["shard", "id"]), "shards")
-    return base
+        keyed = base.join(large, "shard")
+        most = SAMPLE if level == 0 else SAMPLE // 10
+        share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(float(most)) / F.col("members") * (1 << 20)
+        fitted = written(keyed.filter(share).groupBy("shard").applyInArrow(centres, "shard string, members long, centres binary"), "centres")
+        pieces = F.ceil(F.col("members") / PIECE_ROWS)
+        left = keyed.withColumn("piece", F.pmod(F.xxhash64("id"), pieces)).select("shard", "piece", "id", "unit", "copies")
+        right = fitted.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).select("shard", "piece", "centres")
+        cut = left.groupBy("shard", "piece").cogroup(right.groupBy("shard", "piece")).applyInArrow(dealt, SHARD_ROW)
+        small = base.join(large, "shard", "left_anti").select("shard", "id", "unit", "copies")
+        base = written(small.unionByName(cut).dropDuplicates(["shard", "id"]), "shards")
+    return base.select("shard", "id", "unit", "copies")
 
 
 def robust_prune(s: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: float = ALPHA) -> np.ndarray:
