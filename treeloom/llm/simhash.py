@@ -288,8 +288,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str =
     """docs without those whose component has a smaller id: one document of each group stays, with all its columns.
 
     Similarity is that of the sets of five-word shingles, read off 512 bits (a standard error of 0.03 at 0.8,
-    for which the radius allows). Texts without words are not copies of each other and all stay; of rows that
-    share an id and a text, one stays.
+    for which the radius allows). Texts without words are not copies of each other and all stay. Rows that share
+    an id are one document and stay or go together; a row without an id stays.
     """
     wordy = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     found = near_duplicates(docs.filter(wordy), radius=radius_of(similarity - 0.01), id_col=id_col, text_col=text_col, **SETS)
