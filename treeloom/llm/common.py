@@ -49,8 +49,9 @@ def chunks(df: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> int:
     return max(1, math.ceil(total / chunk_bytes))
 
 
-def chunk_of(column: str, n: int):
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(n)).cast("int")
+def chunk_of(n: int, *columns: str):
+    """A chunk by several columns, so that one hot key does not fill one chunk."""
+    return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
 def rest(df: DataFrame, *taken: str) -> list[str]:

@@ -185,7 +185,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     carried = rest(docs, id_col, text_col, "kept_text", "n_words", "n_removed")
     n = chunks(docs, text_col, chunk_bytes)
     whole = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit(None).cast("int")
-    base = docs.select(chunk_of(id_col, n).alias("__chunk"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), whole.alias("__rest"))
+    base = docs.select(chunk_of(n, id_col, text_col).alias("__chunk"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), whole.alias("__rest"))
     slim = base.select("__chunk", "__id", "__text", "__rest")
 
     def first(key, data):

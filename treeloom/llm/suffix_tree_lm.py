@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, U32, U64, bucket_of, chunks, mixed, runs, word_hashes, words_of, written
+from .common import CHUNK_BYTES, U32, U64, bucket_of, chunk_of, chunks, mixed, runs, word_hashes, words_of, written
 
 MIN_SHARE = 1e-4
 MIN_NEXT = 0.02  # next words of at least this share of a context are tested
@@ -275,7 +275,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.coalesce(held_out, F.lit(True)).alias("__held"))
     tree = learn(base.filter("not __held"), n)
     shared = docs.sparkSession.sparkContext.broadcast(tree)
-    groups = base.withColumn("__chunk", F.pmod(F.xxhash64("__id", "__text"), F.lit(n)).cast("int")).groupBy("__chunk")
+    groups = base.withColumn("__chunk", chunk_of(n, "__id", "__text")).groupBy("__chunk")
 
     def request(key, data):
         c = Chunk(data, shared.value)
