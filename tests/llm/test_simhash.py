@@ -72,6 +72,45 @@ def test_thresholds_sum_and_prefer_selective_parts():
     assert sorted(np.concatenate(parts)) == list(range(64))
 
 
+@pytest.mark.parametrize("cut", [2, 3])
+def test_hot_values_are_split_without_loss(spark, cut):
+    rng = np.random.default_rng(5)
+    common = int(rng.integers(0, 2**63))
+    values = [common ^ int(rng.integers(0, 2**14)) << 40 for _ in range(150)]  # 50 bits are the same in all
+    values += [v ^ sum(1 << int(k) for k in rng.choice(64, 3, False)) for v in values[:80]]
+    df = spark.createDataFrame([(i, v.to_bytes(8, "big")) for i, v in enumerate(values)], "id long, fingerprint binary")
+    parts = [np.arange(64)[k::cut] for k in range(cut)]
+    probes = simhash.probe_rows(df, 64, parts, [1, 1] if cut == 2 else [1, 0, 0])
+    split = simhash.split_hot(probes, 64, parts, 3, 0.0, 10)
+    assert split.groupBy("key").count().agg({"count": "max"}).first()[0] < probes.groupBy("key").count().agg({"count": "max"}).first()[0]
+    got = {r.node: r.component for r in components(simhash.verified_links(split, 64, 3)).collect()}
+    want = groups(dict(enumerate(values)), 3)
+    assert all(got.get(i, i) == want[i] for i in want)
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT, 3])
+def test_pairs_at_the_radius_meet(spark, hot):
+    rng = np.random.default_rng(6)
+    radius, pairs = simhash.radius_of(0.79), 400
+    table = rng.integers(0, 2, (pairs, 512), dtype=np.uint8)
+    other = table.copy()
+    for row in other:
+        row[rng.choice(512, radius, False)] ^= 1
+    rows = [(2 * i + k, np.packbits(x[i]).tobytes()) for i in range(pairs) for k, x in enumerate((table, other))]
+    df = spark.createDataFrame(rows, "id long, fingerprint binary")
+    found = simhash.groups(df, 512, radius, 5, 0.01, hot).groupBy("component").count()
+    assert found.filter("count = 2").count() >= 0.97 * pairs and found.filter("count > 2").count() == 0
+
+
+def test_wider_partitions_for_more_fingerprints():
+    def together(n):
+        return np.full((1, 64, 64), n // 4) + np.eye(64, dtype=int) * (n // 4)
+
+    few, many = (simhash.allocation(n, together(n), 3, 3, 0.0) for n in (10**5, 10**12))
+    assert len(few[0]) == 3 and len(many[0]) == 2
+    assert all(sum(t + 1 for t in limits) == 4 for _, limits in (few, many))
+
+
 def test_large_groups_are_compared_whole():
     rng = np.random.default_rng(1)
     centre = int(rng.integers(0, 2**62))

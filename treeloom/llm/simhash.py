@@ -2,10 +2,17 @@
 
 Bits that go together over the corpus are put into one partition, so that partitions are
 close to independent. Thresholds t_i, unequal and -1 for "not probed", are allocated by
-dynamic programming on the estimated candidate counts so that sum(t_i + 1) = sure + 1:
-two fingerprints at most ``sure`` bits apart then agree to within t_i in some probed
-partition i. Each fingerprint goes to every value within t_i of its own; fingerprints
-that meet are verified on all bits.
+dynamic programming on the estimated candidate counts. With ``miss`` 0, sum(t_i + 1) =
+radius + 1: two fingerprints at most ``radius`` bits apart then agree to within t_i in some
+probed partition i. With a larger ``miss`` the thresholds are the cheapest for which a pair
+at the radius, its differing bits spread at random, fails to meet with at most that chance;
+closer pairs fail more rarely. Each fingerprint goes to every value within t_i of its own;
+fingerprints that meet are verified on all bits. Fewer and wider partitions take over as
+the number of fingerprints grows and candidates come to outweigh probes.
+
+A value that more than ``HOT`` rows share is split by further partitions of the bits that
+it leaves open, under the same guarantee, so a mass of unrelated fingerprints with one
+value is not compared in one task.
 
 Equal fingerprints are one row before probing. Rows that meet are compared inside the
 task and only a spanning forest leaves it, so a group of n near copies yields at most n
@@ -15,6 +22,7 @@ edges for each partition, not n squared.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +36,10 @@ from .components import components
 
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 SMALL = 64  # groups up to this size are compared by shifting whole batches
-QUADRATIC = 10  # what a candidate costs next to a probe: candidates grow with the square
+QUADRATIC = 10  # weight of a candidate next to a probe among partitions of one cut: candidates fall on few tasks
+CANDIDATE = 0.02  # time of a candidate next to a probe, by which cuts are compared
+HOT = 20_000  # rows with one value that are compared in one task
+STEPS = 1000  # steps in which the chance of a miss is counted
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -128,27 +139,51 @@ def correlated_parts(n: int, together: np.ndarray, per_word: int) -> list[np.nda
     return parts
 
 
-def thresholds(n: int, together: np.ndarray, parts: list[np.ndarray], sure: int) -> list[int]:
-    """The t_i with sum(t_i + 1) = sure + 1 and the least estimated work, by dynamic programming."""
-    p = np.concatenate([np.diag(c) for c in together]) / max(n, 1)
-    differ = 2 * p * (1 - p)
-    most = min(3, sure)
-    cost = []
-    for part in parts:
-        chance = np.array([1.0])  # of 0, 1, ... differing bits
-        for q in differ[part]:
-            chance = np.convolve(chance, [1 - q, q])
-        ball = np.cumsum([1, *np.cumprod([(len(part) - i) / (i + 1) for i in range(most)])])
-        cost.append([0.0, *[n * ball[t] + QUADRATIC * n * n / 2 * chance[: t + 1].sum() for t in range(most + 1)]])
+def costs(n: int, together: np.ndarray, part: np.ndarray, most: int, weight: float) -> list[float]:
+    """Estimated work in one partition if it is not probed, or probed with threshold 0, 1, ... ``most``."""
+    p = (np.concatenate([np.diag(c) for c in together]) / max(n, 1))[part]
+    chance = np.array([1.0])  # of 0, 1, ... differing bits
+    for q in 2 * p * (1 - p):
+        chance = np.convolve(chance, [1 - q, q])
+    ball = np.cumsum([1, *np.cumprod([(len(part) - i) / (i + 1) for i in range(most)])])
+    return [0.0, *[n * ball[t] + weight * n * n / 2 * chance[: t + 1].sum() for t in range(most + 1)]]
+
+
+def missed(size: int, apart: float, t: int) -> float:
+    """Chance that more than t of ``size`` bits differ, each with chance ``apart``."""
+    return max(1e-300, 1 - sum(math.comb(size, k) * apart**k * (1 - apart) ** (size - k) for k in range(t + 1)))
+
+
+def thresholds(n: int, together: np.ndarray, parts: list[np.ndarray], radius: int, miss: float = 0.0) -> list[int]:
+    """The t_i of the least estimated work, by dynamic programming, that meet the guarantee for ``radius``; none if none do."""
+    most = min(3, radius)
+    need = STEPS if miss else radius + 1
+    apart = radius / (64 * len(together))
     best = {0: (0.0, [])}
-    for c in cost:
+    for part in parts:
         step: dict[int, tuple[float, list[int]]] = {}
-        for used, (value, chosen) in best.items():
-            for t, extra in enumerate(c):
-                if used + t <= sure + 1:
-                    step[used + t] = min(step.get(used + t, (np.inf, [])), (value + extra, [*chosen, t - 1]))
+        gains = [0, *[int(STEPS * math.log(missed(len(part), apart, t)) / math.log(miss)) if miss else t + 1 for t in range(most + 1)]]
+        for (used, (value, chosen)), (t, extra) in itertools.product(best.items(), enumerate(costs(n, together, part, most, QUADRATIC))):
+            at = used + gains[t]
+            at = min(at, need) if miss else at
+            if at <= need and value + extra < step.get(at, (np.inf,))[0]:
+                step[at] = (value + extra, [*chosen, t - 1])
         best = step
-    return best[sure + 1][1]
+    return best[need][1] if need in best else []
+
+
+def allocation(n: int, together: np.ndarray, radius: int, per_word: int, miss: float) -> tuple[list[np.ndarray], list[int]]:
+    """Partitions and thresholds of the least estimated work among cuts of each word into 2 to ``per_word`` partitions."""
+    found = []
+    for count in range(per_word, min(per_word, 2) - 1, -1):
+        parts = correlated_parts(n, together, count)
+        limits = thresholds(n, together, parts, radius, miss)
+        if limits:
+            work = sum(costs(n, together, p, max(t, 0), CANDIDATE)[t + 1] for p, t in zip(parts, limits))
+            found.append((work, parts, limits))
+    if not found:
+        raise ValueError("no thresholds reach this radius: take more bits or a larger miss")
+    return min(found, key=lambda f: f[0])[1:]
 
 
 def probe_rows(prints: DataFrame, bits: int, parts: list[np.ndarray], limits: list[int]) -> DataFrame:
@@ -171,6 +206,39 @@ def probe_rows(prints: DataFrame, bits: int, parts: list[np.ndarray], limits: li
     return prints.select("id", "fingerprint").mapInArrow(run, "key long, id long, fingerprint binary")
 
 
+def finer_parts(taken: np.ndarray, bits: int, radius: int, miss: float) -> list[np.ndarray]:
+    """Cuts the bits that a partition leaves open so that pairs within the radius agree in one of the pieces."""
+    free = np.setdiff1d(np.arange(bits), taken)
+    count = radius + 1
+    if miss:
+        chance = lambda k: missed(-(-len(free) // k), radius / bits, 0) ** k
+        count = next((k for k in range(1, len(free)) if chance(k) <= miss), len(free))
+    return [free[j::count] for j in range(min(count, len(free)))]
+
+
+def split_hot(probes: DataFrame, bits: int, parts: list[np.ndarray], radius: int, miss: float, hot: int) -> DataFrame:
+    """probes, with rows of a key that more than ``hot`` rows share under keys of that key and a further piece of their bits."""
+    keys = written(probes.groupBy("key").count().filter(F.col("count") > hot).select("key"), "hot")
+    if keys.isEmpty():
+        return probes
+    finer = [finer_parts(p, bits, radius, miss) for p in parts]
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                rows = batch.slice(k, 2048)
+                key, table = rows.column(0).to_numpy(), bit_table(rows.column(2), bits)
+                for i in np.unique(key >> 40).tolist():
+                    at = np.flatnonzero(key >> 40 == i)
+                    for j, piece in enumerate(finer[i]):
+                        value = table[np.ix_(at, piece)].astype(U64) @ (np.uint64(1) << np.arange(len(piece), dtype=U64))
+                        fine = mixed(mixed(key[at].astype(U64) + np.uint64(j << 56)) + value)
+                        yield pa.RecordBatch.from_arrays([pa.array(fine.view(np.int64)), rows.column(1).take(pa.array(at)), rows.column(2).take(pa.array(at))], names=["key", "id", "fingerprint"])
+
+    split = probes.join(keys, "key", "left_semi").select("key", "id", "fingerprint").mapInArrow(run, probes.schema)
+    return probes.join(keys, "key", "left_anti").unionByName(split)
+
+
 class Forest:
     """Union-find over the edges of one batch."""
 
@@ -252,17 +320,17 @@ def verified_links(probes: DataFrame, bits: int, radius: int) -> DataFrame:
     return probes.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def groups(prints: DataFrame, bits: int = 64, sure: int = 3, radius: int = 3, per_word: int = 3) -> DataFrame:
+def groups(prints: DataFrame, bits: int = 64, radius: int = 3, per_word: int = 3, miss: float = 0.0, hot: int = HOT) -> DataFrame:
     """prints(id long, fingerprint binary) -> (fingerprint, component): the smallest id among the fingerprints reachable by links."""
     one = written(prints.groupBy("fingerprint").agg(F.min("id").alias("id")), "prints")
     n, together = bit_counts(one, bits)
-    parts = correlated_parts(n, together, per_word)
-    limits = thresholds(n, together, parts, sure)
-    links = components(verified_links(probe_rows(one, bits, parts, limits), bits, radius))
+    parts, limits = allocation(n, together, radius, per_word, miss)
+    probes = split_hot(probe_rows(one, bits, parts, limits), bits, parts, radius, miss, hot)
+    links = components(verified_links(probes, bits, radius))
     return one.join(links, one["id"] == links["node"], "left").select("fingerprint", F.coalesce("component", "id").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 64, sure: int = 3, radius: int = 3, per_word: int = 3, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 64, radius: int = 3, per_word: int = 3, miss: float = 0.0, hot: int = HOT, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id), one row per row of docs.
 
     Null and wordless texts have fingerprint zero and link like any other. Rows that share an id are
@@ -270,13 +338,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 64, sure: int =
     """
     prints = fingerprints(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text")), width, bits, distinct).select("id", "fingerprint")
     prints = written(prints, "fingerprints")
-    out = prints.join(groups(prints, bits, sure, radius, per_word), "fingerprint")
+    out = prints.join(groups(prints, bits, radius, per_word, miss, hot), "fingerprint")
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(back("id").alias(id_col), "fingerprint", back("component").alias("component_id"))
 
 
-#: For similarity of word sets: 512 bits, 32 partitions of 16; any pair within 31 bits is sure to meet.
-SETS = dict(width=5, bits=512, sure=31, per_word=4, distinct=True)
+#: For similarity of word sets: 512 bits in 40 partitions or fewer; a pair at the radius is missed with a chance of 1 %.
+SETS = dict(width=5, bits=512, per_word=5, miss=0.01, distinct=True)
 
 
 def radius_of(similarity: float, bits: int = 512) -> int:
