@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from treeloom.llm import embedding_dedup as emb
@@ -60,3 +61,47 @@ def test_prune_keeps_spread_neighbours():
     x = np.array([[1, 0], [0.99, 0.141], [0.98, 0.199], [0.6, -0.8]])
     near = emb.robust_prune(x @ x.T, degree=2, pool=3)
     assert near[0].tolist() == [1, 3]  # 2 lies behind 1
+
+
+def test_a_mass_of_near_copies_is_counted_whole(spark):
+    rng = np.random.default_rng(8)
+    n, d = 20_000, 64
+    x = rng.standard_normal((2 * n, d))
+    x[:n] = rng.standard_normal(d) + 0.14 * x[:n]  # cosines of about 0.98
+    x = x[rng.permutation(2 * n)].astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(2 * n), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.concatenate([(unit[k : k + 1000] @ unit.T >= 0.95).sum(axis=1) - 1 for k in range(0, 2 * n, 1000)])
+    got = emb.near_duplicates(df).toPandas().sort_values("vec_id")
+    assert want.max() > 0.9 * n and (got["n_links"].to_numpy() == want).all()
+    mass = got[want > 0]
+    assert mass["component_id"].nunique() == 1 and mass["kept"].sum() == 1
+
+
+def test_two_masses_that_touch(spark, monkeypatch):
+    monkeypatch.setattr(emb, "SHARD_ROWS", 100)
+    monkeypatch.setattr(emb, "TARGET_ROWS", 50)
+    monkeypatch.setattr(emb, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(9)
+    a, b = np.zeros(16), np.zeros(16)
+    a[0], b[:2] = 1, (0.93, 0.3676)
+    rows = [(c + 0.02 * rng.standard_normal(16)).tolist() for c in (a, b) for _ in range(200)] + [rng.standard_normal(16).tolist() for _ in range(200)]
+    df = spark.createDataFrame([(i, r, 0, "x") for i, r in enumerate(rows)], SCHEMA)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in emb.near_duplicates(df).collect()}
+    assert got == brute(list(range(len(rows))), rows)
+
+
+def test_low_recall_falls_back_to_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(emb, "audit", lambda *a: 0.5)
+    monkeypatch.setattr(emb, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(10)
+    rows = [(c + 0.1 * rng.standard_normal(8)).tolist() for c in rng.standard_normal((10, 8)) for _ in range(8)] + [[1.0, 2.0], [2.0, 4.1]]
+    df = spark.createDataFrame([(i, r, 0, "x") for i, r in enumerate(rows)], SCHEMA)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in emb.near_duplicates(df).collect()}
+    assert got == brute(list(range(len(rows))), rows)
+
+
+def test_different_vectors_under_one_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.01, 1.0]), (None, [1.0, 0.01]), (None, [-1.0, 0.0])]
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in emb.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()), key=repr)
+    assert got == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (None, 1, 1), (None, 0, None)], key=repr)

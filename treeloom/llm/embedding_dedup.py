@@ -1,8 +1,11 @@
 """Embedding near-dedup on robust-pruned flat graphs.
 
 1. Vectors are scaled to length one; equal directions are one row with a count.
-2. Every vector goes to its ``OVERLAP`` nearest cluster centres; a cluster with more than
-   ``SHARD_ROWS`` members is cut again by centres of its own. A shard is one task's group.
+2. Every vector goes to its ``OVERLAP`` nearest clusters, but not to one that no vector
+   within the threshold can have as its nearest; centres that are within the threshold of
+   each other are one cluster, so a mass of near copies is not cut. A cluster with more
+   than ``SHARD_ROWS`` members is cut again by centres of its own. A shard that cutting does
+   not thin is compared whole, in pairs of blocks; any other is one task's group.
 3. In each shard a flat graph is built: candidates of each vector are pruned robustly (a
    candidate that is closer to a kept neighbour than to the vector itself goes). Adjacency
    lists of one vector from all its shards are united, so a shard's graph also has the
@@ -11,7 +14,8 @@
    from where it ends an expansion through every vector within the range. Cosines are
    computed in double precision, and only those at or above the threshold count.
 5. Recall is audited against brute force over all rows for a fixed set of vectors; below
-   the target the overlap is raised and the search repeated.
+   the target the overlap is raised and the search repeated. If the last overlap finds
+   less than ``LEAST_RECALL``, all vectors are compared in pairs of blocks.
 
 A pair that shares several shards is counted in the first of them. Shards send counts and
 a spanning forest, never all pairs.
@@ -19,6 +23,8 @@ a spanning forest, never all pairs.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +44,10 @@ MOST_LEVELS = 8
 PIECE_ROWS = 10_000  # rows that meet a shard's centres in one call
 AUDIT = 200  # vectors searched by brute force over all rows
 RECALL = 0.98
+LEAST_RECALL = 0.9  # of the last overlap
+THINNED = 0.9  # a shard that keeps more of the rows it was cut from than this is not cut again
+BLOCK_ROWS = 4096  # rows of a shard that is compared whole that meet as many others in one task
+WHOLE = "!"  # first letter of such a shard's name, before all others in order
 DEGREE, POOL, ALPHA = 24, 48, 1.2
 BEAM, MEDOIDS = 16, 8
 
@@ -81,53 +91,97 @@ def centres_of(x: np.ndarray, k: int, steps: int = 8) -> np.ndarray:
     return c
 
 
-def nearest_centres(x: np.ndarray, c: np.ndarray, overlap: int) -> np.ndarray:
-    s = x @ c.T
-    k = min(overlap, len(c))
-    return np.argsort(-s, axis=1, kind="stable")[:, :k] if k < len(c) else np.tile(np.arange(k), (len(x), 1))
+def clusters_of(c: np.ndarray, threshold: float) -> np.ndarray:
+    """The cluster of each centre: centres are linked at the threshold, clusters are numbered from 0."""
+    near = c @ c.T >= threshold
+    np.fill_diagonal(near, True)
+    label = np.arange(len(c))
+    while True:
+        least = np.where(near, label, len(c)).min(axis=1)
+        if (least == label).all():
+            return np.unique(label, return_inverse=True)[1]
+        label = least
+
+
+def nearest_clusters(x: np.ndarray, c: np.ndarray, cluster: np.ndarray, overlap: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cluster) of each row's nearest clusters.
+
+    A vector y whose nearest centre is b has y (a - b) <= 0 for every centre a, so a row x within the threshold of y
+    has x (a - b) <= |x - y| |a - b|. Clusters of which no centre b allows that, a being the row's nearest, are left out.
+    """
+    order = np.argsort(cluster, kind="stable")
+    c, cluster = c[order], cluster[order]
+    first = np.flatnonzero(np.concatenate(([True], cluster[1:] != cluster[:-1])))
+    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) * np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) + 1e-9
+    rows, found = [], []
+    for k in range(0, len(x), 1000):
+        s = x[k : k + 1000] @ c.T
+        home = np.argmax(s, axis=1)
+        allowed = np.logical_or.reduceat(s[np.arange(len(s)), home][:, None] - s <= reach[home], first, axis=1)
+        best = np.where(allowed, np.maximum.reduceat(s, first, axis=1), -np.inf)
+        near = np.argsort(-best, axis=1, kind="stable")[:, :overlap]
+        r, at = np.nonzero(np.take_along_axis(allowed, near, 1))
+        rows.append(r + k)
+        found.append(near[r, at])
+    return np.concatenate(rows), np.concatenate(found)
 
 
 SHARD_ROW = "shard string, id long, unit binary, copies long"
 
 
-def shards_of(one: DataFrame, overlap: int) -> DataFrame:
-    """(shard, id, unit, copies): each vector in several shards, none of much more than SHARD_ROWS rows.
+def shards_of(one: DataFrame, overlap: int, threshold: float) -> DataFrame:
+    """(shard, id, unit, copies): each vector in several shards, of much more than SHARD_ROWS rows only where the name starts with WHOLE.
 
     The first level has at most MOST_CENTRES centres, fitted on SAMPLE rows; each level below cuts the
     shards that are too large by centres fitted on SAMPLE / 10 of their own rows. A shard that is cut is
-    dealt out in pieces of PIECE_ROWS, each of which meets the shard's centres once.
+    dealt out in pieces of PIECE_ROWS, each of which meets the shard's centres once. A shard stays whole if
+    all its centres are one cluster, if it kept more than THINNED of the rows that it was cut from, or if it is
+    still too large after MOST_LEVELS. With overlap 0 nothing is cut.
     """
     base = one.withColumn("shard", F.octet_length("unit").cast("string"))  # vectors of other lengths are other spaces
+    if not overlap:
+        return base.select(F.concat(F.lit(WHOLE), "shard").alias("shard"), "id", "unit", "copies")
 
     def centres(key, data):
         x = matrix(data["unit"])
-        order = np.argsort(np.array(data["id"].to_pylist()))
+        order = np.argsort(np.array(data["unit"].to_pylist(), object), kind="stable")
         k = int(min(MOST_CENTRES, max(2, -(-data["members"][0].as_py() // TARGET_ROWS))))
         return pa.table({"shard": pa.array([key[0].as_py()]), "members": data["members"].slice(0, 1), "centres": pa.array([centres_of(x[order], k).tobytes()], pa.binary())})
 
     def dealt(key, rows, fitted):
         x = matrix(rows["unit"])
-        if not len(x) or not fitted.num_rows:
+        if not len(x):
             return rows.select(["shard", "id", "unit", "copies"]).slice(0, 0)
-        near = nearest_centres(x, np.frombuffer(fitted["centres"][0].as_py(), np.float64).reshape(-1, x.shape[1]), overlap)
-        take = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
-        names = pa.array([f"{key[0].as_py()}.{k}" for k in near.reshape(-1).tolist()])
-        return pa.table([names, *[rows[c].take(take) for c in ("id", "unit", "copies")]], names=["shard", "id", "unit", "copies"])
-
-    for level in range(MOST_LEVELS):
-        large = written(base.groupBy("shard").agg(F.count("*").alias("members")).filter(F.col("members") > SHARD_ROWS), "large")
+        c = np.frombuffer(fitted["centres"][0].as_py(), np.float64).reshape(-1, x.shape[1]) if fitted.num_rows else x[:1]
+        cluster = clusters_of(c, threshold)
+        if not cluster.any():
+            return pa.table([pa.array([WHOLE + key[0].as_py()] * len(x)), *[rows[n] for n in ("id", "unit", "copies")]], names=["shard", "id", "unit", "copies"])
+        take, near = nearest_clusters(x, c, cluster, overlap, threshold)
+        names = pa.array([f"{key[0].as_py()}.{k}" for k in near.tolist()])
+        return pa.table([names, *[rows[n].take(pa.array(take)) for n in ("id", "unit", "copies")]], names=["shard", "id", "unit", "copies"])
+
+    before = None
+    for level in range(MOST_LEVELS + 1):
+        large = base.filter(~F.col("shard").startswith(WHOLE)).groupBy("shard").agg(F.count("*").alias("members")).filter(F.col("members") > SHARD_ROWS)
+        whole = F.lit(level == MOST_LEVELS)
+        if before is not None:
+            large = large.withColumn("parent", F.regexp_replace("shard", r"\.[^.]*$", "")).join(before, "parent")
+            whole = whole | (F.col("members") > THINNED * F.col("of"))
+        large = written(large.select("shard", "members", whole.alias("whole")), "large")
         if large.isEmpty():
             break
-        keyed = base.join(large, "shard")
+        before = large.select(F.col("shard").alias("parent"), F.col("members").alias("of"))
+        stays = base.join(large, "shard", "left").filter(F.coalesce("whole", F.lit(True)))
+        stays = stays.select(F.when(F.col("whole"), F.concat(F.lit(WHOLE), "shard")).otherwise(F.col("shard")).alias("shard"), "id", "unit", "copies")
+        keyed = base.join(large.filter("not whole"), "shard")
         most = SAMPLE if level == 0 else SAMPLE // 10
-        share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(float(most)) / F.col("members") * (1 << 20)
+        share = F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) < F.lit(float(most)) / F.col("members") * (1 << 20)
         fitted = written(keyed.filter(share).groupBy("shard").applyInArrow(centres, "shard string, members long, centres binary"), "centres")
         pieces = F.ceil(F.col("members") / PIECE_ROWS)
         left = keyed.withColumn("piece", F.pmod(F.xxhash64("id"), pieces)).select("shard", "piece", "id", "unit", "copies")
         right = fitted.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).select("shard", "piece", "centres")
         cut = left.groupBy("shard", "piece").cogroup(right.groupBy("shard", "piece")).applyInArrow(dealt, SHARD_ROW)
-        small = base.join(large, "shard", "left_anti").select("shard", "id", "unit", "copies")
-        base = written(small.unionByName(cut).dropDuplicates(["shard", "id"]), "shards")
+        base = written(stays.unionByName(cut), "shards")
     return base.select("shard", "id", "unit", "copies")
 
 
@@ -205,11 +259,69 @@ def searched(x: np.ndarray, graph: list[np.ndarray], starts: np.ndarray, thresho
     return out
 
 
+def spanning(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a spanning forest of the links between rows and columns."""
+    sides = hit, np.ascontiguousarray(hit.T)
+    free = [np.ones(n, bool) for n in hit.shape]
+    out: tuple[list, list] = ([], [])
+    for start in range(len(hit)):
+        todo = [(0, start)] if free[0][start] else []
+        free[0][start] = False
+        while todo:
+            side, at = todo.pop()
+            got = np.flatnonzero(sides[side][at] & free[1 - side])
+            free[1 - side][got] = False
+            out[side].append(np.full(len(got), at))
+            out[1 - side].append(got)
+            todo += [(1 - side, g) for g in got.tolist()]
+    return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
+
+
+def block_links(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n) as of ``links`` for shards that are compared whole: every pair of blocks of BLOCK_ROWS is one group."""
+    sizes = members.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    rows = members.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("shard", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "unit", "copies", "shards")
+
+    def compare(key, data):
+        here, p, q = (k.as_py() for k in key)
+        block = data["block"].to_numpy()
+        sides = []
+        for at in (np.flatnonzero(block == p), np.flatnonzero(block == q)):
+            side = data.take(pa.array(at))
+            earlier: dict[str, list[int]] = {}  # shards that come first and may hold the same pair
+            for i, shards in enumerate(side["shards"].to_pylist()):
+                for s in shards:
+                    if s < here:
+                        earlier.setdefault(s, []).append(i)
+            sides.append((matrix(side["unit"]) if len(at) else None, side["id"].to_numpy(), side["copies"].to_numpy(), earlier))
+        (x, ids, copies, first), (y, others, other_copies, second) = sides
+        if x is None or y is None:
+            return pa.table({n: pa.array([], pa.int64()) for n in "abn"})
+        hit = np.concatenate([x[k : k + 512] @ y.T >= threshold for k in range(0, len(x), 512)])
+        if p == q:
+            hit &= ids[:, None] != others[None, :]
+        a, b = spanning(hit)
+        for s in first.keys() & second.keys():
+            hit[np.ix_(first[s], second[s])] = False
+        n = [np.concatenate([hit[k : k + 512] @ other_copies for k in range(0, len(hit), 512)])]
+        seen = [ids]
+        if p != q:
+            n.append(sum(copies[k : k + 512] @ hit[k : k + 512] for k in range(0, len(hit), 512)))
+            seen.append(others)
+        left, right = np.concatenate((*seen, ids[a])), np.concatenate((*seen, others[b]))
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64()), "n": pa.array(np.concatenate((*n, np.zeros(len(a), np.int64))), pa.int64())})
+
+    return rows.groupBy("shard", "p", "q").applyInArrow(compare, "a long, b long, n long")
+
+
 def links(vectors: DataFrame, threshold: float, overlap: int) -> tuple[DataFrame, DataFrame]:
     """((id, n) linked others by distinct vector, forest edges (a, b)) for vectors(id, unit, copies)."""
-    members = shards_of(vectors, overlap)
+    members = shards_of(vectors, overlap, threshold)
     shards = members.groupBy("id").agg(F.array_sort(F.collect_list("shard")).alias("shards"))  # at most overlap ** levels
     members = written(members.join(shards, "id"), "members")
+    whole, members = members.filter(F.col("shard").startswith(WHOLE)), members.filter(~F.col("shard").startswith(WHOLE))
 
     def build(key, data):
         x, ids = matrix(data["unit"]), np.array(data["id"].to_pylist(), np.int64)
@@ -222,7 +334,7 @@ def links(vectors: DataFrame, threshold: float, overlap: int) -> tuple[DataFrame
     united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
     def search(key, data):
-        order = np.argsort(np.array(data["id"].to_pylist(), np.int64))
+        order = np.argsort(np.array(data["unit"].to_pylist(), object), kind="stable")
         data = data.take(pa.array(order))
         here = key[0].as_py()
         x, ids = matrix(data["unit"]), np.array(data["id"].to_pylist(), np.int64)
@@ -251,13 +363,14 @@ def links(vectors: DataFrame, threshold: float, overlap: int) -> tuple[DataFrame
         a, b = [*ids.tolist(), *[p[0] for p in pairs]], [*ids.tolist(), *[p[1] for p in pairs]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array([*counts.tolist(), *[0] * len(pairs)], pa.int64())})
 
-    found = written(members.join(united, "id").groupBy("shard").applyInArrow(search, "a long, b long, n long"), "found")
+    found = members.join(united, "id").groupBy("shard").applyInArrow(search, "a long, b long, n long")
+    found = written(found.unionByName(block_links(whole, threshold)), "found")
     return found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")), found.filter("a <> b").select("a", "b")
 
 
 def audit(one: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Links found as a share of all links, of AUDIT vectors against every row by brute force."""
-    sample = one.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "unit").collect()
+    """Links found of AUDIT vectors against every row by brute force: the lesser of the share of all their links and the mean share of a vector's."""
+    sample = one.orderBy(F.xxhash64("unit"), "unit").limit(AUDIT).select("id", "unit").collect()
     if not sample:
         return 1.0
     shared = one.sparkSession.sparkContext.broadcast([(r["id"], bytes(r["unit"])) for r in sample])
@@ -280,7 +393,8 @@ def audit(one: DataFrame, counts: DataFrame, threshold: float) -> float:
 
     exact = {r["id"]: r["n"] for r in one.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
     got = {r["id"]: r["n"] for r in counts.filter(F.col("id").isin(list(exact))).collect()}
-    return sum(min(got.get(k, 0), n) for k, n in exact.items()) / max(1, sum(exact.values()))
+    shares = [min(got.get(k, 0), n) / n for k, n in exact.items() if n]
+    return min(sum(shares) / len(shares), sum(min(got.get(k, 0), n) for k, n in exact.items()) / sum(exact.values())) if shares else 1.0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -291,16 +405,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     id is larger than any other and stays null.
     """
     rows = written(unit_rows(vectors, id_col, vector_col), "units")
-    one = written(rows.filter("unit is not null").groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "unit", "copies"), "vectors")
-    overlap = OVERLAP
-    while True:
-        counts, forest = links(one, threshold, overlap)
-        if overlap >= MOST_OVERLAP or audit(one, counts, threshold) >= RECALL:
+    one = rows.filter("unit is not null").groupBy("unit").agg(F.min("id").alias("vec"), F.count("*").alias("copies"))
+    one = written(one.select(F.monotonically_increasing_id().alias("id"), "vec", "unit", "copies"), "vectors")  # id: a row number, ids may repeat
+    for overlap in range(OVERLAP, MOST_OVERLAP + 1):
+        counts, forest = links(one.drop("vec"), threshold, overlap)
+        recall = audit(one, counts, threshold)
+        if recall >= RECALL:
             break
-        overlap += 1
+    if recall < LEAST_RECALL:
+        logging.getLogger(__name__).warning("recall %.3f at overlap %d: all vectors are compared", recall, overlap)
+        counts, forest = links(one.drop("vec"), threshold, 0)
     joined = components(forest)
     known = one.join(counts.withColumnRenamed("n", "others"), "id", "left").join(joined, one["id"] == joined["node"], "left")
-    known = known.select("unit", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
+    known = known.select("unit", "vec", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("group"))
+    least = known.groupBy("group").agg(F.min("vec").alias("component"))
+    known = known.join(least, "group").select("unit", "n", "component")
     out = rows.join(known, "unit", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(back("id").alias(id_col), "n_links", back("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
