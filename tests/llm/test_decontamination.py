@@ -86,3 +86,24 @@ def test_basis_spans_the_passages(spark, data):
     best = (np.linalg.svd(a)[1] ** 2)[: basis.shape[1]].sum()
     assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-8)
     assert ((a @ basis) ** 2).sum() >= 0.8 * best
+
+
+@pytest.mark.parametrize("group", [400, 3])
+def test_long_items_are_found(spark, data, monkeypatch, group):
+    monkeypatch.setattr(dec, "GROUP_ITEMS", group)
+    rng = random.Random(11)
+    common = "the of and to in is a that it for".split()
+    text = lambda n: [rng.choice(common) if rng.random() < 0.5 else word(rng) for _ in range(n)]
+    items = {k: text(n) for k, n in enumerate([65, 150, 214, 500, 1200])}
+    docs, want = [(100 + i, " ".join(text(200))) for i in range(50)], set()
+    for k, w in items.items():
+        edited = [word(rng) if rng.random() < 0.1 else x for x in w]
+        docs += [(3 * k, " ".join(text(45) + w + text(80))), (3 * k + 1, " ".join(edited)), (3 * k + 2, " ".join(text(30) + w[: len(w) * 2 // 5] + text(30)))]
+        want |= {(3 * k, k), (3 * k + 1, k)}
+    half = len(items[3]) // 2
+    docs += [(None, " ".join(items[3][:half])), (None, " ".join(items[3][half:]))]  # two documents
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    rows = {(r.doc_id, r.item_id): r for r in dec.leaks(df, bench).collect()}
+    assert set(rows) == want
+    assert all(rows[3 * k, k].lcs == 1 for k in items)

@@ -6,7 +6,9 @@ documents. A randomised SVD of the passages that hold at least two such terms is
 where they lie (tasks send a range matrix and a small Gram matrix). Passages and benchmark
 items meet by cosine in the latent space; each candidate is then checked by the longest
 common subsequence of words and by the item's answer: the content terms, without which a passage
-says something else in the same common words.
+says something else in the same common words. Items longer than a passage are cut into windows, each
+compared as an item of its own, and are repeated where the windows that match in one
+document make up the required share of their words.
 
 The benchmark is a stated query set: its items are held by the driver and every task, at
 most GROUP_ITEMS of them at a time, so its size bounds all that is broadcast.
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import words_of, written
 
 HALF = 32  # words between passages; a passage is two halves
+WINDOW = 2 * HALF  # words of an item compared at once
 CONTENT_SHARE = 2e-4  # a term in no more of the half passages than this is a content term
 LEAST_CONTENT = 8  # an item with fewer of them takes its rarest terms
 GROUP_ITEMS = 400
@@ -57,6 +60,13 @@ def term_ids(text: str | None, lookup: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(lookup.get, words, repeat(-1)), np.int64, len(words))
 
 
+def windows_of(words: list[bytes]) -> list[list[bytes]]:
+    """An item's words in as few parts of about the same size as have at most WINDOW words."""
+    n = max(1, -(-len(words) // WINDOW))
+    cut = [len(words) * k // n for k in range(n + 1)]
+    return [words[s:e] for s, e in zip(cut[:-1], cut[1:])]
+
+
 def half_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
     """Half passages in all documents, and in how many of them each term is."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
@@ -118,15 +128,15 @@ def items_of(rows: list[tuple], rank: dict[bytes, int], n: int, df: np.ndarray)
 
 
 def passages(docs: DataFrame, items: Items) -> DataFrame:
-    """(id, place, terms, counts, words) of every passage with two or more content terms; words reach half a passage further on both sides."""
+    """(id, doc, place, terms, counts, words) of every passage with two or more content terms; words reach half a passage further on both sides."""
     shared = docs.sparkSession.sparkContext.broadcast(items.terms)
-    schema = pa.schema([("id", pa.int64()), ("place", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("words", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("words", pa.binary())])
 
     def run(batches):
         lookup = spellings(shared.value)
         for batch in batches:
             out: list[tuple] = []
-            for i, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for i, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = words_of(text, lower=True)
                 ids = np.fromiter(map(lookup.get, words, repeat(-1)), np.int64, len(words))
                 at = np.flatnonzero(ids >= 0)
@@ -138,14 +148,14 @@ def passages(docs: DataFrame, items: Items) -> DataFrame:
                     here = ids[at[np.searchsorted(half, k) : np.searchsorted(half, k + 2)]]
                     terms, counts = np.unique(here, return_counts=True)
                     if len(terms) > 1:
-                        out.append((i, k * HALF, terms.tolist(), counts.tolist(), b" ".join(words[max(0, (k - 1) * HALF) : (k + 3) * HALF])))
+                        out.append((i, doc, k * HALF, terms.tolist(), counts.tolist(), b" ".join(words[max(0, (k - 1) * HALF) : (k + 3) * HALF])))
                 if len(out) >= 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return docs.select("__id", "__text").mapInArrow(run, "id long, place long, terms array<int>, counts array<int>, words binary")
+    return docs.select("__id", F.xxhash64("__text"), "__text").mapInArrow(run, "id long, doc long, place long, terms array<int>, counts array<int>, words binary")
 
 
 class Rows:
@@ -227,8 +237,8 @@ def common_subsequence(masks: dict[bytes, int], size: int, words: list[bytes]) -
     return size - v.bit_count()
 
 
-def verified(rows: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
-    """(id, item, cosine, lcs, answer, place) of passages that repeat an item."""
+def verified(rows: DataFrame, items: Items, basis: np.ndarray, parts: frozenset[int] = frozenset()) -> DataFrame:
+    """(id, doc, item, cosine, lcs, answer, answers, place) of passages that repeat an item; lcs in words, answer in content terms out of ``answers``. Items in ``parts`` are windows, whose answer is not checked here."""
     latent = items.vectors @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     masks = []
@@ -244,30 +254,34 @@ def verified(rows: DataFrame, items: Items, basis: np.ndarray) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 4000):
                 part = batch.slice(k, 4000)
-                cosine = Rows(part.column(2), part.column(3), idf).times(basis) @ latent.T
-                ids, places, words = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(4)
+                cosine = Rows(part.column(3), part.column(4), idf).times(basis) @ latent.T
+                ids, docs, places, words = *(part.column(c).to_pylist() for c in (0, 1, 2)), part.column(5)
                 cut: dict[int, list[bytes]] = {}
                 out = []
                 for r, i in zip(*(x.tolist() for x in np.nonzero(cosine >= COSINE))):
                     if r not in cut:
                         cut[r] = [t for w in words[r].as_py().split() if (t := w.strip(EDGES))]
-                    lcs = common_subsequence(masks[i], sizes[i], cut[r]) / sizes[i]
-                    if lcs < LCS:
+                    lcs = common_subsequence(masks[i], sizes[i], cut[r])
+                    if lcs / sizes[i] < LCS:
                         continue
-                    answer = len(answers[i].intersection(cut[r])) / len(answers[i])
-                    if lcs >= SURE or answer >= ANSWER_SHARE:
-                        out.append((ids[r], i, float(cosine[r, i]), lcs, answer, places[r]))
-                kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate(kinds)], names=["id", "item", "cosine", "lcs", "answer", "place"])
+                    answer = len(answers[i].intersection(cut[r]))
+                    if i in parts or lcs / sizes[i] >= SURE or answer / len(answers[i]) >= ANSWER_SHARE:
+                        out.append((ids[r], docs[r], i, float(cosine[r, i]), lcs, answer, len(answers[i]), places[r]))
+                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], f.type) for j, f in enumerate(schema)], schema=schema)
 
-    return rows.select("id", "place", "terms", "counts", "words").mapInArrow(run, "id long, item int, cosine double, lcs double, answer double, place long")
+    long = pa.int64()
+    schema = pa.schema([("id", long), ("doc", long), ("item", pa.int32()), ("cosine", pa.float64()), ("lcs", long), ("answer", long), ("answers", long), ("place", long)])
+    return rows.select("id", "doc", "place", "terms", "counts", "words").mapInArrow(run, "id long, doc long, item int, cosine double, lcs long, answer long, answers long, place long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, cosine, lcs, answer, place): one row for each document and item that it repeats, at its best passage.
 
     lcs is the share of the item's words in the longest common subsequence, answer the share of its
-    content terms that are there, place the passage's first word. Null and empty texts and items match
+    content terms that are there, place the passage's first word. An item of more than WINDOW words is
+    reported if its windows with LCS of their words in the document make up LCS of the item, and SURE of these
+    windows' words or ANSWER_SHARE of their content terms are there; lcs then sums over these windows, answer and
+    cosine are of them, and place is of the first. Null and empty texts and items match
     nothing. Rows that share an id are reported together; a null id is reported as null. An empty
     benchmark or table gives no rows.
     """
@@ -282,12 +296,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         return out
     n, df = half_frequencies(base, vocabulary)
     rank = {t: i for i, t in enumerate(vocabulary)}
-    for k in range(0, len(rows), GROUP_ITEMS):
-        items = items_of(rows[k : k + GROUP_ITEMS], rank, n, df)
+    cut = [(nr, w) for nr, (_, words) in enumerate(rows) for w in windows_of(words)]
+    hits = None
+    for k in range(0, len(cut), GROUP_ITEMS):
+        items = items_of(cut[k : k + GROUP_ITEMS], rank, n, df)
         found = written(passages(base, items), "passages")
-        hits = verified(found, items, latent_basis(found, items))
-        names = spark.createDataFrame(list(enumerate(items.ids)), f"item int, {item_col} long")
-        best = hits.groupBy("id", "item").agg(F.max(F.struct("lcs", "answer", "cosine", (-F.col("place")).alias("place"))).alias("b"))
-        best = best.join(F.broadcast(names), "item")  # at most GROUP_ITEMS rows
-        out = out.unionByName(best.select(F.col("id").alias(id_col), item_col, "b.cosine", "b.lcs", "b.answer", (-F.col("b.place")).alias("place")))
-    return out
+        names = [(i, nr, rows[nr][0], len(w), len(rows[nr][1])) for i, (nr, w) in enumerate(zip(items.ids, items.words))]
+        sizes = spark.createDataFrame(names, f"item int, nr long, {item_col} long, window_words long, words long")
+        parts = frozenset(i for i, _, _, size, words in names if size < words)
+        best = verified(found, items, latent_basis(found, items), parts).groupBy("id", "doc", "item").agg(F.max(F.struct("lcs", "answer", "cosine", (-F.col("place")).alias("place"), "answers")).alias("b"))
+        best = best.join(F.broadcast(sizes), "item")  # at most GROUP_ITEMS rows
+        hits = best if hits is None else hits.unionByName(best)
+    whole = hits.groupBy("id", "doc", "nr", item_col, "words").agg(
+        F.sum("window_words").alias("matched"),
+        (F.sum("b.lcs") / F.col("words")).alias("lcs"),
+        (F.sum("b.answer") / F.sum("b.answers")).alias("answer"),
+        F.avg("b.cosine").alias("cosine"),
+        F.max("b.place").alias("place"),
+    )
+    sure = (F.col("lcs") * F.col("words") >= SURE * F.col("matched")) | (F.col("answer") >= ANSWER_SHARE) | (F.col("matched") == F.col("words")) & (F.col("words") <= WINDOW)
+    whole = whole.filter((F.col("matched") >= LCS * F.col("words")) & sure).groupBy("id", "nr", item_col).agg(F.max(F.struct("lcs", "answer", "cosine", "place")).alias("b"))
+    return whole.select(F.col("id").alias(id_col), item_col, "b.cosine", "b.lcs", "b.answer", (-F.col("b.place")).alias("place"))
