@@ -107,3 +107,20 @@ def test_long_items_are_found(spark, data, monkeypatch, group):
     rows = {(r.doc_id, r.item_id): r for r in dec.leaks(df, bench).collect()}
     assert set(rows) == want
     assert all(rows[3 * k, k].lcs == 1 for k in items)
+
+
+def test_terms_in_punctuation_and_single_terms_are_found(spark):
+    rng = random.Random(12)
+    marks = [('"', '"'), ("**", "**"), ("", '."'), ("", "):"), ("`", "`,"), ("((", ""), ("", "?!")]
+    common = "the of and to in is a that it for".split()
+    items, docs, want = [(90, "zyzzyva"), (91, "quoxal quoxal")], [], {(500, 90), (501, 91)}
+    for k in range(20):
+        w = [rng.choice(common) if i % 3 else word(rng) for i in range(30)]
+        items.append((k, " ".join(x if i % 3 else rng.choice(marks)[0] + x + rng.choice(marks)[1] for i, x in enumerate(w))))
+        leak = [x if i % 3 else a + x + b for i, x in enumerate(w) for a, b in [rng.choice(marks)]]
+        docs.append((k, " ".join([*(word(rng) for _ in range(50)), *leak, *(word(rng) for _ in range(50))])))
+        want.add((k, k))
+    docs += [(500, "he said **Zyzzyva**, and left"), (501, "one 'quoxal' and a (quoxal)."), (502, "nothing of it")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dec.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want

@@ -17,7 +17,6 @@ most GROUP_ITEMS of them at a time, so its size bounds all that is broadcast.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import words_of, written
 
 HALF = 32  # words between passages; a passage is two halves
+KNOWN_WORDS = 500_000  # words that a task remembers the terms of
 WINDOW = 2 * HALF  # words of an item compared at once
 CONTENT_SHARE = 2e-4  # a term in no more of the half passages than this is a content term
 LEAST_CONTENT = 8  # an item with fewer of them takes its rarest terms
@@ -44,20 +44,21 @@ def terms_of(text: str | None) -> list[bytes]:
     return [t for w in words_of(text, lower=True) if (t := w.strip(EDGES))]
 
 
-def spellings(terms) -> dict[bytes, int]:
-    """Terms by the words that a text may have for them: alone or with one mark before or after."""
-    out = {}
-    for i, t in enumerate(terms):
-        for mark in (b"", b".", b",", b";", b":", b"!", b"?", b")", b'"', b"'"):
-            out.setdefault(t + mark, i)
-        for mark in (b"(", b'"', b"'"):
-            out.setdefault(mark + t, i)
-    return out
+class Lookup(dict):
+    """Number of the term that a lower-case word is without punctuation at its edges, -1 for none; words met are remembered."""
+
+    def __init__(self, terms: list[bytes]):
+        self.terms = {t: i for i, t in enumerate(terms)}
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = at = self.terms.get(word.strip(EDGES), -1)
+        return at
 
 
-def term_ids(text: str | None, lookup: dict[bytes, int]) -> np.ndarray:
-    words = words_of(text, lower=True)
-    return np.fromiter(map(lookup.get, words, repeat(-1)), np.int64, len(words))
+def term_ids(words: list[bytes], lookup: Lookup) -> np.ndarray:
+    return np.fromiter(map(lookup.__getitem__, words), np.int64, len(words))
 
 
 def windows_of(words: list[bytes]) -> list[list[bytes]]:
@@ -72,12 +73,12 @@ def half_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarr
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
-        lookup, v = spellings(shared.value), len(shared.value)
+        lookup, v = Lookup(shared.value), len(shared.value)
         n, df = 0, np.zeros(v + 1, np.int64)
         for batch in batches:
             keys = []
             for t in batch.column(0).to_pylist():
-                ids = term_ids(t, lookup)
+                ids = term_ids(words_of(t, lower=True), lookup)
                 at = np.flatnonzero(ids >= 0)
                 keys.append((n + at // HALF) * v + ids[at])
                 n += -(-len(ids) // HALF)
@@ -128,26 +129,28 @@ def items_of(rows: list[tuple], rank: dict[bytes, int], n: int, df: np.ndarray)
 
 
 def passages(docs: DataFrame, items: Items) -> DataFrame:
-    """(id, doc, place, terms, counts, words) of every passage with two or more content terms; words reach half a passage further on both sides."""
-    shared = docs.sparkSession.sparkContext.broadcast(items.terms)
+    """(id, doc, place, terms, counts, words) of every passage with two or more content terms, or with the only one of an item; words reach half a passage further on both sides."""
+    single = {t for a in items.answers if len(a) == 1 for t in a}
+    shared = docs.sparkSession.sparkContext.broadcast((items.terms, np.array([t in single for t in items.terms], bool)))
     schema = pa.schema([("id", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("words", pa.binary())])
 
     def run(batches):
-        lookup = spellings(shared.value)
+        terms, alone = shared.value
+        lookup = Lookup(terms)
         for batch in batches:
             out: list[tuple] = []
             for i, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = words_of(text, lower=True)
-                ids = np.fromiter(map(lookup.get, words, repeat(-1)), np.int64, len(words))
+                ids = term_ids(words, lookup)
                 at = np.flatnonzero(ids >= 0)
-                if len(at) < 2:
+                if len(at) < 2 and not alone[ids[at]].any():
                     continue
                 half = at // HALF
                 last = max(0, -(-len(words) // HALF) - 2)
                 for k in np.unique(np.minimum(np.concatenate((half, np.maximum(half - 1, 0))), last)).tolist():
                     here = ids[at[np.searchsorted(half, k) : np.searchsorted(half, k + 2)]]
                     terms, counts = np.unique(here, return_counts=True)
-                    if len(terms) > 1:
+                    if len(terms) > 1 or alone[terms].any():
                         out.append((i, doc, k * HALF, terms.tolist(), counts.tolist(), b" ".join(words[max(0, (k - 1) * HALF) : (k + 3) * HALF])))
                 if len(out) >= 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
