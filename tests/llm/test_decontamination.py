@@ -77,7 +77,7 @@ def test_basis_spans_the_passages(spark, data):
     n, df = dec.half_frequencies(base, vocabulary)
     assert n == sum(-(-len(t.split()) // dec.HALF) for _, t in docs)
     group = dec.items_of(rows, {t: i for i, t in enumerate(vocabulary)}, n, df)
-    found = dec.passages(base, group)
+    found = dec.passages(base, [group])
     basis = dec.latent_basis(found, group)
     a = np.zeros((found.count(), len(group.terms)))
     for i, r in enumerate(found.collect()):

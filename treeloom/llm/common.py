@@ -10,14 +10,14 @@ no bucket is hot; buckets and chunks grow in number, not in size, with the input
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
+from dataclasses import dataclass
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch, written  # noqa: F401
+
 CHUNK_BYTES = 6_000_000
 NO_ID = np.iinfo(np.int64).max
 U32, U64 = np.dtype("<u4"), np.dtype("<u8")
@@ -27,22 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (tests), under a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends here and lost executors cost no recomputation."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def chunks(df: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> int:
     """How many chunks the texts make."""
     total = df.agg(F.sum(F.octet_length(F.col(text)) + 64)).first()[0] or 0
@@ -67,8 +51,67 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
+SPACES = bytes(int(c == 32 or 9 <= c <= 13) for c in range(256))
+BLOCK = 1 << 15  # bytes hashed at once
+ODD = 0x9E3779B97F4A7C15
+
+
+def powers(x: int, n: int) -> np.ndarray:
+    out = np.full(n, x, U64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+POWERS, INVERSES = powers(ODD, 2 * BLOCK), powers(pow(ODD, -1, 1 << 64), BLOCK + 1)
+
+
+@dataclass
+class Words:
+    """The words [^\\x20\\x09-\\x0D]+ of several texts: their places in ``raw`` and their number in each text."""
+
+    raw: bytes
+    start: np.ndarray
+    end: np.ndarray
+    sizes: np.ndarray
+
+    def hashes(self) -> np.ndarray:
+        return span_hashes(np.frombuffer(self.raw, np.uint8), self.start, self.end)
+
+    def places(self) -> np.ndarray:
+        """Place of each word in its text."""
+        return np.arange(len(self.start)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+
+
+def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes other than zero bytes at its end; starts rise. A polynomial hash from running sums, so that no span is an object of its own."""
+    out, i = np.zeros(len(start), U64), 0
+    room = np.zeros((2, 2 * BLOCK + 1), U64)
+    while i < len(start):
+        base = int(start[i])
+        stop = int(np.searchsorted(start, base + BLOCK, "right"))
+        size = int(end[i:stop].max()) - base
+        power = POWERS[:size] if size <= len(POWERS) else powers(ODD, size)
+        product, sums = room[:, : size + 1] if size < room.shape[1] else np.zeros((2, size + 1), U64)
+        np.multiply(b[base : base + size], power, out=product[1:])
+        np.cumsum(product[1:], out=sums[1:])
+        s = start[i:stop] - base
+        out[i:stop] = (sums[end[i:stop] - base] - sums[s]) * INVERSES[s]
+        i = stop
+    return mixed(out)
+
+
+def words_in(texts: list, lower: bool = False) -> Words:
+    """Words of texts (str, bytes or None)."""
+    parts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t or b"" for t in texts]
+    raw = b" ".join(parts) + b" "
+    raw = raw.lower() if lower else raw
+    space = np.frombuffer(raw.translate(SPACES), np.uint8)
+    change = np.flatnonzero(space[1:] != space[:-1]) + 1
+    change = change if space[0] else np.concatenate(([0], change))
+    start, end = change[::2], change[1::2]
+    ends = np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts)))
+    sizes = np.diff(np.searchsorted(start, ends), prepend=0)
+    return Words(raw, start, end, sizes)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 Passages are 64 words of a document, one every 32. Their TF-IDF vectors are taken over
 the benchmark's content terms, weighted by frequencies counted over all passages of all
-documents. A randomised SVD of the passages that hold at least two such terms is computed
+documents. A randomised SVD of the passages that share two such terms with an item is computed
 where they lie (tasks send a range matrix and a small Gram matrix). Passages and benchmark
 items meet by cosine in the latent space; each candidate is then checked by the longest
 common subsequence of words and by the item's answer: the content terms, without which a passage
@@ -10,8 +10,10 @@ says something else in the same common words. Items longer than a passage are cu
 compared as an item of its own, and are repeated where the windows that match in one
 document make up the required share of their words.
 
-The benchmark is a stated query set: its items are held by the driver and every task, at
-most GROUP_ITEMS of them at a time, so its size bounds all that is broadcast.
+The benchmark is a stated query set. The driver holds MOST_BYTES of its text at a time, which bounds
+all that is broadcast; a larger benchmark is taken in several parts. The texts are read twice for a
+part, however many items it has: passages that share two content terms with an item are written for
+that item's group of GROUP_ITEMS windows, and each group has its latent space over its own passages.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of, written
+from .common import Words, scratch, span_hashes, words_in, words_of, written
 
 HALF = 32  # words between passages; a passage is two halves
-KNOWN_WORDS = 500_000  # words that a task remembers the terms of
+MOST_BYTES = 16_000_000  # of benchmark text held at once
+BLOCK_CHARS = 4_000_000  # of documents whose words are looked up at once
 WINDOW = 2 * HALF  # words of an item compared at once
 CONTENT_SHARE = 2e-4  # a term in no more of the half passages than this is a content term
 LEAST_CONTENT = 8  # an item with fewer of them takes its rarest terms
@@ -44,21 +47,56 @@ def terms_of(text: str | None) -> list[bytes]:
     return [t for w in words_of(text, lower=True) if (t := w.strip(EDGES))]
 
 
-class Lookup(dict):
-    """Number of the term that a lower-case word is without punctuation at its edges, -1 for none; words met are remembered."""
+EDGE = bytes(int(c in EDGES) for c in range(256))
 
-    def __init__(self, terms: list[bytes]):
-        self.terms = {t: i for i, t in enumerate(terms)}
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = at = self.terms.get(word.strip(EDGES), -1)
-        return at
+def stripped(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word without punctuation at its edges."""
+    edge = np.frombuffer(w.raw.translate(EDGE), np.uint8)
+    change = np.flatnonzero(np.diff(edge, prepend=0, append=0))
+    first, last = change[::2], change[1::2]  # runs of punctuation
+    start, end = w.start.copy(), w.end.copy()
+    at = np.flatnonzero(edge[start])
+    start[at] = np.minimum(last[np.searchsorted(first, start[at], "right") - 1], end[at])
+    at = np.flatnonzero(edge[end - 1])
+    end[at] = np.maximum(first[np.searchsorted(first, end[at] - 1, "right") - 1], start[at])
+    return start, end
+
 
+class Lookup:
+    """Number of a term by its hash."""
 
-def term_ids(words: list[bytes], lookup: Lookup) -> np.ndarray:
-    return np.fromiter(map(lookup.__getitem__, words), np.int64, len(words))
+    def __init__(self, terms: list[bytes]):
+        keys = words_in(terms).hashes()
+        self.number = np.argsort(keys).astype(np.int32)
+        self.keys = keys[self.number]
+        self.met = np.zeros(1 << 20, bool)
+        self.met[self.keys >> np.uint64(44)] = True
+
+    def find(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Words of documents that are terms without punctuation at their edges, and the numbers of these terms."""
+        h = span_hashes(np.frombuffer(w.raw, np.uint8), *stripped(w))
+        at = np.flatnonzero(self.met[h >> np.uint64(44)])
+        place = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        same = self.keys[place] == h[at]
+        return at[same], self.number[place[same]].astype(np.int64)
+
+
+def blocks(batch: pa.RecordBatch, column: int):
+    """Slices of a batch with about BLOCK_CHARS of text."""
+    size = np.cumsum([len(x or "") for x in batch.column(column).to_pylist()])
+    start = 0
+    while start < batch.num_rows:
+        before = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, before + BLOCK_CHARS)))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def halves_of(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Number of half passages in each text, and in the texts before it."""
+    n = -(-w.sizes // HALF)
+    return n, np.cumsum(n) - n
 
 
 def windows_of(words: list[bytes]) -> list[list[bytes]]:
@@ -70,24 +108,19 @@ def windows_of(words: list[bytes]) -> list[list[bytes]]:
 
 def half_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
     """Half passages in all documents, and in how many of them each term is."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    shared = docs.sparkSession.sparkContext.broadcast((Lookup(terms), len(terms)))
 
     def run(batches):
-        lookup, v = Lookup(shared.value), len(shared.value)
-        n, df = 0, np.zeros(v + 1, np.int64)
+        lookup, v = shared.value
+        df = np.zeros(v + 1, np.int64)
         for batch in batches:
-            keys = []
-            for t in batch.column(0).to_pylist():
-                ids = term_ids(words_of(t, lower=True), lookup)
-                at = np.flatnonzero(ids >= 0)
-                keys.append((n + at // HALF) * v + ids[at])
-                n += -(-len(ids) // HALF)
-                if len(keys) >= 500:
-                    df[:v] += np.bincount(np.unique(np.concatenate(keys)) % v, minlength=v)
-                    keys = []
-            if keys:
-                df[:v] += np.bincount(np.unique(np.concatenate(keys)) % v, minlength=v)
-        df[v] = n
+            for part in blocks(batch, 0):
+                w = words_in(part.column(0).to_pylist(), lower=True)
+                at, term = lookup.find(w)
+                n, before = halves_of(w)
+                half = (np.repeat(before, w.sizes) + w.places() // HALF)[at]
+                df[:v] += np.bincount(np.unique(half * v + term) % v, minlength=v)
+                df[v] += n.sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(v + 1)), pa.array(df)], names=["term", "n"])
 
     df = np.zeros(len(terms) + 1, np.int64)
@@ -128,37 +161,70 @@ def items_of(rows: list[tuple], rank: dict[bytes, int], n: int, df: np.ndarray)
     return Items([i for i, _ in rows], [w for _, w in rows], terms, idf, vectors, answers)
 
 
-def passages(docs: DataFrame, items: Items) -> DataFrame:
-    """(id, doc, place, terms, counts, words) of every passage with two or more content terms, or with the only one of an item; words reach half a passage further on both sides."""
-    single = {t for a in items.answers if len(a) == 1 for t in a}
-    shared = docs.sparkSession.sparkContext.broadcast((items.terms, np.array([t in single for t in items.terms], bool)))
-    schema = pa.schema([("id", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("words", pa.binary())])
+PASSAGE = "group int, id long, doc long, place long, terms array<int>, counts array<int>, words binary"
+
+
+def expanded(at: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions start[a] to start[a] + sizes[a] for each a in ``at``, and which of ``at`` each is for."""
+    n = sizes[at]
+    whose = np.repeat(np.arange(len(at)), n)
+    return np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum()), whose
+
+
+def passages(docs: DataFrame, groups: list[Items]) -> DataFrame:
+    """A row for each passage and group with an item of which the passage has two content terms, or the only one.
+
+    terms are numbered as in the group; words reach half a passage further on both sides.
+    """
+    answers = [a for g in groups for a in g.answers]
+    terms = sorted({t for a in answers for t in a})
+    number = {t: i for i, t in enumerate(terms)}
+    entries = np.array(sorted((number[t], i) for i, a in enumerate(answers) for t in a), np.int64).reshape(-1, 2)  # (term, item)
+    sizes = np.bincount(entries[:, 0], minlength=len(terms))
+    group_of = np.repeat(np.arange(len(groups)), [len(g.ids) for g in groups])
+    alone = np.array([len(a) == 1 for a in answers], bool)
+    of_group = [np.array([number[t] for t in g.terms], np.int64) for g in groups]  # rises, as the terms do
+    shared = docs.sparkSession.sparkContext.broadcast((Lookup(terms), len(terms), entries[:, 1], np.cumsum(sizes) - sizes, sizes, group_of, alone, of_group))
+    schema = pa.schema([("group", pa.int32()), ("id", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("words", pa.binary())])
+
+    def rows_of(part):
+        lookup, v, item, start, sizes, group_of, alone, of_group = shared.value
+        w = words_in(part.column(2).to_pylist(), lower=True)
+        at, term = lookup.find(w)
+        if not len(at):
+            return
+        n, before = halves_of(w)
+        doc = np.repeat(np.arange(len(n)), w.sizes)[at]
+        half = w.places()[at] // HALF
+        first, second = np.minimum(half, np.maximum(n[doc] - 2, 0)), np.maximum(half - 1, 0)  # the passages that hold the half
+        more = second != first
+        passage = np.concatenate((first + before[doc], (second + before[doc])[more]))
+        key, count = np.unique(passage * v + np.concatenate((term, term[more])), return_counts=True)
+        passage, term = key // v, key % v
+        where, whose = expanded(term, start, sizes)
+        pair, met = np.unique(passage[whose] * len(alone) + item[where], return_counts=True)
+        pair = pair[(met > 1) | alone[pair % len(alone)]]
+        wanted = np.unique(pair // len(alone) * len(of_group) + group_of[pair % len(alone)])
+        ids, docs_ = part.column(0).to_pylist(), part.column(1).to_pylist()
+        ends = np.cumsum(w.sizes)
+        for p, g in zip((wanted // len(of_group)).tolist(), (wanted % len(of_group)).tolist()):
+            s, e = np.searchsorted(passage, [p, p + 1])
+            local = np.minimum(np.searchsorted(of_group[g], term[s:e]), len(of_group[g]) - 1)
+            here = of_group[g][local] == term[s:e]
+            d = int(np.searchsorted(before, p, "right")) - 1
+            k = p - int(before[d])
+            low = int(ends[d] - w.sizes[d])
+            a, b = low + max(0, (k - 1) * HALF), min(low + (k + 3) * HALF, int(ends[d])) - 1
+            yield g, ids[d], docs_[d], k * HALF, local[here].tolist(), count[s:e][here].tolist(), w.raw[w.start[a] : w.end[b]]
 
     def run(batches):
-        terms, alone = shared.value
-        lookup = Lookup(terms)
         for batch in batches:
-            out: list[tuple] = []
-            for i, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words = words_of(text, lower=True)
-                ids = term_ids(words, lookup)
-                at = np.flatnonzero(ids >= 0)
-                if len(at) < 2 and not alone[ids[at]].any():
-                    continue
-                half = at // HALF
-                last = max(0, -(-len(words) // HALF) - 2)
-                for k in np.unique(np.minimum(np.concatenate((half, np.maximum(half - 1, 0))), last)).tolist():
-                    here = ids[at[np.searchsorted(half, k) : np.searchsorted(half, k + 2)]]
-                    terms, counts = np.unique(here, return_counts=True)
-                    if len(terms) > 1 or alone[terms].any():
-                        out.append((i, doc, k * HALF, terms.tolist(), counts.tolist(), b" ".join(words[max(0, (k - 1) * HALF) : (k + 3) * HALF])))
-                if len(out) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
-    return docs.select("__id", F.xxhash64("__text"), "__text").mapInArrow(run, "id long, doc long, place long, terms array<int>, counts array<int>, words binary")
+            for part in blocks(batch, 2):
+                out = list(rows_of(part))
+                for k in range(0, len(out), 2000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 2000]), schema)], schema=schema)
+
+    return docs.select("__id", F.xxhash64("__text"), "__text").mapInArrow(run, PASSAGE)
 
 
 class Rows:
@@ -288,27 +354,44 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     nothing. Rows that share an id are reported together; a null id is reported as null. An empty
     benchmark or table gives no rows.
     """
-    spark = docs.sparkSession
-    rows = sorted(((r[0], terms_of(r[1])) for r in benchmark.select(item_col, item_text).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    rows = [(i, w) for i, w in rows if w]
-    schema = f"{id_col} long, {item_col} long, cosine double, lcs double, answer double, place long"
+    items = benchmark.select(F.col(item_col).cast("long").alias(item_col), F.col(item_text).alias("__item"))
+    total = items.agg(F.sum(F.octet_length("__item") + 64)).first()[0] or 0
+    parts = max(1, -(-total // MOST_BYTES))
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    out = spark.createDataFrame([], schema)
+    out = docs.sparkSession.createDataFrame([], f"{id_col} long, {item_col} long, cosine double, lcs double, answer double, place long")
+    for k in range(parts):
+        part = items.filter(F.pmod(F.xxhash64(item_col, "__item"), F.lit(parts)) == k) if parts > 1 else items
+        rows = sorted(((r[0], terms_of(r[1])) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        rows = [(i, w) for i, w in rows if w]
+        if rows:
+            found = leaks_of_part(base, rows, item_col).withColumnRenamed("id", id_col)
+            out = out.unionByName(written(found, "leaks") if parts > 1 else found)
+    if parts > 1:  # an item that the benchmark repeats may be in several parts
+        out = out.groupBy(id_col, item_col).agg(F.max(F.struct("lcs", "answer", "cosine", "place")).alias("b")).select(id_col, item_col, "b.cosine", "b.lcs", "b.answer", "b.place")
+    return out
+
+
+def leaks_of_part(base: DataFrame, rows: list[tuple], item_col: str) -> DataFrame:
+    """leaks of items (id, terms) that the driver holds, for documents (__id, __text)."""
+    spark = base.sparkSession
     vocabulary = sorted({t for _, w in rows for t in w})
-    if not vocabulary:
-        return out
     n, df = half_frequencies(base, vocabulary)
     rank = {t: i for i, t in enumerate(vocabulary)}
     cut = [(nr, w) for nr, (_, words) in enumerate(rows) for w in windows_of(words)]
+    groups = [items_of(cut[k : k + GROUP_ITEMS], rank, n, df) for k in range(0, len(cut), GROUP_ITEMS)]
+    path = scratch(spark, "passages")
+    found = passages(base, groups)
+    (found.write.partitionBy("group") if len(groups) > 1 else found.write).parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
     hits = None
-    for k in range(0, len(cut), GROUP_ITEMS):
-        items = items_of(cut[k : k + GROUP_ITEMS], rank, n, df)
-        found = written(passages(base, items), "passages")
+    for g, items in enumerate(groups):
         names = [(i, nr, rows[nr][0], len(w), len(rows[nr][1])) for i, (nr, w) in enumerate(zip(items.ids, items.words))]
         sizes = spark.createDataFrame(names, f"item int, nr long, {item_col} long, window_words long, words long")
-        parts = frozenset(i for i, _, _, size, words in names if size < words)
-        best = verified(found, items, latent_basis(found, items), parts).groupBy("id", "doc", "item").agg(F.max(F.struct("lcs", "answer", "cosine", (-F.col("place")).alias("place"), "answers")).alias("b"))
+        whole = frozenset(i for i, _, _, size, words in names if size < words)
+        mine = found.filter(F.col("group") == g)
+        best = verified(mine, items, latent_basis(mine, items), whole).groupBy("id", "doc", "item").agg(F.max(F.struct("lcs", "answer", "cosine", (-F.col("place")).alias("place"), "answers")).alias("b"))
         best = best.join(F.broadcast(sizes), "item")  # at most GROUP_ITEMS rows
+        best = written(best, "hits") if len(groups) > 1 else best
         hits = best if hits is None else hits.unionByName(best)
     whole = hits.groupBy("id", "doc", "nr", item_col, "words").agg(
         F.sum("window_words").alias("matched"),
@@ -319,4 +402,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     )
     sure = (F.col("lcs") * F.col("words") >= SURE * F.col("matched")) | (F.col("answer") >= ANSWER_SHARE) | (F.col("matched") == F.col("words")) & (F.col("words") <= WINDOW)
     whole = whole.filter((F.col("matched") >= LCS * F.col("words")) & sure).groupBy("id", "nr", item_col).agg(F.max(F.struct("lcs", "answer", "cosine", "place")).alias("b"))
-    return whole.select(F.col("id").alias(id_col), item_col, "b.cosine", "b.lcs", "b.answer", (-F.col("b.place")).alias("place"))
+    best = whole.groupBy("id", item_col).agg(F.max("b").alias("b"))
+    return best.select("id", item_col, "b.cosine", "b.lcs", "b.answer", (-F.col("b.place")).alias("place"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, NO_ID, U32, U64, bucket_of, chunk_of, chunks, mixed, rest, runs, word_hashes, words_of
+from .common import CHUNK_BYTES, NO_ID, U32, U64, bucket_of, chunk_of, chunks, mixed, rest, runs, words_in
 
 M1, M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 REQUEST = "bucket int, chunk int, stage int, keys binary, more binary, low binary, high binary"
@@ -48,18 +48,15 @@ class Chunk:
 
     def __init__(self, data: pa.Table, window: int, n: int):
         ids = np.array([NO_ID if x is None else x for x in data["__id"].to_pylist()], np.int64)
-        texts = data["__text"].to_pylist()
-        self.order = np.lexsort((np.array([len(t or "") for t in texts], np.int64), ids))
-        self.words, self.sizes = [], np.zeros(len(ids), np.int64)
-        for k, i in enumerate(self.order):
-            w = words_of(texts[i])
-            self.sizes[k] = len(w)
-            self.words += w
+        texts = data["__text"].cast(pa.binary()).to_pylist()
+        self.order = np.lexsort((np.array([len(t or b"") for t in texts], np.int64), ids))
+        self.words = words_in([texts[i] for i in self.order])
+        self.sizes = self.words.sizes
         self.window, self.block, self.n = window, (window + 1) // 2, n
-        self.f = word_hashes(self.words)
+        self.f = self.words.hashes()
         self.row = np.repeat(np.arange(len(ids)), self.sizes)
         self.doc = ids[self.order][self.row]
-        self.within = np.arange(len(self.f)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.within = self.words.places()
         self._blocks()
 
     def _whole(self, width: int) -> np.ndarray:
@@ -200,10 +197,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         c = Chunk(data, window, n)
         c.windows(of_stage(answers, 1))
         gone = c.removed(of_stage(answers, 2))
-        kept, removed, ends = [], [], np.cumsum(c.sizes)
-        for s, e in zip(ends - c.sizes, ends):
-            kept.append(b" ".join(compress(c.words[s:e], ~gone[s:e])).decode("utf-8", "surrogatepass"))
-            removed.append(int(gone[s:e].sum()))
+        kept, ends = [], np.cumsum(c.sizes)
+        total = np.concatenate(([0], np.cumsum(gone)))
+        removed = total[ends] - total[ends - c.sizes]
+        for s, e, n_gone in zip(ends - c.sizes, ends, removed.tolist()):
+            words = c.words.raw[c.words.start[s] : c.words.end[e - 1]].split() if e > s else []
+            kept.append(b" ".join(compress(words, ~gone[s:e]) if n_gone else words).decode("utf-8", "surrogatepass"))
         data = data.take(pa.array(c.order))
         return pa.table([data["__id"], data["__text"], data["__rest"], pa.array(kept, pa.string()), pa.array(c.sizes, pa.int64()), pa.array(removed, pa.int64())], names=["__id", "__text", "__rest", "kept_text", "n_words", "n_removed"])
 
