@@ -2,7 +2,7 @@ import collections
 import math
 import random
 
-import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from treeloom.llm import suffix_tree_lm as lm
@@ -23,47 +23,41 @@ def corpus(seed=0, n=120):
     return rows
 
 
-def brute(rows, min_share, min_next, divergence):
+def brute(rows, depth, least, divergence, weight):
     """The same model from its definition."""
     toks = {i: [*(t or "").lower().split(), None] for i, t, _ in rows}
     train = [toks[i] for i, _, held in rows if not held]
-    uni = collections.Counter(w for t in train for w in t)
-    n, v = sum(uni.values()), len(uni)
-    grams = [collections.Counter(tuple(t[k : k + m]) for t in train for k in range(len(t) - m + 1)) for m in (2, 3)]
-    least, floor = min_share * n, max(1.0, min_share * min_next * n)
-    ctx = {w for w, c in uni.items() if c >= least and w is not None}
-    test = lambda p, q: p >= min_next and p * abs(math.log(p / q)) >= divergence
-    one = {a for (a, b), c in grams[0].items() if a in ctx and uni[b] >= floor and c >= floor and test(c / uni[a], uni[b] / n)}
-    two = set()
-    for (a, b, x), c in grams[1].items():
-        if a in ctx and b in ctx and uni[x] >= floor and c >= floor and grams[0][a, b] >= least and test(c / grams[0][a, b], grams[0][b, x] / uni[b]):
-            two.add((a, b))
-    one |= {b for _, b in two}
+    grams = collections.Counter(tuple(t[k : k + m]) for t in train for m in range(1, depth + 2) for k in range(len(t) - m + 1))
+    n, v = sum(map(len, train)), len({w for t in train for w in t})
+    kept = set()
+    for g, c in grams.items():
+        s = g[:-1]
+        if s and grams[s] >= least and abs(math.log(c / grams[s]) - math.log(grams[g[1:]] / (grams[s[1:]] if s[1:] else n))) * c >= divergence:
+            kept |= {s[k:] for k in range(len(s))}
     out = {}
     for i, t in toks.items():
         base = best = 0.0
         for k, x in enumerate(t):
-            p0 = (uni[x] + 1) / (n + v + 1)
-            p = p0
-            if k >= 1 and t[k - 1] in one:
-                p = (grams[0][t[k - 1], x] + lm.WEIGHT * p) / (uni[t[k - 1]] + lm.WEIGHT)
-            if k >= 2 and (t[k - 2], t[k - 1]) in two:
-                p = (grams[1][t[k - 2], t[k - 1], x] + lm.WEIGHT * p) / (grams[0][t[k - 2], t[k - 1]] + lm.WEIGHT)
+            p = p0 = (grams[x,] + 1) / (n + v + 1)
+            longest = max((d for d in range(1, min(depth, k) + 1) if tuple(t[k - d : k]) in kept), default=0)
+            for d in range(1, longest + 1):
+                s = tuple(t[k - d : k])
+                p = (grams[*s, x] + weight * p) / (grams[s] + weight)
             base, best = base + math.log10(p0), best + math.log10(p)
-        out[i] = (len(t), sum(uni[x] > 0 for x in t), n, base, best)
-    return out, len(one), len(two)
+        out[i] = (len(t), sum(grams[x,] > 0 for x in t), n, base, best)
+    return out, collections.Counter(map(len, kept))
 
 
-def test_against_definition(spark, monkeypatch):
-    settings = dict(min_share=0.01, min_next=0.05, divergence=0.02)
-    learn = lm.learn
-    monkeypatch.setattr(lm, "learn", lambda docs, n: learn(docs, n, **settings))
-    rows = [*corpus(), (500, None, False), (501, "", True), (502, "alpha beta " * 5000, False), (503, corpus()[3][1], False)]
+@pytest.mark.parametrize("depth,least,divergence", [(4, 2, 3.32), (4, 5, 2.0), (1, 3, 1.0), (5, 2, 2.0)])
+def test_against_definition(spark, depth, least, divergence):
+    settings = dict(depth=depth, least=least, divergence=divergence, weight=lm.WEIGHT)
+    rows = [*corpus(), (500, None, False), (501, "", True), (502, "alpha beta " * 5000, False), (503, corpus()[3][1], False), (504, corpus()[3][1], False)]
     df = spark.createDataFrame([(*r, "s", "t") for r in rows], SCHEMA)
-    for chunk in (800, 10_000_000):
-        got = {r.doc_id: r for r in lm.score(df, F.col("held"), chunk_bytes=chunk).collect()}
-        want, one, two = brute(rows, **settings)
-        assert one > 3 and two > 1 and set(got) == set(want)
+    want, kept = brute(rows, **settings)
+    assert all(kept[d] > 0 for d in range(1, depth + 1))
+    for chunk in (2500, 10_000_000):
+        got = {r.doc_id: r for r in lm.score(df, F.col("held"), chunk_bytes=chunk, **settings).collect()}
+        assert set(got) == set(want)
         for i, w in want.items():
             r = got[i]
             assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3]
@@ -72,12 +66,21 @@ def test_against_definition(spark, monkeypatch):
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
 
 
+def test_texts_that_occur_twice_score_apart(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abdeilmnorstu") for _ in range(rng.randrange(1, 4))) for _ in range(80))
+    rows = [(i, text()) for i in range(200)]
+    rows += [(1000 + i, rows[i][1]) for i in range(10)]
+    got = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()}
+    assert min(got[i] for i in (*range(10), *range(1000, 1010))) > max(got[i] for i in range(10, 200))
+
+
 def test_distributions_sum_to_one():
-    tree = lm.Tree(100, 7, np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int))
     counts = [30, 20, 20, 10, 10, 5, 5, 0]  # seven words and one unknown
-    assert math.isclose(sum((c + 1) / (tree.tokens + tree.vocabulary + 1) for c in counts), 1)
+    base = [(c + 1) / (100 + 7 + 1) for c in counts]
+    assert math.isclose(sum(base), 1)
     nxt = [3, 0, 1, 0, 0, 0, 0, 0]
-    assert math.isclose(sum((a + lm.WEIGHT * (c + 1) / 108) / (sum(nxt) + lm.WEIGHT) for a, c in zip(nxt, counts)), 1)
+    assert math.isclose(sum((a + lm.WEIGHT * p) / (sum(nxt) + lm.WEIGHT) for a, p in zip(nxt, base)), 1)
 
 
 def test_no_training_rows_null_ids_and_empty_table(spark):

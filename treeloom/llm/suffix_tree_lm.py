@@ -1,271 +1,240 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-A state is a context of the last 0, 1 or 2 words. A context is kept if it makes up at
-least ``MIN_SHARE`` of the training tokens and its next-word distribution diverges from
-that of its suffix: for some next word x, P(x|s) * |ln(P(x|s) / P(x|suffix of s))| is at
-least ``DIVERGENCE``. Suffixes of kept contexts are kept. The longest kept suffix of the
-words so far is the state that scores the next token; its distribution is the counts
-smoothed towards that of its own suffix, down to add-one word counts, so every state's
-distribution sums to one over the training vocabulary and one unknown word.
-
-Counts are over all training documents. Only what MIN_SHARE bounds reaches the driver:
-at most 1 / MIN_SHARE contexts of a depth and 1 / (MIN_SHARE * MIN_NEXT) of their
-next-word counts. The counts that scoring needs, which grow with the corpus, move between
-chunks of documents and buckets of keys as packed arrays.
+A state is a context of the last words, at most ``DEPTH`` of them. A context s is retained if
+it occurs at least ``LEAST`` times in the training texts and its next-word distribution diverges from
+that of its suffix: for some next word x, its count times |ln(P(x|s) / P(x|suffix of s))| is at
+least ``DIVERGENCE`` (half of the test's 1 % point, 6.63). Suffixes of retained contexts are
+retained. The longest retained suffix of the words so far is the state that scores the next token;
+its distribution is the counts smoothed towards that of its own suffix, down to add-one word
+counts, so every state's distribution sums to one over the training vocabulary and one unknown word.
+
+Counts, contexts and tests are over all training documents and none of them reaches the driver,
+which sees two numbers, tokens and vocabulary. Chunks of documents and buckets of keys exchange packed
+arrays in three rounds: counts of words and pairs; counts of longer runs whose inner pairs are
+all frequent enough; and for each context whether any chunk saw it diverge.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, U32, U64, bucket_of, chunk_of, chunks, mixed, runs, word_hashes, words_of, written
+from .common import U32, U64, chunk_of, chunks, mixed, runs, words_in
 
-MIN_SHARE = 1e-4
-MIN_NEXT = 0.02  # next words of at least this share of a context are tested
-DIVERGENCE = 0.005
+DEPTH = 4
+LEAST = 2
+DIVERGENCE = 3.32
 WEIGHT = 20.0  # pseudo-count of the suffix's distribution
+CHUNK_BYTES = 4_000_000
 END = np.uint64(0x6A09E667F3BCC909)  # the end of a text, as a token
-BATCH = 2_000_000  # tokens counted together
-A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-
-
-@dataclass
-class Tree:
-    tokens: int
-    vocabulary: int
-    one: np.ndarray  # hashes of the kept one-word contexts, sorted, and how often each occurs
-    one_count: np.ndarray
-    two: np.ndarray  # keys of the kept two-word contexts, sorted
-    two_count: np.ndarray
+BATCH = 8_000_000  # characters counted together
+STEP = np.uint64(0x9E3779B97F4A7C15)
+WORDS, PAIRS, LONGER, CONTEXTS = 1, 2, 3, 4  # what is asked; of words all 64 bits are sent, of the rest 40 and the bucket
+REQUEST = "stage int, bucket int, chunk int, low binary, high binary, more binary"
+ANSWER = "chunk int, stage int, bucket int, more binary"
+SCORES = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def tokens_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of texts one after the other, and tokens of each (words and one end)."""
-    parts, sizes = [], np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        w = word_hashes(words_of(t, lower=True))
-        parts += [w, np.array([END])]
-        sizes[i] = len(w) + 1
-    return (np.concatenate(parts) if parts else np.zeros(0, U64)), sizes
-
-
-def before(h: np.ndarray, sizes: np.ndarray, back: int) -> tuple[np.ndarray, np.ndarray]:
-    """The token ``back`` places earlier and whether the same text has one."""
-    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return np.roll(h, back), place >= back
-
-
-def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mixed(first * A + mixed(second + B))
-
-
-def triple_key(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
-    return mixed(pair_key(first, second) * C + third)
+    words = words_in(texts, lower=True)
+    sizes = words.sizes + 1
+    out = np.full(int(sizes.sum()), END, U64)
+    is_word = np.ones(len(out), bool)
+    is_word[np.cumsum(sizes) - 1] = False
+    out[is_word] = words.hashes()
+    return out, sizes
+
+
+def run_keys(h: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Keys of the runs of 1, 2, ... ``longest`` tokens that end at each token; those that begin in an earlier text mean nothing."""
+    out = [h]
+    for n in range(2, longest + 1):
+        before = np.concatenate((h[:1], out[-1][:-1]))
+        out.append(mixed(before * STEP + h + np.uint64(n)))
+    return out
 
 
-def place_in(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Position of each wanted key in a sorted array, -1 if absent."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """Buckets are ranges of keys, so sorted keys are sorted by bucket."""
+    return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def packed(keys: np.ndarray, counts: np.ndarray, n: int, kind: int):
-    """Rows (bucket, kind, keys, low, high) of distinct sorted keys."""
-    b = bucket_of(mixed(keys), n)
-    order = np.argsort(b, kind="stable")
-    for s, e in zip(*runs(b[order])):
-        at = order[s:e]
-        c = counts[at].astype(U64)
-        yield int(b[at[0]]), kind, keys[at].tobytes(), c.astype(U32).tobytes(), (c >> np.uint64(32)).astype(U32).tobytes()
+def planes(x: np.ndarray) -> bytes:
+    """Numbers by significance of their bytes: small ones leave runs of zeros, which compress."""
+    return np.ascontiguousarray(x.astype(U64).view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-ROWS = "bucket int, kind int, keys binary, low binary, high binary"
+def numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(U64).reshape(-1)
 
 
-def rows_table(rows, names=("bucket", "kind", "keys", "low", "high"), kinds=(pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())) -> pa.Table:
-    columns = list(zip(*rows)) or [()] * len(names)
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=list(names))
+def as_table(rows, schema: str) -> pa.Table:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    kind = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.table([pa.array(c, kind[k]) for c, (_, k) in zip(columns, fields)], names=[name for name, _ in fields])
 
 
-def numbers(low: list[bytes], high: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(low), U32).astype(U64) | np.frombuffer(b"".join(high), U32).astype(U64) << np.uint64(32)
+def requested(stage: int, keys: np.ndarray, more: np.ndarray, chunk: int, n: int):
+    """Rows of REQUEST for distinct sorted keys."""
+    bucket, high = bucket_of(keys, n), (keys >> np.uint64(32)).astype(U32 if stage == WORDS else np.uint8)
+    for s, e in zip(*runs(bucket)):
+        data = np.packbits(more[s:e]).tobytes() if stage == CONTEXTS else planes(more[s:e])
+        yield stage, int(bucket[s]), chunk, keys[s:e].astype(U32).tobytes(), high[s:e].tobytes(), data
 
 
-def summed(data):
-    """One bucket's keys of one kind with their summed counts."""
+def gathered(data: pa.Table) -> tuple[int, list[int], np.ndarray, np.ndarray]:
+    """Stage, sizes, keys and counts (or flags) that a bucket was sent."""
     r = data.to_pydict()
-    keys, counts = np.frombuffer(b"".join(r["keys"]), U64), numbers(r["low"], r["high"])
+    stage, sizes = r["stage"][0], [len(k) // 4 for k in r["low"]]
+    high = np.frombuffer(b"".join(r["high"]), U32 if stage == WORDS else np.uint8).astype(U64)
+    keys = np.frombuffer(b"".join(r["low"]), U32).astype(U64) | high << np.uint64(32)
+    if stage == CONTEXTS:
+        more = [np.unpackbits(np.frombuffer(m, np.uint8), count=k).astype(U64) for m, k in zip(r["more"], sizes)]
+    else:
+        more = [numbers(m) for m in r["more"]]
+    return stage, sizes, keys, np.concatenate(more)
+
+
+def answered(data: pa.Table) -> pa.Table:
+    """One bucket: the sum over all chunks for every key that a chunk sent (of flags: whether one is set), in the order it was sent."""
+    stage, sizes, keys, more = gathered(data)
     order = np.argsort(keys)
-    start, _ = runs(keys[order])
-    total = np.add.reduceat(counts[order], start)
-    return rows_table([(r["bucket"][0], r["kind"][0], keys[order][start].tobytes(), total.astype(U32).tobytes(), (total >> np.uint64(32)).astype(U32).tobytes())])
+    start, end = runs(keys[order])
+    total = np.zeros(len(keys), U64)
+    total[order] = np.repeat(np.add.reduceat(more[order], start), end - start)
+    cut = np.cumsum([0, *sizes])
+    pack = (lambda x: np.packbits(x > 0).tobytes()) if stage == CONTEXTS else planes
+    bucket = data["bucket"][0].as_py()
+    return as_table([(c, stage, bucket, pack(total[s:e])) for c, s, e in zip(data["chunk"].to_pylist(), cut[:-1], cut[1:])], ANSWER)
 
 
-def counted(docs: DataFrame, n: int, keys_of) -> DataFrame:
-    """Counts over all documents of the keys that keys_of(hashes, sizes) yields as (kind, keys)."""
+def vocabulary(docs: DataFrame, n: int) -> tuple[int, int]:
+    """Tokens and distinct tokens of docs(__text)."""
 
     def run(batches):
         held, size = [], 0
 
         def rows():
-            h, sizes = tokens_of(held)
-            for kind, keys in keys_of(h, sizes):
-                distinct, counts = np.unique(keys, return_counts=True)
-                yield from packed(distinct, counts, n, kind)
+            keys, counts = np.unique(tokens_of(held)[0], return_counts=True)
+            return as_table(requested(WORDS, keys, counts, 0, n), REQUEST).to_batches()
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 held.append(t)
-                size += len(t or "") // 6 + 1
+                size += len(t or "")
                 if size >= BATCH:
-                    yield from rows_table(rows()).to_batches()
+                    yield from rows()
                     held, size = [], 0
-        yield from rows_table(rows()).to_batches()
-
-    return docs.select("__text").mapInArrow(run, ROWS).groupBy("bucket", "kind").applyInArrow(summed, ROWS)
-
-
-def at_least(counts: DataFrame, least: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Keys with at least that count, by kind; the caller's ``least`` bounds how many there can be."""
-
-    def run(batches):
-        for batch in batches:
-            r = batch.to_pydict()
-            for kind, keys, low, high in zip(r["kind"], r["keys"], r["low"], r["high"]):
-                k, c = np.frombuffer(keys, U64), numbers([low], [high])
-                big = c >= least
-                yield pa.RecordBatch.from_pydict({"kind": [kind], "keys": [k[big].tobytes()], "counts": [c[big].tobytes()]}, schema=pa.schema([("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
-
-    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for r in counts.mapInArrow(run, "kind int, keys binary, counts binary").groupBy("kind").agg(F.collect_list(F.struct("keys", "counts")).alias("parts")).collect():
-        k = np.frombuffer(b"".join(bytes(p["keys"]) for p in r["parts"]), U64)
-        c = np.frombuffer(b"".join(bytes(p["counts"]) for p in r["parts"]), U64).astype(np.int64)
-        order = np.argsort(k)
-        out[r["kind"]] = k[order], c[order]
-    return out
-
+        if held:
+            yield from rows()
 
-def totals(counts: DataFrame) -> tuple[int, int]:
-    """Sum of counts and number of distinct keys."""
+    def total(data):
+        _, _, keys, counts = gathered(data)
+        return pa.table({"n": [int(counts.sum())], "v": [len(np.unique(keys))]})
 
-    def run(batches):
-        n = v = 0
-        for batch in batches:
-            r = batch.to_pydict()
-            c = numbers(r["low"], r["high"])
-            n, v = n + int(c.sum()), v + len(c)
-        yield pa.RecordBatch.from_pydict({"n": [n], "v": [v]})
-
-    r = counts.mapInArrow(run, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    r = docs.select("__text").mapInArrow(run, REQUEST).groupBy("bucket").applyInArrow(total, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     return int(r[0] or 0), int(r[1] or 0)
 
 
-def learn(docs: DataFrame, n: int, min_share: float = MIN_SHARE, min_next: float = MIN_NEXT, divergence: float = DIVERGENCE) -> Tree:
-    """The tree of docs(__text)."""
-    words = written(counted(docs, n, lambda h, sizes: [(1, h)]), "words")
-    total, vocabulary = totals(words)
-    least, floor = min_share * total, max(1.0, min_share * min_next * total)
-    none = np.zeros(0, U64), np.zeros(0, np.int64)
-    frequent, frequent_count = at_least(words, floor).get(1, none)
-    is_context = (frequent_count >= least) & (frequent != END)
-    context, context_count = frequent[is_context], frequent_count[is_context]
-    if not len(context):
-        return Tree(total, vocabulary, *none, *none)
-
-    def pairs(h, sizes):
-        """Pairs and triples of frequent words, numbered: 20 bits for the next word, 20 for each word of the context."""
-        nxt = place_in(frequent, h)
-        (p1, has1), (p2, has2) = before(h, sizes, 1), before(h, sizes, 2)
-        s1, s2 = np.where(has1, place_in(context, p1), -1), np.where(has2, place_in(context, p2), -1)
-        two = (nxt >= 0) & (s1 >= 0)
-        three = two & (s2 >= 0)
-        yield 2, (s1[two] << 20 | nxt[two]).astype(U64)
-        yield 3, (s2[three] << 40 | s1[three] << 20 | nxt[three]).astype(U64)
-
-    found = at_least(counted(docs, n, pairs), floor)
-    two, two_count = found.get(2, none)
-    three, three_count = found.get(3, none)
-    mask = np.uint64((1 << 20) - 1)
-
-    def diverging(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return (p >= min_next) & (p * np.abs(np.log(p / q)) >= divergence)
-
-    s, x = (two >> np.uint64(20)).astype(np.int64), (two & mask).astype(np.int64)
-    p1 = two_count / context_count[s]
-    keep_one = np.zeros(len(context), bool)
-    keep_one[s[diverging(p1, frequent_count[x] / max(total, 1))]] = True
-
-    pair_of = {int(k): int(c) for k, c in zip(two, two_count)}  # as many as ``floor`` allows
-    place_of_context = place_in(frequent, context)
-    keep_two: dict[tuple[int, int], int] = {}
-    s2, s1, x = (three >> np.uint64(40)).astype(np.int64), (three >> np.uint64(20) & mask).astype(np.int64), (three & mask).astype(np.int64)
-    for a, b, c, count in zip(s2.tolist(), s1.tolist(), x.tolist(), three_count.tolist()):
-        whole = pair_of.get(a << 20 | int(place_of_context[b]), 0)
-        if whole >= least and (a, b) not in keep_two and diverging(np.array(count / whole), np.array(pair_of[b << 20 | c] / context_count[b])):
-            keep_two[a, b] = whole
-            keep_one[b] = True
-    a, b = (np.array([k[i] for k in keep_two], np.int64) for i in (0, 1))
-    keys, counts = pair_key(context[a], context[b]), np.array(list(keep_two.values()), np.int64)
-    order = np.argsort(keys)
-    return Tree(total, vocabulary, context[keep_one], context_count[keep_one], keys[order], counts[order])
-
-
 class Chunk:
-    """The tokens of one chunk of documents and the keys whose counts their scores need."""
-
-    def __init__(self, data: pa.Table, tree: Tree):
-        self.texts, self.held = data["__text"].to_pylist(), np.array(data["__held"].to_pylist(), bool)
-        h, self.sizes = tokens_of(self.texts)
-        (p1, has1), (p2, has2) = before(h, self.sizes, 1), before(h, self.sizes, 2)
-        self.s1 = np.where(has1, place_in(tree.one, p1), -1)
-        self.s2 = np.where(has2, place_in(tree.two, pair_key(p2, p1)), -1)
-        at1, at2 = np.flatnonzero(self.s1 >= 0), np.flatnonzero(self.s2 >= 0)
-        keys = np.concatenate((mixed(h), pair_key(p1[at1], h[at1]), triple_key(p2[at2], p1[at2], h[at2])))
-        self.at1, self.at2, self.n = at1, at2, len(h)
-        learnt = np.repeat(~self.held, self.sizes)
-        weight = np.concatenate((learnt, learnt[at1], learnt[at2])).astype(np.float64)
-        self.keys, self.inverse = np.unique(keys, return_inverse=True)
-        self.weight = np.bincount(self.inverse, weight, len(self.keys)).astype(np.int64)
-
-    def scores(self, counts: np.ndarray, tree: Tree) -> list[np.ndarray]:
-        c = counts[self.inverse].astype(np.float64)
-        known = c[: self.n]
-        base = (known + 1) / (tree.tokens + tree.vocabulary + 1)
+    """The tokens of one chunk of documents and the counts of the runs that end at each."""
+
+    def __init__(self, data: pa.Table, tokens: int, n: int, depth: int, least: int):
+        self.tokens, self.n, self.depth, self.least = tokens, n, depth, least
+        self.held = np.array(data["__held"].to_pylist(), bool)
+        h, self.sizes = tokens_of(data["__text"].cast(pa.binary()).to_pylist())
+        self.keys = run_keys(h, depth + 1)
+        self.learnt = np.repeat(~self.held, self.sizes)
+        self.place = np.arange(len(h)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.count = [np.zeros(len(h), np.int64) for _ in range(depth + 1)]  # of the run of 1, 2, ... tokens that ends here
+
+    def runs_asked(self, stage: int) -> list[tuple[int, np.ndarray]]:
+        """(length, positions) of the runs that a stage asks for."""
+        if stage == WORDS:
+            return [(1, np.arange(len(self.place)))]
+        if stage == PAIRS:
+            return [(2, np.flatnonzero(self.place >= 1))]
+        frequent = self.before(self.count[1] >= self.least)  # the pair that ends before the token
+        out, ok = [], frequent
+        for length in range(3, self.depth + 2):
+            out.append((length, np.flatnonzero(ok & (self.place >= length - 1))))
+            ok = ok & self.before(ok)
+        return out
+
+    @staticmethod
+    def before(x: np.ndarray) -> np.ndarray:
+        return np.concatenate((x[:1], x[:-1]))
+
+    def distinct(self, asked: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct keys of runs (length, positions) and the place of each run's key among them."""
+        return np.unique(np.concatenate([np.zeros(0, U64), *[self.keys[k - 1][at] for k, at in asked]]), return_inverse=True)
+
+    def ask(self, stage: int, chunk: int):
+        asked = self.runs_asked(stage)
+        keys, inverse = self.distinct(asked)
+        weight = np.bincount(inverse, np.concatenate([np.zeros(0, bool), *[self.learnt[at] for _, at in asked]]), len(keys))
+        yield from requested(stage, keys, weight, chunk, self.n)
+
+    def take(self, stage: int, answers: dict[int, list]) -> None:
+        """Puts the answers of a stage where they belong."""
+        asked = self.runs_asked(stage)
+        inverse = self.distinct(asked)[1]
+        got = [numbers(m) for m in answers.get(stage, [])]
+        values = (np.concatenate(got) if got else np.zeros(0, U64)).astype(np.int64)[inverse]
+        cut = 0
+        for k, at in asked:
+            self.count[k - 1][at] = values[cut : cut + len(at)]
+            cut += len(at)
+
+    def contexts(self) -> list[np.ndarray]:
+        """Positions before which there is a context of 1, 2, ... tokens that is frequent enough."""
+        return [np.flatnonzero((self.place >= d) & (self.before(self.count[d - 1]) >= self.least)) for d in range(1, self.depth + 1)]
+
+    def context_keys(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        at = self.contexts()
+        return at, *self.distinct([(d, a - 1) for d, a in enumerate(at, 1)])
+
+    def ask_contexts(self, divergence: float, chunk: int):
+        """Flags of the contexts that diverge here, and of their suffixes."""
+        at, keys, inverse = self.context_keys()
+        seen = []
+        longer = np.zeros(len(self.place), bool)  # a longer context diverges before this token
+        for d in range(self.depth, 0, -1):
+            a = at[d - 1]
+            n_s, n_sx = self.count[d - 1][a - 1], self.count[d][a]
+            below, n_x = (self.count[d - 2][a - 1], self.count[d - 1][a]) if d > 1 else (self.tokens, self.count[0][a])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = n_sx * np.abs(np.log(n_sx / n_s) - np.log(n_x / below))
+            mine = self.learnt[a] & (gain >= divergence) | longer[a]
+            longer[a] = mine
+            seen.append(mine)
+        yield from requested(CONTEXTS, keys, np.bincount(inverse, np.concatenate(seen[::-1]), len(keys)) > 0, chunk, self.n)
+
+    def scores(self, answers: dict[int, list], vocabulary: int, weight: float) -> list[np.ndarray]:
+        """Known tokens, base score and score of each text."""
+        at, keys, inverse = self.context_keys()
+        bucket = bucket_of(keys, self.n)
+        got = [np.unpackbits(np.frombuffer(m, np.uint8), count=e - s) for m, (s, e) in zip(answers.get(CONTEXTS, []), zip(*runs(bucket)))]
+        kept = (np.concatenate(got) if got else np.zeros(0, np.uint8)).astype(bool)[inverse]
+        state, cut = np.zeros(len(self.place), np.int64), 0
+        for d, a in enumerate(at, 1):
+            state[a[kept[cut : cut + len(a)]]] = d
+            cut += len(a)
+        known = self.count[0]
+        base = (known + 1) / (self.tokens + vocabulary + 1)
         p = base.copy()
-        m = self.n
-        for at, states, count in ((self.at1, self.s1, tree.one_count), (self.at2, self.s2, tree.two_count)):
-            p[at] = (c[m : m + len(at)] + WEIGHT * p[at]) / (count[states[at]] + WEIGHT)
-            m += len(at)
+        for d in range(1, self.depth + 1):
+            a = np.flatnonzero(state >= d)
+            p[a] = (self.count[d][a] + weight * p[a]) / (self.count[d - 1][a - 1] + weight)
         start = np.cumsum(self.sizes) - self.sizes
         return [np.add.reduceat(x, start) for x in ((known > 0).astype(np.int64), np.log10(base), np.log10(p))]
 
 
-REQUEST = "bucket int, chunk int, keys binary, low binary, high binary"
-ANSWER = "chunk int, bucket int, low binary, high binary"
-
-
-def answered(data):
-    """One bucket: the sum over all chunks for every key that a chunk sent, in the order it was sent."""
-    r = data.to_pydict()
-    keys, counts = np.frombuffer(b"".join(r["keys"]), U64), numbers(r["low"], r["high"])
-    order = np.argsort(keys)
-    start, end = runs(keys[order])
-    total = np.zeros(len(keys), U64)
-    total[order] = np.repeat(np.add.reduceat(counts[order], start), end - start)
-    cut = np.cumsum([0, *[len(k) // 8 for k in r["keys"]]])
-    low, high = total.astype(U32), (total >> np.uint64(32)).astype(U32)
-    rows = [(c, b, low[s:e].tobytes(), high[s:e].tobytes()) for c, b, s, e in zip(r["chunk"], r["bucket"], cut[:-1], cut[1:])]
-    return rows_table(rows, ("chunk", "bucket", "low", "high"), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))
-
-
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, weight: float = WEIGHT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of docs.
 
     Learns from the rows where held_out is false (null counts as true). A null text is empty: one end
@@ -273,33 +242,40 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     """
     n = chunks(docs, text_col, chunk_bytes)
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.coalesce(held_out, F.lit(True)).alias("__held"))
-    tree = learn(base.filter("not __held"), n)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    tokens, distinct = vocabulary(base.filter("not __held"), n)
     groups = base.withColumn("__chunk", chunk_of(n, "__id", "__text")).groupBy("__chunk")
 
-    def request(key, data):
-        c = Chunk(data, shared.value)
-        b = bucket_of(c.keys, n)
-        order = np.argsort(b, kind="stable")
-        w = c.weight.astype(U64)
-        rows = []
-        for s, e in zip(*runs(b[order])):
-            at = order[s:e]
-            rows.append((int(b[at[0]]), key[0].as_py(), c.keys[at].tobytes(), w[at].astype(U32).tobytes(), (w[at] >> np.uint64(32)).astype(U32).tobytes()))
-        return rows_table(rows, ("bucket", "chunk", "keys", "low", "high"))
+    def of(data, answers=None):
+        """A chunk that knows the answers, and the rest of these by stage."""
+        chunk, got = Chunk(data, tokens, n, depth, least), {}
+        if answers is not None:
+            for a in sorted(zip(*(answers[c].to_pylist() for c in ("stage", "bucket", "more")))):
+                got.setdefault(a[0], []).append(a[2])
+            for stage in (WORDS, PAIRS, LONGER):
+                if stage < LONGER or LONGER in got:
+                    chunk.take(stage, got)
+        return chunk, got
+
+    def first(key, data):
+        chunk = of(data)[0]
+        return as_table([*chunk.ask(WORDS, key[0].as_py()), *chunk.ask(PAIRS, key[0].as_py())], REQUEST)
+
+    def second(key, data, answers):
+        return as_table(of(data, answers)[0].ask(LONGER, key[0].as_py()), REQUEST)
+
+    def third(key, data, answers):
+        return as_table(of(data, answers)[0].ask_contexts(divergence, key[0].as_py()), REQUEST)
 
     def finish(key, data, answers):
-        c = Chunk(data, shared.value)
-        order = np.argsort(bucket_of(c.keys, n), kind="stable")
-        r = answers.to_pydict()
-        at = np.argsort(np.array(r["bucket"]))
-        counts = np.zeros(len(c.keys), U64)
-        counts[order] = numbers([r["low"][i] for i in at], [r["high"][i] for i in at])
-        known, plain, best = c.scores(counts, shared.value)
-        total = np.full(len(c.sizes), shared.value.tokens)
-        return pa.table([data["__id"], data["__held"], pa.array(c.sizes), pa.array(known), pa.array(total), pa.array(plain), pa.array(best)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    answers = groups.applyInArrow(request, REQUEST).groupBy("bucket").applyInArrow(answered, ANSWER)
-    out = groups.cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        chunk, got = of(data, answers)
+        known, plain, best = chunk.scores(got, distinct, weight)
+        return pa.table([data["__id"], data["__held"], pa.array(chunk.sizes), pa.array(known), pa.array(np.full(len(known), tokens)), pa.array(plain), pa.array(best)], names=["id", *[c.split()[0] for c in SCORES.split(", ")]])
+
+    def exchanged(requests: DataFrame) -> DataFrame:
+        return requests.groupBy("stage", "bucket").applyInArrow(answered, ANSWER)
+
+    one = exchanged(groups.applyInArrow(first, REQUEST))
+    two = one.unionByName(exchanged(groups.cogroup(one.groupBy("chunk")).applyInArrow(second, REQUEST)))
+    three = two.unionByName(exchanged(groups.cogroup(two.groupBy("chunk")).applyInArrow(third, REQUEST)))
+    out = groups.cogroup(three.groupBy("chunk")).applyInArrow(finish, f"id {docs.schema[id_col].dataType.simpleString()}, {SCORES}")
     return out.withColumnRenamed("id", id_col)
