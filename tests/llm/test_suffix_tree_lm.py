@@ -55,7 +55,7 @@ def test_against_definition(spark, depth, least, divergence):
     df = spark.createDataFrame([(*r, "s", "t") for r in rows], SCHEMA)
     want, kept = brute(rows, **settings)
     assert all(kept[d] > 0 for d in range(1, depth + 1))
-    for chunk in (2500, 10_000_000):
+    for chunk in (700, 10_000_000):
         got = {r.doc_id: r for r in lm.score(df, F.col("held"), chunk_bytes=chunk, **settings).collect()}
         assert set(got) == set(want)
         for i, w in want.items():

@@ -16,6 +16,8 @@ all frequent enough; and for each context whether any chunk saw it diverge.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,16 +25,18 @@ from pyspark.sql import functions as F
 
 from .common import U32, U64, chunk_of, chunks, mixed, runs, words_in
 
-DEPTH = 4
+DEPTH = 3
 LEAST = 2
 DIVERGENCE = 3.32
 WEIGHT = 20.0  # pseudo-count of the suffix's distribution
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 6_000_000
+CHUNKS_PER_BUCKET = 4  # buckets are fewer than chunks, so that there are fewer and larger pieces
 END = np.uint64(0x6A09E667F3BCC909)  # the end of a text, as a token
-BATCH = 8_000_000  # characters counted together
+BATCH = 24_000_000  # characters counted together
 STEP = np.uint64(0x9E3779B97F4A7C15)
-WORDS, PAIRS, LONGER, CONTEXTS = 1, 2, 3, 4  # what is asked; of words all 64 bits are sent, of the rest 40 and the bucket
-REQUEST = "stage int, bucket int, chunk int, low binary, high binary, more binary"
+WORDS, PAIRS, LONGER, CONTEXTS = 1, 2, 3, 4  # what is asked
+BITS = {WORDS: 44, PAIRS: 36, LONGER: 36, CONTEXTS: 36}  # of a key that are sent besides its bucket: a bucket has some million keys
+REQUEST = "stage int, bucket int, chunk int, keys binary, more binary"
 ANSWER = "chunk int, stage int, bucket int, more binary"
 SCORES = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -57,9 +61,10 @@ def run_keys(h: np.ndarray, longest: int) -> list[np.ndarray]:
     return out
 
 
-def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
-    """Buckets are ranges of keys, so sorted keys are sorted by bucket."""
-    return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+def identities(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Bucket of each key and its last ``bits`` bits."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return bucket << np.uint64(bits) | keys & np.uint64((1 << bits) - 1)
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -78,25 +83,25 @@ def as_table(rows, schema: str) -> pa.Table:
     return pa.table([pa.array(c, kind[k]) for c, (_, k) in zip(columns, fields)], names=[name for name, _ in fields])
 
 
-def requested(stage: int, keys: np.ndarray, more: np.ndarray, chunk: int, n: int):
-    """Rows of REQUEST for distinct sorted keys."""
-    bucket, high = bucket_of(keys, n), (keys >> np.uint64(32)).astype(U32 if stage == WORDS else np.uint8)
+def requested(stage: int, ids: np.ndarray, more: np.ndarray, chunk: int):
+    """Rows of REQUEST for distinct sorted identities: steps between keys, and counts (or flags)."""
+    bucket = ids >> np.uint64(BITS[stage])
     for s, e in zip(*runs(bucket)):
-        data = np.packbits(more[s:e]).tobytes() if stage == CONTEXTS else planes(more[s:e])
-        yield stage, int(bucket[s]), chunk, keys[s:e].astype(U32).tobytes(), high[s:e].tobytes(), data
+        keys = ids[s:e] & np.uint64((1 << BITS[stage]) - 1)
+        data = np.packbits(more[s:e]).tobytes() if stage == CONTEXTS else zlib.compress(planes(more[s:e]), 1)
+        yield stage, int(bucket[s]), chunk, planes(np.diff(keys, prepend=np.uint64(0))), data
 
 
 def gathered(data: pa.Table) -> tuple[int, list[int], np.ndarray, np.ndarray]:
     """Stage, sizes, keys and counts (or flags) that a bucket was sent."""
-    r = data.to_pydict()
-    stage, sizes = r["stage"][0], [len(k) // 4 for k in r["low"]]
-    high = np.frombuffer(b"".join(r["high"]), U32 if stage == WORDS else np.uint8).astype(U64)
-    keys = np.frombuffer(b"".join(r["low"]), U32).astype(U64) | high << np.uint64(32)
+    stage = data["stage"][0].as_py()
+    keys = [np.cumsum(numbers(k), dtype=U64) for k in data["keys"].to_pylist()]
+    sizes = [len(k) for k in keys]
     if stage == CONTEXTS:
-        more = [np.unpackbits(np.frombuffer(m, np.uint8), count=k).astype(U64) for m, k in zip(r["more"], sizes)]
+        more = [np.unpackbits(np.frombuffer(m, np.uint8), count=k).astype(U64) for m, k in zip(data["more"].to_pylist(), sizes)]
     else:
-        more = [numbers(m) for m in r["more"]]
-    return stage, sizes, keys, np.concatenate(more)
+        more = [numbers(zlib.decompress(m)) for m in data["more"].to_pylist()]
+    return stage, sizes, np.concatenate(keys), np.concatenate(more)
 
 
 def answered(data: pa.Table) -> pa.Table:
@@ -107,20 +112,20 @@ def answered(data: pa.Table) -> pa.Table:
     total = np.zeros(len(keys), U64)
     total[order] = np.repeat(np.add.reduceat(more[order], start), end - start)
     cut = np.cumsum([0, *sizes])
-    pack = (lambda x: np.packbits(x > 0).tobytes()) if stage == CONTEXTS else planes
+    pack = (lambda x: np.packbits(x > 0).tobytes()) if stage == CONTEXTS else (lambda x: zlib.compress(planes(x), 1))
     bucket = data["bucket"][0].as_py()
     return as_table([(c, stage, bucket, pack(total[s:e])) for c, s, e in zip(data["chunk"].to_pylist(), cut[:-1], cut[1:])], ANSWER)
 
 
-def vocabulary(docs: DataFrame, n: int) -> tuple[int, int]:
+def vocabulary(docs: DataFrame, buckets: int) -> tuple[int, int]:
     """Tokens and distinct tokens of docs(__text)."""
 
     def run(batches):
         held, size = [], 0
 
         def rows():
-            keys, counts = np.unique(tokens_of(held)[0], return_counts=True)
-            return as_table(requested(WORDS, keys, counts, 0, n), REQUEST).to_batches()
+            ids, counts = np.unique(identities(tokens_of(held)[0], buckets, BITS[WORDS]), return_counts=True)
+            return as_table(requested(WORDS, ids, counts, 0), REQUEST).to_batches()
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -143,8 +148,8 @@ def vocabulary(docs: DataFrame, n: int) -> tuple[int, int]:
 class Chunk:
     """The tokens of one chunk of documents and the counts of the runs that end at each."""
 
-    def __init__(self, data: pa.Table, tokens: int, n: int, depth: int, least: int):
-        self.tokens, self.n, self.depth, self.least = tokens, n, depth, least
+    def __init__(self, data: pa.Table, tokens: int, buckets: int, depth: int, least: int):
+        self.tokens, self.buckets, self.depth, self.least = tokens, buckets, depth, least
         self.held = np.array(data["__held"].to_pylist(), bool)
         h, self.sizes = tokens_of(data["__text"].cast(pa.binary()).to_pylist())
         self.keys = run_keys(h, depth + 1)
@@ -169,21 +174,22 @@ class Chunk:
     def before(x: np.ndarray) -> np.ndarray:
         return np.concatenate((x[:1], x[:-1]))
 
-    def distinct(self, asked: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct keys of runs (length, positions) and the place of each run's key among them."""
-        return np.unique(np.concatenate([np.zeros(0, U64), *[self.keys[k - 1][at] for k, at in asked]]), return_inverse=True)
+    def distinct(self, stage: int, asked: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct identities of runs (length, positions) and the place of each run's among them."""
+        keys = np.concatenate([np.zeros(0, U64), *[self.keys[k - 1][at] for k, at in asked]])
+        return np.unique(identities(keys, self.buckets, BITS[stage]), return_inverse=True)
 
     def ask(self, stage: int, chunk: int):
         asked = self.runs_asked(stage)
-        keys, inverse = self.distinct(asked)
-        weight = np.bincount(inverse, np.concatenate([np.zeros(0, bool), *[self.learnt[at] for _, at in asked]]), len(keys))
-        yield from requested(stage, keys, weight, chunk, self.n)
+        ids, inverse = self.distinct(stage, asked)
+        weight = np.bincount(inverse, np.concatenate([np.zeros(0, bool), *[self.learnt[at] for _, at in asked]]), len(ids))
+        yield from requested(stage, ids, weight, chunk)
 
     def take(self, stage: int, answers: dict[int, list]) -> None:
         """Puts the answers of a stage where they belong."""
         asked = self.runs_asked(stage)
-        inverse = self.distinct(asked)[1]
-        got = [numbers(m) for m in answers.get(stage, [])]
+        inverse = self.distinct(stage, asked)[1]
+        got = [numbers(zlib.decompress(m)) for m in answers.get(stage, [])]
         values = (np.concatenate(got) if got else np.zeros(0, U64)).astype(np.int64)[inverse]
         cut = 0
         for k, at in asked:
@@ -191,16 +197,20 @@ class Chunk:
             cut += len(at)
 
     def contexts(self) -> list[np.ndarray]:
-        """Positions before which there is a context of 1, 2, ... tokens that is frequent enough."""
-        return [np.flatnonzero((self.place >= d) & (self.before(self.count[d - 1]) >= self.least)) for d in range(1, self.depth + 1)]
+        """Positions before which there is a context of 1, 2, ... tokens that can diverge: frequent enough, and its suffix has other next tokens."""
+        out = []
+        for d in range(1, self.depth + 1):
+            can = (self.place >= d) & (self.before(self.count[d - 1]) >= self.least)
+            out.append(np.flatnonzero(can & (self.count[d - 1] < self.before(self.count[d - 2])) if d > 1 else can))
+        return out
 
     def context_keys(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         at = self.contexts()
-        return at, *self.distinct([(d, a - 1) for d, a in enumerate(at, 1)])
+        return at, *self.distinct(CONTEXTS, [(d, a - 1) for d, a in enumerate(at, 1)])
 
     def ask_contexts(self, divergence: float, chunk: int):
         """Flags of the contexts that diverge here, and of their suffixes."""
-        at, keys, inverse = self.context_keys()
+        at, ids, inverse = self.context_keys()
         seen = []
         longer = np.zeros(len(self.place), bool)  # a longer context diverges before this token
         for d in range(self.depth, 0, -1):
@@ -212,12 +222,12 @@ class Chunk:
             mine = self.learnt[a] & (gain >= divergence) | longer[a]
             longer[a] = mine
             seen.append(mine)
-        yield from requested(CONTEXTS, keys, np.bincount(inverse, np.concatenate(seen[::-1]), len(keys)) > 0, chunk, self.n)
+        yield from requested(CONTEXTS, ids, np.bincount(inverse, np.concatenate(seen[::-1]), len(ids)) > 0, chunk)
 
     def scores(self, answers: dict[int, list], vocabulary: int, weight: float) -> list[np.ndarray]:
         """Known tokens, base score and score of each text."""
-        at, keys, inverse = self.context_keys()
-        bucket = bucket_of(keys, self.n)
+        at, ids, inverse = self.context_keys()
+        bucket = ids >> np.uint64(BITS[CONTEXTS])
         got = [np.unpackbits(np.frombuffer(m, np.uint8), count=e - s) for m, (s, e) in zip(answers.get(CONTEXTS, []), zip(*runs(bucket)))]
         kept = (np.concatenate(got) if got else np.zeros(0, np.uint8)).astype(bool)[inverse]
         state, cut = np.zeros(len(self.place), np.int64), 0
@@ -241,13 +251,14 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     token. Without training rows every token has probability one. Rows that share an id are rows of their own.
     """
     n = chunks(docs, text_col, chunk_bytes)
+    buckets = -(-n // CHUNKS_PER_BUCKET)
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.coalesce(held_out, F.lit(True)).alias("__held"))
-    tokens, distinct = vocabulary(base.filter("not __held"), n)
+    tokens, distinct = vocabulary(base.filter("not __held"), buckets)
     groups = base.withColumn("__chunk", chunk_of(n, "__id", "__text")).groupBy("__chunk")
 
     def of(data, answers=None):
         """A chunk that knows the answers, and the rest of these by stage."""
-        chunk, got = Chunk(data, tokens, n, depth, least), {}
+        chunk, got = Chunk(data, tokens, buckets, depth, least), {}
         if answers is not None:
             for a in sorted(zip(*(answers[c].to_pylist() for c in ("stage", "bucket", "more")))):
                 got.setdefault(a[0], []).append(a[2])
