@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import scratch, written  # noqa: F401
 
 CHUNK_BYTES = 6_000_000
+MOST_PARTITIONS = 20_000  # of an exchange between chunks and buckets; a partition then holds several of them, one after the other
 NO_ID = np.iinfo(np.int64).max
 U32, U64 = np.dtype("<u4"), np.dtype("<u8")
 
@@ -38,6 +39,11 @@ def chunk_of(n: int, *columns: str):
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
+def dealt(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """df partitioned by columns of about n values. Unions of tables dealt alike, and their groups by these columns, need no exchange of their own, and each exchange is written once however often it is read."""
+    return df.repartition(max(1, min(n, MOST_PARTITIONS)), *columns)
+
+
 def rest(df: DataFrame, *taken: str) -> list[str]:
     """Columns that an operator carries along: all but those that it reads or makes."""
     return [c for c in df.columns if c not in taken]

@@ -11,7 +11,7 @@ counts, so every state's distribution sums to one over the training vocabulary a
 Counts, contexts and tests are over all training documents and none of them reaches the driver,
 which sees two numbers, tokens and vocabulary. Chunks of documents and buckets of keys exchange packed
 arrays in three rounds: counts of words and pairs; counts of longer runs whose inner pairs are
-all frequent enough; and for each context whether any chunk saw it diverge.
+all frequent enough; and whether any chunk saw a context diverge, as a bit for each key that was sent before.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U32, U64, chunk_of, chunks, mixed, runs, words_in
+from .common import U64, chunk_of, chunks, dealt, mixed, runs, words_in
 
 DEPTH = 3
 LEAST = 2
@@ -34,10 +34,11 @@ CHUNKS_PER_BUCKET = 4  # buckets are fewer than chunks, so that there are fewer
 END = np.uint64(0x6A09E667F3BCC909)  # the end of a text, as a token
 BATCH = 24_000_000  # characters counted together
 STEP = np.uint64(0x9E3779B97F4A7C15)
-WORDS, PAIRS, LONGER, CONTEXTS = 1, 2, 3, 4  # what is asked
-BITS = {WORDS: 44, PAIRS: 36, LONGER: 36, CONTEXTS: 36}  # of a key that are sent besides its bucket: a bucket has some million keys
+WORDS, PAIRS, LONGER = 1, 2, 3  # what is asked
+BITS = {WORDS: 44, PAIRS: 36, LONGER: 36}  # of a key that are sent besides its bucket: a bucket has some million keys
 REQUEST = "stage int, bucket int, chunk int, keys binary, more binary"
-ANSWER = "chunk int, stage int, bucket int, more binary"
+ANSWER = "chunk int, stage int, flags boolean, bucket int, more binary"
+FLAGS = "stage int, bucket int, chunk int, flags binary"
 SCORES = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -79,42 +80,56 @@ def numbers(raw: bytes) -> np.ndarray:
 def as_table(rows, schema: str) -> pa.Table:
     fields = [f.split() for f in schema.split(", ")]
     columns = list(zip(*rows)) or [()] * len(fields)
-    kind = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    kind = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
     return pa.table([pa.array(c, kind[k]) for c, (_, k) in zip(columns, fields)], names=[name for name, _ in fields])
 
 
-def requested(stage: int, ids: np.ndarray, more: np.ndarray, chunk: int):
-    """Rows of REQUEST for distinct sorted identities: steps between keys, and counts (or flags)."""
+def requested(stage: int, ids: np.ndarray, counts: np.ndarray, chunk: int):
+    """Rows of REQUEST for distinct sorted identities: steps between keys, and counts."""
     bucket = ids >> np.uint64(BITS[stage])
     for s, e in zip(*runs(bucket)):
         keys = ids[s:e] & np.uint64((1 << BITS[stage]) - 1)
-        data = np.packbits(more[s:e]).tobytes() if stage == CONTEXTS else zlib.compress(planes(more[s:e]), 1)
-        yield stage, int(bucket[s]), chunk, planes(np.diff(keys, prepend=np.uint64(0))), data
+        yield stage, int(bucket[s]), chunk, planes(np.diff(keys, prepend=np.uint64(0))), zlib.compress(planes(counts[s:e]), 1)
 
 
-def gathered(data: pa.Table) -> tuple[int, list[int], np.ndarray, np.ndarray]:
-    """Stage, sizes, keys and counts (or flags) that a bucket was sent."""
-    stage = data["stage"][0].as_py()
+def keys_of(data: pa.Table) -> tuple[list[int], np.ndarray]:
+    """How many keys each row of a bucket's requests has, and the keys."""
     keys = [np.cumsum(numbers(k), dtype=U64) for k in data["keys"].to_pylist()]
-    sizes = [len(k) for k in keys]
-    if stage == CONTEXTS:
-        more = [np.unpackbits(np.frombuffer(m, np.uint8), count=k).astype(U64) for m, k in zip(data["more"].to_pylist(), sizes)]
-    else:
-        more = [numbers(zlib.decompress(m)) for m in data["more"].to_pylist()]
-    return stage, sizes, np.concatenate(keys), np.concatenate(more)
+    return [len(k) for k in keys], np.concatenate(keys)
 
 
-def answered(data: pa.Table) -> pa.Table:
-    """One bucket: the sum over all chunks for every key that a chunk sent (of flags: whether one is set), in the order it was sent."""
-    stage, sizes, keys, more = gathered(data)
+def counts_of(data: pa.Table) -> np.ndarray:
+    return np.concatenate([numbers(zlib.decompress(m)) for m in data["more"].to_pylist()])
+
+
+def combined(keys: np.ndarray, values: np.ndarray, how: np.ufunc) -> np.ndarray:
+    """For every key, the values of all equal keys taken together."""
     order = np.argsort(keys)
     start, end = runs(keys[order])
-    total = np.zeros(len(keys), U64)
-    total[order] = np.repeat(np.add.reduceat(more[order], start), end - start)
+    out = np.zeros(len(keys), values.dtype)
+    out[order] = np.repeat(how.reduceat(values[order], start), end - start)
+    return out
+
+
+def answered(data: pa.Table) -> pa.Table:
+    """One bucket: the sum over all chunks for every key that a chunk sent, in the order it was sent."""
+    sizes, keys = keys_of(data)
+    total = combined(keys, counts_of(data), np.add)
     cut = np.cumsum([0, *sizes])
-    pack = (lambda x: np.packbits(x > 0).tobytes()) if stage == CONTEXTS else (lambda x: zlib.compress(planes(x), 1))
-    bucket = data["bucket"][0].as_py()
-    return as_table([(c, stage, bucket, pack(total[s:e])) for c, s, e in zip(data["chunk"].to_pylist(), cut[:-1], cut[1:])], ANSWER)
+    return as_table([(c, g, False, b, zlib.compress(planes(total[s:e]), 1)) for c, g, b, s, e in zip(data["chunk"].to_pylist(), data["stage"].to_pylist(), data["bucket"].to_pylist(), cut[:-1], cut[1:])], ANSWER)
+
+
+def retained(data: pa.Table, flags: pa.Table) -> pa.Table:
+    """One bucket: whether any chunk set the flag of a key, for every key that a chunk sent."""
+    if not data.num_rows:
+        return as_table([], ANSWER)
+    sizes, keys = keys_of(data)
+    got = dict(zip(flags["chunk"].to_pylist(), flags["flags"].to_pylist()))
+    chunks_ = data["chunk"].to_pylist()
+    bits = [np.unpackbits(np.frombuffer(got[c], np.uint8), count=k) if c in got else np.zeros(k, np.uint8) for c, k in zip(chunks_, sizes)]
+    kept = combined(keys, np.concatenate(bits), np.maximum)
+    cut = np.cumsum([0, *sizes])
+    return as_table([(c, g, True, b, np.packbits(kept[s:e]).tobytes()) for c, g, b, s, e in zip(chunks_, data["stage"].to_pylist(), data["bucket"].to_pylist(), cut[:-1], cut[1:])], ANSWER)
 
 
 def vocabulary(docs: DataFrame, buckets: int) -> tuple[int, int]:
@@ -138,8 +153,7 @@ def vocabulary(docs: DataFrame, buckets: int) -> tuple[int, int]:
             yield from rows()
 
     def total(data):
-        _, _, keys, counts = gathered(data)
-        return pa.table({"n": [int(counts.sum())], "v": [len(np.unique(keys))]})
+        return pa.table({"n": [int(counts_of(data).sum())], "v": [len(np.unique(keys_of(data)[1]))]})
 
     r = docs.select("__text").mapInArrow(run, REQUEST).groupBy("bucket").applyInArrow(total, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     return int(r[0] or 0), int(r[1] or 0)
@@ -174,66 +188,71 @@ class Chunk:
     def before(x: np.ndarray) -> np.ndarray:
         return np.concatenate((x[:1], x[:-1]))
 
-    def distinct(self, stage: int, asked: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct identities of runs (length, positions) and the place of each run's among them."""
+    def distinct(self, stage: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, list[np.ndarray]]:
+        """The runs asked in a stage, the sorted distinct identities of their keys, and the place of each run's among these."""
+        asked = self.runs_asked(stage)
         keys = np.concatenate([np.zeros(0, U64), *[self.keys[k - 1][at] for k, at in asked]])
-        return np.unique(identities(keys, self.buckets, BITS[stage]), return_inverse=True)
+        ids, inverse = np.unique(identities(keys, self.buckets, BITS[stage]), return_inverse=True)
+        return asked, ids, np.split(inverse, np.cumsum([len(at) for _, at in asked])[:-1]) if asked else []
 
     def ask(self, stage: int, chunk: int):
-        asked = self.runs_asked(stage)
-        ids, inverse = self.distinct(stage, asked)
-        weight = np.bincount(inverse, np.concatenate([np.zeros(0, bool), *[self.learnt[at] for _, at in asked]]), len(ids))
+        asked, ids, places = self.distinct(stage)
+        weight = np.zeros(len(ids))
+        for (_, at), place in zip(asked, places):
+            weight += np.bincount(place, self.learnt[at], len(ids))
         yield from requested(stage, ids, weight, chunk)
 
-    def take(self, stage: int, answers: dict[int, list]) -> None:
+    def take(self, stage: int, answers: list[bytes]) -> None:
         """Puts the answers of a stage where they belong."""
-        asked = self.runs_asked(stage)
-        inverse = self.distinct(stage, asked)[1]
-        got = [numbers(zlib.decompress(m)) for m in answers.get(stage, [])]
-        values = (np.concatenate(got) if got else np.zeros(0, U64)).astype(np.int64)[inverse]
-        cut = 0
-        for k, at in asked:
-            self.count[k - 1][at] = values[cut : cut + len(at)]
-            cut += len(at)
-
-    def contexts(self) -> list[np.ndarray]:
-        """Positions before which there is a context of 1, 2, ... tokens that can diverge: frequent enough, and its suffix has other next tokens."""
+        values = np.concatenate([np.zeros(0, U64), *[numbers(zlib.decompress(m)) for m in answers]]).astype(np.int64)
+        asked, _, places = self.distinct(stage)
+        for (length, at), place in zip(asked, places):
+            self.count[length - 1][at] = values[place]
+
+    def can_diverge(self, d: int) -> np.ndarray:
+        """Whether there is a context of d tokens before each token that is frequent enough and whose suffix has other next tokens."""
+        can = (self.place >= d) & (self.before(self.count[d - 1]) >= self.least)
+        return can & (self.count[d - 1] < self.before(self.count[d - 2])) if d > 1 else can
+
+    def diverging(self, divergence: float) -> list[np.ndarray]:
+        """Positions before which a context of 1, 2, ... tokens diverges, or is a suffix of one that does."""
         out = []
-        for d in range(1, self.depth + 1):
-            can = (self.place >= d) & (self.before(self.count[d - 1]) >= self.least)
-            out.append(np.flatnonzero(can & (self.count[d - 1] < self.before(self.count[d - 2])) if d > 1 else can))
-        return out
-
-    def context_keys(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        at = self.contexts()
-        return at, *self.distinct(CONTEXTS, [(d, a - 1) for d, a in enumerate(at, 1)])
-
-    def ask_contexts(self, divergence: float, chunk: int):
-        """Flags of the contexts that diverge here, and of their suffixes."""
-        at, ids, inverse = self.context_keys()
-        seen = []
-        longer = np.zeros(len(self.place), bool)  # a longer context diverges before this token
+        longer = np.zeros(len(self.place), bool)
         for d in range(self.depth, 0, -1):
-            a = at[d - 1]
+            a = np.flatnonzero(self.can_diverge(d))
             n_s, n_sx = self.count[d - 1][a - 1], self.count[d][a]
             below, n_x = (self.count[d - 2][a - 1], self.count[d - 1][a]) if d > 1 else (self.tokens, self.count[0][a])
             with np.errstate(divide="ignore", invalid="ignore"):
                 gain = n_sx * np.abs(np.log(n_sx / n_s) - np.log(n_x / below))
-            mine = self.learnt[a] & (gain >= divergence) | longer[a]
-            longer[a] = mine
-            seen.append(mine)
-        yield from requested(CONTEXTS, ids, np.bincount(inverse, np.concatenate(seen[::-1]), len(ids)) > 0, chunk)
-
-    def scores(self, answers: dict[int, list], vocabulary: int, weight: float) -> list[np.ndarray]:
+            longer[a] |= self.learnt[a] & (gain >= divergence)
+            out.append(np.flatnonzero(longer))
+        return out[::-1]
+
+    def flag(self, divergence: float, chunk: int):
+        """Rows of FLAGS: which of the keys that were sent are contexts that diverge here."""
+        found = self.diverging(divergence)
+        for stage in (WORDS, PAIRS, LONGER):
+            asked, ids, places = self.distinct(stage)
+            flags = np.zeros(len(ids), bool)
+            for (length, at), place in zip(asked, places):
+                if length <= self.depth:
+                    flags[place[np.searchsorted(at, found[length - 1] - 1)]] = True
+            for s, e in zip(*runs(ids >> np.uint64(BITS[stage]))):
+                if flags[s:e].any():
+                    yield stage, int(ids[s] >> np.uint64(BITS[stage])), chunk, np.packbits(flags[s:e]).tobytes()
+
+    def scores(self, answers: dict[tuple, list[bytes]], vocabulary: int, weight: float) -> list[np.ndarray]:
         """Known tokens, base score and score of each text."""
-        at, ids, inverse = self.context_keys()
-        bucket = ids >> np.uint64(BITS[CONTEXTS])
-        got = [np.unpackbits(np.frombuffer(m, np.uint8), count=e - s) for m, (s, e) in zip(answers.get(CONTEXTS, []), zip(*runs(bucket)))]
-        kept = (np.concatenate(got) if got else np.zeros(0, np.uint8)).astype(bool)[inverse]
-        state, cut = np.zeros(len(self.place), np.int64), 0
-        for d, a in enumerate(at, 1):
-            state[a[kept[cut : cut + len(a)]]] = d
-            cut += len(a)
+        state = np.zeros(len(self.place), np.int64)
+        for stage in (WORDS, PAIRS, LONGER):
+            asked, ids, places = self.distinct(stage)
+            cut = zip(*runs(ids >> np.uint64(BITS[stage])))
+            kept = np.concatenate([np.zeros(0, np.uint8), *[np.unpackbits(np.frombuffer(m, np.uint8), count=e - s) for m, (s, e) in zip(answers.get((stage, True), []), cut)]])
+            for (length, at), place in zip(asked, places):
+                if length <= self.depth:
+                    here = at[kept[place] > 0] + 1
+                    here = here[here < len(state)]
+                    state[here[self.place[here] >= length]] = length
         known = self.count[0]
         base = (known + 1) / (self.tokens + vocabulary + 1)
         p = base.copy()
@@ -254,17 +273,17 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     buckets = -(-n // CHUNKS_PER_BUCKET)
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.coalesce(held_out, F.lit(True)).alias("__held"))
     tokens, distinct = vocabulary(base.filter("not __held"), buckets)
-    groups = base.withColumn("__chunk", chunk_of(n, "__id", "__text")).groupBy("__chunk")
+    groups = dealt(base.withColumn("__chunk", chunk_of(n, "__id", "__text")), n, "__chunk").groupBy("__chunk")
 
     def of(data, answers=None):
-        """A chunk that knows the answers, and the rest of these by stage."""
+        """A chunk that knows the answers, and the answers by stage and kind."""
         chunk, got = Chunk(data, tokens, buckets, depth, least), {}
         if answers is not None:
-            for a in sorted(zip(*(answers[c].to_pylist() for c in ("stage", "bucket", "more")))):
-                got.setdefault(a[0], []).append(a[2])
+            for g, flags, _, more in sorted(zip(*(answers[c].to_pylist() for c in ("stage", "flags", "bucket", "more")))):
+                got.setdefault((g, flags), []).append(more)
             for stage in (WORDS, PAIRS, LONGER):
-                if stage < LONGER or LONGER in got:
-                    chunk.take(stage, got)
+                if (stage, False) in got:
+                    chunk.take(stage, got[stage, False])
         return chunk, got
 
     def first(key, data):
@@ -275,18 +294,21 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         return as_table(of(data, answers)[0].ask(LONGER, key[0].as_py()), REQUEST)
 
     def third(key, data, answers):
-        return as_table(of(data, answers)[0].ask_contexts(divergence, key[0].as_py()), REQUEST)
+        return as_table(of(data, answers)[0].flag(divergence, key[0].as_py()), FLAGS)
 
     def finish(key, data, answers):
         chunk, got = of(data, answers)
         known, plain, best = chunk.scores(got, distinct, weight)
         return pa.table([data["__id"], data["__held"], pa.array(chunk.sizes), pa.array(known), pa.array(np.full(len(known), tokens)), pa.array(plain), pa.array(best)], names=["id", *[c.split()[0] for c in SCORES.split(", ")]])
 
-    def exchanged(requests: DataFrame) -> DataFrame:
-        return requests.groupBy("stage", "bucket").applyInArrow(answered, ANSWER)
-
-    one = exchanged(groups.applyInArrow(first, REQUEST))
-    two = one.unionByName(exchanged(groups.cogroup(one.groupBy("chunk")).applyInArrow(second, REQUEST)))
-    three = two.unionByName(exchanged(groups.cogroup(two.groupBy("chunk")).applyInArrow(third, REQUEST)))
-    out = groups.cogroup(three.groupBy("chunk")).applyInArrow(finish, f"id {docs.schema[id_col].dataType.simpleString()}, {SCORES}")
+    to_buckets = lambda requests: dealt(requests, 2 * buckets, "stage", "bucket")
+    to_chunks = lambda answers: dealt(answers, n, "chunk")
+    by_bucket = lambda requests: requests.groupBy("stage", "bucket")
+    asked = to_buckets(groups.applyInArrow(first, REQUEST))
+    known = to_chunks(by_bucket(asked).applyInArrow(answered, ANSWER))
+    longer = to_buckets(groups.cogroup(known.groupBy("chunk")).applyInArrow(second, REQUEST))
+    known = known.unionByName(to_chunks(by_bucket(longer).applyInArrow(answered, ANSWER)))
+    flags = to_buckets(groups.cogroup(known.groupBy("chunk")).applyInArrow(third, FLAGS))
+    kept = by_bucket(asked.unionByName(longer)).cogroup(by_bucket(flags)).applyInArrow(retained, ANSWER)
+    out = groups.cogroup(known.unionByName(to_chunks(kept)).groupBy("chunk")).applyInArrow(finish, f"id {docs.schema[id_col].dataType.simpleString()}, {SCORES}")
     return out.withColumnRenamed("id", id_col)
