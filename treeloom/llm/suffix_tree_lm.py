@@ -69,12 +69,20 @@ def identities(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers by significance of their bytes: small ones leave runs of zeros, which compress."""
-    return np.ascontiguousarray(x.astype(U64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers by significance of their bytes, as many bytes as the largest needs (first byte: how many)."""
+    x = np.ascontiguousarray(x.astype(U64))
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    return bytes([width]) + (x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes() if width else len(x).to_bytes(8, "little"))
 
 
 def numbers(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(U64).reshape(-1)
+    width = raw[0]
+    if not width:
+        return np.zeros(int.from_bytes(raw[1:], "little"), U64)
+    got = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((got.shape[1], 8), np.uint8)
+    out[:, :width] = got.T
+    return out.view(U64).reshape(-1)
 
 
 def as_table(rows, schema: str) -> pa.Table:
@@ -169,6 +177,7 @@ class Chunk:
         self.keys = run_keys(h, depth + 1)
         self.learnt = np.repeat(~self.held, self.sizes)
         self.place = np.arange(len(h)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.made: dict[int, tuple] = {}
         self.count = [np.zeros(len(h), np.int64) for _ in range(depth + 1)]  # of the run of 1, 2, ... tokens that ends here
 
     def runs_asked(self, stage: int) -> list[tuple[int, np.ndarray]]:
@@ -190,10 +199,12 @@ class Chunk:
 
     def distinct(self, stage: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, list[np.ndarray]]:
         """The runs asked in a stage, the sorted distinct identities of their keys, and the place of each run's among these."""
-        asked = self.runs_asked(stage)
-        keys = np.concatenate([np.zeros(0, U64), *[self.keys[k - 1][at] for k, at in asked]])
-        ids, inverse = np.unique(identities(keys, self.buckets, BITS[stage]), return_inverse=True)
-        return asked, ids, np.split(inverse, np.cumsum([len(at) for _, at in asked])[:-1]) if asked else []
+        if stage not in self.made:
+            asked = self.runs_asked(stage)
+            keys = np.concatenate([np.zeros(0, U64), *[self.keys[k - 1][at] for k, at in asked]])
+            ids, inverse = np.unique(identities(keys, self.buckets, BITS[stage]), return_inverse=True)
+            self.made[stage] = asked, ids, np.split(inverse.astype(np.int32), np.cumsum([len(at) for _, at in asked])[:-1]) if asked else []
+        return self.made[stage]
 
     def ask(self, stage: int, chunk: int):
         asked, ids, places = self.distinct(stage)
@@ -275,13 +286,13 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     tokens, distinct = vocabulary(base.filter("not __held"), buckets)
     groups = dealt(base.withColumn("__chunk", chunk_of(n, "__id", "__text")), n, "__chunk").groupBy("__chunk")
 
-    def of(data, answers=None):
-        """A chunk that knows the answers, and the answers by stage and kind."""
+    def of(data, answers=None, needed=(WORDS, PAIRS, LONGER)):
+        """A chunk that knows the answers it needs, and the answers by stage and kind."""
         chunk, got = Chunk(data, tokens, buckets, depth, least), {}
         if answers is not None:
             for g, flags, _, more in sorted(zip(*(answers[c].to_pylist() for c in ("stage", "flags", "bucket", "more")))):
                 got.setdefault((g, flags), []).append(more)
-            for stage in (WORDS, PAIRS, LONGER):
+            for stage in needed:
                 if (stage, False) in got:
                     chunk.take(stage, got[stage, False])
         return chunk, got
@@ -291,7 +302,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         return as_table([*chunk.ask(WORDS, key[0].as_py()), *chunk.ask(PAIRS, key[0].as_py())], REQUEST)
 
     def second(key, data, answers):
-        return as_table(of(data, answers)[0].ask(LONGER, key[0].as_py()), REQUEST)
+        return as_table(of(data, answers, (PAIRS,))[0].ask(LONGER, key[0].as_py()), REQUEST)
 
     def third(key, data, answers):
         return as_table(of(data, answers)[0].flag(divergence, key[0].as_py()), FLAGS)
