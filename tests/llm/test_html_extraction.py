@@ -89,3 +89,16 @@ def test_boosting():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
     trees = boosting.grow(x[:1500], y[:1500], trees=30)
     assert ((trees.log_odds(x[1500:]) > 0) == y[1500:]).mean() > 0.95
+
+
+def test_breaks_part_words_and_references_end_with_their_run():
+    page = dom.parse("<article><p>line one<br>line two<br/>three<wbr>four</p><p>AT&<b>amp;</b>T &amp;<i>lt;</i> a&nbsp;b</p><ul><br><li>x</li></ul></article>")
+    assert ext.text_of(page, np.ones(len(page.tag), bool)) == "line one line two threefour\nAT&amp;T &lt; a b\nx"
+
+
+def test_repeated_rows_and_single_words(spark):
+    body = "<nav><ul><li><a href='/'>home</a></li></ul></nav><article><h1>Some title here</h1>" + "".join(f"<p>{w}</p>" for w in ["A paragraph of several words, with a comma.", "Word", "Another paragraph; it has more words than that.", "Onelle"] * 4) + "</article><footer>imprint</footer>"
+    pages = spark.createDataFrame([(k, f"<html><body>{body}</body></html>") for k in (1, 1, 2)], "page_id long, html string")
+    got = [r.text for r in ext.extract(pages, ext.fit(pages)).collect()]
+    assert len(got) == 3 and len(set(got)) == 1
+    assert got[0].split("\n").count("Onelle") == 4 and "imprint" not in got[0] and "home" not in got[0]

@@ -36,6 +36,7 @@ class Page:
     attributes: list[str] = field(default_factory=list)  # class, id and role, as written
     text: list[str] = field(default_factory=list)  # of text rows, undecoded
     block: list[int] = field(default_factory=list)  # texts of one block share its number
+    breaks: set[int] = field(default_factory=set)  # texts that a line break parts from what is before
 
     def add(self, parent: int, tag: str, attributes: str = "", text: str = "", block: int = 0) -> int:
         self.parent.append(parent)
@@ -51,7 +52,7 @@ def parse(html: str | None) -> Page:
     """Row 0 is the page itself. Unclosed and stray tags are forgiven as browsers do, but formatting is not reopened."""
     page = Page()
     page.add(-1, "#page")
-    stack, block, at = [0], 0, 0
+    stack, block, at, broken = [0], 0, 0, False
     html = html or ""
     n = len(html)
     while at < n:
@@ -59,6 +60,9 @@ def parse(html: str | None) -> Page:
         start = m.start() if m else n
         if start > at:
             run = html[at:start]
+            if broken:
+                page.breaks.add(len(page.tag))
+                broken = False
             if not run.isspace() or page.tag[-1] == TEXT:
                 page.add(stack[-1], TEXT, text=run, block=block)
             elif page.tag[stack[-1]] not in ("ul", "ol", "table", "tr"):
@@ -81,6 +85,8 @@ def parse(html: str | None) -> Page:
             continue
         if tag in BLOCK:
             block += 1
+        if tag == "br":
+            broken = True
         if tag in CLOSES_P:
             close(page, stack, frozenset(["p"]), WALLS)
         if tag in CLOSED_BY:

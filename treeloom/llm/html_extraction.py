@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import Trees, grow
-from .dom import RAW, TEXT, Page, parse, tokens
+from .dom import BLOCK, RAW, TEXT, Page, parse, tokens
 
 SAMPLE_PAGES = 200  # pages that are learned from, those with the smallest id hashes
 SAMPLE_CHARS = 50_000  # longer pages are not learned from
@@ -83,6 +83,11 @@ class Nodes:
         for rows in self.levels[1:]:
             hidden[rows] |= hidden[self.parent[rows]]
         self.hidden = hidden
+        inline = np.fromiter((t is not TEXT and t not in BLOCK and t != "#page" for t in tag), bool, n) & ~self.signs.any(axis=1)
+        self.home = self.parent.copy()  # the nearest ancestor that is more than a part of a line
+        for rows in self.levels[1:]:
+            up = self.parent[rows]
+            self.home[rows] = np.where(inline[up], self.home[up], up)
         for x in (self.chars, self.words, self.marks):
             x[hidden] = 0
 
@@ -133,10 +138,10 @@ class Nodes:
         )
 
     def smoothed(self, log_odds: np.ndarray) -> np.ndarray:
-        """Log-odds drawn towards those of like siblings (for text: of texts in like siblings of its parent) and of the parent."""
+        """Log-odds drawn towards those of like siblings (for text: of texts in like siblings of its block) and of the parent."""
         up = self.parent
-        place = np.where(self.is_text, up[up], up)
-        like = np.where(self.is_text, up, np.arange(len(up)))
+        place = np.where(self.is_text, up[self.home], up)
+        like = np.where(self.is_text, self.home, np.arange(len(up)))
         signs = (self.signs[like] @ (1 << np.arange(len(SIGNS)))).astype(np.int64)
         group = np.unique(((place * 2 + self.is_text) * KINDS + self.kind[like]) << len(SIGNS) | signs, return_inverse=True)[1]
         seen = ~self.hidden
@@ -159,20 +164,12 @@ class Nodes:
 
 
 def text_of(page: Page, keep: np.ndarray) -> str:
-    """Kept texts, character references decoded, one line for each block."""
-    lines: list[str] = []
-    parts: list[str] = []
-    block = None
+    """Kept texts, character references decoded in each run of text alone, one line for each block."""
+    blocks: dict[int, list[str]] = {}
     for i in np.flatnonzero(keep).tolist():
-        if page.tag[i] is not TEXT:
-            continue
-        if page.block[i] != block and parts:
-            lines.append(" ".join(entities.unescape("".join(parts)).split()))
-            parts = []
-        block = page.block[i]
-        parts.append(page.text[i])
-    if parts:
-        lines.append(" ".join(entities.unescape("".join(parts)).split()))
+        if page.tag[i] is TEXT:
+            blocks.setdefault(page.block[i], []).append(" " * (i in page.breaks) + entities.unescape(page.text[i]))
+    lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
 
 
