@@ -66,3 +66,54 @@ def test_long_texts_are_parsed_in_whole_segments():
     model = language.Model(["a"], language.np.zeros(65536, language.np.uint8), [language.automaton([2, 3])])
     model.symbol[[ord("x"), ord("y")]] = 2, 3
     assert language.scored(model, ["xy" * 3000])[2][0] == 2.0
+
+
+def test_automata_of_any_alphabet_pack_all_transitions():
+    rng = random.Random(8)
+    for size, n in ((3, 400), (2000, 3000), (1, 1), (1, 0)):
+        text = [rng.randrange(2, 2 + size) for _ in range(n)]
+        go = language.suffix_automaton(text)
+        a = language.double_array(go, size + 2)
+        for s in range(1, len(go)):
+            for c in range(size + 2) if size < 10 else (*go[s], 2, 3):
+                slot = a.base[s] + c
+                assert (a.to[slot] if a.owner[slot] == s else None) == go[s].get(c)
+
+
+def labelled(alphabets, n, seed):
+    """Texts over the letters of each label, by a vocabulary of its own."""
+    rng = random.Random(seed)
+    words = {l: ["".join(rng.choice(a) for _ in range(rng.randrange(1, 6))) for _ in range(60)] for l, a in alphabets.items()}
+    return [(len(alphabets) * i + k, " ".join(rng.choice(words[l]) for _ in range(rng.randrange(15, 90))), l) for i in range(n) for k, l in enumerate(alphabets)]
+
+
+def accuracy(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    model = language.fit(df.filter(language.fold("doc_id", 3) != 1))
+    got = language.identify(df.filter(language.fold("doc_id", 3) == 1), model).collect()
+    right: dict = {}
+    for r in got:
+        right.setdefault(r.lang, []).append((r.lang_pred == r.lang, r.likeness))
+    return {l: (sum(x for x, _ in v) / len(v), min(x for _, x in v)) for l, v in right.items()}
+
+
+def test_large_alphabets(spark):
+    span = lambda start, n: [chr(start + i) for i in range(n)]
+    alphabets = {"han": span(0x4E00, 1500), "han2": span(0x4E00 + 700, 1500), "hangul": span(0xAC00, 1500), "ext": span(0x20000, 1200), "ru": span(0x430, 32), "el": span(0x3B1, 25), "en": span(97, 26)}
+    got = accuracy(spark, labelled(alphabets, 36, 9))
+    assert set(got) == set(alphabets) and all(share == 1 and like > 0.45 for share, like in got.values())
+
+
+def test_forty_languages_and_little_labelled_text(spark):
+    rng = random.Random(10)
+    letters = "abcdefghijklmnopqrstuvwxyzéüñçøå"
+    rows = labelled({f"l{k}": rng.sample(letters, 14) for k in range(40)}, 18, 11)
+    rows = [r for r in rows if r[2] != "l7" or r[0] // 40 < 9]  # few rows of one
+    got = accuracy(spark, rows)
+    assert len(got) == 40 and sum(share for share, _ in got.values()) / 40 >= 0.98 and got["l7"][0] == 1
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame(rows(40, 6) * 3, "doc_id long, text string, lang string")
+    got = language.identify(df, language.fit(df)).collect()
+    assert len(got) == 120 and len({(r.doc_id, r.lang_pred, r.score) for r in got}) == 40
