@@ -14,15 +14,15 @@ from treeloom.llm import decontamination, language, simhash, substring_dedup
 from treeloom.llm.common import scratch, table
 from treeloom.llm.queries import bpe_digests
 
-#: A text whose phrases are shorter than this on average is no text of a learned language.
-LEAST_PHRASE = 1.5
+#: A text whose phrases are shorter than this share of what is usual in the nearest language is no text of a learned language.
+LEAST_LIKENESS = 0.45
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no learned language is found; lang stays as it was. Learns from two thirds of the labelled documents."""
     model = language.fit(docs.filter((language.fold("doc_id", 3) != 1) & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
     found = language.identify(docs, model)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("phrase_letters") >= LEAST_PHRASE)).select(*docs.columns)
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("likeness") >= LEAST_LIKENESS)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     out = substring_dedup.remove_repeats(docs, window=50)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     kept = out.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return kept.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    kept = kept.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
