@@ -170,13 +170,17 @@ def phrases(automata: list[Automaton], segments: np.ndarray, sizes: np.ndarray)
 
 
 def learnt(pieces: list[np.ndarray], n_symbols: int) -> tuple[Automaton, float, float]:
-    """The automaton of a language's pieces, the bits of a phrase, and the letters of a phrase in every fourth piece parsed with the rest."""
+    """The automaton of a language's pieces, the bits of a phrase, and the letters of a phrase in every fourth piece parsed with the rest.
+
+    Equal pieces count once and the middle piece decides, so that copies among the labelled rows do not.
+    """
     joined = lambda ps: squeezed(np.concatenate(ps)).tolist() if ps else []
-    probes, others = [p for p in pieces[::4] if len(p)], [p for k, p in enumerate(pieces) if k % 4]
+    distinct = [np.frombuffer(b, pieces[0].dtype) for b in dict.fromkeys(p.tobytes() for p in pieces)]
+    probes, others = [p for p in distinct[::4] if len(p)], [p for k, p in enumerate(distinct) if k % 4]
     usual = 1.0
     if probes and others:
         table, sizes, _ = in_rows(probes)
-        usual = float(sizes.sum() / max(1, phrases([automaton(joined(others), n_symbols)], table, sizes).sum()))
+        usual = float(np.median(sizes / np.maximum(1, phrases([automaton(joined(others), n_symbols)], table, sizes)[0])))
     whole = joined(pieces)
     return automaton(whole, n_symbols), float(np.log2(len(whole) + 2)), usual
 
@@ -249,12 +253,13 @@ def scored(model: Model, texts: list) -> tuple[list[str], list[float], list[floa
         langs[i], lengths[i] = model.languages[best], float(symbols[i] / need[i][best])
         scores[i] = float(rest.min() / (rest.min() + cost[i][best])) if len(rest) else 1.0
         counted = int(need[i][best]) - FREE_PHRASES
-        likeness[i] = min(1.0, float(symbols[i] / counted / model.usual[best])) if counted > 0 and model.usual is not None else 1.0
+        known = counted > 0 and model.usual is not None and model.usual[best] > 1
+        likeness[i] = float(np.clip((symbols[i] / counted - 1) / (model.usual[best] - 1), 0, 1)) if known else 1.0
     return langs, scores, lengths, likeness
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with ``lang_pred``, ``score``, ``phrase_letters`` (mean letters to a phrase of the winner) and ``likeness`` (these as a share of what is usual in the language, at most 1).
+    """docs with ``lang_pred``, ``score``, ``phrase_letters`` (mean letters to a phrase of the winner) and ``likeness`` (how much more than one these are, as a share of what is usual in the language: 0 to 1).
 
     ``und`` with score and likeness 0 where the text is null or has no letter, or where nothing was learned. score
     is second / (first + second) of the least normalised phrases, 0.5 for a tie, which the first label in order

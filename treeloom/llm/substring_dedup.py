@@ -6,7 +6,7 @@ sequence also starts in a document with a smaller id; passages are judged on the
 1. Index and probe. Every document's words are cut into non-overlapping blocks of
    (window + 1) // 2 words; any window holds one whole block. Blocks are the index; every
    rolling run of block length is a probe. Both go to buckets as packed 32-bit remainders
-   (the bucket number adds its bits, so false hits stay at about one in ten thousand at
+   (the bucket number adds its bits, so false hits stay below one in a thousand at
    every size). A probe that meets an index block of another document is an anchor.
 2. Extend. Each window over an anchor is looked up by a 96-bit key (plus the bucket) for
    the smallest document that has it. Windows found in smaller documents that overlap are
@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, NO_ID, U32, U64, bucket_of, chunk_of, chunks, mixed, rest, runs, words_in
+from .common import CHUNK_BYTES, NO_ID, U32, U64, bucket_of, chunk_of, chunks, dealt, mixed, rest, runs, words_in
 
+CHUNKS_PER_BUCKET = 4  # buckets are fewer than chunks, so that there are fewer and larger pieces
 M1, M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 REQUEST = "bucket int, chunk int, stage int, keys binary, more binary, low binary, high binary"
 ANSWER = "chunk int, stage int, bucket int, bits binary"
@@ -180,9 +181,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Columns of docs that have a result's name are replaced by it.
     """
     carried = rest(docs, id_col, text_col, "kept_text", "n_words", "n_removed")
-    n = chunks(docs, text_col, chunk_bytes)
+    chunk_count = chunks(docs, text_col, chunk_bytes)
+    n = -(-chunk_count // CHUNKS_PER_BUCKET)  # buckets
     whole = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit(None).cast("int")
-    base = docs.select(chunk_of(n, id_col, text_col).alias("__chunk"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), whole.alias("__rest"))
+    base = docs.select(chunk_of(chunk_count, id_col, text_col).alias("__chunk"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), whole.alias("__rest"))
     slim = base.select("__chunk", "__id", "__text", "__rest")
 
     def first(key, data):
@@ -206,9 +208,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         data = data.take(pa.array(c.order))
         return pa.table([data["__id"], data["__text"], data["__rest"], pa.array(kept, pa.string()), pa.array(c.sizes, pa.int64()), pa.array(removed, pa.int64())], names=["__id", "__text", "__rest", "kept_text", "n_words", "n_removed"])
 
-    groups = slim.groupBy("__chunk")
-    anchors = groups.applyInArrow(first, REQUEST).groupBy("bucket").applyInArrow(answered, ANSWER)
-    found = groups.cogroup(anchors.groupBy("chunk")).applyInArrow(second, REQUEST).groupBy("bucket").applyInArrow(answered, ANSWER)
+    groups = dealt(slim, chunk_count, "__chunk").groupBy("__chunk")
+    ask = lambda requests: dealt(requests, n, "bucket").groupBy("bucket").applyInArrow(answered, ANSWER)
+    anchors = dealt(ask(groups.applyInArrow(first, REQUEST)), chunk_count, "chunk")
+    found = dealt(ask(groups.cogroup(anchors.groupBy("chunk")).applyInArrow(second, REQUEST)), chunk_count, "chunk")
     schema = T.StructType([*slim.schema.fields[1:], *T._parse_datatype_string("kept_text string, n_words long, n_removed long").fields])
     out = groups.cogroup(anchors.unionByName(found).groupBy("chunk")).applyInArrow(third, schema)
     kind = docs.schema[id_col].dataType
