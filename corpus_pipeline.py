@@ -14,8 +14,8 @@ from treeloom.llm import decontamination, language, simhash, substring_dedup
 from treeloom.llm.common import scratch, table
 from treeloom.llm.queries import bpe_digests
 
-#: A text whose phrases are shorter than this share of what is usual in the nearest language is no text of a learned language.
-LEAST_LIKENESS = 0.45
+#: A text whose phrases exceed one letter by less than this share of what is usual in the nearest language is no text of a learned language.
+LEAST_LIKENESS = 0.12
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
