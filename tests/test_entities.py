@@ -57,3 +57,11 @@ def test_other_extractors_plug_in(spark):
     f = spark.createDataFrame([("a.go", b"", "go"), ("b.py", b"def f(): pass", "python")], "path string, content binary, language string")
     got = ent.extract(f, {**ent.EXTRACTORS, "go": upper}, partitions=2).collect()
     assert {(r.path, r.type) for r in got} == {("a.go", "struct"), ("b.py", "function")}
+
+
+def test_odd_files_cost_no_others(spark):
+    deep = "def f(x=" + "+".join(["1"] * 3000) + "): pass\n"
+    surrogate = 'def g():\n    "\\ud800 half"\n\nclass H(B["\\udc00"]): pass\n'
+    got = extracted(spark, {"a.py": deep, "b.py": surrogate, "c.py": "def ok(): pass\n", "d.py": "def f(:\n", "e.py": "x = 1\0\n"})
+    assert ("c.py", "ok") in got and got["b.py", "g"].docstring == "? half" and ("b.py", "H") in got
+    assert {p for p, _ in got} <= {"a.py", "b.py", "c.py"}

@@ -109,3 +109,23 @@ def test_results_do_not_hang_on_partitions(spark, old):
     a = sorted(tuple(r) for r in tree.stats(old.nodes.repartition(1)).collect())
     b = sorted(tuple(r) for r in tree.stats(old.nodes.repartition(7)).collect())
     assert a == b
+
+
+def test_null_content_is_a_value(spark):
+    def given(**sources):
+        return spark.createDataFrame([(p.replace("_", ".") , None if c is None else bytearray(c.encode())) for p, c in sources.items()], "path string, content binary")
+
+    for before, after in ((dict(a_py="def a(): pass\n", b_py=None), dict(a_py="def a(): pass\n", b_py="def b(): pass\n")), (dict(a_py="def a(): pass\n", b_py="def b(): pass\n"), dict(a_py="def a(): pass\n", b_py=None)), (dict(b_py=None), dict(b_py=None))):
+        new = ref.refresh(ref.full_build(given(**before), ent.extract), given(**after), ent.extract)
+        assert tables(new) == tables(ref.full_build(given(**after), ent.extract))
+    hashes = spark.createDataFrame([("x", None), ("y", "1"), ("z", None)], "path string, hash string")
+    other = spark.createDataFrame([("x", None), ("y", None), ("w", None)], "path string, hash string")
+    assert {r.path: r.status for r in ref.classify(other, hashes).collect()} == {"x": "unchanged", "y": "updated", "z": "removed", "w": "added"}
+    assert ref.status_counts(ref.classify(other, hashes)).first().asDict() == dict(added=1, updated=1, removed=1, unchanged=1)
+
+
+def test_delta_sees_values_that_move_between_columns(spark):
+    schema = "id string, name string, type string, signature string, docstring string, file_path string"
+    old = spark.createDataFrame([("a", "n", "function", "x", None, "p"), ("b", "n", "function", None, None, "p")], schema)
+    new = spark.createDataFrame([("a", "n", "function", None, "x", "p"), ("b", "n", "function", None, None, "p")], schema)
+    assert [(r.id, r.status) for r in ref.node_delta(old, new).collect()] == [("a", "updated")]

@@ -38,14 +38,9 @@ def function_signature(node) -> str:
     return f"{word} {node.name}({ast.unparse(node.args)}){returns}"
 
 
-def python_entities(path: str, content: bytes | None) -> Iterator[tuple]:
-    """Definitions at the top level and in class bodies, in source order; none if the source does not parse."""
-    try:
-        tree = ast.parse((content or b"").decode("utf-8"))
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return
-    todo = [(n, None) for n in reversed(tree.body)]
-    position = 0
+def definitions(content: bytes | None) -> Iterator[tuple]:
+    """Definitions at the top level and in class bodies, in source order."""
+    todo = [(n, None) for n in reversed(ast.parse((content or b"").decode("utf-8")).body)]
     while todo:
         node, outer = todo.pop()
         if not isinstance(node, (*FUNCTIONS, ast.ClassDef)):
@@ -59,8 +54,23 @@ def python_entities(path: str, content: bytes | None) -> Iterator[tuple]:
             todo += [(n, qualname) for n in reversed(node.body)]
         else:
             kind, calls, bases, signature = "method" if outer else "function", called_names(node), [], function_signature(node)
-        yield path, position, qualname, outer, node.name, kind, node.lineno, node.end_lineno, signature, doc, calls, bases, "python"
-        position += 1
+        yield qualname, outer, node.name, kind, node.lineno, node.end_lineno, signature, doc, calls, bases
+
+
+def storable(x):
+    """Text without lone surrogates, which a source may spell in a literal and no table can hold."""
+    if isinstance(x, list):
+        return [storable(v) for v in x]
+    return x.encode("utf-8", "replace").decode("utf-8") if isinstance(x, str) else x
+
+
+def python_entities(path: str, content: bytes | None) -> list[tuple]:
+    """Rows of schemas.ENTITIES; none if the source does not parse, or nests too deep to be written out. One odd file costs no other."""
+    try:
+        found = list(definitions(content))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    return [(path, position, *map(storable, row), "python") for position, row in enumerate(found)]
 
 
 def extract_python(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..schemas import SEARCHABLE_TYPES
+from ..sources.scratch import written
 
 THRESHOLD = 0.05
 
@@ -42,8 +43,8 @@ def idf_of(frequencies: DataFrame, documents: int) -> DataFrame:
 
 
 def build_index(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, idf) of a node table."""
-    postings = postings_of(term_counts(searchable_texts(nodes)))
+    """(postings, idf) of a node table. Postings are written, so that texts are tokenised once however often the index is read."""
+    postings = written(postings_of(term_counts(searchable_texts(nodes))), "postings")
     return postings, idf_of(document_frequencies(postings), searchable(nodes).count())
 
 
@@ -61,7 +62,7 @@ def update_index(postings: DataFrame, idf: DataFrame, nodes: DataFrame, changed:
     """
     now = nodes.join(changed.select("id").distinct(), "id", "left_semi")
     fresh = postings_of(term_counts(searchable_texts(now)))
-    merged = remove_nodes(postings, changed).unionByName(fresh)
+    merged = written(remove_nodes(postings, changed).unionByName(fresh), "postings")
     documents = searchable(nodes).count()
     if policy == "exact":
         return merged, idf_of(document_frequencies(merged), documents)

@@ -24,12 +24,19 @@ class Snapshot:
 
 
 def classify(current: DataFrame, stored: DataFrame) -> DataFrame:
-    """(path, status): added, updated, removed or unchanged, from current(path, hash) and stored(path, hash)."""
-    both = current.select("path", F.col("hash").alias("now")).join(stored.select("path", F.col("hash").alias("was")), "path", "full_outer")
-    status = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "updated").otherwise("unchanged")
+    """(path, status): added, updated, removed or unchanged, from current(path, hash) and stored(path, hash). A null hash, of null content, is a value like any other."""
+    now = current.select("path", F.col("hash").alias("now"), F.lit(True).alias("is"))
+    was = stored.select("path", F.col("hash").alias("was"), F.lit(True).alias("had"))
+    both = now.join(was, "path", "full_outer")
+    status = F.when(F.col("had").isNull(), "added").when(F.col("is").isNull(), "removed").when(~F.col("was").eqNullSafe(F.col("now")), "updated").otherwise("unchanged")
     return both.select("path", status.alias("status"))
 
 
+def status_counts(status: DataFrame) -> DataFrame:
+    """(added, updated, removed, unchanged): how many files of classify's result have each status; one row, of zeros for none."""
+    return status.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("added", "updated", "removed", "unchanged")])
+
+
 def removed_files(current: DataFrame, stored: DataFrame) -> DataFrame:
     return stored.select("path").join(current.select("path"), "path", "left_anti")
 
@@ -54,10 +61,10 @@ def replace_files(nodes: DataFrame, changed: DataFrame, every: DataFrame, extrac
 
 
 def node_delta(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(id, status): nodes that appear, go, or belong to both tables and differ in what is indexed."""
-    mark = lambda t, c: t.select("id", F.hash("name", "type", "signature", "docstring", "file_path").alias(c))
-    both = mark(old, "was").join(mark(new, "now"), "id", "full_outer")
-    status = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "updated")
+    """(id, status): nodes that appear, go, or belong to both tables and differ in what is indexed; nulls are values."""
+    compared = F.struct("name", "type", "signature", "docstring", "file_path")
+    both = old.select("id", compared.alias("was")).join(new.select("id", compared.alias("now")), "id", "full_outer")
+    status = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(~F.col("was").eqNullSafe(F.col("now")), "updated")
     return both.select("id", status.alias("status")).filter("status is not null")
 
 
@@ -68,9 +75,9 @@ def changed_nodes(old: DataFrame, new: DataFrame, paths: DataFrame) -> DataFrame
 
 
 def full_build(files: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> Snapshot:
-    """Everything from files(path, content)."""
+    """Everything from files(path, content). Nodes and postings are written, so files are parsed and texts tokenised once."""
     kept = fil.supported(files)
-    nodes = tree.assemble(fil.directory_nodes(kept), fil.file_nodes(kept), ent.entity_nodes(extract(kept)))
+    nodes = written(tree.assemble(fil.directory_nodes(kept), fil.file_nodes(kept), ent.entity_nodes(extract(kept))), "nodes")
     postings, idf = idx.build_index(nodes)
     return Snapshot(nodes, postings, idf, fil.file_hashes(kept))
 

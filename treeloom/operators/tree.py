@@ -80,9 +80,22 @@ def node_stats(nodes: DataFrame, root: str = ROOT) -> DataFrame:
     return every.agg(*[F.count_if(F.col("type") == t).alias(c) for c, t in COUNTED_TYPES.items()]).select(F.lit(root).alias("id"), *COUNTS)
 
 
+def subtrees(nodes: DataFrame, ids: DataFrame, most_levels: int = 200) -> DataFrame:
+    """The nodes of ids(id) and all below them, walking down level by level; a node below several of them is there once."""
+    slim = nodes.select("id", "parent_id", "type")
+    level = written(slim.join(ids.select("id").distinct(), "id", "left_semi"), "walk")
+    levels = []
+    while not level.isEmpty():
+        levels.append(level)
+        if len(levels) > most_levels:
+            raise ValueError("the parents form a cycle or a chain longer than most_levels")
+        level = written(slim.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select(*slim.columns), "walk")
+    return reduce(lambda a, b: a.unionByName(b), levels, slim.limit(0)).distinct()
+
+
 def stats_of(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """Counts for ids(id); zeros for unknown ones."""
-    return ids.join(stats(nodes), "id", "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS])
+    """Counts for ids(id), from their subtrees alone; zeros for unknown ones."""
+    return ids.join(stats(subtrees(nodes, ids)), "id", "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS])
 
 
 def project_map(nodes: DataFrame) -> DataFrame:

@@ -186,6 +186,7 @@ SELECT p_partkey, name, {split_parts("name")} AS parts FROM named""",
     "search_batch": f"""WITH {SEARCH}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM scores)
 SELECT query_id, rank, node_id, round(score, 6) AS score, name FROM best JOIN docs ON docs.id = node_id WHERE rank <= 10""",
     "classify_files": f"WITH {CHANGES} SELECT path, status FROM status",
+    "status_counts": f"WITH {CHANGES} SELECT " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("added", "updated", "removed", "unchanged")) + " FROM status",
     "removed_files": f"WITH {CHANGES} SELECT path FROM status WHERE status = 'removed'",
     "delete_file_nodes": f"WITH {BUILDS} SELECT id, type FROM old_nodes WHERE file_path IS NULL OR file_path NOT IN (SELECT path FROM status WHERE status = 'removed')",
     "upsert_hashes": f"WITH {CHANGES} SELECT path, sha256(text) AS hash FROM new_kept UNION ALL SELECT path, sha256(text) FROM old_kept WHERE path NOT IN (SELECT path FROM new_kept)",

@@ -238,6 +238,11 @@ def classify_files(spark, sf_dir):
     return ref.classify(current_hashes(spark, sf_dir), stored_hashes(spark, sf_dir))
 
 
+@query
+def status_counts(spark, sf_dir):
+    return ref.status_counts(classify_files(spark, sf_dir))
+
+
 @query
 def removed_files(spark, sf_dir):
     return ref.removed_files(current_hashes(spark, sf_dir), stored_hashes(spark, sf_dir))

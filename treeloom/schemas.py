@@ -46,9 +46,11 @@ SEARCHABLE_TYPES = ["function", "method", "class"]
 COUNTED_TYPES = {"files": "file", "classes": "class", "functions": "function", "methods": "method"}
 
 # Words that are not indexed.
-STOP_WORDS = (
-    "a an the is are was were be been being have has had do does did will would could should may might must shall can "
-    "need dare ought used to of in for on with at by from as into through during before after above below between under "
-    "again further then once self this that these those def class return if else elif try except finally and or not none "
-    "true false"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has",
+    "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall",
+    "can", "need", "dare", "ought", "used", "to", "of", "in", "for", "on", "with", "at",
+    "by", "from", "as", "into", "through", "during", "before", "after", "above", "below", "between", "under",
+    "again", "further", "then", "once", "self", "this", "that", "these", "those", "def", "class", "return",
+    "if", "else", "elif", "try", "except", "finally", "and", "or", "not", "none", "true", "false",
+]
