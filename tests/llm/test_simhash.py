@@ -202,10 +202,20 @@ def test_every_pair_is_judged_by_its_shingles(spark):
 
 
 def test_failed_candidates_hide_no_pairs():
-    """Pairs of different groups that a forest's failed edge left out are all given."""
+    """Neighbours in other groups are given in windows of places, nearest first, until none is left."""
     prints = np.array([[0], [1], [3], [1 << 40]], np.uint64)
-    got = [e for piece in simhash.pairs_of(np.zeros(4, np.int64), np.arange(4), prints, 2, np.array([0, 1, 1, 3])) for e in piece]
-    assert sorted(got) == [(0, 1), (0, 2), (0, 3), (1, 3)]
+    given = lambda low, high: [e for piece in simhash.pairs_of(np.zeros(4, np.int64), np.arange(4), prints, 2, np.array([0, 1, 1, 3]), low, high) for e in piece]
+    assert sorted({*given(0, 1), *given(1, 2), *given(2, 9)} - {(-1, -1)}) == [(0, 1), (0, 2), (0, 3), (1, 3)]
+    assert (-1, -1) in given(0, 1) and (-1, -1) not in given(2, 9)
+
+
+def test_forest_of_the_nearest_spans():
+    rng = np.random.default_rng(2)
+    for n in (40, 200):
+        prints = rng.integers(0, 2**63, (n, 8)).astype(np.uint64)
+        prints[1::2] = prints[::2] ^ np.uint64(5)
+        edges = [e for piece in simhash.nearest_links(np.zeros(n, np.int64), np.arange(n), prints, 20) for e in piece]
+        assert sorted(tuple(sorted(e)) for e in edges) == [(i, i + 1) for i in range(0, n, 2)]
 
 
 def test_rows_with_one_id_are_judged_apart(spark):

@@ -325,20 +325,61 @@ def links_of(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, radius: int)
                 queue += got.tolist()
 
 
-def pairs_of(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, radius: int, group: np.ndarray):
-    """All pairs of rows of equal key and different group at most ``radius`` apart, in pieces, the smaller id first."""
+def nearest_links(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, radius: int):
+    """Edges as of links_of, the nearest first: all of a small group's, and of a large one a spanning forest of the nearest."""
+    change = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    size = np.diff(np.append(change, len(keys)))
+    left = np.repeat(size, size) - (np.arange(len(keys)) - np.repeat(change, size)) - 1
+    at, step, found = np.flatnonzero(np.repeat(size <= SMALL, size) & (left > 0)), 1, []
+    while len(at):
+        d = apart(prints[at], prints[at + step])
+        near = d <= radius
+        found.append((ids[at[near]], ids[at[near] + step], d[near]))
+        step += 1
+        at = at[left[at] >= step]
+    for s, n in zip(change[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        group, mine = prints[s : s + n], ids[s : s + n]
+        best, via, free, here = np.full(n, radius + 1), np.zeros(n, np.int64), np.ones(n, bool), 0
+        for _ in range(n):
+            free[here] = False
+            d = apart(group, group[here])
+            closer = d < best
+            best[closer], via[closer] = d[closer], here
+            open_ = np.flatnonzero(free)
+            if not len(open_):
+                break
+            here = int(open_[np.argmin(best[open_])])
+            if best[here] <= radius:
+                found.append((mine[[via[here]]], mine[[here]], best[[here]]))
+    if found:
+        a, b, d = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(d, kind="stable")
+        yield zip(a[order].tolist(), b[order].tolist())
+
+
+def pairs_of(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, radius: int, group: np.ndarray, low: int, high: int):
+    """Pairs of rows of equal key and different group at most ``radius`` apart, in pieces, the smaller id first.
+
+    Of each row's neighbours, nearest first, those in places ``low`` to ``high`` are given; (-1, -1) says that there are more.
+    """
     change = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     ends = np.append(change[1:], len(keys))
-    mixed_ = np.minimum.reduceat(group, change) < np.maximum.reduceat(group, change)
-    for s, e in zip(change[mixed_].tolist(), ends[mixed_].tolist()):
-        for i in range(s, e - 1):
-            j = i + 1 + np.flatnonzero((group[i + 1 : e] != group[i]) & (apart(prints[i + 1 : e], prints[i]) <= radius))
-            a, b = np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])
-            yield zip(a.tolist(), b.tolist())
-
-
-def verified_links(probes: DataFrame, bits: int, radius: int, grouped: bool = False) -> DataFrame:
-    """Forest edges (a, b) of fingerprints that meet and are at most ``radius`` apart; with ``grouped`` (a column ``group``) all pairs of different groups."""
+    several = np.minimum.reduceat(group, change) < np.maximum.reduceat(group, change)
+    for s, e in zip(change[several].tolist(), ends[several].tolist()):
+        for i in range(s, e):
+            d = apart(prints[s:e], prints[i])
+            d[i - s] = radius + 1
+            j = s + np.flatnonzero(d <= radius)
+            j = j[np.lexsort((ids[j], d[j - s]))]
+            other = group[j] != group[i]
+            if other[high:].any():
+                yield [(-1, -1)]
+            j = j[low:high][other[low:high]]
+            yield zip(np.minimum(ids[j], ids[i]).tolist(), np.maximum(ids[j], ids[i]).tolist())
+
+
+def verified_links(probes: DataFrame, bits: int, radius: int, nearest: bool = False, places: tuple[int, int] | None = None) -> DataFrame:
+    """Forest edges (a, b) of fingerprints that meet and are at most ``radius`` apart, ``nearest`` ones if asked; with ``places`` pairs as of pairs_of by a column ``group``."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -346,10 +387,10 @@ def verified_links(probes: DataFrame, bits: int, radius: int, grouped: bool = Fa
         def links(table: pa.Table):
             prints = np.frombuffer(b"".join(table["fingerprint"].to_pylist()), U64).reshape(-1, bits // 64)
             key, ids, forest = table["key"].to_numpy(), table["id"].to_numpy(), Forest()
-            if grouped:
-                pairs = list({e for piece in pairs_of(key, ids, prints, radius, table["group"].to_numpy()) for e in piece})
+            if places:
+                pairs = list({e for piece in pairs_of(key, ids, prints, radius, table["group"].to_numpy(), *places) for e in piece})
             else:
-                pairs = [e for piece in links_of(key, ids, prints, radius) for e in forest.joins(piece)]
+                pairs = [e for piece in (nearest_links if nearest else links_of)(key, ids, prints, radius) for e in forest.joins(piece)]
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         rows = 0
@@ -456,18 +497,22 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str =
     one = prints.groupBy("fingerprint").agg(F.min(F.struct("__id", "__key")).alias("first"))
     one = written(one.select(F.monotonically_increasing_id().alias("id"), "fingerprint", "first"), "prints")
     probes = meetings(one.select("id", "fingerprint"), bits, radius, SETS["per_word"], SETS["miss"], hot)
-    edges = written(verified_links(probes, bits, wide).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    edges = written(verified_links(probes, bits, wide, nearest=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.join(one, nodes["node"] == one["id"]).select("node", F.col("first.__id").alias("__id"), F.col("first.__key").alias("__key"))
     sets = written(shingle_sets(texts, wanted), "sets")
     checked = written(similar(edges, sets, similarity), "checked")
-    joined = components(checked.filter("ok"))
-    if not checked.filter("not ok").isEmpty():  # a forest's edge that fails may hide pairs that do not: all pairs between groups are looked at
+    joined, low, high = components(checked.filter("ok")), 0, 1
+    more = not checked.filter("not ok").isEmpty()
+    while more:  # an edge of the forest that fails may hide pairs that do not: neighbours in other groups are looked at, farther ones each time
         label = sets.select("node").join(joined, "node", "left").select(F.col("node").alias("id"), F.coalesce("component", "node").alias("group"))
         labelled = probes.join(label, "id").select("key", "id", "fingerprint", "group")
-        more = verified_links(labelled, bits, wide, True).distinct().join(edges, ["a", "b"], "left_anti")
-        again = similar(written(more, "candidates"), sets, similarity).filter("ok").select("a", "b")
-        joined = components(again.unionByName(checked.filter("ok").select("a", "b")))
+        pairs = written(verified_links(labelled, bits, wide, places=(low, high)).distinct(), "pairs")
+        fresh = similar(pairs.filter("a >= 0").join(checked.select("a", "b"), ["a", "b"], "left_anti"), sets, similarity)
+        checked = written(checked.unionByName(fresh), "checked")
+        joined = components(checked.filter("ok"))
+        more = not pairs.filter("a < 0").isEmpty()
+        low, high = high, 4 * high
     known = one.join(joined, one["id"] == joined["node"], "left").select("fingerprint", "first", F.coalesce("component", "id").alias("component"))
     kept = known.groupBy("component").agg(F.min("first").alias("kept"))
     found = prints.join(known.join(kept, "component").select("fingerprint", "kept"), "fingerprint")
