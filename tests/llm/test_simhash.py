@@ -201,12 +201,19 @@ def test_every_pair_is_judged_by_its_shingles(spark):
     assert len(kept - stays) <= 0.03 * (len(texts) - len(stays))
 
 
-def test_failed_candidates_hide_no_pairs():
-    """Neighbours in other groups are given in windows of places, nearest first, until none is left."""
-    prints = np.array([[0], [1], [3], [1 << 40]], np.uint64)
-    given = lambda low, high: [e for piece in simhash.pairs_of(np.zeros(4, np.int64), np.arange(4), prints, 2, np.array([0, 1, 1, 3]), low, high) for e in piece]
-    assert sorted({*given(0, 1), *given(1, 2), *given(2, 9)} - {(-1, -1)}) == [(0, 1), (0, 2), (0, 3), (1, 3)]
-    assert (-1, -1) in given(0, 1) and (-1, -1) not in given(2, 9)
+@pytest.mark.parametrize("block", [1000, 7])
+def test_failed_candidates_hide_no_pairs(spark, monkeypatch, block):
+    """Texts whose forest failed are compared in blocks of their area; pairs of one group are left out."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
+    rng = random.Random(15)
+    sets = [sorted(rng.sample(range(100), 60)) for _ in range(4)]
+    rows = [(10 * k + i, k // 2, 10 * k + i, bytes(64), sorted({*(x for x in s if x % 30 != i), 1000 + i})) for k, s in enumerate(sets) for i in range(9)]
+    rows += [(98, 0, 98, b"\xff" * 64, sets[0])]
+    df = spark.createDataFrame(rows, "node long, area long, group long, fingerprint binary, set array<long>")
+    got = {r.node: r.component for r in components(simhash.block_links(df, 512, 100, 0.8)).collect()}
+    for k in range(4):
+        assert {got[10 * k + i] for i in range(9)} == {10 * k}
+    assert 98 not in got  # too far by its bits
 
 
 def test_forest_of_the_nearest_spans():

@@ -357,29 +357,8 @@ def nearest_links(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, radius:
         yield zip(a[order].tolist(), b[order].tolist())
 
 
-def pairs_of(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, radius: int, group: np.ndarray, low: int, high: int):
-    """Pairs of rows of equal key and different group at most ``radius`` apart, in pieces, the smaller id first.
-
-    Of each row's neighbours, nearest first, those in places ``low`` to ``high`` are given; (-1, -1) says that there are more.
-    """
-    change = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    ends = np.append(change[1:], len(keys))
-    several = np.minimum.reduceat(group, change) < np.maximum.reduceat(group, change)
-    for s, e in zip(change[several].tolist(), ends[several].tolist()):
-        for i in range(s, e):
-            d = apart(prints[s:e], prints[i])
-            d[i - s] = radius + 1
-            j = s + np.flatnonzero(d <= radius)
-            j = j[np.lexsort((ids[j], d[j - s]))]
-            other = group[j] != group[i]
-            if other[high:].any():
-                yield [(-1, -1)]
-            j = j[low:high][other[low:high]]
-            yield zip(np.minimum(ids[j], ids[i]).tolist(), np.maximum(ids[j], ids[i]).tolist())
-
-
-def verified_links(probes: DataFrame, bits: int, radius: int, nearest: bool = False, places: tuple[int, int] | None = None) -> DataFrame:
-    """Forest edges (a, b) of fingerprints that meet and are at most ``radius`` apart, ``nearest`` ones if asked; with ``places`` pairs as of pairs_of by a column ``group``."""
+def verified_links(probes: DataFrame, bits: int, radius: int, nearest: bool = False) -> DataFrame:
+    """Forest edges (a, b) of fingerprints that meet and are at most ``radius`` apart, ``nearest`` ones if asked."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -387,10 +366,7 @@ def verified_links(probes: DataFrame, bits: int, radius: int, nearest: bool = Fa
         def links(table: pa.Table):
             prints = np.frombuffer(b"".join(table["fingerprint"].to_pylist()), U64).reshape(-1, bits // 64)
             key, ids, forest = table["key"].to_numpy(), table["id"].to_numpy(), Forest()
-            if places:
-                pairs = list({e for piece in pairs_of(key, ids, prints, radius, table["group"].to_numpy(), *places) for e in piece})
-            else:
-                pairs = [e for piece in (nearest_links if nearest else links_of)(key, ids, prints, radius) for e in forest.joins(piece)]
+            pairs = [e for piece in (nearest_links if nearest else links_of)(key, ids, prints, radius) for e in forest.joins(piece)]
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         rows = 0
@@ -444,6 +420,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 64, radius: int
 SETS = dict(bits=512, per_word=5, miss=0.01)
 WIDTH = 5
 SLACK = 2.0  # standard deviations by which differing bits may exceed what the similarity stands for
+BLOCK_TEXTS = 1000  # texts whose sets meet as many others in one task
 EDGES_PER_PIECE = 2000  # edges of one text that meet its set of shingles in one task
 
 
@@ -478,11 +455,43 @@ def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", (shared >= similarity * (F.size("x") + F.size("y") - shared)).alias("ok"))
 
 
+def block_links(rows: DataFrame, bits: int, radius: int, similarity: float) -> DataFrame:
+    """Forest edges (a, b) of rows(node, area, group, fingerprint, set) of one area and different groups that are similar enough.
+
+    An area is dealt into blocks of BLOCK_TEXTS, and each pair of blocks is one task's group; only pairs that
+    join groups leave it.
+    """
+    sizes = rows.groupBy("area").agg(F.ceil(F.count("*") / BLOCK_TEXTS).alias("blocks"))
+    dealt = rows.join(sizes, "area").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("area", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "group", "fingerprint", "set")
+
+    def compare(key, data):
+        _, p, q = (k.as_py() for k in key)
+        prints = np.frombuffer(b"".join(data["fingerprint"].to_pylist()), U64).reshape(-1, bits // 64)
+        node, group, block = (data[c].to_numpy() for c in ("node", "group", "block"))
+        flat = pa.concat_arrays(data["set"].chunks)
+        start, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+        sets = [np.sort(values[s:e]) for s, e in zip(start[:-1], start[1:])]
+        forest, pairs = Forest(), []
+        there = np.flatnonzero(block == q)
+        for i in np.flatnonzero(block == p).tolist():
+            near = there[(group[there] != group[i]) & (apart(prints[there], prints[i]) <= radius)]
+            for j in near.tolist():
+                if forest.root(int(group[i])) != forest.root(int(group[j])):
+                    n = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if n >= similarity * (len(sets[i]) + len(sets[j]) - n):
+                        pairs += [(int(node[i]), int(node[j])) for _ in forest.joins([(int(group[i]), int(group[j]))])]
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+
+    return dealt.groupBy("area", "p", "q").applyInArrow(compare, "a long, b long")
+
+
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """docs without those whose group has an earlier text: one text of each group stays, with all its columns.
 
     Texts link if the sets of their five-word shingles have this Jaccard similarity, which is computed for
-    every pair that meets; of pairs at the bound about 3 in 100 do not meet, of closer pairs fewer. Texts with
+    every pair that meets and could join two groups; of pairs at the bound about 3 in 100 do not meet, of closer pairs fewer. Texts with
     equal fingerprints of all 512 bits are taken as one: that less similar texts have them has a chance below
     1e-30. Earlier is the smaller id, then the smaller digest of the text; a null id is larger than any. Rows
     alike in id and text stay or go together. Texts without words are not copies of each other and all stay.
@@ -502,17 +511,14 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str =
     wanted = nodes.join(one, nodes["node"] == one["id"]).select("node", F.col("first.__id").alias("__id"), F.col("first.__key").alias("__key"))
     sets = written(shingle_sets(texts, wanted), "sets")
     checked = written(similar(edges, sets, similarity), "checked")
-    joined, low, high = components(checked.filter("ok")), 0, 1
-    more = not checked.filter("not ok").isEmpty()
-    while more:  # an edge of the forest that fails may hide pairs that do not: neighbours in other groups are looked at, farther ones each time
-        label = sets.select("node").join(joined, "node", "left").select(F.col("node").alias("id"), F.coalesce("component", "node").alias("group"))
-        labelled = probes.join(label, "id").select("key", "id", "fingerprint", "group")
-        pairs = written(verified_links(labelled, bits, wide, places=(low, high)).distinct(), "pairs")
-        fresh = similar(pairs.filter("a >= 0").join(checked.select("a", "b"), ["a", "b"], "left_anti"), sets, similarity)
-        checked = written(checked.unionByName(fresh), "checked")
-        joined = components(checked.filter("ok"))
-        more = not pairs.filter("a < 0").isEmpty()
-        low, high = high, 4 * high
+    joined = components(checked.filter("ok"))
+    if not checked.filter("not ok").isEmpty():  # an edge of the forest that fails may hide pairs that do not
+        areas = components(edges).withColumnRenamed("component", "area")
+        labelled = areas.join(joined, "node", "left").select("node", "area", F.coalesce("component", "node").alias("group"))
+        several = labelled.groupBy("area").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least < most").select("area")
+        rows = labelled.join(several, "area").join(one.select(F.col("id").alias("node"), "fingerprint"), "node").join(sets, "node")
+        found = written(block_links(rows, bits, wide, similarity), "links")
+        joined = components(found.unionByName(checked.filter("ok").select("a", "b")))
     known = one.join(joined, one["id"] == joined["node"], "left").select("fingerprint", "first", F.coalesce("component", "id").alias("component"))
     kept = known.groupBy("component").agg(F.min("first").alias("kept"))
     found = prints.join(known.join(kept, "component").select("fingerprint", "kept"), "fingerprint")
