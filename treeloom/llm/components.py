@@ -31,7 +31,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
-    """edges(a long, b long) -> (node, component) for every node of an edge; loops and repeats are allowed."""
+    """edges(a long, b long) -> (node, component) for every node of an edge but the smallest of each component; loops and repeats are allowed."""
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = written(now, "edges")
     before = _signature(now)

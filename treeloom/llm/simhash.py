@@ -513,8 +513,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str =
     checked = written(similar(edges, sets, similarity), "checked")
     joined = components(checked.filter("ok"))
     if not checked.filter("not ok").isEmpty():  # an edge of the forest that fails may hide pairs that do not
-        areas = components(edges).withColumnRenamed("component", "area")
-        labelled = areas.join(joined, "node", "left").select("node", "area", F.coalesce("component", "node").alias("group"))
+        areas = components(edges).withColumnRenamed("component", "area")  # without the smallest node of each, as components has it
+        labelled = sets.select("node").join(areas, "node", "left").join(joined, "node", "left").select("node", F.coalesce("area", "node").alias("area"), F.coalesce("component", "node").alias("group"))
         several = labelled.groupBy("area").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least < most").select("area")
         rows = labelled.join(several, "area").join(one.select(F.col("id").alias("node"), "fingerprint"), "node").join(sets, "node")
         found = written(block_links(rows, bits, wide, similarity), "links")
