@@ -67,6 +67,9 @@ def test_source_tree_keeps_underscored_names(spark, tmp_path):
     spark.dataSource.register(SourceTree)
     got = {r.path: bytes(r.content).decode() for r in spark.read.format("source_tree").load(str(tmp_path)).collect()}
     assert got == {**SAMPLE, ".hidden.py": "x"}
+    for most, share in ((1, 5000), (2, 1), (0, 1)):
+        planned = spark.read.format("source_tree").option("partitions", most).option("files", share).load(str(tmp_path))
+        assert sorted(r.path for r in planned.collect()) == sorted(got)
     everything = spark.read.format("source_tree").option("all", "true").load(str(tmp_path))
     assert everything.count() == len(SAMPLE) + 2
 

@@ -69,6 +69,8 @@ def test_snapshots_keep_lists_and_replace(spark, tmp_path):
     snapshots.save(s, str(tmp_path))
     assert snapshots.load(spark, str(tmp_path)).nodes.filter("name = 'A'").first().base_classes == ["B1", "B2", "B3"]
     snapshots.save(ref.full_build(files(spark, MODELS), ent.extract), str(tmp_path))
+    snapshots.prune(spark, str(tmp_path), keep=1)
+    assert len(list(tmp_path.glob("v*"))) == 1 and snapshots.prune(spark, str(tmp_path)) == []
     again = snapshots.load(spark, str(tmp_path))
     assert again.nodes.filter("name = 'A'").count() == 0 and again.nodes.filter("name = 'Admin'").count() == 1
 
@@ -91,7 +93,7 @@ def test_json(spark, old):
     assert [c["id"] for c in node["children"]] == ["src/__init__.py", "src/main.py", "src/utils"]
     assert set(node["node"]) == set(render.FIELDS) and len(render.FIELDS) == 13 and node["node"]["signature"] is None
     assert node["children"][1]["stats"]["functions"] == 2
-    seen = {r.id: json.loads(r.json) for r in render.inspect_json(n).collect()}
+    seen = {r.id: json.loads(r.json) for r in render.inspect_json(n, n.select("id")).collect()}
     assert seen["src/main.py:helper"]["called_by"] == ["src/main.py:main"] and seen["src/main.py:main"]["calls"] == ["helper", "print"]
     kids = json.loads(render.hierarchy_json(n, "Nothing").first().json)
     assert kids["count"] == 0 and kids["subclasses"] == []

@@ -15,10 +15,6 @@ def node_struct() -> Column:
     return F.struct(*FIELDS)
 
 
-def with_children(nodes: DataFrame) -> DataFrame:
-    return tree.lookup(nodes, nodes.select("id"))
-
-
 def stats_struct() -> Column:
     return F.struct(*tree.COUNTS)
 
@@ -34,22 +30,24 @@ def map_json(nodes: DataFrame, project: str, root: str) -> DataFrame:
 
 
 def expand_json(nodes: DataFrame, parent: str) -> DataFrame:
-    full = with_children(nodes)
-    node = full.filter(F.col("id") == parent).select(F.lit(0).alias("k"), node_struct().alias("node"))
-    kids = full.filter(F.col("parent_id") == parent).join(tree.stats_of(nodes, nodes.filter(F.col("parent_id") == parent).select("id")).select("id", stats_struct().alias("stats")), "id")
+    below = nodes.filter(F.col("parent_id") == parent).select("id")
+    node = tree.lookup(nodes, nodes.filter(F.col("id") == parent).select("id")).select(F.lit(0).alias("k"), node_struct().alias("node"))
+    kids = tree.lookup(nodes, below).join(tree.stats_of(nodes, below).select("id", stats_struct().alias("stats")), "id")
     listed = kids.agg(F.array_sort(F.collect_list(F.struct(*FIELDS, "stats"))).alias("children")).withColumn("k", F.lit(0))
     return node.join(listed, "k").select(as_json(F.lit("expand").alias("command"), "node", "children"))
 
 
-def inspect_json(nodes: DataFrame) -> DataFrame:
-    """(id, json) for every node."""
-    rows = relations.inspect(with_children(nodes))
+def inspect_json(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, json) for the nodes of ids(id). A document lists all callers, so it is as large as they are many; relations.inspect_all counts them for whole tables."""
+    callers = relations.inspect(nodes, ids).select("id", "called_by")
+    rows = tree.lookup(nodes, ids).join(callers, "id")
     return rows.select("id", as_json(F.lit("inspect").alias("command"), node_struct().alias("node"), "calls", "called_by"))
 
 
 def search_json(nodes: DataFrame, queries: DataFrame, found: DataFrame) -> DataFrame:
     """(query_id, json) for every query, also for those that found nothing. found: query_id, rank, node_id, score."""
-    rows = found.select("query_id", "rank", F.col("node_id").alias("id"), F.round("score", 4).alias("score")).join(with_children(nodes), "id")
+    hits = found.select("query_id", "rank", F.col("node_id").alias("id"), F.round("score", 4).alias("score"))
+    rows = hits.join(tree.lookup(nodes, hits.select("id")), "id")
     listed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", node_struct().alias("node"), "score"))).alias("results"))
     results = F.transform(F.coalesce("results", F.expr("filter(array(results[0]), x -> false)")), lambda r: F.struct(r["node"].alias("node"), r["score"].alias("score")))
     joined = queries.join(listed, "query_id", "left").withColumn("results", results)
@@ -57,6 +55,6 @@ def search_json(nodes: DataFrame, queries: DataFrame, found: DataFrame) -> DataF
 
 
 def hierarchy_json(nodes: DataFrame, base: str) -> DataFrame:
-    found = relations.subclasses(with_children(nodes), base)
+    found = tree.lookup(nodes, relations.subclasses(nodes, base).select("id"))
     listed = found.agg(F.count("*").alias("count"), F.array_sort(F.collect_list(node_struct())).alias("subclasses"))
     return listed.select(as_json(F.lit("hierarchy").alias("command"), F.lit(base).alias("base_class"), "count", "subclasses"))

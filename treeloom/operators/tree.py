@@ -33,11 +33,12 @@ def lookup(nodes: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def children(nodes: DataFrame, parent: str | None = None) -> DataFrame:
-    """(parent_id, id, children_ids) for one parent or for all."""
-    kids = nodes.filter(F.col("parent_id") == parent) if parent is not None else nodes.filter("parent_id is not null")
-    below = nodes.filter("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(F.col("id"))).alias("children_ids"))
-    joined = kids.select("parent_id", "id").join(below, "id", "left")
-    return joined.select("parent_id", "id", F.coalesce("children_ids", F.array().cast("array<string>")).alias("children_ids"))
+    """(parent_id, id, children_ids) for the children of one parent, or (parent_id, id, n_children) for those of all, which gathers no directory's entries in one row."""
+    if parent is not None:
+        return lookup(nodes, nodes.filter(F.col("parent_id") == parent).select("id")).select("parent_id", "id", "children_ids")
+    kids = nodes.filter("parent_id is not null").select("parent_id", "id")
+    below = kids.groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("n_children"))
+    return kids.join(below, "id", "left").select("parent_id", "id", F.coalesce("n_children", F.lit(0)).alias("n_children"))
 
 
 def orphans(nodes: DataFrame) -> DataFrame:

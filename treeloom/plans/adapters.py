@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,30 @@ def new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_files(table(spark, sf_dir, "documents").filter("doc_id % 10 <> 7").withColumn("text", edited))
 
 
+def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, content): every third document in Latin-1, the others in UTF-8."""
+    latin = F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+    content = F.when(F.col("doc_id") % 3 == 0, latin).otherwise(F.encode("text", "UTF-8"))
+    return table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+
+
+def write_tree(files: DataFrame, folder: str) -> str:
+    """Every row of files(path, content) as a file below a shared folder, by the task that holds it; a task that runs again writes the same."""
+    root = folder.removeprefix("file:")
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                target = os.path.join(root, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "wb") as f:
+                    f.write(content or b"")
+            yield batch[["path"]]
+
+    files.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
 def prose_entities(kept: DataFrame) -> DataFrame:
     """An extractor for prose: one function for each file, named after it, with the text as docstring."""
     stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
@@ -112,14 +138,19 @@ def caller_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Python source for each customer; every tenth does not parse."""
+    """Python source for each customer, by the last digit of its key: 9 does not parse, 8 has decorated, nested and keyword forms, 7 is no UTF-8."""
     c = table(spark, sf_dir, "customer")
     key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
     good = F.concat(
         F.lit("class C"), key, F.lit("(Base"), nation, F.lit('):\n    """'), "c_mktsegment", F.lit(' customer."""\n    def balance(self, x: int) -> float:\n        """Balance of it."""\n        return fetch(self.load(x))\n\n\nasync def seg_'), key, F.lit("(a, b=1):\n    return C"), key, F.lit("(a)\n"),
     )
-    source = F.when(F.col("c_custkey") % 10 == 9, F.concat(F.lit("def broken("), key, F.lit(":\n"))).otherwise(good)
-    return c.select(F.concat(F.lit("crm/n"), nation, F.lit("/c"), key, F.lit(".py")).alias("path"), F.encode(source, "UTF-8").alias("content"), F.lit("python").alias("language"))
+    odd = F.concat(
+        F.lit("import functools\n\n\nclass C"), key, F.lit("(Base"), nation, F.lit(', metaclass=M):\n    class Inner:\n        async def go(self, *, k=None): pass\n\n\n@functools.cache\ndef pick_'), key, F.lit('(a, /, b: int = 5, *args: str, c, **kw) -> None:\n    """Picks."""\n    self.save(g()(1))\n'),
+    )
+    digit = F.col("c_custkey") % 10
+    source = F.when(digit == 9, F.concat(F.lit("def broken("), key, F.lit(":\n"))).when(digit == 8, odd).otherwise(good)
+    content = F.concat(F.when(digit == 7, F.unhex(F.lit("23FF0A"))).otherwise(F.unhex(F.lit(""))), F.encode(source, "UTF-8"))
+    return c.select(F.concat(F.lit("crm/n"), nation, F.lit("/c"), key, F.lit(".py")).alias("path"), content.alias("content"), F.lit("python").alias("language"))
 
 
 def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

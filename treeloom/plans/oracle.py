@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.render import FIELDS
 from ..operators.tree import COUNTS
 from ..schemas import EXCLUDED_NAMES, EXTENSIONS, STOP_WORDS
 from .queries import SEARCHED
@@ -54,7 +55,7 @@ SELECT r_name || '/' || n_name || '/' || c_name || '.py' AS file, o_orderkey, l.
        l_returnflag || '|' || l_linestatus AS position
 FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 raw AS (
-SELECT '.' AS id, NULL AS parent_id, '.' AS name, 'dir' AS type, NULL AS file_path, NULL AS line_start, NULL AS signature, '' AS position
+SELECT '.' AS id, CAST(NULL AS VARCHAR) AS parent_id, '.' AS name, 'dir' AS type, CAST(NULL AS VARCHAR) AS file_path, CAST(NULL AS INT) AS line_start, CAST(NULL AS VARCHAR) AS signature, '' AS position
 UNION ALL SELECT r_name, '.', r_name, 'dir', NULL, NULL, NULL, '' FROM region
 UNION ALL SELECT r_name || '/' || n_name, r_name, n_name, 'dir', NULL, NULL, NULL, '' FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL SELECT r_name || '/' || n_name || '/' || c_name || '.py', r_name || '/' || n_name, c_name || '.py', 'file', r_name || '/' || n_name || '/' || c_name || '.py', 1, NULL, ''
@@ -80,15 +81,21 @@ nodes AS (
 SELECT 'orders.py:O' || l_orderkey AS id, 'O' || l_orderkey AS name, 'function' AS type, calls, CAST([] AS VARCHAR[]) AS base_classes FROM called
 UNION ALL SELECT 'parts.py:P' || p_partkey, p_name, 'class', CAST([] AS VARCHAR[]), [p_type, p_brand] FROM part
 UNION ALL SELECT DISTINCT 'brands.py:' || p_brand, p_brand, 'class', CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM part),
-named AS (SELECT name, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT unnest(calls) AS name, id FROM nodes) GROUP BY name)"""
+pairs AS (SELECT DISTINCT unnest(calls) AS name, id FROM nodes),
+named AS (SELECT name, count(*) AS n, list(id ORDER BY id) AS ids FROM pairs GROUP BY name)"""
 
 SOURCE = """
 source AS (
-SELECT 'crm/n' || c_nationkey || '/c' || c_custkey || '.py' AS path, c_custkey AS k, c_nationkey AS n, c_mktsegment AS s FROM customer WHERE c_custkey % 10 <> 9),
+SELECT 'crm/n' || c_nationkey || '/c' || c_custkey || '.py' AS path, c_custkey AS k, c_nationkey AS n, c_mktsegment AS s FROM customer WHERE c_custkey % 10 < 7),
+odd AS (SELECT 'crm/n' || c_nationkey || '/c' || c_custkey || '.py' AS path, c_custkey AS k, c_nationkey AS n FROM customer WHERE c_custkey % 10 = 8),
 entities AS (
 SELECT path, 0 AS position, 'C' || k AS qualname, NULL AS parent_qualname, 'C' || k AS name, 'class' AS type, 1 AS line_start, 5 AS line_end, 'class C' || k || '(Base' || n || ')' AS signature, s || ' customer.' AS docstring, '' AS calls, 'Base' || n AS base_classes FROM source
 UNION ALL SELECT path, 1, 'C' || k || '.balance', 'C' || k, 'balance', 'method', 3, 5, 'def balance(self, x: int) -> float', 'Balance of it.', 'fetch,load', '' FROM source
-UNION ALL SELECT path, 2, 'seg_' || k, NULL, 'seg_' || k, 'function', 8, 9, 'async def seg_' || k || '(a, b=1)', NULL, 'C' || k, '' FROM source)"""
+UNION ALL SELECT path, 2, 'seg_' || k, NULL, 'seg_' || k, 'function', 8, 9, 'async def seg_' || k || '(a, b=1)', NULL, 'C' || k, '' FROM source
+UNION ALL SELECT path, 0, 'C' || k, NULL, 'C' || k, 'class', 4, 6, 'class C' || k || '(Base' || n || ')', NULL, '', 'Base' || n FROM odd
+UNION ALL SELECT path, 1, 'C' || k || '.Inner', 'C' || k, 'Inner', 'class', 5, 6, 'class Inner', NULL, '', '' FROM odd
+UNION ALL SELECT path, 2, 'C' || k || '.Inner.go', 'C' || k || '.Inner', 'go', 'method', 6, 6, 'async def go(self, *, k=None)', NULL, '', '' FROM odd
+UNION ALL SELECT path, 3, 'pick_' || k, NULL, 'pick_' || k, 'function', 10, 12, 'def pick_' || k || '(a, /, b: int=5, *args: str, c, **kw) -> None', 'Picks.', 'g,save', '' FROM odd)"""
 
 
 def split_parts(name: str) -> str:
@@ -140,10 +147,38 @@ FILES = files_cte("files", ALL)
 KEPT = FILES + ", " + kept_cte("kept", "files")
 LINES = "string_split(text, chr(10))"
 
+NO_NAMES = "CAST([] AS VARCHAR[])"
+STATS = "{" + ", ".join(f"'{c}': {c}" for c in COUNTS) + "}"
+
+
+def json(**fields: str) -> str:
+    return "CAST(to_json({" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}) AS VARCHAR)"
+
+
+def node_struct(**fields: str) -> str:
+    """A node's thirteen fields; what is not given is null, or an empty list."""
+    given = {f: NO_NAMES if f in ("children_ids", "calls", "base_classes") else "NULL" for f in FIELDS} | fields
+    return "{" + ", ".join(f"'{k}': {v}" for k, v in given.items()) + "}"
+
+
+CALLER_NODE = node_struct(id="id", name="nodes.name", type="type", parent_id="string_split(id, ':')[1]", calls="calls", base_classes="base_classes")
+TREE_NODE = node_struct(id="nodes.id", name="name", type="type", file_path="file_path", line_start="line_start", signature="signature", parent_id="parent_id", children_ids=f"coalesce(string_split(children_ids, ','), {NO_NAMES})", language="CASE WHEN type <> 'dir' THEN 'python' END")
+DOCUMENT_NODE = node_struct(id="docs.id", name="name", type="type", docstring="docstring")
+
+SNAPSHOT = f"""WITH {BOTH}
+SELECT 'node' AS kind, id, coalesce(parent_id, '') AS detail, CAST(0 AS DOUBLE) AS value FROM new_nodes
+UNION ALL SELECT 'posting', node_id, term, round(tf, 6) FROM postings_new
+UNION ALL SELECT 'idf', term, '', round(idf, 6) FROM idf_new
+UNION ALL SELECT 'hash', path, sha256(text), 0 FROM new_kept"""
+
 ORACLE_SQL = {
     "route_files": f"WITH {FILES} SELECT path, {LANGUAGE} AS language FROM files WHERE {LANGUAGE} IS NOT NULL",
     "exclude_paths": f"WITH {FILES} SELECT path FROM files WHERE {KEPT_PATH}",
     "file_nodes": f"WITH {KEPT} SELECT path AS id, parent_id, string_split(path, '/')[-1] AS name, 'file' AS type, 1 AS line_start, len({LINES}) AS line_end, language FROM kept",
+    "decode_files": f"""WITH given AS (SELECT doc_id, text, doc_id % 3 = 0 AS latin FROM documents),
+decoded AS (SELECT doc_id, CASE WHEN NOT latin OR NOT regexp_matches(text, '[^\\x00-\\x7F]') THEN text END AS strict, CASE WHEN latin THEN regexp_replace(text, '[^\\x00-\\x{{FF}}]', '?', 'g') ELSE text END AS lenient FROM given)
+SELECT doc_id, strict, lenient, CASE WHEN strict IS NULL THEN 0 ELSE len(string_split(strict, chr(10))) END AS n_lines FROM decoded""",
+    "load_tree": f"WITH {FILES} SELECT path, sha256(text) AS hash FROM files WHERE {KEPT_PATH}",
     "content_hash": f"WITH {FILES} SELECT path, sha256(text) AS hash FROM files",
     "read_lines": f"""WITH {FILES},
 asked AS (SELECT path, text, CAST(strlen(text) % 5 AS INT) AS s, CAST(strlen(text) % 7 AS INT) AS e, len({LINES}) AS n FROM files),
@@ -153,13 +188,17 @@ SELECT path, s AS start, e AS "end", CASE WHEN f <= l THEN array_to_string(list_
 snippets AS (SELECT path || ':C' || k || '.balance' AS id, '    def balance(self, x: int) -> float:' || chr(10) || '        \"\"\"Balance of it.\"\"\"' || chr(10) || '        return fetch(self.load(x))' AS text FROM source)
 SELECT * FROM snippets
 UNION ALL SELECT path || ':C' || k, 'class C' || k || '(Base' || n || '):' || chr(10) || '    \"\"\"' || s || ' customer.\"\"\"' || chr(10) || text FROM source JOIN snippets ON id = path || ':C' || k || '.balance'
-UNION ALL SELECT path || ':seg_' || k, 'async def seg_' || k || '(a, b=1):' || chr(10) || '    return C' || k || '(a)' FROM source""",
+UNION ALL SELECT path || ':seg_' || k, 'async def seg_' || k || '(a, b=1):' || chr(10) || '    return C' || k || '(a)' FROM source
+UNION ALL SELECT path || ':C' || k, 'class C' || k || '(Base' || n || ', metaclass=M):' || chr(10) || '    class Inner:' || chr(10) || '        async def go(self, *, k=None): pass' FROM odd
+UNION ALL SELECT path || ':C' || k || '.Inner', '    class Inner:' || chr(10) || '        async def go(self, *, k=None): pass' FROM odd
+UNION ALL SELECT path || ':C' || k || '.Inner.go', '        async def go(self, *, k=None): pass' FROM odd
+UNION ALL SELECT path || ':pick_' || k, 'def pick_' || k || '(a, /, b: int = 5, *args: str, c, **kw) -> None:' || chr(10) || '    \"\"\"Picks.\"\"\"' || chr(10) || '    self.save(g()(1))' FROM odd""",
     "extract_entities": f"WITH {SOURCE} SELECT * EXCLUDE (parent_qualname) FROM entities",
     "entity_ids": f"WITH {SOURCE} SELECT path || ':' || qualname AS id, CASE WHEN parent_qualname IS NULL THEN path ELSE path || ':' || parent_qualname END AS parent_id FROM entities",
     "dir_closure": f"WITH {KEPT}, {dirs_cte('dirs', 'kept')} SELECT id, parent_id, name, 'dir' AS type FROM dirs",
     "assemble_nodes": f"WITH {TREE} SELECT id, parent_id, name, type, file_path, line_start, signature FROM nodes",
     "node_lookup": f"WITH {TREE}, {CHILDREN} SELECT n.id, parent_id, name, coalesce(children_ids, '') AS children_ids FROM nodes n LEFT JOIN below b ON n.id = b.id WHERE type = 'file'",
-    "children": f"WITH {TREE}, {CHILDREN} SELECT parent_id, n.id, coalesce(children_ids, '') AS children_ids FROM nodes n LEFT JOIN below b ON n.id = b.id WHERE parent_id IS NOT NULL",
+    "children": f"WITH {TREE}, below AS (SELECT parent_id AS id, count(*) AS n FROM nodes GROUP BY ALL) SELECT parent_id, nodes.id, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN below ON nodes.id = below.id WHERE parent_id IS NOT NULL",
     "orphans": f"WITH {TREE} SELECT id, parent_id FROM nodes WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM nodes)",
     "node_stats": f"WITH RECURSIVE {TREE}, {CLOSURE} SELECT * FROM stats WHERE id = '.'",
     "stats_all": f"WITH RECURSIVE {TREE}, {CLOSURE} SELECT * FROM stats",
@@ -168,10 +207,16 @@ UNION ALL SELECT path || ':seg_' || k, 'async def seg_' || k || '(a, b=1):' || c
     "edges": f"""WITH {CALLERS}
 SELECT c.id AS source_id, n.id AS target_id, 'calls' AS relation FROM (SELECT id, unnest(calls) AS name FROM nodes) c JOIN nodes n USING (name)
 UNION ALL SELECT c.id, n.id, 'inherits' FROM (SELECT id, unnest(list_distinct(base_classes)) AS name FROM nodes) c JOIN nodes n USING (name) WHERE n.type = 'class'""",
-    "callers": f"WITH {CALLERS} SELECT name, n AS n_callers, md5(ids) AS callers_md5 FROM named",
-    "inspect_all": f"WITH {CALLERS} SELECT id, nodes.name, array_to_string(calls, ',') AS calls, coalesce(n, 0) AS n_callers, md5(coalesce(ids, '')) AS callers_md5 FROM nodes LEFT JOIN named ON nodes.name = named.name",
+    "callers": f"WITH {CALLERS} SELECT name, id AS caller_id FROM pairs",
+    "inspect_all": f"WITH {CALLERS} SELECT id, nodes.name, array_to_string(calls, ',') AS calls, coalesce(n, 0) AS n_callers FROM nodes LEFT JOIN named ON nodes.name = named.name",
+    "inspect_json": f"WITH {CALLERS} SELECT id, {json(command="'inspect'", node=CALLER_NODE, calls='calls', called_by=f'coalesce(ids, {NO_NAMES})')} AS json FROM nodes LEFT JOIN named ON nodes.name = named.name WHERE id IN (SELECT min(id) FROM nodes GROUP BY nodes.name)",
+    "hierarchy_json": f"WITH {CALLERS} SELECT {json(command="'hierarchy'", base_class="'Brand#7'", count='count(*)', subclasses=f'list({CALLER_NODE} ORDER BY id)')} AS json FROM nodes WHERE list_contains(base_classes, 'Brand#7')",
+    "map_json": f"WITH RECURSIVE {TREE}, {CLOSURE}, top AS (SELECT id, {STATS} AS s FROM stats WHERE id IN (SELECT id FROM nodes WHERE parent_id = '.' AND type = 'dir')) SELECT {json(command="'map'", project="'orders'", root="'/data'", stats=f"(SELECT {STATS} FROM stats WHERE id = '.')", children="list({'id': id, 'stats': s} ORDER BY id)")} AS json FROM top",
+    "expand_json": f"""WITH RECURSIVE {TREE}, {CHILDREN}, {CLOSURE},
+full_nodes AS (SELECT nodes.*, {TREE_NODE} AS node, {TREE_NODE[:-1]}, 'stats': {STATS}}} AS listed FROM nodes JOIN stats USING (id) LEFT JOIN below ON nodes.id = below.id)
+SELECT {json(command="'expand'", node="(SELECT node FROM full_nodes WHERE id = 'ASIA')", children="list(listed ORDER BY id)")} AS json FROM full_nodes WHERE parent_id = 'ASIA'""",
     "subclasses": "SELECT 'parts.py:P' || p_partkey AS id, p_name AS name FROM part WHERE p_brand = 'Brand#7' OR p_type = 'Brand#7'",
-    "hierarchy_all": f"WITH {CALLERS} SELECT base, count(*) AS count, md5(string_agg(id, ',' ORDER BY id)) AS subclasses_md5 FROM (SELECT id, unnest(list_distinct(base_classes)) AS base FROM nodes WHERE type = 'class') GROUP BY base",
+    "hierarchy_all": f"WITH {CALLERS} SELECT base, count(*) OVER (PARTITION BY base) AS count, id AS subclass_id FROM (SELECT id, unnest(list_distinct(base_classes)) AS base FROM nodes WHERE type = 'class')",
     "searchable_text": f"WITH {DOCUMENTS} SELECT node_id, text FROM texts",
     "split_identifier": f"""WITH named AS (SELECT p_partkey, replace(array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '), ' ', '') || '_' || replace(p_type, ' ', '') || '_v' || p_size AS name FROM part)
 SELECT p_partkey, name, {split_parts("name")} AS parts FROM named""",
@@ -185,6 +230,9 @@ SELECT p_partkey, name, {split_parts("name")} AS parts FROM named""",
     "search_top10": f"WITH {INDEX}, {scores_cte(f'''SELECT 0 AS query_id, '{SEARCHED}' AS query''')}, best AS (SELECT * FROM scores ORDER BY score DESC, node_id LIMIT 10) SELECT node_id, round(score, 6) AS score, name FROM best JOIN docs ON docs.id = node_id",
     "search_batch": f"""WITH {SEARCH}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM scores)
 SELECT query_id, rank, node_id, round(score, 6) AS score, name FROM best JOIN docs ON docs.id = node_id WHERE rank <= 10""",
+    "search_json": f"""WITH {SEARCH}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM scores),
+hits AS (SELECT query_id, list({{'node': {DOCUMENT_NODE}, 'score': round(score, 4)}} ORDER BY rank) AS results FROM best JOIN docs ON docs.id = node_id WHERE rank <= 10 GROUP BY query_id)
+SELECT query_id, {json(command="'search'", query='query', count='len(coalesce(results, []))', results='coalesce(results, [])')} AS json FROM queries LEFT JOIN hits USING (query_id)""",
     "classify_files": f"WITH {CHANGES} SELECT path, status FROM status",
     "status_counts": f"WITH {CHANGES} SELECT " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("added", "updated", "removed", "unchanged")) + " FROM status",
     "removed_files": f"WITH {CHANGES} SELECT path FROM status WHERE status = 'removed'",
@@ -200,9 +248,6 @@ sizes AS (SELECT (SELECT count(*) FROM new_texts) AS n, (SELECT count(*) FROM ol
 SELECT coalesce(a.term, t.term) AS term, round(CASE WHEN t.term IS NOT NULL AND abs(n - o) > 0.05 * n THEN b.idf WHEN a.term IS NOT NULL THEN a.idf ELSE ln((n + 1) / 2) + 1 END, 6) AS idf
 FROM idf_old a FULL JOIN touched t ON a.term = t.term LEFT JOIN idf_new b ON b.term = t.term, sizes""",
     "update_index_exact": f"WITH {BOTH} SELECT node_id, term, round(tf, 6) AS tf, round(idf, 6) AS idf FROM postings_new JOIN idf_new USING (term)",
-    "refresh": f"""WITH {BOTH}
-SELECT 'node' AS kind, id, coalesce(parent_id, '') AS detail, CAST(0 AS DOUBLE) AS value FROM new_nodes
-UNION ALL SELECT 'posting', node_id, term, round(tf, 6) FROM postings_new
-UNION ALL SELECT 'idf', term, '', round(idf, 6) FROM idf_new
-UNION ALL SELECT 'hash', path, sha256(text), 0 FROM new_kept""",
+    "refresh": SNAPSHOT,
+    "load_snapshot": SNAPSHOT,
 }

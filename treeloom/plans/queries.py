@@ -11,9 +11,12 @@ from ..operators import files as fil
 from ..operators import index as idx
 from ..operators import refresh as ref
 from ..operators import relations as rel
+from ..operators import render
 from ..operators import search as sea
 from ..operators import tree
-from ..sources.scratch import written
+from ..sources import snapshots
+from ..sources.scratch import scratch, written
+from ..sources.trees import SourceTree
 from . import adapters as ad
 
 QUERIES = {}
@@ -53,6 +56,20 @@ def content_hash(spark, sf_dir):
     return fil.hashed(ad.files(spark, sf_dir))
 
 
+@query
+def decode_files(spark, sf_dir):
+    content = F.col("content")
+    strict = text.strict_text(content)
+    return ad.encoded_documents(spark, sf_dir).select("doc_id", strict.alias("strict"), text.lenient_text(content).alias("lenient"), text.line_count(strict).alias("n_lines"))
+
+
+@query
+def load_tree(spark, sf_dir):
+    folder = ad.write_tree(ad.files(spark, sf_dir), scratch(spark, "tree"))
+    spark.dataSource.register(SourceTree)
+    return fil.hashed(spark.read.format("source_tree").load(folder))
+
+
 @query
 def read_lines(spark, sf_dir):
     docs = ad.table(spark, sf_dir, "documents")
@@ -97,7 +114,7 @@ def node_lookup(spark, sf_dir):
 
 @query
 def children(spark, sf_dir):
-    return tree.children(tree.assemble(ad.order_tree(spark, sf_dir))).select("parent_id", "id", listed("children_ids"))
+    return tree.children(tree_nodes(spark, sf_dir))
 
 
 @query
@@ -132,13 +149,34 @@ def edges(spark, sf_dir):
 
 @query
 def callers(spark, sf_dir):
-    return rel.callers_by_name(ad.caller_nodes(spark, sf_dir)).select("name", F.size("called_by").cast("long").alias("n_callers"), F.md5(F.array_join("called_by", ",")).alias("callers_md5"))
+    return rel.callers_by_name(ad.caller_nodes(spark, sf_dir))
 
 
 @query
 def inspect_all(spark, sf_dir):
-    out = rel.inspect(ad.caller_nodes(spark, sf_dir))
-    return out.select("id", "name", listed("calls"), F.size("called_by").cast("long").alias("n_callers"), F.md5(F.array_join("called_by", ",")).alias("callers_md5"))
+    return rel.inspect_all(ad.caller_nodes(spark, sf_dir)).select("id", "name", listed("calls"), "n_callers")
+
+
+@query
+def inspect_json(spark, sf_dir):
+    nodes = ad.caller_nodes(spark, sf_dir)
+    first = nodes.groupBy("name").agg(F.min("id").alias("id"))  # one document for every name
+    return render.inspect_json(nodes, first)
+
+
+@query
+def map_json(spark, sf_dir):
+    return render.map_json(tree_nodes(spark, sf_dir), "orders", "/data")
+
+
+@query
+def expand_json(spark, sf_dir):
+    return render.expand_json(tree_nodes(spark, sf_dir), "ASIA")
+
+
+@query
+def hierarchy_json(spark, sf_dir):
+    return render.hierarchy_json(ad.caller_nodes(spark, sf_dir), "Brand#7")
 
 
 @query
@@ -148,7 +186,7 @@ def subclasses(spark, sf_dir):
 
 @query
 def hierarchy_all(spark, sf_dir):
-    return rel.hierarchy(ad.caller_nodes(spark, sf_dir)).select("base", "count", F.md5(F.array_join("subclasses", ",")).alias("subclasses_md5"))
+    return rel.hierarchy(ad.caller_nodes(spark, sf_dir))
 
 
 @query
@@ -225,6 +263,14 @@ def search_batch(spark, sf_dir):
     return sea.search(nodes, postings, idf_table, ad.benchmark_queries(spark, sf_dir)).select("query_id", F.col("rank").cast("long").alias("rank"), "node_id", rounded("score"), "name")
 
 
+@query
+def search_json(spark, sf_dir):
+    nodes, queries = ad.document_nodes(spark, sf_dir), ad.benchmark_queries(spark, sf_dir)
+    postings, idf_table = idx.build_index(nodes)
+    found = sea.ranked(sea.scores(postings, idf_table, queries))
+    return render.search_json(nodes, queries, found)
+
+
 def stored_hashes(spark, sf_dir):
     return fil.hashed(fil.supported(ad.old_files(spark, sf_dir)))
 
@@ -309,11 +355,23 @@ def update_index_exact(spark, sf_dir):
     return postings.join(idf_table, "term").select("node_id", "term", rounded("tf"), rounded("idf"))
 
 
-@query
-def refresh(spark, sf_dir):
-    new = ref.refresh(old_snapshot(spark, sf_dir), ad.new_files(spark, sf_dir), ad.prose_entities)
+def snapshot_rows(new):
     nodes = new.nodes.select(F.lit("node").alias("kind"), "id", F.coalesce("parent_id", F.lit("")).alias("detail"), F.lit(0.0).alias("value"))
     postings = new.postings.select(F.lit("posting").alias("kind"), F.col("node_id").alias("id"), F.col("term").alias("detail"), F.round("tf", 6).alias("value"))
     idf_rows = new.idf.select(F.lit("idf").alias("kind"), F.col("term").alias("id"), F.lit("").alias("detail"), F.round("idf", 6).alias("value"))
     hashes = new.file_hashes.select(F.lit("hash").alias("kind"), F.col("path").alias("id"), F.col("hash").alias("detail"), F.lit(0.0).alias("value"))
     return nodes.unionByName(postings).unionByName(idf_rows).unionByName(hashes)
+
+
+@query
+def refresh(spark, sf_dir):
+    return snapshot_rows(ref.refresh(old_snapshot(spark, sf_dir), ad.new_files(spark, sf_dir), ad.prose_entities))
+
+
+@query
+def load_snapshot(spark, sf_dir):
+    path = scratch(spark, "snapshots")
+    snapshots.save(old_snapshot(spark, sf_dir), path)
+    snapshots.save(ref.full_build(ad.new_files(spark, sf_dir), ad.prose_entities), path)
+    snapshots.prune(spark, path, keep=1)
+    return snapshot_rows(snapshots.load(spark, path))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.refresh import Snapshot
 from ..schemas import FILE_HASHES, IDF, NODES, POSTINGS
+from .scratch import removed
 
 SCHEMAS = {"nodes": NODES, "postings": POSTINGS, "idf": IDF, "file_hashes": FILE_HASHES}
 POINTER = "version long, folder string"
@@ -35,3 +36,11 @@ def load(spark: SparkSession, path: str) -> Snapshot:
     """The newest snapshot; list columns are arrays as they were."""
     folder = spark.read.schema(POINTER).parquet(f"{path}/current").orderBy(F.desc("version")).first()["folder"]
     return Snapshot(**{name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in SCHEMAS.items()})
+
+
+def prune(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Deletes the folders of all but the newest ``keep`` (at least one) snapshots and returns those deleted. Readers of an older one must be done."""
+    if keep < 1:
+        raise ValueError("the current snapshot stays")
+    rows = spark.read.schema(POINTER).parquet(f"{path}/current").orderBy(F.desc("version")).collect()  # one row a save
+    return [r["folder"] for r in rows[keep:] if removed(spark, r["folder"])]

@@ -5,14 +5,18 @@ Spark's own file readers skip such names, so this is a Python data source:
     spark.dataSource.register(SourceTree)
     spark.read.format("source_tree").load("/mnt/corpus")
 
-Every directory is one partition and is read by the task that gets it. The folder must be
-mounted at the same path on every executor; a corpus in object storage is better kept as
-a Parquet table of the same schema.
+The driver opens directories from the top until it has ``PARTITIONS`` of them and no more;
+below these, each task walks its own subtree. A directory that the driver opened and that
+holds many files is dealt to several tasks by a hash of the names. The folder must be mounted
+at the same path on every executor; a corpus in object storage is better kept as a Parquet
+table of the same schema.
 """
 
 from __future__ import annotations
 
 import os
+import zlib
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,9 +24,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..schemas import EXCLUDED_NAMES, EXCLUDED_SUFFIX, FILES
 
 
+PARTITIONS = 1_000  # directories that the driver opens at most to plan a scan
+FILES_PER_TASK = 5_000
+
+
 class Directory(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """A directory: all below it, or its own files alone, or that share of them whose names hash to ``share``."""
+
+    def __init__(self, path: str, deep: bool, share: int = 0, shares: int = 1):
+        self.path, self.deep, self.share, self.shares = path, deep, share, shares
 
 
 class SourceTree(DataSource):
@@ -34,26 +44,45 @@ class SourceTree(DataSource):
         return FILES
 
     def reader(self, schema) -> SourceTreeReader:
-        return SourceTreeReader(self.options["path"], self.options.get("all", "false") == "true")
+        o = self.options
+        return SourceTreeReader(o["path"], o.get("all", "false") == "true", int(o.get("partitions", PARTITIONS)), int(o.get("files", FILES_PER_TASK)))
 
 
 class SourceTreeReader(DataSourceReader):
-    """Directories that are excluded by name are not entered, unless the option ``all`` is true. Links are not followed."""
-
-    def __init__(self, root: str, everything: bool):
-        self.root, self.everything = root.rstrip("/"), everything
+    """Directories that are excluded by name are not entered, unless the option ``all`` is true. Links are not followed. Options ``partitions`` and ``files`` stand for PARTITIONS and FILES_PER_TASK."""
+
+    def __init__(self, root: str, everything: bool, partitions: int, files: int):
+        self.root, self.everything, self.most, self.files = root.rstrip("/"), everything, partitions, files
+
+    def entries(self, folder: str) -> tuple[list[str], list[str]]:
+        """Paths of the directories to enter and of the files, in order of their names."""
+        inner, own = [], []
+        for e in sorted(os.scandir(folder), key=lambda e: e.name):
+            if e.is_dir(follow_symlinks=False):
+                if self.everything or not (e.name in EXCLUDED_NAMES or e.name.endswith(EXCLUDED_SUFFIX)):
+                    inner.append(e.path)
+            elif e.is_file(follow_symlinks=False):
+                own.append(e.path)
+        return inner, own
 
     def partitions(self) -> list[Directory]:
-        out = []
-        for folder, names, _ in os.walk(self.root):
-            if not self.everything:
-                names[:] = [n for n in names if n not in EXCLUDED_NAMES and not n.endswith(EXCLUDED_SUFFIX)]
-            names.sort()
-            out.append(Directory(folder))
-        return out
+        opened, closed = [], deque([self.root])
+        for _ in range(self.most):
+            if not closed:
+                break
+            folder = closed.popleft()
+            inner, own = self.entries(folder)
+            shares = -(-len(own) // self.files)
+            opened += [Directory(folder, False, i, shares) for i in range(shares)]
+            closed += inner
+        return (opened + [Directory(d, True) for d in closed]) or [Directory(self.root, False)]
 
     def read(self, partition: Directory) -> Iterator[tuple[str, bytes]]:
-        for entry in sorted(os.scandir(partition.path), key=lambda e: e.name):
-            if entry.is_file(follow_symlinks=False):
-                with open(entry.path, "rb") as f:
-                    yield os.path.relpath(entry.path, self.root), f.read()
+        todo = [partition.path]
+        while todo:
+            inner, own = self.entries(todo.pop())
+            todo += inner if partition.deep else []
+            for path in own:
+                if zlib.crc32(os.path.basename(path).encode("utf-8", "surrogateescape")) % partition.shares == partition.share:
+                    with open(path, "rb") as f:
+                        yield os.path.relpath(path, self.root), f.read()
