@@ -1,23 +1,23 @@
 """Small source trees with known entities."""
 
 SAMPLE = {
-    "src/__init__.py": "",
-    "src/utils/__init__.py": "",
-    "src/main.py": 'def main():\n    """Entry point."""\n    print(helper())\n\n\ndef helper():\n    """Helper function."""\n    return 1\n',
-    "src/utils/helpers.py": (
-        'class Calculator:\n    """A simple calculator class."""\n\n'
-        '    def add(self, a: int, b: int) -> int:\n        """Add two numbers."""\n        return a + b\n\n'
-        '    def subtract(self, a: int, b: int) -> int:\n        """Subtract b from a."""\n        return a - b\n\n\n'
-        'def format_output(value):\n    """Format a value for output."""\n    return str(value)\n\n\n'
-        'async def async_fetch(url: str) -> str:\n    """Fetch data asynchronously."""\n    return url\n'
+    "shop/__init__.py": "",
+    "shop/stock/__init__.py": "",
+    "shop/till.py": 'def ring(total):\n    """Ring up a sale."""\n    return receipt(round(total))\n\n\ndef receipt(total):\n    """Paper receipt."""\n    return total\n',
+    "shop/stock/shelf.py": (
+        'class Shelf:\n    """Boards that carry goods."""\n\n'
+        '    def put(self, item: str, pieces: int) -> int:\n        """Put pieces away."""\n        return pieces\n\n'
+        '    def take(self, item: str, pieces: int) -> int:\n        """Take pieces down."""\n        return -pieces\n\n\n'
+        'def price_tag(cents):\n    """Print cents nicely."""\n    return str(cents)\n\n\n'
+        'async def order_goods(url: str) -> str:\n    """Order from a wholesaler."""\n    return url\n'
     ),
 }
-MODELS = {
-    "src/__init__.py": "",
-    "src/models.py": (
-        "class BaseModel:\n    def save(self):\n        pass\n\n    def delete(self):\n        pass\n\n\n"
-        "class User(BaseModel):\n    def login(self):\n        pass\n\n\nclass Admin(User):\n    def ban(self):\n        pass\n\n\n"
-        "class Product(BaseModel):\n    pass\n\n\nclass Order(BaseModel):\n    pass\n"
+GOODS = {
+    "shop/__init__.py": "",
+    "shop/goods.py": (
+        "class Ware:\n    def weigh(self):\n        pass\n\n    def wrap(self):\n        pass\n\n\n"
+        "class Fruit(Ware):\n    def ripen(self):\n        pass\n\n\nclass Apple(Fruit):\n    def peel(self):\n        pass\n\n\n"
+        "class Bread(Ware):\n    pass\n\n\nclass Cheese(Ware):\n    pass\n"
     ),
 }
 

@@ -13,11 +13,11 @@ def extracted(spark, sources):
 
 def test_sample(spark):
     got = extracted(spark, SAMPLE)
-    assert {q for _, q in got} == {"main", "helper", "Calculator", "Calculator.add", "Calculator.subtract", "format_output", "async_fetch"}
-    add = got["src/utils/helpers.py", "Calculator.add"]
-    assert (add.type, add.signature, add.docstring, add.parent_qualname, add.line_start, add.line_end) == ("method", "def add(self, a: int, b: int) -> int", "Add two numbers.", "Calculator", 4, 6)
-    assert got["src/utils/helpers.py", "async_fetch"].signature == "async def async_fetch(url: str) -> str"
-    assert got["src/main.py", "main"].calls == ["helper", "print"]
+    assert {q for _, q in got} == {"ring", "receipt", "Shelf", "Shelf.put", "Shelf.take", "price_tag", "order_goods"}
+    put = got["shop/stock/shelf.py", "Shelf.put"]
+    assert (put.type, put.signature, put.docstring, put.parent_qualname, put.line_start, put.line_end) == ("method", "def put(self, item: str, pieces: int) -> int", "Put pieces away.", "Shelf", 4, 6)
+    assert got["shop/stock/shelf.py", "order_goods"].signature == "async def order_goods(url: str) -> str"
+    assert got["shop/till.py", "ring"].calls == ["receipt", "round"]
 
 
 def test_forms(spark):
@@ -45,8 +45,8 @@ def test_broken_files_give_nothing(spark):
 def test_ids(spark):
     f = files(spark, SAMPLE).withColumn("language", F.lit("python"))
     got = {(r.id, r.parent_id) for r in ent.entity_nodes(ent.extract(f)).collect()}
-    assert ("src/utils/helpers.py:Calculator.add", "src/utils/helpers.py:Calculator") in got
-    assert ("src/main.py:main", "src/main.py") in got
+    assert ("shop/stock/shelf.py:Shelf.put", "shop/stock/shelf.py:Shelf") in got
+    assert ("shop/till.py:ring", "shop/till.py") in got
 
 
 def test_other_extractors_plug_in(spark):

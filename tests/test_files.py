@@ -83,4 +83,4 @@ def test_hashes(spark):
 
 def test_dir_closure(spark):
     got = {(r.id, r.parent_id) for r in fil.directory_nodes(files(spark, SAMPLE)).collect()}
-    assert got == {(".", None), ("src", "."), ("src/utils", "src")}
+    assert got == {(".", None), ("shop", "."), ("shop/stock", "shop")}

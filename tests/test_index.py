@@ -22,30 +22,30 @@ def test_counts(spark, sample):
     for r in idx.term_counts(idx.searchable_texts(sample[0])).collect():
         got.setdefault(r.node_id.split(":")[1], {})[r.term] = r.n
     assert got == {
-        "main": {"main": 3, "entry": 1, "point": 1},
-        "helper": {"helper": 4, "function": 1},
-        "Calculator": {"calculator": 4, "simple": 1},
-        "Calculator.add": {"add": 4, "int": 3, "two": 1, "numbers": 1},
-        "Calculator.subtract": {"subtract": 4, "int": 3},
-        "format_output": {"format": 4, "output": 4, "value": 2},
-        "async_fetch": {"async": 4, "fetch": 4, "str": 2, "url": 1, "data": 1, "asynchronously": 1},
+        "ring": {"ring": 4, "total": 1, "sale": 1},
+        "receipt": {"receipt": 4, "total": 1, "paper": 1},
+        "Shelf": {"shelf": 3, "boards": 1, "carry": 1, "goods": 1},
+        "Shelf.put": {"put": 4, "item": 1, "str": 1, "pieces": 2, "int": 2, "away": 1},
+        "Shelf.take": {"take": 4, "item": 1, "str": 1, "pieces": 2, "int": 2, "down": 1},
+        "price_tag": {"price": 3, "tag": 3, "cents": 2, "print": 1, "nicely": 1},
+        "order_goods": {"order": 4, "goods": 3, "async": 1, "url": 1, "str": 2, "wholesaler": 1},
     }
 
 
 def test_idf(sample):
     got = {r.term: r.idf for r in sample[2].collect()}
-    assert len(got) == 21 and sample[1].count() == 22
-    assert math.isclose(got["main"], 2.386294361119891) and math.isclose(got["int"], 1.980829253011, rel_tol=1e-9)
+    assert len(got) == 26 and sample[1].count() == 33
+    assert math.isclose(got["ring"], 2.386294361119891) and math.isclose(got["int"], 1.980829253011, rel_tol=1e-9)
 
 
 @pytest.mark.parametrize(
     ("query", "expected"),
     [
-        ("Calculator", [("Calculator", 1.0)]),
-        ("add two numbers", [("Calculator.add", 0.5)]),
-        ("async fetch", [("async_fetch", 1.0)]),
-        ("int", [("Calculator.add", 0.6226), ("Calculator.subtract", 0.6226)]),
-        ("add add nonexistentxyz", [("Calculator.add", 0.3333)]),
+        ("Shelf", [("Shelf", 1.0)]),
+        ("put pieces away", [("Shelf.put", 0.555), ("Shelf.take", 0.1383)]),
+        ("order goods", [("order_goods", 0.8113), ("Shelf", 0.1383)]),
+        ("int", [("Shelf.put", 0.415), ("Shelf.take", 0.415)]),
+        ("put put nonexistentxyz", [("Shelf.put", 0.3333)]),
         ("def", []),
         ("", []),
     ],
@@ -57,9 +57,9 @@ def test_search(sample, query, expected):
 
 
 def test_batch_ranks_and_bounds(spark, sample):
-    queries = spark.createDataFrame([(1, "int add"), (2, "zzz"), (3, "format output value"), (4, None)], "query_id long, query string")
+    queries = spark.createDataFrame([(1, "int put"), (2, "zzz"), (3, "price tag cents"), (4, None)], "query_id long, query string")
     rows = sea.search(*sample, queries, k=1).collect()
-    assert {(r.query_id, r.rank, r.name) for r in rows} == {(1, 1, "add"), (3, 1, "format_output")}
+    assert {(r.query_id, r.rank, r.name) for r in rows} == {(1, 1, "put"), (3, 1, "price_tag")}
     assert all(0 <= r.score <= 1 for r in rows)
 
 
@@ -78,13 +78,13 @@ def test_add_and_remove(spark, sample):
 
 def test_threshold_policy(spark, sample):
     nodes, postings, idf = sample
-    extra = spark.createDataFrame([("n:new", "n", "entry", "function", "n", 1, 1, None, "fresh", [], [], "python")], NODES)
+    extra = spark.createDataFrame([("n:new", "n", "sale", "function", "n", 1, 1, None, "fresh", [], [], "python")], NODES)
     every, ids = nodes.unionByName(extra), extra.select("id")
     old = {r.term: r.idf for r in idf.collect()}
     kept = {r.term: r.idf for r in idx.update_index(postings, idf, every, ids, 1, "threshold", threshold=0.5)[1].collect()}
-    assert kept["entry"] == old["entry"] and math.isclose(kept["fresh"], math.log(9 / 2) + 1)
+    assert kept["sale"] == old["sale"] and math.isclose(kept["fresh"], math.log(9 / 2) + 1)
     anew = {r.term: r.idf for r in idx.update_index(postings, idf, every, ids, 1, "threshold")[1].collect()}
-    assert math.isclose(anew["entry"], math.log(9 / 3) + 1) and anew["main"] == old["main"]
+    assert math.isclose(anew["sale"], math.log(9 / 3) + 1) and anew["ring"] == old["ring"]
     with pytest.raises(ValueError):
         idx.update_index(postings, idf, every, ids, 1, "other")
 

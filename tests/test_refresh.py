@@ -8,7 +8,7 @@ from treeloom.operators import render, tree
 from treeloom.operators import search as sea
 from treeloom.sources import snapshots
 
-from .fixtures import MODELS, SAMPLE, files
+from .fixtures import GOODS, SAMPLE, files
 
 
 def tables(s):
@@ -18,10 +18,10 @@ def tables(s):
 
 
 NEW = {
-    "src/__init__.py": "",
-    "src/main.py": "def main():\n    fresh()\n\n\ndef second(): pass\n\n\ndef third(): pass\n",
-    "src/utils/helpers.py": SAMPLE["src/utils/helpers.py"],
-    "lib/deep/new.py": MODELS["src/models.py"],
+    "shop/__init__.py": "",
+    "shop/till.py": "def ring():\n    fresh()\n\n\ndef second(): pass\n\n\ndef third(): pass\n",
+    "shop/stock/shelf.py": SAMPLE["shop/stock/shelf.py"],
+    "lib/deep/new.py": GOODS["shop/goods.py"],
 }
 
 
@@ -35,9 +35,9 @@ def old(spark, tmp_path_factory):
 def test_refresh_equals_full_build(spark, old):
     got = ref.refresh(old, files(spark, NEW), ent.extract)
     assert tables(got) == tables(ref.full_build(files(spark, NEW), ent.extract))
-    functions = [r.name for r in got.nodes.filter("file_path = 'src/main.py' and type = 'function'").collect()]
-    assert sorted(functions) == ["main", "second", "third"]
-    assert [r.name for r in sea.search_one(got.nodes, got.postings, got.idf, "calculator").collect()] == ["Calculator"]
+    functions = [r.name for r in got.nodes.filter("file_path = 'shop/till.py' and type = 'function'").collect()]
+    assert sorted(functions) == ["ring", "second", "third"]
+    assert [r.name for r in sea.search_one(got.nodes, got.postings, got.idf, "shelf").collect()] == ["Shelf"]
 
 
 def test_nothing_changed(spark, old):
@@ -45,34 +45,34 @@ def test_nothing_changed(spark, old):
 
 
 def test_directory_goes_with_its_last_file(spark, old):
-    got = ref.refresh(old, files(spark, {"src/main.py": SAMPLE["src/main.py"]}), ent.extract)
-    assert {r.id for r in got.nodes.filter("type = 'dir'").collect()} == {".", "src"}
+    got = ref.refresh(old, files(spark, {"shop/till.py": SAMPLE["shop/till.py"]}), ent.extract)
+    assert {r.id for r in got.nodes.filter("type = 'dir'").collect()} == {".", "shop"}
 
 
 def test_threshold_policy_keeps_unchanged_entities_searchable(spark, old):
     got = ref.refresh(old, files(spark, NEW), ent.extract, policy="threshold")
-    assert [r.name for r in sea.search_one(got.nodes, got.postings, got.idf, "subtract").collect()] == ["subtract"]
+    assert [r.name for r in sea.search_one(got.nodes, got.postings, got.idf, "take").collect()] == ["take"]
 
 
 def test_classify_and_counts(spark, old):
-    edited = {**SAMPLE, "src/main.py": SAMPLE["src/main.py"] + "# more\n", "a.py": ""}
-    del edited["src/__init__.py"]
+    edited = {**SAMPLE, "shop/till.py": SAMPLE["shop/till.py"] + "# more\n", "a.py": ""}
+    del edited["shop/__init__.py"]
     from treeloom.operators import files as fil
 
     got = {r.path: r.status for r in ref.classify(fil.hashed(files(spark, edited)), old.file_hashes).collect()}
-    assert got == {"src/main.py": "updated", "a.py": "added", "src/__init__.py": "removed", "src/utils/__init__.py": "unchanged", "src/utils/helpers.py": "unchanged"}
-    assert [r.path for r in ref.removed_files(fil.hashed(files(spark, edited)), old.file_hashes).collect()] == ["src/__init__.py"]
+    assert got == {"shop/till.py": "updated", "a.py": "added", "shop/__init__.py": "removed", "shop/stock/__init__.py": "unchanged", "shop/stock/shelf.py": "unchanged"}
+    assert [r.path for r in ref.removed_files(fil.hashed(files(spark, edited)), old.file_hashes).collect()] == ["shop/__init__.py"]
 
 
 def test_snapshots_keep_lists_and_replace(spark, tmp_path):
     s = ref.full_build(files(spark, {"m.py": "class A(B1, B2, B3): pass\n"}), ent.extract)
     snapshots.save(s, str(tmp_path))
     assert snapshots.load(spark, str(tmp_path)).nodes.filter("name = 'A'").first().base_classes == ["B1", "B2", "B3"]
-    snapshots.save(ref.full_build(files(spark, MODELS), ent.extract), str(tmp_path))
+    snapshots.save(ref.full_build(files(spark, GOODS), ent.extract), str(tmp_path))
     snapshots.prune(spark, str(tmp_path), keep=1)
     assert len(list(tmp_path.glob("v*"))) == 1 and snapshots.prune(spark, str(tmp_path)) == []
     again = snapshots.load(spark, str(tmp_path))
-    assert again.nodes.filter("name = 'A'").count() == 0 and again.nodes.filter("name = 'Admin'").count() == 1
+    assert again.nodes.filter("name = 'A'").count() == 0 and again.nodes.filter("name = 'Apple'").count() == 1
 
 
 def test_upsert_is_idempotent(spark, old):
@@ -88,13 +88,13 @@ def test_upsert_is_idempotent(spark, old):
 def test_json(spark, old):
     n = old.nodes
     whole = json.loads(render.map_json(n, "proj", "/tmp/proj").first().json)
-    assert whole["command"] == "map" and whole["stats"] == {"files": 4, "classes": 1, "functions": 4, "methods": 2} and [c["id"] for c in whole["children"]] == ["src"]
-    node = json.loads(render.expand_json(n, "src").first().json)
-    assert [c["id"] for c in node["children"]] == ["src/__init__.py", "src/main.py", "src/utils"]
+    assert whole["command"] == "map" and whole["stats"] == {"files": 4, "classes": 1, "functions": 4, "methods": 2} and [c["id"] for c in whole["children"]] == ["shop"]
+    node = json.loads(render.expand_json(n, "shop").first().json)
+    assert [c["id"] for c in node["children"]] == ["shop/__init__.py", "shop/stock", "shop/till.py"]
     assert set(node["node"]) == set(render.FIELDS) and len(render.FIELDS) == 13 and node["node"]["signature"] is None
-    assert node["children"][1]["stats"]["functions"] == 2
+    assert node["children"][2]["stats"]["functions"] == 2
     seen = {r.id: json.loads(r.json) for r in render.inspect_json(n, n.select("id")).collect()}
-    assert seen["src/main.py:helper"]["called_by"] == ["src/main.py:main"] and seen["src/main.py:main"]["calls"] == ["helper", "print"]
+    assert seen["shop/till.py:receipt"]["called_by"] == ["shop/till.py:ring"] and seen["shop/till.py:ring"]["calls"] == ["receipt", "round"]
     kids = json.loads(render.hierarchy_json(n, "Nothing").first().json)
     assert kids["count"] == 0 and kids["subclasses"] == []
 
@@ -103,7 +103,7 @@ def test_search_json(spark, old):
     queries = spark.createDataFrame([(1, 'int "é\\'), (2, "zzz")], "query_id long, query string")
     found = sea.ranked(sea.scores(old.postings, old.idf, queries))
     got = {r.query_id: json.loads(r.json) for r in render.search_json(old.nodes, queries, found).collect()}
-    assert got[1]["query"] == 'int "é\\' and got[1]["count"] == 2 and [x["score"] for x in got[1]["results"]] == [0.6226, 0.6226]
+    assert got[1]["query"] == 'int "é\\' and got[1]["count"] == 2 and [x["score"] for x in got[1]["results"]] == [0.415, 0.415]
     assert got[2]["count"] == 0 and got[2]["results"] == []
 
 

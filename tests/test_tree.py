@@ -5,7 +5,7 @@ from treeloom.operators import relations as rel
 from treeloom.operators import tree
 from treeloom.schemas import NODES
 
-from .fixtures import MODELS, SAMPLE, files, nodes
+from .fixtures import GOODS, SAMPLE, files, nodes
 
 
 def built(spark, sources):
@@ -19,18 +19,18 @@ def counts(df):
 def test_stats(spark):
     n = built(spark, SAMPLE).nodes
     got = counts(tree.stats(n))
-    assert got["."] == got["src"] == (4, 1, 4, 2)
-    assert got["src/utils"] == (2, 1, 2, 2)
-    assert got["src/main.py"] == (1, 0, 2, 0)
+    assert got["."] == got["shop"] == (4, 1, 4, 2)
+    assert got["shop/stock"] == (2, 1, 2, 2)
+    assert got["shop/till.py"] == (1, 0, 2, 0)
     assert counts(tree.node_stats(n)) == {".": (4, 1, 4, 2)}
     assert counts(tree.node_stats(n, "nowhere")) == {"nowhere": (0, 0, 0, 0)}
-    asked = spark.createDataFrame([("src",), ("nowhere",)], "id string")
-    assert counts(tree.stats_of(n, asked)) == {"src": (4, 1, 4, 2), "nowhere": (0, 0, 0, 0)}
-    assert counts(tree.project_map(n)) == {".": (4, 1, 4, 2), "src": (4, 1, 4, 2)}
+    asked = spark.createDataFrame([("shop",), ("nowhere",)], "id string")
+    assert counts(tree.stats_of(n, asked)) == {"shop": (4, 1, 4, 2), "nowhere": (0, 0, 0, 0)}
+    assert counts(tree.project_map(n)) == {".": (4, 1, 4, 2), "shop": (4, 1, 4, 2)}
 
 
 def test_own_counts_and_children_add_up(spark):
-    n = built(spark, {**SAMPLE, **{f"m/{k}": v for k, v in MODELS.items()}}).nodes
+    n = built(spark, {**SAMPLE, **{f"m/{k}": v for k, v in GOODS.items()}}).nodes
     got, rows = counts(tree.stats(n)), n.collect()
     own = {r.id: tuple(int(r.type == t) for t in ("file", "class", "function", "method")) for r in rows}
     for r in rows:
@@ -39,11 +39,11 @@ def test_own_counts_and_children_add_up(spark):
 
 
 def test_models(spark):
-    n = built(spark, MODELS).nodes
+    n = built(spark, GOODS).nodes
     assert counts(tree.stats(n))["."] == (2, 5, 0, 4)
     names = lambda base: {r.name for r in rel.subclasses(n, base).collect()}
-    assert names("BaseModel") == {"User", "Product", "Order"}
-    assert names("User") == {"Admin"}
+    assert names("Ware") == {"Fruit", "Bread", "Cheese"}
+    assert names("Fruit") == {"Apple"}
     assert names("NonexistentBase") == set()
 
 
@@ -55,11 +55,11 @@ def test_last_definition_wins(spark):
 
 def test_children_lookup_orphans(spark):
     n = built(spark, SAMPLE).nodes
-    kids = {r.id: r.children_ids for r in tree.children(n, "src").collect()}
-    assert kids == {"src/__init__.py": [], "src/main.py": ["src/main.py:helper", "src/main.py:main"], "src/utils": ["src/utils/__init__.py", "src/utils/helpers.py"]}
-    assert {r.id: r.n_children for r in tree.children(n).filter("parent_id = 'src'").collect()} == {i: len(c) for i, c in kids.items()}
-    one = tree.lookup(n, spark.createDataFrame([("src/utils",), ("x",)], "id string")).collect()
-    assert [(r.id, r.children_ids) for r in one] == [("src/utils", ["src/utils/__init__.py", "src/utils/helpers.py"])]
+    kids = {r.id: r.children_ids for r in tree.children(n, "shop").collect()}
+    assert kids == {"shop/__init__.py": [], "shop/till.py": ["shop/till.py:receipt", "shop/till.py:ring"], "shop/stock": ["shop/stock/__init__.py", "shop/stock/shelf.py"]}
+    assert {r.id: r.n_children for r in tree.children(n).filter("parent_id = 'shop'").collect()} == {i: len(c) for i, c in kids.items()}
+    one = tree.lookup(n, spark.createDataFrame([("shop/stock",), ("x",)], "id string")).collect()
+    assert [(r.id, r.children_ids) for r in one] == [("shop/stock", ["shop/stock/__init__.py", "shop/stock/shelf.py"])]
     lost = nodes(spark, [(".", None, ".", "dir", [], []), ("a,b:x", "gone", "x", "class", [], [])])
     assert [r.id for r in tree.orphans(lost).collect()] == ["a,b:x"]
     assert counts(tree.stats(lost))["."] == (0, 0, 0, 0)
