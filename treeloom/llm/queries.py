@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, embedding_dedup, html_extraction, language, suffix_tree_lm, warc
+from . import byte_bpe, centroid_clustering, decontamination, embedding_dedup, html_extraction, language, suffix_tree_lm, warc
 from .common import table
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
@@ -81,5 +81,29 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
 FROM f
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_embedding_dedup": op2_embedding_dedup, "op4_simhash": op4_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_decontamination": op6_decontamination, "op7_html_extraction": op7_html_extraction, "op8_suffix_tree_lm": op8_suffix_tree_lm, "op9_language": op9_language, "op10_warc": op10_warc, "op3_substring_dedup": op3_substring_dedup}
-ORACLE_SQL = {"op10_warc": OP10_SQL}
+def op13_centroid_clustering(spark, sf_dir):
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sql(k: int = centroid_clustering.K, rounds: int = centroid_clustering.ROUNDS, dims: int = centroid_clustering.DIMS, seed: int = centroid_clustering.SEED) -> str:
+    """Each round is two tables: a<i> (assignments, from the cross of vectors and centroids by component) and c<i> (centroids)."""
+    floor_mean = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "x AS MATERIALIZED (SELECT r, unnest(q) AS x, generate_subscripts(q, 1) AS d FROM v)",
+        f"s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), q) - 1 AS c, q FROM v QUALIFY c < {k})",
+        "c0 AS MATERIALIZED (SELECT c, unnest(q) AS x, generate_subscripts(q, 1) AS d FROM s)",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, first(c ORDER BY z, c) AS c, min(z) AS z FROM (SELECT r, c, sum((x.x - m.x) * (x.x - m.x)) AS z FROM x JOIN c{i} m USING (d) GROUP BY r, c) GROUP BY r)")
+        if i < rounds:
+            parts.append(f"m{i} AS MATERIALIZED (SELECT c, d, sum(x) AS s, count(*) AS n FROM a{i} JOIN x USING (r) GROUP BY c, d)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT o.c, o.d, coalesce({floor_mean}, o.x) AS x FROM c{i} o LEFT JOIN m{i} m ON o.c = m.c AND o.d = m.d)")
+    return f"""WITH {", ".join(parts)},
+h AS (SELECT c, sha256(string_agg(x, ',' ORDER BY d)) AS h FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INT) AS cluster, CAST(z AS BIGINT) AS distance, CAST(sum(z) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(z) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM v JOIN a{rounds} USING (r) JOIN h USING (c)"""
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_embedding_dedup": op2_embedding_dedup, "op4_simhash": op4_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_decontamination": op6_decontamination, "op7_html_extraction": op7_html_extraction, "op8_suffix_tree_lm": op8_suffix_tree_lm, "op9_language": op9_language, "op10_warc": op10_warc, "op3_substring_dedup": op3_substring_dedup, "op13_centroid_clustering": op13_centroid_clustering}
+ORACLE_SQL = {"op10_warc": OP10_SQL, "op13_centroid_clustering": op13_sql()}
