@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, centroid_clustering, decontamination, embedding_dedup, html_extraction, language, suffix_tree_lm, warc
+from . import byte_bpe, centroid_clustering, conversation_trie, decontamination, embedding_dedup, html_extraction, language, suffix_tree_lm, warc
 from .common import table
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
@@ -81,6 +81,30 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
 FROM f
 """
 
+def op11_conversation_trie(spark, sf_dir):
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of the decimal digits of c: every byte is followed by eight shifts.
+CRC32 = "xor(list_reduce([4294967295] || flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+
+#: Every node is its prefix, a list of turns; a subtree is found by cutting the prefixes below it.
+OP11_SQL = f"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(text, '') AS x, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[:32] AS k FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, k || ':' || length(x) AS k, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS pos FROM t),
+e AS (SELECT c, c - c % 100 AS lender, {CRC32} % 6 AS h FROM (SELECT DISTINCT c FROM o)),
+r AS (SELECT e.c, pos, k FROM e JOIN o ON o.c = e.lender WHERE pos <= h UNION ALL SELECT e.c, pos, k FROM e JOIN o ON o.c = e.c WHERE pos > h),
+s AS (SELECT c, coalesce(l, []) AS l FROM e LEFT JOIN (SELECT c, list(k ORDER BY pos) AS l FROM r GROUP BY c) USING (c)),
+p AS (SELECT c, l, unnest(range(len(l) + 1)) AS d FROM s),
+n AS (SELECT l[:d] AS p, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(sha256(string_agg(c, ',' ORDER BY c) FILTER (len(l) = d)), sha256('')) AS ends FROM p GROUP BY ALL),
+w AS (SELECT *, CASE WHEN d > 0 THEN (n_convs - 1) * CAST(string_split(p[d], ':')[2] AS BIGINT) ELSE 0 END AS saved FROM n),
+kids AS (SELECT p[:d - 1] AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT w.*, coalesce(n_children, 0) AS n_children FROM w LEFT JOIN kids USING (p)),
+up AS (SELECT p[:a] AS p, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(d + 1)) AS a FROM f) GROUP BY 1)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN up USING (p) LEFT JOIN f u ON f.d > 0 AND u.p = f.p[:f.d - 1]"""
+
+
 def op13_centroid_clustering(spark, sf_dir):
     return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -105,5 +129,5 @@ SELECT vec_id, CAST(c AS INT) AS cluster, CAST(z AS BIGINT) AS distance, CAST(su
 FROM v JOIN a{rounds} USING (r) JOIN h USING (c)"""
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_embedding_dedup": op2_embedding_dedup, "op4_simhash": op4_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_decontamination": op6_decontamination, "op7_html_extraction": op7_html_extraction, "op8_suffix_tree_lm": op8_suffix_tree_lm, "op9_language": op9_language, "op10_warc": op10_warc, "op3_substring_dedup": op3_substring_dedup, "op13_centroid_clustering": op13_centroid_clustering}
-ORACLE_SQL = {"op10_warc": OP10_SQL, "op13_centroid_clustering": op13_sql()}
+QUERIES = {"op1_sharding": op1_sharding, "op2_embedding_dedup": op2_embedding_dedup, "op4_simhash": op4_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_decontamination": op6_decontamination, "op7_html_extraction": op7_html_extraction, "op8_suffix_tree_lm": op8_suffix_tree_lm, "op9_language": op9_language, "op10_warc": op10_warc, "op3_substring_dedup": op3_substring_dedup, "op11_conversation_trie": op11_conversation_trie, "op13_centroid_clustering": op13_centroid_clustering}
+ORACLE_SQL = {"op10_warc": OP10_SQL, "op11_conversation_trie": OP11_SQL, "op13_centroid_clustering": op13_sql()}
