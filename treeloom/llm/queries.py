@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, centroid_clustering, conversation_trie, decontamination, embedding_dedup, html_extraction, language, suffix_tree_lm, warc
+from . import byte_bpe, centroid_clustering, conversation_trie, decontamination, embedding_dedup, html_extraction, language, pii, suffix_tree_lm, warc
 from .common import table
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
@@ -105,6 +105,12 @@ SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n
 FROM f JOIN up USING (p) LEFT JOIN f u ON f.d > 0 AND u.p = f.p[:f.d - 1]"""
 
 
+def op12_pii(spark, sf_dir):
+    joined = lambda c: F.array_join(c, ",")
+    out = pii.find(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op13_centroid_clustering(spark, sf_dir):
     return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -129,5 +135,5 @@ SELECT vec_id, CAST(c AS INT) AS cluster, CAST(z AS BIGINT) AS distance, CAST(su
 FROM v JOIN a{rounds} USING (r) JOIN h USING (c)"""
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_embedding_dedup": op2_embedding_dedup, "op4_simhash": op4_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_decontamination": op6_decontamination, "op7_html_extraction": op7_html_extraction, "op8_suffix_tree_lm": op8_suffix_tree_lm, "op9_language": op9_language, "op10_warc": op10_warc, "op3_substring_dedup": op3_substring_dedup, "op11_conversation_trie": op11_conversation_trie, "op13_centroid_clustering": op13_centroid_clustering}
+QUERIES = {"op1_sharding": op1_sharding, "op2_embedding_dedup": op2_embedding_dedup, "op4_simhash": op4_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_decontamination": op6_decontamination, "op7_html_extraction": op7_html_extraction, "op8_suffix_tree_lm": op8_suffix_tree_lm, "op9_language": op9_language, "op10_warc": op10_warc, "op3_substring_dedup": op3_substring_dedup, "op11_conversation_trie": op11_conversation_trie, "op12_pii": op12_pii, "op13_centroid_clustering": op13_centroid_clustering}
 ORACLE_SQL = {"op10_warc": OP10_SQL, "op11_conversation_trie": OP11_SQL, "op13_centroid_clustering": op13_sql()}
