@@ -106,6 +106,8 @@ FIRST_NUMBER = FIRST_WORD + 4  # by length, and whether at most 255
 SIGNS = [MARKS.index("@"), MARKS.index("("), MARKS.index("["), FIRST_CUE + 1]
 LENGTHS = np.minimum(np.searchsorted([1, 2, 3, 4, 5, 6, 9, 12, 16, 17, 20], np.arange(64), "right") - 1, 10)
 SHAPES = 2 * (FIRST_NUMBER + 12)
+BEYOND = SHAPES  # what is outside of a text
+GAP = "\n" * (crf.REACH + 1)
 CUE_KEYS, CUE_SHAPES = (np.array(v) for v in zip(*sorted((int.from_bytes(w.encode(), "little"), FIRST_CUE + i) for i, ws in enumerate(CUES) for w in ws)))
 
 
@@ -157,15 +159,18 @@ def labels_of(start: np.ndarray, end: np.ndarray, spans: list[tuple[int, int, in
     return out
 
 
-def stretches(start: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(from, to, own from, own to) of the parts that are decoded: tokens near a digit or one of SIGNS."""
+def stretches(shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(from, to, own from, own to) of the parts that are decoded: tokens near a digit or one of SIGNS, in one text. BEYOND parts texts."""
     kind = shape >> 1
-    signs = np.flatnonzero((kind >= FIRST_NUMBER) | np.isin(kind, SIGNS))
+    signs = np.flatnonzero((shape != BEYOND) & ((kind >= FIRST_NUMBER) | np.isin(kind, SIGNS)))
     if not len(signs):
         return (np.zeros(0, int),) * 4
-    new = np.concatenate(([True], np.diff(signs) > 2 * NEAR))
-    lo = np.maximum(signs[new] - NEAR, 0)
-    hi = np.minimum(signs[np.append(np.flatnonzero(new)[1:] - 1, len(signs) - 1)] + NEAR + 1, len(start))
+    walls = np.concatenate(([-1], np.flatnonzero(shape == BEYOND), [len(shape)]))
+    right = np.searchsorted(walls, signs)  # the wall behind each sign
+    new = np.concatenate(([True], (np.diff(signs) > 2 * NEAR) | (np.diff(right) > 0)))
+    final = np.append(np.flatnonzero(new)[1:] - 1, len(signs) - 1)
+    lo = np.maximum(signs[new] - NEAR, walls[right[new] - 1] + 1)
+    hi = np.minimum(signs[final] + NEAR + 1, walls[right[final]])
     parts = -(-(hi - lo) // STRETCH)
     first = np.cumsum(parts) - parts
     own = np.repeat(lo, parts) + STRETCH * (np.arange(int(parts.sum())) - np.repeat(first, parts))
@@ -173,13 +178,13 @@ def stretches(start: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.maximum(own - NEAR, np.repeat(lo, parts)), np.minimum(stop + NEAR, np.repeat(hi, parts)), own, stop
 
 
-def labelled_tokens(model: crf.Model, start: np.ndarray, shape: np.ndarray) -> np.ndarray:
+def labelled_tokens(model: crf.Model, shape: np.ndarray) -> np.ndarray:
     """A label for every token."""
-    lo, hi, own, stop = stretches(start, shape)
+    lo, hi, own, stop = stretches(shape)
     found = model.decode(shape, lo, hi)
     at = np.arange(len(found)) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)
     mine = (at >= np.repeat(own, hi - lo)) & (at < np.repeat(stop, hi - lo))
-    labels = np.zeros(len(start), np.int8)
+    labels = np.zeros(len(shape), np.int8)
     labels[at[mine]] = found[mine]
     return labels
 
@@ -197,10 +202,14 @@ def plausible(kind: int, found: str) -> bool:
     return 7 <= len(digits) <= 15 and re.fullmatch(r"\+?[0-9 ()./-]+", found) is not None
 
 
-def field_spans(model: crf.Model, text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the field's plausible spans in one piece of text."""
+def field_spans(model: crf.Model, text: str, begins: list[int] | None = None, ends: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the field's plausible spans in one text, or in texts begins..ends that are joined by GAP."""
     start, end, shape = tokens(text)
-    labels = labelled_tokens(model, start, shape)
+    if begins:
+        first = np.searchsorted(start, begins)
+        shape[first[first < len(shape)]] |= 1
+        shape[start >= np.asarray(ends)[np.searchsorted(begins, start, "right") - 1]] = BEYOND
+    labels = labelled_tokens(model, shape)
     marked = np.flatnonzero(labels)
     out, open_ = [], None
     for i in marked:
@@ -213,8 +222,7 @@ def field_spans(model: crf.Model, text: str) -> list[tuple[int, int, int]]:
         open_ = [int(start[i]), kind, int(end[i]), i]
     if open_:
         out.append(open_)
-    touches = lambda c: c.isalnum()
-    return [(s, k, e) for s, k, e, _ in out if plausible(k, text[s:e]) and not (s and touches(text[s - 1])) and not (e < len(text) and touches(text[e]))]
+    return [(s, k, e) for s, k, e, _ in out if plausible(k, text[s:e]) and not text[max(0, s - 1) : s].isalnum() and not text[e : e + 1].isalnum()]
 
 
 def pieces(texts: list[str], piece: int = PIECE, overlap: int = OVERLAP) -> Iterator[tuple[str, list[tuple[int, int, int, int]]]]:
@@ -227,21 +235,21 @@ def pieces(texts: list[str], piece: int = PIECE, overlap: int = OVERLAP) -> Iter
                 yield t[a : lo + piece + overlap], [(i, 0, a, lo, lo + piece)]
             continue
         if n + len(t) > piece and held:
-            yield "\n\n\n\n".join(held), parts
+            yield GAP.join(held), parts
             held, parts, n = [], [], 0
         parts.append((i, n, 0, 0, len(t) + 1))
         held.append(t)
-        n += len(t) + 4
+        n += len(t) + len(GAP)
     if held:
-        yield "\n\n\n\n".join(held), parts
+        yield GAP.join(held), parts
 
 
 def added_spans(model: crf.Model, texts: list[str], base: list[list[tuple[int, int, int]]], piece: int = PIECE, overlap: int = OVERLAP) -> list[list[tuple[int, int, int]]]:
     """For each text the field's spans that overlap no base span."""
     out = [[] for _ in texts]
     for joined, parts in pieces(texts, piece, overlap):
-        begins = np.array([p[1] for p in parts])
-        for s, kind, e in field_spans(model, joined):
+        begins = [p[1] for p in parts]
+        for s, kind, e in field_spans(model, joined, begins, [*(b - len(GAP) for b in begins[1:]), len(joined)]):
             i, at, offset, own, stop = parts[int(np.searchsorted(begins, s, "right")) - 1]
             s, e = s - at + offset, e - at + offset
             if own <= s < stop and e <= len(texts[i]):
