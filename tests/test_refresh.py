@@ -131,3 +131,61 @@ def test_delta_sees_values_that_move_between_columns(spark):
     old = spark.createDataFrame([("a", "n", "function", "x", None, "p"), ("b", "n", "function", None, None, "p")], schema)
     new = spark.createDataFrame([("a", "n", "function", None, "x", "p"), ("b", "n", "function", None, None, "p")], schema)
     assert [(r.id, r.status) for r in ref.node_delta(old, new).collect()] == [("a", "updated")]
+
+
+def stored(spark, tmp_path, sources, buckets=8):
+    path = str(tmp_path / "snapshots")
+    snapshots.save(ref.full_build(files(spark, sources), ent.extract), path, buckets)
+    return path
+
+
+def test_stored_refresh_equals_full_build(spark, tmp_path):
+    path = stored(spark, tmp_path, SAMPLE)
+    for sources in (NEW, GOODS, SAMPLE, {"a.txt": ""}, NEW):
+        snapshots.refresh(spark, path, files(spark, sources), ent.extract)
+        got, want = snapshots.load(spark, path), ref.full_build(files(spark, sources), ent.extract)
+        assert tables(got) == tables(want)
+        assert got.documents == want.documents and sorted(got.frequencies.collect()) == sorted(want.frequencies.collect())
+    assert snapshots.refresh(spark, path, files(spark, NEW), ent.extract) == []
+
+
+def test_one_changed_file_rewrites_one_bucket(spark, tmp_path):
+    many = {f"d{i % 50}/f{i}.py": f"def name_{i}(): pass\n" for i in range(10_000)}
+    path = stored(spark, tmp_path, many, buckets=16)
+    first = snapshots.version(spark, path, 1)
+    frozen = snapshots.load(spark, path)
+    assert len(snapshots.refresh(spark, path, files(spark, {**many, "d7/f7.py": "def other(): pass\n"}), ent.extract)) == 1
+    second = snapshots.version(spark, path, 2)
+    for name in snapshots.KEYS:
+        new = {b for b, f in second.parts[name].items() if f != first.parts[name].get(b)}
+        assert len(new - {str(snapshots.DIRECTORIES)}) == 1 and len(second.parts[name]) >= 16
+    assert frozen.nodes.filter("name = 'name_7'").count() == 1 and frozen.nodes.filter("name = 'other'").count() == 0
+    now = snapshots.load(spark, path)
+    assert now.nodes.filter("name = 'name_7'").count() == 0 and now.nodes.filter("name = 'other'").count() == 1
+    n = frozen.nodes.count()
+    assert now.nodes.count() == n and now.documents == 10_000
+    deleted = snapshots.prune(spark, path, keep=1)
+    assert deleted and not any("bucket=" not in d and d.endswith("nodes") for d in deleted)
+    assert snapshots.load(spark, path).nodes.count() == n
+
+
+def test_a_refresh_counts_nothing_anew(spark, old):
+    """The new frequencies read the old ones and the changed postings; kept postings are not aggregated."""
+    got = ref.refresh(old, files(spark, NEW), ent.extract)
+    plan = got.idf._jdf.queryExecution().optimizedPlan().toString()
+    assert "node_id" not in plan
+
+
+def test_of_two_savers_one_fails(spark, tmp_path):
+    path = stored(spark, tmp_path, SAMPLE)
+    at = snapshots.version(spark, path, 1)
+    snapshots.refresh(spark, path, files(spark, NEW), ent.extract)
+    with pytest.raises(snapshots.SavedBefore):
+        snapshots.publish(spark, path, snapshots.Version(at.number + 1, at.buckets, 0, at.parts))
+    assert tables(snapshots.load(spark, path)) == tables(ref.full_build(files(spark, NEW), ent.extract))
+
+
+def test_threshold_policy_in_store(spark, tmp_path, old):
+    path = stored(spark, tmp_path, SAMPLE)
+    snapshots.refresh(spark, path, files(spark, NEW), ent.extract, policy="threshold")
+    assert tables(snapshots.load(spark, path))[2] == tables(ref.refresh(old, files(spark, NEW), ent.extract, policy="threshold"))[2]

@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from treeloom.operators import entities as ent
 from treeloom.operators import files as fil
 from treeloom.operators import refresh as ref
@@ -65,6 +68,40 @@ def test_children_lookup_orphans(spark):
     assert counts(tree.stats(lost))["."] == (0, 0, 0, 0)
 
 
+def chain(spark, n):
+    rows = spark.range(n).select(F.concat(F.lit("n"), "id").alias("id"), F.when(F.col("id") > 0, F.concat(F.lit("n"), F.col("id") - 1)).alias("parent_id"), F.when(F.col("id") % 3 == 0, "file").otherwise("class").alias("type"))
+    return rows
+
+
+def test_a_chain_of_ten_thousand_levels(spark):
+    got = counts(tree.stats(chain(spark, 10_000)))
+    assert len(got) == 10_000
+    for i in (0, 1, 2, 4_999, 9_998, 9_999):
+        assert got[f"n{i}"] == (sum(j % 3 == 0 for j in range(i, 10_000)), sum(j % 3 > 0 for j in range(i, 10_000)), 0, 0)
+
+
+def test_cycles_are_errors(spark):
+    for parents in ({".": "."}, {"a": "b", "b": "a", "c": None}, {".": None, "x": "y", "y": "z", "z": "x", "leaf": "x"}):
+        n = spark.createDataFrame([(i, p, "dir") for i, p in parents.items()], "id string, parent_id string, type string")
+        for run in (tree.stats, tree.node_stats):
+            with pytest.raises(ValueError, match="cycle"):
+                run(n)
+
+
+def test_map_and_expand_cost_no_more_than_the_counts(spark):
+    n = built(spark, {f"d{i % 5}/e{i % 3}/f{i}.py": "class A:\n    def m(self): pass\n" for i in range(30)}).nodes
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+
+    def cost(run):
+        before = jobs()
+        run().collect()
+        return jobs() - before
+
+    whole = cost(lambda: tree.stats(n))
+    assert max(cost(lambda: tree.project_map(n)), cost(lambda: tree.node_stats(n))) <= whole + 3
+    assert cost(lambda: tree.expand(n, "d1")) <= whole + 8
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], NODES)
     assert tree.stats(none).count() == 0 and rel.edges(none).count() == 0 and tree.children(none).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,30 +50,67 @@ def build_index(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings, idf_of(document_frequencies(postings), searchable(nodes).count())
 
 
+@dataclass
+class Index:
+    """Postings, idf, and what idf comes from: (term, df) and the number of searchable nodes."""
+
+    postings: DataFrame
+    idf: DataFrame
+    frequencies: DataFrame
+    documents: int
+
+
+def build(nodes: DataFrame) -> Index:
+    """The index of a node table, with frequencies written, as they are the size of the vocabulary and read by every update."""
+    postings = written(postings_of(term_counts(searchable_texts(nodes))), "postings")
+    frequencies = written(document_frequencies(postings), "frequencies")
+    documents = searchable(nodes).count()
+    return Index(postings, idf_of(frequencies, documents), frequencies, documents)
+
+
 def remove_nodes(postings: DataFrame, ids: DataFrame) -> DataFrame:
     """Postings without those of ids(id); idf stays as it is."""
     return postings.join(ids.select(F.col("id").alias("node_id")), "node_id", "left_anti")
 
 
-def update_index(postings: DataFrame, idf: DataFrame, nodes: DataFrame, changed: DataFrame, net_change: int, policy: str = "exact", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """The index after the nodes changed(id) were added, replaced or removed; nodes is the new table.
+def frequencies_after(frequencies: DataFrame, gone: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(term, df) after postings went and came: signed counts are combined before they meet the vocabulary, and terms that no node holds any more leave it."""
+    minus = gone.groupBy("term").agg((-F.count("*")).alias("df"))
+    every = frequencies.select("term", "df").unionByName(minus).unionByName(document_frequencies(fresh))
+    return every.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
 
-    policy "exact" counts idf anew over the merged postings. "threshold" keeps it, gives new terms
-    ln((N + 1) / 2) + 1, and counts the changed nodes' terms anew only if the number of documents
-    changed by more than the threshold.
+
+def updated(index: Index, before: DataFrame, after: DataFrame, net: int, policy: str = "exact", threshold: float = THRESHOLD) -> Index:
+    """The index after the nodes before(id) gave way to ``after``; both hold changed nodes alone, and ``net`` is by how many searchable nodes the table grew.
+
+    Frequencies change by signed counts of the postings that go and come, so nothing is counted anew over
+    kept postings, and the new postings are a lazy union with the kept ones. ``index.postings`` may hold less than
+    the whole index as long as it holds all postings of ``before``. policy "exact" takes idf from the new
+    frequencies. "threshold" keeps it, gives new terms ln((N + 1) / 2) + 1, and renews the terms of ``after`` only
+    if the number of documents changed by more than the threshold.
     """
-    now = nodes.join(changed.select("id").distinct(), "id", "left_semi")
-    fresh = postings_of(term_counts(searchable_texts(now)))
-    merged = written(remove_nodes(postings, changed).unionByName(fresh), "postings")
-    documents = searchable(nodes).count()
-    if policy == "exact":
-        return merged, idf_of(document_frequencies(merged), documents)
-    if policy != "threshold":
+    if policy not in ("exact", "threshold"):
         raise ValueError("policy is exact or threshold")
+    ids = before.select(F.col("id").alias("node_id")).distinct()
+    fresh = written(postings_of(term_counts(searchable_texts(after))), "fresh")
+    gone = index.postings.join(ids, "node_id", "left_semi")
+    frequencies = written(frequencies_after(index.frequencies, gone, fresh), "frequencies")
+    documents = index.documents + net
+    merged = index.postings.join(ids, "node_id", "left_anti").unionByName(fresh)
+    anew = idf_of(frequencies, documents)
+    if policy == "exact":
+        return Index(merged, anew, frequencies, documents)
     touched = fresh.select("term").distinct()
-    if abs(net_change) > threshold * documents:
-        anew = idf_of(document_frequencies(merged.join(touched, "term", "left_semi")), documents)
-        return merged, idf.join(anew, "term", "left_anti").unionByName(anew)
-    new = touched.join(idf, "term", "left_anti")
+    if abs(net) > threshold * documents:
+        anew = anew.join(touched, "term", "left_semi")
+        return Index(merged, index.idf.join(anew, "term", "left_anti").unionByName(anew), frequencies, documents)
     default = F.log((F.lit(documents) + 1) / F.lit(2.0)) + 1
-    return merged, idf.unionByName(new.select("term", default.alias("idf")))
+    return Index(merged, index.idf.unionByName(touched.join(index.idf, "term", "left_anti").select("term", default.alias("idf"))), frequencies, documents)
+
+
+def update_index(postings: DataFrame, idf: DataFrame, nodes: DataFrame, changed: DataFrame, net_change: int, policy: str = "exact", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """The index after the nodes changed(id) were added, replaced or removed, for callers that kept no frequencies: these are counted over the old postings. nodes is the new table."""
+    ids = changed.select("id").distinct()
+    whole = Index(postings, idf, document_frequencies(postings), searchable(nodes).count() - net_change)
+    out = updated(whole, ids, nodes.join(ids, "id", "left_semi"), net_change, policy, threshold)
+    return out.postings, out.idf

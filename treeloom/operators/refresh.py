@@ -21,6 +21,12 @@ class Snapshot:
     postings: DataFrame
     idf: DataFrame
     file_hashes: DataFrame
+    frequencies: DataFrame
+    documents: int
+
+    @property
+    def index(self) -> idx.Index:
+        return idx.Index(self.postings, self.idf, self.frequencies, self.documents)
 
 
 def classify(current: DataFrame, stored: DataFrame) -> DataFrame:
@@ -78,24 +84,42 @@ def full_build(files: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> S
     """Everything from files(path, content). Nodes and postings are written, so files are parsed and texts tokenised once."""
     kept = fil.supported(files)
     nodes = written(tree.assemble(fil.directory_nodes(kept), fil.file_nodes(kept), ent.entity_nodes(extract(kept))), "nodes")
-    postings, idf = idx.build_index(nodes)
-    return Snapshot(nodes, postings, idf, fil.file_hashes(kept))
+    index = idx.build(nodes)
+    return Snapshot(nodes, index.postings, index.idf, fil.file_hashes(kept), index.frequencies, index.documents)
+
+
+def changes(nodes: DataFrame, status: DataFrame, kept: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, int]:
+    """(before, after, net): the nodes that files added, updated or removed had in ``nodes`` and have now, and by how many searchable nodes the table grows. Only changed files are parsed."""
+    touched = status.filter("status <> 'unchanged'").select(F.col("path").alias("__path"))
+    before = nodes.filter("type <> 'dir'").join(touched, F.coalesce("file_path", "id") == F.col("__path"), "left_semi")
+    fresh = kept.join(status.filter("status in ('added', 'updated')").select("path"), "path", "left_semi")
+    after = written(tree.assemble(fil.file_nodes(fresh), ent.entity_nodes(extract(fresh))), "changed")
+    return before, after, idx.searchable(after).count() - idx.searchable(before).count()
+
+
+def kept_nodes(nodes: DataFrame, status: DataFrame) -> DataFrame:
+    """Nodes of unchanged files, without directories."""
+    return delete_file_nodes(nodes, status.filter("status <> 'unchanged'")).filter("type <> 'dir'")
+
+
+def new_hashes(stored: DataFrame, current: DataFrame, status: DataFrame) -> DataFrame:
+    """(path, hash, indexed_at): unchanged files keep their time."""
+    changed = status.filter("status <> 'unchanged'").select("path")
+    fresh = current.join(changed, "path", "left_semi").withColumn("indexed_at", F.current_timestamp())
+    return stored.join(changed, "path", "left_anti").unionByName(fresh)
 
 
 def refresh(old: Snapshot, files: DataFrame, extract: Callable[[DataFrame], DataFrame], policy: str = "exact") -> Snapshot:
-    """The snapshot of files(path, content), working only on what changed. With policy "exact" it equals full_build(files)."""
+    """The snapshot of files(path, content). With policy "exact" it equals full_build(files).
+
+    Every file is hashed; only changed ones are parsed and tokenised, only their nodes and postings are written, and
+    document frequencies change by signed counts. What is kept is read through a filter when the result is read;
+    sources.snapshots.refresh also leaves it on disk as it is.
+    """
     kept = fil.supported(files)
     current = written(fil.hashed(kept), "hashes")
     status = written(classify(current, old.file_hashes), "status")
-    fresh = kept.join(status.filter("status in ('added', 'updated')").select("path"), "path", "left_semi")
-    gone = status.filter("status = 'removed'").select("path")
-    touched = status.filter("status <> 'unchanged'").select("path")
-
-    remaining = delete_file_nodes(old.nodes, gone)
-    nodes = written(replace_files(remaining, fresh, current, extract), "nodes")
-    ids = written(changed_nodes(old.nodes, nodes, touched), "changed")
-    net = idx.searchable(nodes).count() - idx.searchable(old.nodes).count() if policy == "threshold" else 0
-    postings, idf = idx.update_index(old.postings, old.idf, nodes, ids, net, policy)
-    new_hashes = current.join(status.filter("status in ('added', 'updated')"), "path", "left_semi").withColumn("indexed_at", F.current_timestamp())
-    hashes = upsert_hashes(old.file_hashes.join(gone, "path", "left_anti"), new_hashes)
-    return Snapshot(nodes, postings, idf, hashes)
+    before, after, net = changes(old.nodes, status, kept, extract)
+    nodes = fil.directory_nodes(current).unionByName(kept_nodes(old.nodes, status)).unionByName(after)
+    index = idx.updated(old.index, before, after, net, policy)
+    return Snapshot(nodes, index.postings, index.idf, new_hashes(old.file_hashes, current, status), index.frequencies, index.documents)

@@ -32,7 +32,7 @@ def map_json(nodes: DataFrame, project: str, root: str) -> DataFrame:
 def expand_json(nodes: DataFrame, parent: str) -> DataFrame:
     below = nodes.filter(F.col("parent_id") == parent).select("id")
     node = tree.lookup(nodes, nodes.filter(F.col("id") == parent).select("id")).select(F.lit(0).alias("k"), node_struct().alias("node"))
-    kids = tree.lookup(nodes, below).join(tree.stats_of(nodes, below).select("id", stats_struct().alias("stats")), "id")
+    kids = tree.lookup(nodes, below).join(tree.stats(nodes).select("id", stats_struct().alias("stats")), "id")
     listed = kids.agg(F.array_sort(F.collect_list(F.struct(*FIELDS, "stats"))).alias("children")).withColumn("k", F.lit(0))
     return node.join(listed, "k").select(as_json(F.lit("expand").alias("command"), "node", "children"))
 

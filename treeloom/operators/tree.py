@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import COUNTED_TYPES, NODE_COLUMNS, ROOT
-from ..sources.scratch import written
+from ..sources.scratch import counted, written
 
 COUNTS = list(COUNTED_TYPES)
 
 
 def last_wins(nodes: DataFrame, position: str = "position") -> DataFrame:
-    """One row for each id, that of the largest position; one aggregation with map-side combining, no sort of whole rows."""
+    """One row for each id, that of the largest position; one aggregation with map-side combining, which sorts the rows on both sides of its exchange. Refreshes call it for changed files alone."""
     row = F.struct(*[F.col(c) for c in NODE_COLUMNS])
     return nodes.groupBy("id").agg(F.max_by(row, F.struct(position, F.hash(row))).alias("n")).select("n.*")
 
@@ -46,66 +46,60 @@ def orphans(nodes: DataFrame) -> DataFrame:
     return nodes.filter("parent_id is not null").join(nodes.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
 
 
-def stats(nodes: DataFrame, most_levels: int = 200) -> DataFrame:
+def inner_sums(slim: DataFrame) -> DataFrame:
+    """(id, up, counts) of the inner nodes of slim(id, parent_id, inner, counts): their own counts and those of their childless children, which no later round has to move."""
+    sums = [F.sum(c).alias(f"{c}_below") for c in COUNTS]
+    leaves = slim.filter("not inner and parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(*sums)
+    return slim.filter("inner").join(leaves, "id", "left").select("id", F.col("parent_id").alias("up"), *added(COUNTS))
+
+
+def added(columns: list[str]) -> list[Column]:
+    return [(F.col(c) + F.coalesce(f"{c}_below", F.lit(0))).alias(c) for c in columns]
+
+
+def stats(nodes: DataFrame) -> DataFrame:
     """(id, files, classes, functions, methods) below and at every node.
 
-    Counts climb one level in each round and are summed at every parent, so that a round moves at most
-    one row for each inner node, never a row for each node and ancestor. Rounds end when nothing is left
-    to climb; the only thing the driver sees of a round is whether it is empty.
+    Pointer doubling over the inner nodes: before round k a node holds the counts of all that is less than 2^k
+    levels below it and points to the node 2^k levels above; the round adds each node's counts to the one
+    it points to and doubles the pointers. So rounds grow with the logarithm of the depth, and pointers that
+    are left when 2^k exceeds the number of nodes run in a cycle, which is an error. A parent that does not
+    exist is no node and gets nothing. What the driver sees of a round is the number of pointers left.
     """
     own = nodes.select("id", "parent_id", *[(F.col("type") == t).cast("long").alias(c) for c, t in COUNTED_TYPES.items()])
-    links = nodes.select("id", "parent_id").filter("parent_id is not null")
-    sums = [F.sum(c).alias(c) for c in COUNTS]
-    frontier = written(own.filter("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(*sums), "climb")
-    rounds = []
-    while not frontier.isEmpty():
-        rounds.append(frontier)
-        if len(rounds) > most_levels:
-            raise ValueError("the parents form a cycle or a chain longer than most_levels")
-        frontier = written(frontier.join(links, "id").groupBy(F.col("parent_id").alias("id")).agg(*sums), "climb")
-    every = reduce(lambda a, b: a.unionByName(b), rounds, own.select("id", *COUNTS))
-    total = every.groupBy("id").agg(*sums)
-    return nodes.select("id").join(total, "id")
+    parents = own.select(F.col("parent_id").alias("id")).filter("id is not null").distinct().withColumn("inner", F.lit(True))
+    slim = written(own.join(parents, "id", "left").withColumn("inner", F.coalesce("inner", F.lit(False))), "slim")
+    current, seen = counted(inner_sums(slim), "climb", rows=F.count("*"), left=F.count("up"))
+    reach, left = 1, seen["left"]
+    while left:
+        if reach > seen["rows"]:
+            raise ValueError("the parents form a cycle")
+        moved = current.filter("up is not null").groupBy(F.col("up").alias("id")).agg(*[F.sum(c).alias(f"{c}_below") for c in COUNTS])
+        above = current.select(F.col("id").alias("up"), F.col("up").alias("farther"))
+        summed = current.join(moved, "id", "left").select("id", "up", *added(COUNTS))
+        doubled = summed.join(above, "up", "left").select("id", F.col("farther").alias("up"), *COUNTS)
+        current, now = counted(doubled, "climb", left=F.count("up"))
+        reach, left = 2 * reach, now["left"]
+    return current.select("id", *COUNTS).unionByName(slim.filter("not inner").select("id", *COUNTS))
 
 
-def node_stats(nodes: DataFrame, root: str = ROOT) -> DataFrame:
-    """Counts of one node's subtree, walking down from it level by level; one row of zeros for an unknown id."""
-    spark = nodes.sparkSession
-    level = nodes.filter(F.col("id") == root).select("id", "type")
-    levels = []
-    while not level.isEmpty():
-        levels.append(level)
-        above = level.select(F.col("id").alias("parent_id"))
-        level = written(nodes.join(above, "parent_id", "left_semi").select("id", "type"), "walk")
-    every = reduce(lambda a, b: a.unionByName(b), levels, spark.createDataFrame([], "id string, type string"))
-    return every.agg(*[F.count_if(F.col("type") == t).alias(c) for c, t in COUNTED_TYPES.items()]).select(F.lit(root).alias("id"), *COUNTS)
-
-
-def subtrees(nodes: DataFrame, ids: DataFrame, most_levels: int = 200) -> DataFrame:
-    """The nodes of ids(id) and all below them, walking down level by level; a node below several of them is there once."""
-    slim = nodes.select("id", "parent_id", "type")
-    level = written(slim.join(ids.select("id").distinct(), "id", "left_semi"), "walk")
-    levels = []
-    while not level.isEmpty():
-        levels.append(level)
-        if len(levels) > most_levels:
-            raise ValueError("the parents form a cycle or a chain longer than most_levels")
-        level = written(slim.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select(*slim.columns), "walk")
-    return reduce(lambda a, b: a.unionByName(b), levels, slim.limit(0)).distinct()
+def stats_of(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Counts for ids(id); zeros for unknown ones."""
+    return ids.join(stats(nodes), "id", "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS])
 
 
-def stats_of(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """Counts for ids(id), from their subtrees alone; zeros for unknown ones."""
-    return ids.join(stats(subtrees(nodes, ids)), "id", "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS])
+def node_stats(nodes: DataFrame, root: str = ROOT) -> DataFrame:
+    """Counts of one node's subtree; one row of zeros for an unknown id."""
+    return stats_of(nodes, nodes.sparkSession.range(1).select(F.lit(root).alias("id")))
 
 
 def project_map(nodes: DataFrame) -> DataFrame:
     """Counts of the root and of every directory at the top."""
     top = nodes.filter((F.col("id") == ROOT) | ((F.col("parent_id") == ROOT) & (F.col("type") == "dir"))).select("id")
-    return stats_of(nodes, top)
+    return stats(nodes).join(top, "id", "left_semi")
 
 
 def expand(nodes: DataFrame, parent: str) -> DataFrame:
     """Children of a node, each with its children's ids and its counts."""
-    kids = children(nodes, parent)
-    return kids.join(stats_of(nodes, kids.select("id")), "id").join(nodes.select("id", "name", "type"), "id")
+    listed = lookup(nodes, nodes.filter(F.col("parent_id") == parent).select("id"))
+    return listed.select("parent_id", "id", "name", "type", "children_ids").join(stats(nodes), "id")

@@ -249,5 +249,6 @@ SELECT coalesce(a.term, t.term) AS term, round(CASE WHEN t.term IS NOT NULL AND
 FROM idf_old a FULL JOIN touched t ON a.term = t.term LEFT JOIN idf_new b ON b.term = t.term, sizes""",
     "update_index_exact": f"WITH {BOTH} SELECT node_id, term, round(tf, 6) AS tf, round(idf, 6) AS idf FROM postings_new JOIN idf_new USING (term)",
     "refresh": SNAPSHOT,
+    "refresh_stored": SNAPSHOT,
     "load_snapshot": SNAPSHOT,
 }

@@ -336,23 +336,18 @@ def remove_postings(spark, sf_dir):
 
 
 def updated_index(spark, sf_dir, policy):
-    old = old_snapshot(spark, sf_dir)
-    nodes = written(replaced(spark, sf_dir), "nodes")
-    status = classify_files(spark, sf_dir).filter("status <> 'unchanged'").select("path")
-    ids = ref.changed_nodes(old.nodes, nodes, status)
-    net = idx.searchable(nodes).count() - idx.searchable(old.nodes).count() if policy == "threshold" else 0
-    return idx.update_index(old.postings, old.idf, nodes, ids, net, policy)
+    return ref.refresh(old_snapshot(spark, sf_dir), ad.new_files(spark, sf_dir), ad.prose_entities, policy).index
 
 
 @query
 def update_index_threshold(spark, sf_dir):
-    return updated_index(spark, sf_dir, "threshold")[1].select("term", rounded("idf"))
+    return updated_index(spark, sf_dir, "threshold").idf.select("term", rounded("idf"))
 
 
 @query
 def update_index_exact(spark, sf_dir):
-    postings, idf_table = updated_index(spark, sf_dir, "exact")
-    return postings.join(idf_table, "term").select("node_id", "term", rounded("tf"), rounded("idf"))
+    index = updated_index(spark, sf_dir, "exact")
+    return index.postings.join(index.idf, "term").select("node_id", "term", rounded("tf"), rounded("idf"))
 
 
 def snapshot_rows(new):
@@ -368,6 +363,14 @@ def refresh(spark, sf_dir):
     return snapshot_rows(ref.refresh(old_snapshot(spark, sf_dir), ad.new_files(spark, sf_dir), ad.prose_entities))
 
 
+@query
+def refresh_stored(spark, sf_dir):
+    path = scratch(spark, "snapshots")
+    snapshots.save(old_snapshot(spark, sf_dir), path)
+    snapshots.refresh(spark, path, ad.new_files(spark, sf_dir), ad.prose_entities)
+    return snapshot_rows(snapshots.load(spark, path))
+
+
 @query
 def load_snapshot(spark, sf_dir):
     path = scratch(spark, "snapshots")

@@ -15,6 +15,7 @@ NODE_COLUMNS = [c.split()[0] for c in NODES.split(", ")]
 FILE_HASHES = "path string, hash string, indexed_at timestamp"
 POSTINGS = "node_id string, term string, tf double"
 IDF = "term string, idf double"
+FREQUENCIES = "term string, df long"
 
 ROOT = "."
 

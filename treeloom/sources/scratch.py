@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -30,8 +30,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, label: str, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """written(df), and aggregates over its rows that the same job observes."""
+    seen = Observation()
+    out = written(df.observe(seen, *[c.alias(n) for n, c in aggregates.items()]), label)
+    return out, seen.get
+
+
+def folder_system(spark: SparkSession, path: str):
+    """(Hadoop's file system for a path's scheme, the path)."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
 def removed(spark: SparkSession, path: str) -> bool:
-    """Deletes a folder, with Hadoop's file system for its scheme; false if there was none."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    """Deletes a folder; false if there was none."""
+    fs, folder = folder_system(spark, path)
+    return fs.delete(folder, True)

@@ -1,46 +1,177 @@
-"""Snapshots of all tables: each save is a new folder, and a pointer table names the current one.
+"""Snapshots of all tables in one folder, refreshed bucket by bucket.
 
-A reader sees the old snapshot until the pointer's new row is there, and a save that fails
-leaves only a folder that nothing points to.
+Rows of nodes, postings and file hashes lie in ``buckets`` buckets by a hash of their file's path; directories
+are a bucket of their own, and the vocabulary's two tables are written whole. A version is one small pointer file
+that names, for each table and bucket, the folder that holds it. A refresh rewrites the buckets of changed files
+and lets the new pointer name the old folders of all others, so its writes grow with the change.
+
+A pointer is created exclusively, under the number behind the version it came from: of two savers that started
+from the same version one fails, and its folder is left for ``prune``. A reader sees the old version until the new
+pointer is complete.
 """
 
 from __future__ import annotations
 
-import time
+import json
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import files as fil
+from ..operators import index as idx
+from ..operators import refresh as ref
 from ..operators.refresh import Snapshot
-from ..schemas import FILE_HASHES, IDF, NODES, POSTINGS
-from .scratch import removed
+from ..schemas import FILE_HASHES, FREQUENCIES, IDF, NODES, POSTINGS
+from .scratch import folder_system, removed, written
+
+BUCKETS = 64
+DIRECTORIES = -1
+WHOLE = "whole"  # the one part of a table without buckets
+KEYS = {"nodes": "id", "postings": "node_id", "file_hashes": "path"}
+SCHEMAS = {"nodes": NODES, "postings": POSTINGS, "file_hashes": FILE_HASHES, "idf": IDF, "frequencies": FREQUENCIES}
+
+
+class SavedBefore(Exception):
+    """Another save came first."""
+
+
+@dataclass
+class Version:
+    number: int
+    buckets: int
+    documents: int
+    parts: dict[str, dict[str, str]] = field(default_factory=dict)  # table, bucket: folder below the snapshots' path
+
+    def text(self) -> str:
+        return json.dumps({"buckets": self.buckets, "documents": self.documents, "parts": self.parts})
+
+
+def bucket(key: Column, buckets: int) -> Column:
+    """By the path, which every id begins with up to the first colon."""
+    return F.pmod(F.xxhash64(F.substring_index(key, ":", 1)), F.lit(buckets)).cast("int")
+
+
+def pointers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions, newest first."""
+    fs, root = folder_system(spark, f"{path}/current")
+    found = fs.listStatus(root) if fs.exists(root) else []
+    return sorted((int(s.getPath().getName()) for s in found if s.getPath().getName().isdigit() and s.getLen()), reverse=True)
+
+
+def version(spark: SparkSession, path: str, number: int) -> Version:
+    return Version(number, **json.loads(spark.read.text(f"{path}/current/{number:012d}", wholetext=True).first()[0]))
 
-SCHEMAS = {"nodes": NODES, "postings": POSTINGS, "idf": IDF, "file_hashes": FILE_HASHES}
-POINTER = "version long, folder string"
 
+def publish(spark: SparkSession, path: str, new: Version) -> None:
+    """Creates the pointer, which fails if there is one of that number."""
+    fs, file = folder_system(spark, f"{path}/current/{new.number:012d}")
+    try:
+        out = fs.create(file, False)
+    except Py4JJavaError as e:
+        raise SavedBefore(f"version {new.number} of {path} exists") from e
+    out.write(bytearray(new.text().encode()))
+    out.close()
 
-def save(snapshot: Snapshot, path: str) -> str:
-    """Writes every table; postings are sorted by term within files, so that a search skips row groups."""
+
+def write_part(df: DataFrame, path: str, folder: str, name: str, buckets: int) -> dict[str, str]:
+    """Writes rows of one table and returns the folder of each bucket that has any. Large buckets are split over several files; postings are sorted by term within them, so that a search skips row groups."""
+    spark = df.sparkSession
+    if name not in KEYS:
+        df.write.parquet(f"{path}/{folder}/{name}")
+        return {WHOLE: f"{folder}/{name}"}
+    at = bucket(F.col(KEYS[name]), buckets)
+    at = F.when(F.col("type") == "dir", DIRECTORIES).otherwise(at) if name == "nodes" else at
+    rows = df.withColumn("bucket", at).hint("rebalance", "bucket")
+    rows = rows.sortWithinPartitions("bucket", "term") if name == "postings" else rows
+    rows.write.partitionBy("bucket").parquet(f"{path}/{folder}/{name}")
+    fs, root = folder_system(spark, f"{path}/{folder}/{name}")
+    names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("bucket=")]
+    return {n.removeprefix("bucket="): f"{folder}/{name}/{n}" for n in names}
+
+
+def rows(spark: SparkSession, path: str, at: Version, name: str, buckets: set[str] | None = None) -> DataFrame:
+    """A table, or those buckets of it."""
+    folders = [f"{path}/{f}" for b, f in sorted(at.parts[name].items()) if buckets is None or b in buckets]
+    return spark.read.schema(SCHEMAS[name]).parquet(*folders) if folders else spark.createDataFrame([], SCHEMAS[name])
+
+
+def snapshot_of(spark: SparkSession, path: str, at: Version, buckets: set[str] | None = None) -> Snapshot:
+    of = lambda name: rows(spark, path, at, name, buckets if name in KEYS else None)
+    return Snapshot(of("nodes"), of("postings"), of("idf"), of("file_hashes"), of("frequencies"), at.documents)
+
+
+def save(snapshot: Snapshot, path: str, buckets: int = BUCKETS) -> str:
+    """Writes every table as the next version and returns its folder."""
     spark = snapshot.nodes.sparkSession
-    version = time.time_ns()
-    folder = f"{path}/v{version}"
+    number = max(pointers(spark, path), default=0) + 1
+    folder = f"v{number:012d}-{uuid.uuid4().hex}"
+    new = Version(number, buckets, snapshot.documents)
     for name in SCHEMAS:
-        df: DataFrame = getattr(snapshot, name)
-        df = df.sortWithinPartitions("term") if name == "postings" else df
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    spark.createDataFrame([(version, folder)], POINTER).coalesce(1).write.mode("append").parquet(f"{path}/current")
-    return folder
+        new.parts[name] = write_part(getattr(snapshot, name), path, folder, name, buckets)
+    publish(spark, path, new)
+    return f"{path}/{folder}"
 
 
 def load(spark: SparkSession, path: str) -> Snapshot:
-    """The newest snapshot; list columns are arrays as they were."""
-    folder = spark.read.schema(POINTER).parquet(f"{path}/current").orderBy(F.desc("version")).first()["folder"]
-    return Snapshot(**{name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in SCHEMAS.items()})
+    """The newest version; list columns are arrays as they were."""
+    return snapshot_of(spark, path, version(spark, path, pointers(spark, path)[0]))
+
+
+def refresh(spark: SparkSession, path: str, files: DataFrame, extract: Callable[[DataFrame], DataFrame], policy: str = "exact") -> list[str]:
+    """Makes the next version from the newest one and files(path, content), and returns the buckets that were rewritten.
+
+    Nodes and postings of other buckets are neither read nor written. Without a change there is no new version.
+    With policy "exact" the version equals a full build of files.
+    """
+    at = version(spark, path, pointers(spark, path)[0])
+    hashes = rows(spark, path, at, "file_hashes")
+    kept = fil.supported(files)
+    current = written(fil.hashed(kept), "hashes")
+    status = written(ref.classify(current, hashes), "status")
+    touched = [str(r[0]) for r in status.filter("status <> 'unchanged'").select(bucket(F.col("path"), at.buckets)).distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return []
+    old = snapshot_of(spark, path, at, set(touched))
+    mine = status.filter(bucket(F.col("path"), at.buckets).cast("string").isin(touched))
+    before, after, net = ref.changes(old.nodes, mine, kept, extract)
+    index = idx.updated(old.index, before, after, net, policy)
+    nodes = fil.directory_nodes(current).unionByName(ref.kept_nodes(old.nodes, mine)).unionByName(after)
+    number = at.number + 1
+    folder = f"v{number:012d}-{uuid.uuid4().hex}"
+    new = Version(number, at.buckets, index.documents)
+    fresh = {"nodes": nodes, "postings": index.postings, "file_hashes": ref.new_hashes(old.file_hashes, current, mine), "idf": index.idf, "frequencies": index.frequencies}
+    for name, df in fresh.items():
+        gone = {*touched, str(DIRECTORIES), WHOLE}
+        new.parts[name] = {b: f for b, f in at.parts[name].items() if b not in gone} | write_part(df, path, folder, name, at.buckets)
+    publish(spark, path, new)
+    return sorted(touched, key=int)
 
 
 def prune(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
-    """Deletes the folders of all but the newest ``keep`` (at least one) snapshots and returns those deleted. Readers of an older one must be done."""
+    """Deletes all but the newest ``keep`` (at least one) versions: their pointers, and the folders that no kept version names. Returns the folders deleted. Readers of an older version must be done; a save that has not ended is not touched."""
     if keep < 1:
         raise ValueError("the current snapshot stays")
-    rows = spark.read.schema(POINTER).parquet(f"{path}/current").orderBy(F.desc("version")).collect()  # one row a save
-    return [r["folder"] for r in rows[keep:] if removed(spark, r["folder"])]
+    numbers = pointers(spark, path)
+    if not numbers:
+        return []
+    named = {f for n in numbers[:keep] for parts in version(spark, path, n).parts.values() for f in parts.values()}
+    for n in numbers[keep:]:
+        removed(spark, f"{path}/current/{n:012d}")
+    deleted = []
+    for folder in below(spark, path, ""):
+        if not folder.startswith("v") or int(folder[1:13]) > numbers[0]:
+            continue
+        parts = [f"{folder}/{t}" for t in below(spark, path, folder)]
+        parts = [p for part in parts for p in ([f"{part}/{b}" for b in below(spark, path, part) if b.startswith("bucket=")] or [part])]
+        unused = [p for p in parts if p not in named]
+        deleted += [f"{path}/{p}" for p in ([folder] if len(unused) == len(parts) else unused) if removed(spark, f"{path}/{p}")]
+    return deleted
+
+
+def below(spark: SparkSession, path: str, folder: str) -> list[str]:
+    fs, root = folder_system(spark, f"{path}/{folder}" if folder else path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory())
