@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from treeloom.functions import paths, text
 from treeloom.operators import files as fil
-from treeloom.sources.trees import SourceTree
+from treeloom.sources import trees
+from treeloom.sources.trees import SourceTree, read_tree
 
 from .fixtures import SAMPLE, files
 
@@ -74,6 +75,106 @@ def test_source_tree_keeps_underscored_names(spark, tmp_path):
     assert everything.count() == len(SAMPLE) + 2
 
 
+def rows_of(df):
+    return {r.path: (None if r.content is None else bytes(r.content), r.error) for r in df.collect()}
+
+
+def test_source_tree_reads_any_name_and_survives_what_it_cannot_read(spark, tmp_path, monkeypatch):
+    import os
+
+    root = os.fsencode(str(tmp_path))
+    for name in (b"\xff.py", "é.py".encode(), b"sp ace\n.go", b"ok.py"):
+        with open(os.path.join(root, name), "wb") as f:
+            f.write(name)
+    os.mkdir(os.path.join(root, b"d\xfe"))
+    with open(os.path.join(root, b"d\xfe", b"in.py"), "wb") as f:
+        f.write(b"in")
+    os.symlink("/nowhere", tmp_path / "link.py")
+    got = rows_of(read_tree(spark, str(tmp_path)))
+    assert got == {r"\xff.py": (b"\xff.py", None), "é.py": ("é.py".encode(), None), "sp ace\n.go": (b"sp ace\n.go", None), "ok.py": (b"ok.py", None), r"d\xfe/in.py": (b"in", None)}
+
+
+def test_errors_are_rows_and_vanished_files_are_none(tmp_path, monkeypatch):
+    """Where the tests run as root every file can be opened, so the failures are made."""
+    import builtins
+
+    for name in ("a.py", "gone.py", "locked.py"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "shut").mkdir()
+    reader = trees.SourceTreeReader(bytes(tmp_path), ["path", "content", "error"], False, 4, 10, None)
+    real_open, real_scan = builtins.open, trees.os.scandir
+
+    def failing_open(path, *a):
+        if isinstance(path, bytes) and path.endswith(b"gone.py"):
+            raise FileNotFoundError(2, "No such file")
+        if isinstance(path, bytes) and path.endswith(b"locked.py"):
+            raise PermissionError(13, "Permission denied")
+        return real_open(path, *a)
+
+    def failing_scan(path):
+        if path.endswith(b"shut"):
+            raise PermissionError(13, "Permission denied")
+        return real_scan(path)
+
+    monkeypatch.setattr(builtins, "open", failing_open)
+    monkeypatch.setattr(trees.os, "scandir", failing_scan)
+    got = sorted(r for p in reader.partitions() for r in reader.read(p))
+    assert got == [("a.py", b"a.py", None), ("locked.py", None, "Permission denied"), ("shut", None, "Permission denied")]
+
+
+def test_only_what_is_asked_for_is_opened(spark, tmp_path, monkeypatch):
+    for p in ("src/a.py", "src/b.go", "lib/c.py", "lib/deep/d.py", "readme.md"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(p)
+    opened, entered = [], []
+    monkeypatch.setattr(trees.SourceTreeReader, "file", lambda self, path, f=trees.SourceTreeReader.file: (opened.append(self.relative(path)), f(self, path))[1])
+    monkeypatch.setattr(trees.SourceTreeReader, "entries", lambda self, walk, f=trees.SourceTreeReader.entries: (entered.append(self.relative(walk.folder)), f(self, walk))[1])
+
+    def run(filters=(), suffixes=None):
+        opened.clear(), entered.clear()
+        reader = trees.FilteringReader(bytes(tmp_path), ["path", "content", "error"], False, 2, 10, suffixes)
+        left = list(reader.pushFilters(list(filters)))
+        return sorted(r[0] for p in reader.partitions() for r in reader.read(p)), left
+
+    under = trees.StringStartsWith(("path",), "lib/")
+    assert run([under]) == (["lib/c.py", "lib/deep/d.py"], []) and sorted(opened) == ["lib/c.py", "lib/deep/d.py"] and "src" not in entered
+    assert run([trees.EqualTo(("path",), "src/a.py")])[0] == ["src/a.py"] and "lib" not in entered
+    assert run([trees.In(("path",), ("src/a.py", "lib/c.py", None))])[0] == ["lib/c.py", "src/a.py"] and "lib/deep" not in entered
+    assert run([trees.StringEndsWith(("path",), ".py")], [".go"])[0] == []
+    assert run([], [".go"])[0] == opened == ["src/b.go"]
+    other = trees.EqualTo(("error",), "x")
+    assert run([other])[1] == [other]
+    monkeypatch.undo()
+    spark.conf.set(trees.PUSHDOWN, "true")
+    try:
+        assert [r.path for r in read_tree(spark, str(tmp_path)).filter("path like 'lib/%' and path like '%d.py'").collect()] == ["lib/deep/d.py"]
+    finally:
+        spark.conf.unset(trees.PUSHDOWN)
+    (tmp_path / "src" / "b.go").unlink()
+    (tmp_path / "src" / "b.go").symlink_to("/nowhere")
+    paths_only = read_tree(spark, str(tmp_path), columns="path string")
+    assert sorted(r.path for r in paths_only.collect()) == ["lib/c.py", "lib/deep/d.py", "readme.md", "src/a.py"]
+
+
+def test_partitions_are_bounded(tmp_path):
+    for i in range(300):
+        (tmp_path / f"p{i}").mkdir()
+        (tmp_path / f"p{i}" / "x.py").write_text("")
+    for most, share in ((7, 5), (7, 5000), (1, 1), (1000, 5000)):
+        reader = trees.SourceTreeReader(bytes(tmp_path), ["path", "content", "error"], False, most, share, None)
+        planned = reader.partitions()
+        assert len(planned) <= most
+        assert sorted(r[0] for p in planned for r in reader.read(p)) == sorted(f"p{i}/x.py" for i in range(300))
+
+
+def test_write_tree_wants_a_mounted_folder(spark):
+    from treeloom.plans import adapters as ad
+
+    for folder in ("hdfs://host/x", "s3a://b/x", "relative"):
+        with pytest.raises(ValueError):
+            ad.write_tree(files(spark, SAMPLE), folder)
+
+
 def test_hashes(spark):
     import hashlib
 

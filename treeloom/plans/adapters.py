@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,8 +89,10 @@ def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_tree(files: DataFrame, folder: str) -> str:
-    """Every row of files(path, content) as a file below a shared folder, by the task that holds it; a task that runs again writes the same."""
-    root = folder.removeprefix("file:")
+    """Every row of files(path, content) as a file below a folder that is mounted everywhere, by the task that holds it; a task that runs again writes the same. Only local paths can be written so."""
+    root = re.sub("^file:(//)?", "", folder)
+    if not root.startswith("/"):
+        raise ValueError(f"{folder} is no mounted folder")
 
     def write(batches):
         for batch in batches:

@@ -179,6 +179,7 @@ ORACLE_SQL = {
 decoded AS (SELECT doc_id, CASE WHEN NOT latin OR NOT regexp_matches(text, '[^\\x00-\\x7F]') THEN text END AS strict, CASE WHEN latin THEN regexp_replace(text, '[^\\x00-\\x{{FF}}]', '?', 'g') ELSE text END AS lenient FROM given)
 SELECT doc_id, strict, lenient, CASE WHEN strict IS NULL THEN 0 ELSE len(string_split(strict, chr(10))) END AS n_lines FROM decoded""",
     "load_tree": f"WITH {FILES} SELECT path, sha256(text) AS hash FROM files WHERE {KEPT_PATH}",
+    "list_tree": f"WITH {FILES} SELECT path, CAST(NULL AS VARCHAR) AS error FROM files WHERE {LANGUAGE} IN ('python', 'go')",
     "content_hash": f"WITH {FILES} SELECT path, sha256(text) AS hash FROM files",
     "read_lines": f"""WITH {FILES},
 asked AS (SELECT path, text, CAST(strlen(text) % 5 AS INT) AS s, CAST(strlen(text) % 7 AS INT) AS e, len({LINES}) AS n FROM files),

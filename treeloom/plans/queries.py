@@ -16,7 +16,7 @@ from ..operators import search as sea
 from ..operators import tree
 from ..sources import snapshots
 from ..sources.scratch import scratch, written
-from ..sources.trees import SourceTree
+from ..sources.trees import read_tree
 from . import adapters as ad
 
 QUERIES = {}
@@ -65,9 +65,13 @@ def decode_files(spark, sf_dir):
 
 @query
 def load_tree(spark, sf_dir):
+    return fil.hashed(read_tree(spark, ad.write_tree(ad.files(spark, sf_dir), scratch(spark, "tree"))))
+
+
+@query
+def list_tree(spark, sf_dir):
     folder = ad.write_tree(ad.files(spark, sf_dir), scratch(spark, "tree"))
-    spark.dataSource.register(SourceTree)
-    return fil.hashed(spark.read.format("source_tree").load(folder))
+    return read_tree(spark, folder, ["python", "go"], "path string, error string", everything=True)
 
 
 @query

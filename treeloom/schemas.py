@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 FILES = "path string, content binary"
+TREE_FILES = FILES + ", error string"
 ENTITIES = (
     "path string, position int, qualname string, parent_qualname string, name string, type string, line_start int, line_end int, "
     "signature string, docstring string, calls array<string>, base_classes array<string>, language string"
