@@ -47,6 +47,19 @@ def test_other_layouts(fitted):
     assert lines[-2:] == [para, f"{para} & more text"] and lines[:-2] in ([], ["Title"])
 
 
+def test_a_table_of_long_pages_alone(spark):
+    rng = random.Random(5)
+    made = []
+    for i in range(20):
+        paragraphs = ["A paragraph " + " ".join(rng.choice(["stone", "river", "garden", "winter"]) for _ in range(40)) + "." for _ in range(220)]
+        script = "<script>" + "var x = 1; " * (6_000 if i % 2 else 0) + "</script>"
+        made.append((f"<html><head>{script}</head><body><nav><ul><li><a href='/'>home</a></li></ul></nav><article><h1>Title {i}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article><footer>imprint</footer></body></html>", "\n".join([f"Title {i}", *paragraphs])))
+    assert min(len(h) for h, _ in made) > ext.SAMPLE_CHARS
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(made)], "page_id long, html string")
+    got = {r.page_id: r.text for r in ext.extract(df, ext.fit(df)).collect()}
+    assert [i for i, (_, t) in enumerate(made) if got[i] != t] == []
+
+
 def test_edges(spark, fitted):
     trees = fitted[2]
     given = [None, "", "   ", "<", "<div", "<!-- open", "<script>x", "</p></div>", "plain", "<p>" * 3000 + "deep", "<div>" * 2000 + "x", '<a href="unclosed>text', "<p>\x00</p>", "&#x110000;&bad;"]
@@ -54,7 +67,9 @@ def test_edges(spark, fitted):
     assert out[:4][:3] == ["", "", ""] and all(isinstance(x, str) for x in out)
     df = spark.createDataFrame([(None, None, None), (1, None, "<p>x")], "page_id long, url string, html string")
     assert ext.extract(df, trees).count() == 2 and ext.extract(df.limit(0), trees).count() == 0
-    assert ext.extracted(ext.fit(df.limit(0)), ["<article><p>x</p></article>"]) == [""]
+    nothing = ext.fit(df.limit(0))
+    assert ext.extracted(nothing, ["<html><body><nav><a href='/'>home</a></nav><article><h1>Some title</h1><p>A paragraph of the story, with words.</p></article></body></html>"]) == ["Some title\nA paragraph of the story, with words."]
+    assert ext.extracted(nothing, ["", "<script>x</script>"]) == ["", ""]
 
 
 def test_kept_nodes_have_kept_parents(fitted):

@@ -129,7 +129,10 @@ def bursts(sequences: DataFrame, most: int) -> tuple[DataFrame, list[tuple[DataF
         n = over.count()
         if not n:
             break
-        marked = at_heads(pending, "head", over.select("head", F.lit(True).alias("over")), "left", n <= FEW_HEADS)
+        if rounds:
+            marked = at_heads(pending, "head", over.select("head", F.lit(True).alias("over")), "left", n <= FEW_HEADS)
+        else:  # all rows are in the root's container
+            marked = pending.withColumn("over", F.lit(True))
         marked = written(marked, "burst")
         rounds.append((over, marked.filter(F.col("over") & here).select("head", "ends")))  # one row at most ends at a head
         ready.append(marked.filter("over is null").drop("over"))

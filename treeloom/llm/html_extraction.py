@@ -29,7 +29,7 @@ from .boosting import Trees, grow
 from .dom import BLOCK, RAW, TEXT, Page, parse, tokens
 
 SAMPLE_PAGES = 200  # pages that are learned from, those with the smallest id hashes
-SAMPLE_CHARS = 50_000  # longer pages are not learned from
+SAMPLE_CHARS = 50_000  # of a page, without scripts and styles, that are learned from
 COPIES = 4  # changed copies of each
 
 #: Words in class, id and role names, by what they are a sign of.
@@ -284,19 +284,39 @@ def in_page_order(page: Page, label: list[bool]) -> tuple[Page, list[bool]]:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Trees:
-    """Learns from SAMPLE_PAGES pages of at most SAMPLE_CHARS characters and COPIES changed copies of each."""
-    usable = pages.filter(F.length(html_col) <= SAMPLE_CHARS).select(F.xxhash64(id_col).alias("h"), F.col(html_col).alias("html"))
+    """Learns from SAMPLE_PAGES pages, the first SAMPLE_CHARS characters of each without scripts and styles, and COPIES changed copies of each.
+
+    Where no main text can be seen in any of them, which is so for an empty table, ``own_pages`` are learned from instead.
+    """
+    usable = pages.filter(F.length(html_col) > 0).select(F.xxhash64(id_col).alias("h"), F.col(html_col).alias("html"))
     chosen = [r["h"] for r in usable.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]  # hashes alone are ranked: tasks send no pages for it
-    rows = usable.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
+    cut = F.substring(F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", ""), 1, SAMPLE_CHARS)
+    rows = usable.filter(F.col("h").isin(chosen)).select("h", cut.alias("html")).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
+    return learned([r["html"] for r in rows])
+
+
+def own_pages(n: int = SAMPLE_PAGES, seed: int = 3) -> list[str]:
+    """Pages of made-up words in the plainest layout, for tables from which nothing can be learnt."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10)))
+    line = lambda least, most: " ".join(word() for _ in range(rng.randrange(least, most))).capitalize() + "."
+    menu = lambda: "".join(f'<li><a href="/{i}">{word()}</a></li>' for i in range(rng.randrange(3, 9)))
+    body = lambda: "".join(f"<p>{line(1, 50)}</p>" for _ in range(rng.randrange(1, 9)))
+    return [f'<html><head><title>{word()}</title></head><body><header><h2>{word()}</h2></header><nav><ul>{menu()}</ul></nav><div class="ad">{line(3, 9)}</div><article><h1>{line(2, 7)}</h1>{body()}</article><footer>{line(2, 8)}</footer></body></html>' for _ in range(n)]
+
+
+def learned(htmls: list[str]) -> Trees:
+    """Trees of these pages, or of own_pages where they show no main text."""
     rng = random.Random(7)
-    whole = [parse(r["html"]) for r in rows]
+    whole = [parse(h) for h in htmls]
     labels = [weak_labels(p) for p in whole]
+    if not any(map(any, labels)):
+        whole = [parse(h) for h in own_pages()]
+        labels = [weak_labels(p) for p in whole]
     others = [t for p in whole for t in p.text if t.count(" ") > 3] or ["some text of another page"]
     table = list(zip(whole, labels))
     for p, l in zip(whole, labels):
         table += [in_page_order(*changed(p, l, others, rng)) for _ in range(COPIES)]
-    if not table:
-        return Trees(-1.0, np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)))
     x, y = [], []
     for k in range(0, len(table), 100):
         nodes = Nodes([p for p, _ in table[k : k + 100]])
