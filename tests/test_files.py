@@ -51,6 +51,7 @@ def test_read_lines(spark):
     f = files(spark, {"m": "1\n2\n3\n4\n5\n6", "latin": b"\xe9\nx"})
     asked = spark.createDataFrame([("m", 1, 5), ("m", 10, 5), ("m", 5, 99), ("m", -3, 2), ("m", None, 0), ("latin", 1, 1), ("none", 1, 1), ("m", 9, None)], "path string, start int, end int")
     got = {(r.path, r.start, r.end): (r.text, r.error) for r in fil.read_lines(f, asked).collect()}
+    assert {(r.path, r.start, r.end): (r.text, r.error) for r in fil.read_lines(f, asked, fil.line_index(f)).collect()} == got
     assert got["m", 1, 5] == ("1\n2\n3\n4\n5", None)
     assert got["m", 10, 5][0] is None and got["m", 10, 5][1]
     assert got["m", 5, 99] == ("5\n6", None)
@@ -75,6 +76,16 @@ def test_source_tree_keeps_underscored_names(spark, tmp_path):
     assert everything.count() == len(SAMPLE) + 2
 
 
+def test_a_range_by_offsets_equals_a_split(spark):
+    texts = {"utf": "é\n中文\n\n🙂 x\n", "latin": b"\xe9\nb\xff\n\nz", "empty": "", "one": "no newline", "ends": "\n\n", "null": None, "cr": "a\r\nb"}
+    f = spark.createDataFrame([(p, None if t is None else bytearray(t.encode() if isinstance(t, str) else t)) for p, t in texts.items()], "path string, content binary")
+    asked = spark.createDataFrame([(p, a, b) for p in texts for a in (None, -1, 0, 1, 2, 3, 9) for b in (None, 0, 1, 2, 4, 9)], "path string, start int, end int")
+    plain = sorted(fil.read_lines(f, asked).collect(), key=repr)
+    by_offset = fil.read_lines(f, asked, fil.line_index(f))
+    assert sorted(by_offset.collect(), key=repr) == plain
+    assert "split(" not in by_offset._jdf.queryExecution().optimizedPlan().toString()
+
+
 def rows_of(df):
     return {r.path: (None if r.content is None else bytes(r.content), r.error) for r in df.collect()}
 

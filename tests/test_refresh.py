@@ -189,3 +189,26 @@ def test_threshold_policy_in_store(spark, tmp_path, old):
     path = stored(spark, tmp_path, SAMPLE)
     snapshots.refresh(spark, path, files(spark, NEW), ent.extract, policy="threshold")
     assert tables(snapshots.load(spark, path))[2] == tables(ref.refresh(old, files(spark, NEW), ent.extract, policy="threshold"))[2]
+
+
+def test_directory_digests(spark):
+    from treeloom.operators import files as fil
+
+    of = lambda sources: ref.directory_digests(fil.hashed(files(spark, sources)))
+    one, edited = of(SAMPLE), of({**SAMPLE, "shop/till.py": "x = 1\n", "new/a.py": ""})
+    assert {r.id: r.n_files for r in one.collect()} == {".": 4, "shop": 4, "shop/stock": 2}
+    assert {(r.id, r.status) for r in ref.changed_directories(edited, one).collect()} == {(".", "updated"), ("shop", "updated"), ("new", "added")}
+    assert ref.changed_directories(of(SAMPLE), one).count() == 0
+    swapped = {**SAMPLE, "shop/__init__.py": "a", "shop/stock/__init__.py": "b"}
+    back = {**SAMPLE, "shop/__init__.py": "b", "shop/stock/__init__.py": "a"}
+    assert ref.changed_directories(of(swapped), of(back)).count() == 3
+
+
+def test_an_equal_corpus_reads_nothing_stored(spark, tmp_path, monkeypatch):
+    path = stored(spark, tmp_path, SAMPLE)
+
+    def refuse(*a):
+        raise AssertionError("a stored table is read")
+
+    monkeypatch.setattr(snapshots, "rows", refuse)
+    assert snapshots.refresh(spark, path, files(spark, SAMPLE), ent.extract) == []

@@ -128,3 +128,23 @@ def test_callers_at_every_place(spark):
 def test_directories_follow_files(spark):
     got = {r.id for r in fil.directory_nodes(files(spark, {"x.py": ""})).collect()}
     assert got == {"."}
+
+
+def test_hot_names_are_dealt_to_cells(spark):
+    rows = [(f"c{i}", None, f"c{i}", "function", ["hot", f"c{i % 7}"], ["Base"]) for i in range(200)] + [(f"h{i}", None, "hot", "function", [], []) for i in range(90)] + [("b", None, "Base", "class", [], [])]
+    n = nodes(spark, rows)
+    want = {("c%d" % i, "h%d" % j, "calls") for i in range(200) for j in range(90)} | {(f"c{i}", f"c{i % 7}", "calls") for i in range(200)} | {(f"c{i}", "b", "inherits") for i in range(200)}
+    for cell in (1_000, 50, 10):
+        got = [tuple(r) for r in rel.edges(n, cell).collect()]
+        assert len(got) == len(want) and set(got) == want
+    sources, targets = rel.called(n), n.select(F.col("id").alias("target_id"), "name")
+    heavy, found = rel.heavy_names(sources, targets, 10)
+    a, b = rel.grid_sides(sources, targets, heavy)
+    assert found == 8 and max(r["count"] for side in (a, b) for r in side.groupBy("name", "row", "column").count().collect()) <= 25
+
+
+def test_digests_tell_lists_apart(spark):
+    n = nodes(spark, [("a", None, "a", "function", ["t", "u"], []), ("b", None, "b", "function", ["t", "v"], []), ("t", None, "t", "function", [], []), ("u", None, "u", "function", [], []), ("v", None, "v", "function", [], []), ("w", None, "w", "function", [], [])])
+    got = {r.name: (r.n_callers, r.digest) for r in rel.inspect_digests(n).collect()}
+    assert got["w"] == (0, None) and got["t"][0] == 2 and got["u"][0] == got["v"][0] == 1 and got["u"][1] != got["v"][1]
+    assert int(got["t"][1]) == int(got["u"][1]) + int(got["v"][1])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..schemas import ROOT
+from ..schemas import LINES, ROOT
 
 
 def supported(files: DataFrame, excluded: list[str] | None = None) -> DataFrame:
@@ -54,19 +56,53 @@ def line_range(content: Column, start: Column, end: Column) -> tuple[Column, Col
     return F.when(~bad, got), F.when(bad, F.lit("start is after end"))
 
 
-def read_lines(files: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests(path, start, end) with ``text`` and ``error``; an unknown path is an error too."""
-    got, error = line_range(F.col("content"), F.col("start"), F.col("end"))
+def line_index(files: DataFrame) -> DataFrame:
+    """(path, utf8, starts): whether the bytes are UTF-8, and the byte at which each line starts, closed by the place behind an added last newline. Made once, it turns a range of lines into a slice of bytes."""
+
+    def run(batches):
+        for batch in batches:
+            contents = batch.column("content")
+            starts = []
+            for c in contents:
+                raw = np.frombuffer(c.as_buffer() or b"", np.uint8) if c.is_valid else np.zeros(0, np.uint8)
+                starts.append(np.concatenate(([0], np.flatnonzero(raw == 10) + 1, [len(raw) + 1])))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("utf8"), pa.array(starts, pa.list_(pa.int64()))], names=["path", "utf8", "starts"])
+
+    return files.select("path", F.is_valid_utf8("content").alias("utf8"), "content").mapInArrow(run, LINES)
+
+
+def byte_range(start: Column, end: Column) -> tuple[Column, Column]:
+    """(text, error) of line_range by ``starts``, ``utf8`` and ``content``."""
+    n = F.size("starts") - 1
+    first = F.greatest(F.coalesce(F.nullif(start, F.lit(0)), F.lit(1)), F.lit(1))
+    last = F.least(F.coalesce(F.nullif(end, F.lit(0)), n), n)
+    bad = first > last
+    at = F.element_at("starts", F.least(first, n))
+    size = F.element_at("starts", F.greatest(last, F.lit(1)) + 1) - 1 - at
+    raw = F.substring(F.col("content"), (at + 1).cast("int"), F.greatest(size, F.lit(0)).cast("int"))
+    got = F.when(F.col("utf8"), F.decode(raw, "UTF-8")).otherwise(F.decode(raw, "ISO-8859-1"))
+    return F.when(~bad, got), F.when(bad, F.lit("start is after end"))
+
+
+def with_lines(files: DataFrame, lines: DataFrame) -> DataFrame:
+    return files.select("path", "content").join(lines, "path")
+
+
+def read_lines(files: DataFrame, requests: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """requests(path, start, end) with ``text`` and ``error``; an unknown path is an error too. With a line_index no file is split."""
+    source = files.select("path", "content") if lines is None else with_lines(files, lines)
+    got, error = line_range(F.col("content"), F.col("start"), F.col("end")) if lines is None else byte_range(F.col("start"), F.col("end"))
     known = F.col("content").isNotNull()
-    joined = requests.join(files.select("path", "content"), "path", "left")
+    joined = requests.join(source, "path", "left")
     return joined.select(*requests.columns, F.when(known, got).alias("text"), F.when(known, error).otherwise(F.lit("no such file")).alias("error"))
 
 
-def snippets(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """(id, text): the source lines of every entity."""
+def snippets(nodes: DataFrame, files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """(id, text): the source lines of every entity. With a line_index no file is split."""
     entities = nodes.filter(~F.col("type").isin("dir", "file")).select("id", "file_path", "line_start", "line_end")
-    got, _ = line_range(F.col("content"), F.col("line_start"), F.col("line_end"))
-    return entities.join(files.select(F.col("path").alias("file_path"), "content"), "file_path").select("id", got.alias("text"))
+    source = files.select("path", "content") if lines is None else with_lines(files, lines)
+    got, _ = line_range(F.col("content"), F.col("line_start"), F.col("line_end")) if lines is None else byte_range(F.col("line_start"), F.col("line_end"))
+    return entities.join(source.withColumnRenamed("path", "file_path"), "file_path").select("id", got.alias("text"))
 
 
 def directory_nodes(files: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths
+from ..schemas import ROOT
 from ..sources.scratch import written
 from . import entities as ent
 from . import files as fil
@@ -38,6 +40,25 @@ def classify(current: DataFrame, stored: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status"))
 
 
+def file_digest() -> Column:
+    """60 bits of the MD5 of a file's path and hash. Sums of it over files do not hang on their order, and tell sets of files apart that were not made to collide."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", "path", F.coalesce("hash", F.lit("")))), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
+def directory_digests(hashes: DataFrame) -> DataFrame:
+    """(id, n_files, digest) of every directory over all files below it, from (path, hash). Equal digests of two corpora mean equal subtrees, so a comparison needs to go on only below those that differ. Directories are summed before the shuffle."""
+    above = F.concat(F.array(F.lit(ROOT)), paths.ancestors(F.col("path")))
+    rows = hashes.select(F.explode(above).alias("id"), file_digest().alias("d"))
+    return rows.groupBy("id").agg(F.count("*").alias("n_files"), F.sum("d").cast("string").alias("digest"))
+
+
+def changed_directories(current: DataFrame, stored: DataFrame) -> DataFrame:
+    """(id, status): directories that came, went, or hold other files than before, from two tables of directory_digests."""
+    both = current.select("id", F.col("digest").alias("now")).join(stored.select("id", F.col("digest").alias("was")), "id", "full_outer")
+    status = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "updated")
+    return both.select("id", status.alias("status")).filter("status is not null")
+
+
 def status_counts(status: DataFrame) -> DataFrame:
     """(added, updated, removed, unchanged): how many files of classify's result have each status; one row, of zeros for none."""
     return status.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("added", "updated", "removed", "unchanged")])

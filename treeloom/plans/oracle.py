@@ -171,6 +171,17 @@ UNION ALL SELECT 'posting', node_id, term, round(tf, 6) FROM postings_new
 UNION ALL SELECT 'idf', term, '', round(idf, 6) FROM idf_new
 UNION ALL SELECT 'hash', path, sha256(text), 0 FROM new_kept"""
 
+
+
+def bits(text: str) -> str:
+    return f"CAST(CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT) AS HUGEINT)"
+
+
+def digests_cte(at: str) -> str:
+    above = "['.'] || list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))"
+    return f"{at}_digests AS (SELECT id, count(*) AS n_files, CAST(sum(d) AS VARCHAR) AS digest FROM (SELECT unnest({above}) AS id, {bits("path || ':' || sha256(text)")} AS d FROM {at}_kept) GROUP BY id)"
+
+
 ORACLE_SQL = {
     "route_files": f"WITH {FILES} SELECT path, {LANGUAGE} AS language FROM files WHERE {LANGUAGE} IS NOT NULL",
     "exclude_paths": f"WITH {FILES} SELECT path FROM files WHERE {KEPT_PATH}",
@@ -210,6 +221,7 @@ SELECT c.id AS source_id, n.id AS target_id, 'calls' AS relation FROM (SELECT id
 UNION ALL SELECT c.id, n.id, 'inherits' FROM (SELECT id, unnest(list_distinct(base_classes)) AS name FROM nodes) c JOIN nodes n USING (name) WHERE n.type = 'class'""",
     "callers": f"WITH {CALLERS} SELECT name, id AS caller_id FROM pairs",
     "inspect_all": f"WITH {CALLERS} SELECT id, nodes.name, array_to_string(calls, ',') AS calls, coalesce(n, 0) AS n_callers FROM nodes LEFT JOIN named ON nodes.name = named.name",
+    "inspect_digests": f"WITH {CALLERS}, digests AS (SELECT name, count(*) AS n, CAST(sum({bits('id')}) AS VARCHAR) AS digest FROM pairs GROUP BY name) SELECT id, nodes.name, coalesce(n, 0) AS n_callers, digest FROM nodes LEFT JOIN digests ON nodes.name = digests.name",
     "inspect_json": f"WITH {CALLERS} SELECT id, {json(command="'inspect'", node=CALLER_NODE, calls='calls', called_by=f'coalesce(ids, {NO_NAMES})')} AS json FROM nodes LEFT JOIN named ON nodes.name = named.name WHERE id IN (SELECT min(id) FROM nodes GROUP BY nodes.name)",
     "hierarchy_json": f"WITH {CALLERS} SELECT {json(command="'hierarchy'", base_class="'Brand#7'", count='count(*)', subclasses=f'list({CALLER_NODE} ORDER BY id)')} AS json FROM nodes WHERE list_contains(base_classes, 'Brand#7')",
     "map_json": f"WITH RECURSIVE {TREE}, {CLOSURE}, top AS (SELECT id, {STATS} AS s FROM stats WHERE id IN (SELECT id FROM nodes WHERE parent_id = '.' AND type = 'dir')) SELECT {json(command="'map'", project="'orders'", root="'/data'", stats=f"(SELECT {STATS} FROM stats WHERE id = '.')", children="list({'id': id, 'stats': s} ORDER BY id)")} AS json FROM top",
@@ -235,6 +247,9 @@ SELECT query_id, rank, node_id, round(score, 6) AS score, name FROM best JOIN do
 hits AS (SELECT query_id, list({{'node': {DOCUMENT_NODE}, 'score': round(score, 4)}} ORDER BY rank) AS results FROM best JOIN docs ON docs.id = node_id WHERE rank <= 10 GROUP BY query_id)
 SELECT query_id, {json(command="'search'", query='query', count='len(coalesce(results, []))', results='coalesce(results, [])')} AS json FROM queries LEFT JOIN hits USING (query_id)""",
     "classify_files": f"WITH {CHANGES} SELECT path, status FROM status",
+    "directory_digests": f"WITH {CHANGES}, {digests_cte('new')} SELECT id, n_files, digest FROM new_digests",
+    "changed_directories": f"""WITH {CHANGES}, {digests_cte('old')}, {digests_cte('new')}
+SELECT * FROM (SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN o.digest <> n.digest THEN 'updated' END AS status FROM old_digests o FULL JOIN new_digests n ON o.id = n.id) WHERE status IS NOT NULL""",
     "status_counts": f"WITH {CHANGES} SELECT " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("added", "updated", "removed", "unchanged")) + " FROM status",
     "removed_files": f"WITH {CHANGES} SELECT path FROM status WHERE status = 'removed'",
     "delete_file_nodes": f"WITH {BUILDS} SELECT id, type FROM old_nodes WHERE file_path IS NULL OR file_path NOT IN (SELECT path FROM status WHERE status = 'removed')",

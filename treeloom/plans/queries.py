@@ -79,13 +79,13 @@ def read_lines(spark, sf_dir):
     docs = ad.table(spark, sf_dir, "documents")
     files = ad.document_files(docs)
     requests = ad.document_files(docs).select("path", (F.octet_length("content") % 5).cast("int").alias("start"), (F.octet_length("content") % 7).cast("int").alias("end"))
-    return fil.read_lines(files, requests)
+    return fil.read_lines(files, requests, written(fil.line_index(files), "lines"))
 
 
 @query
 def entity_snippets(spark, sf_dir):
     files = ad.python_files(spark, sf_dir)
-    return fil.snippets(ent.entity_nodes(ent.extract(files)), files)
+    return fil.snippets(ent.entity_nodes(ent.extract(files)), files, written(fil.line_index(files), "lines"))
 
 
 @query
@@ -148,7 +148,7 @@ def expand_node(spark, sf_dir):
 
 @query
 def edges(spark, sf_dir):
-    return rel.edges(ad.caller_nodes(spark, sf_dir))
+    return rel.edges(written(ad.caller_nodes(spark, sf_dir), "callers"))
 
 
 @query
@@ -161,9 +161,14 @@ def inspect_all(spark, sf_dir):
     return rel.inspect_all(ad.caller_nodes(spark, sf_dir)).select("id", "name", listed("calls"), "n_callers")
 
 
+@query
+def inspect_digests(spark, sf_dir):
+    return rel.inspect_digests(ad.caller_nodes(spark, sf_dir)).select("id", "name", "n_callers", "digest")
+
+
 @query
 def inspect_json(spark, sf_dir):
-    nodes = ad.caller_nodes(spark, sf_dir)
+    nodes = written(ad.caller_nodes(spark, sf_dir), "callers")
     first = nodes.groupBy("name").agg(F.min("id").alias("id"))  # one document for every name
     return render.inspect_json(nodes, first)
 
@@ -180,7 +185,7 @@ def expand_json(spark, sf_dir):
 
 @query
 def hierarchy_json(spark, sf_dir):
-    return render.hierarchy_json(ad.caller_nodes(spark, sf_dir), "Brand#7")
+    return render.hierarchy_json(written(ad.caller_nodes(spark, sf_dir), "callers"), "Brand#7")
 
 
 @query
@@ -288,6 +293,16 @@ def classify_files(spark, sf_dir):
     return ref.classify(current_hashes(spark, sf_dir), stored_hashes(spark, sf_dir))
 
 
+@query
+def directory_digests(spark, sf_dir):
+    return ref.directory_digests(current_hashes(spark, sf_dir))
+
+
+@query
+def changed_directories(spark, sf_dir):
+    return ref.changed_directories(ref.directory_digests(current_hashes(spark, sf_dir)), ref.directory_digests(stored_hashes(spark, sf_dir)))
+
+
 @query
 def status_counts(spark, sf_dir):
     return ref.status_counts(classify_files(spark, sf_dir))

@@ -14,6 +14,7 @@ NODES = (
 )
 NODE_COLUMNS = [c.split()[0] for c in NODES.split(", ")]
 FILE_HASHES = "path string, hash string, indexed_at timestamp"
+LINES = "path string, utf8 boolean, starts array<long>"
 POSTINGS = "node_id string, term string, tf double"
 IDF = "term string, idf double"
 FREQUENCIES = "term string, df long"

@@ -45,9 +45,10 @@ class Version:
     buckets: int
     documents: int
     parts: dict[str, dict[str, str]] = field(default_factory=dict)  # table, bucket: folder below the snapshots' path
+    digests: dict[str, str] = field(default_factory=dict)  # of the files of each bucket that has any
 
     def text(self) -> str:
-        return json.dumps({"buckets": self.buckets, "documents": self.documents, "parts": self.parts})
+        return json.dumps({"buckets": self.buckets, "documents": self.documents, "parts": self.parts, "digests": self.digests})
 
 
 def bucket(key: Column, buckets: int) -> Column:
@@ -55,6 +56,12 @@ def bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.substring_index(key, ":", 1)), F.lit(buckets)).cast("int")
 
 
+def bucket_digests(hashes: DataFrame, buckets: int) -> dict[str, str]:
+    """A digest of the paths and hashes in each bucket; at most ``buckets`` rows reach the driver."""
+    summed = hashes.groupBy(bucket(F.col("path"), buckets).alias("b")).agg(F.sum(ref.file_digest()).cast("string").alias("d"), F.count("*").alias("n"))
+    return {str(r["b"]): f"{r['n']}:{r['d']}" for r in summed.collect()}
+
+
 def pointers(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete versions, newest first."""
     fs, root = folder_system(spark, f"{path}/current")
@@ -109,7 +116,7 @@ def save(snapshot: Snapshot, path: str, buckets: int = BUCKETS) -> str:
     spark = snapshot.nodes.sparkSession
     number = max(pointers(spark, path), default=0) + 1
     folder = f"v{number:012d}-{uuid.uuid4().hex}"
-    new = Version(number, buckets, snapshot.documents)
+    new = Version(number, buckets, snapshot.documents, digests=bucket_digests(snapshot.file_hashes, buckets))
     for name in SCHEMAS:
         new.parts[name] = write_part(getattr(snapshot, name), path, folder, name, buckets)
     publish(spark, path, new)
@@ -124,31 +131,32 @@ def load(spark: SparkSession, path: str) -> Snapshot:
 def refresh(spark: SparkSession, path: str, files: DataFrame, extract: Callable[[DataFrame], DataFrame], policy: str = "exact") -> list[str]:
     """Makes the next version from the newest one and files(path, content), and returns the buckets that were rewritten.
 
-    Nodes and postings of other buckets are neither read nor written. Without a change there is no new version.
-    With policy "exact" the version equals a full build of files.
+    Files are hashed and summed by bucket; hashes, nodes and postings of buckets whose sum is as it was are neither
+    read nor written. Without a change nothing stored is read and there is no new version. With policy
+    "exact" the version equals a full build of files.
     """
     at = version(spark, path, pointers(spark, path)[0])
-    hashes = rows(spark, path, at, "file_hashes")
     kept = fil.supported(files)
     current = written(fil.hashed(kept), "hashes")
-    status = written(ref.classify(current, hashes), "status")
-    touched = [str(r[0]) for r in status.filter("status <> 'unchanged'").select(bucket(F.col("path"), at.buckets)).distinct().collect()]  # at most ``buckets`` numbers
+    digests = bucket_digests(current, at.buckets)
+    touched = sorted((b for b in digests.keys() | at.digests.keys() if digests.get(b) != at.digests.get(b)), key=int)
     if not touched:
         return []
     old = snapshot_of(spark, path, at, set(touched))
-    mine = status.filter(bucket(F.col("path"), at.buckets).cast("string").isin(touched))
-    before, after, net = ref.changes(old.nodes, mine, kept, extract)
+    here = bucket(F.col("path"), at.buckets).isin([int(b) for b in touched])
+    status = written(ref.classify(current.filter(here), old.file_hashes), "status")
+    before, after, net = ref.changes(old.nodes, status, kept.filter(here), extract)
     index = idx.updated(old.index, before, after, net, policy)
-    nodes = fil.directory_nodes(current).unionByName(ref.kept_nodes(old.nodes, mine)).unionByName(after)
+    nodes = fil.directory_nodes(current).unionByName(ref.kept_nodes(old.nodes, status)).unionByName(after)
     number = at.number + 1
     folder = f"v{number:012d}-{uuid.uuid4().hex}"
-    new = Version(number, at.buckets, index.documents)
-    fresh = {"nodes": nodes, "postings": index.postings, "file_hashes": ref.new_hashes(old.file_hashes, current, mine), "idf": index.idf, "frequencies": index.frequencies}
+    new = Version(number, at.buckets, index.documents, digests=digests)
+    fresh = {"nodes": nodes, "postings": index.postings, "file_hashes": ref.new_hashes(old.file_hashes, current, status), "idf": index.idf, "frequencies": index.frequencies}
     for name, df in fresh.items():
         gone = {*touched, str(DIRECTORIES), WHOLE}
         new.parts[name] = {b: f for b, f in at.parts[name].items() if b not in gone} | write_part(df, path, folder, name, at.buckets)
     publish(spark, path, new)
-    return sorted(touched, key=int)
+    return touched
 
 
 def prune(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
