@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from treeloom.llm import embedding_dedup as emb
 
@@ -105,3 +106,21 @@ def test_different_vectors_under_one_id(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.01, 1.0]), (None, [1.0, 0.01]), (None, [-1.0, 0.0])]
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in emb.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()), key=repr)
     assert got == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (None, 1, 1), (None, 0, None)], key=repr)
+
+
+def test_sparse_links_are_found_and_audited(spark):
+    """Pairs just above the threshold among many unlinked vectors: hardly one in forty is linked, so a small sample would see none."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(75):
+        r = rng.normal(size=64)
+        r -= x[k] * (x[k] @ r)
+        x[3_000 + k] = 0.952 * x[k] + np.sqrt(1 - 0.952**2) * r / np.linalg.norm(r)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+    linked = {r.vec_id for r in emb.near_duplicates(df).collect() if r.n_links}
+    assert len(linked & {*range(75), *range(3_000, 3_075)}) >= 149 and len(linked) <= 150
+    one = df.select(F.monotonically_increasing_id().alias("id"), "embedding")
+    units = emb.unit_rows(one, "id", "embedding").withColumn("copies", F.lit(1).cast("long"))
+    none = spark.createDataFrame([], "id long, n long")
+    assert emb.audit(units, none, 0.95) < 0.1  # a search that finds nothing is seen to find nothing

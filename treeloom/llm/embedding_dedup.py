@@ -36,14 +36,15 @@ from .simhash import Forest
 
 SHARD_ROWS = 2048
 TARGET_ROWS = 600
-OVERLAP = 2
-MOST_OVERLAP = 4
+OVERLAP = 3
+MOST_OVERLAP = 5
 SAMPLE = 20_000  # rows that the centres are fitted on
 MOST_CENTRES = 1024
 MOST_LEVELS = 8
 PIECE_ROWS = 10_000  # rows that meet a shard's centres in one call
-AUDIT = 200  # vectors searched by brute force over all rows
-RECALL = 0.98
+AUDIT = 2000  # vectors searched by brute force over all rows
+AUDIT_ROWS = 2048  # that meet them at once
+RECALL = 0.99
 LEAST_RECALL = 0.9  # of the last overlap
 THINNED = 0.9  # a shard that keeps more of the rows it was cut from than this is not cut again
 BLOCK_ROWS = 4096  # rows of a shard that is compared whole that meet as many others in one task
@@ -369,7 +370,12 @@ def links(vectors: DataFrame, threshold: float, overlap: int) -> tuple[DataFrame
 
 
 def audit(one: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Links found of AUDIT vectors against every row by brute force: the lesser of the share of all their links and the mean share of a vector's."""
+    """Links found of AUDIT vectors against every row by brute force: the lesser of the share of all their links and the mean share of a vector's.
+
+    The vectors are drawn by hash among all rows, whatever was found, so links that no search found count too. Of a share r
+    among n linked vectors the standard error is sqrt(r (1 - r) / n); where none of the sample is linked the share
+    is not known, which is logged, and 1 is returned.
+    """
     sample = one.orderBy(F.xxhash64("unit"), "unit").limit(AUDIT).select("id", "unit").collect()
     if not sample:
         return 1.0
@@ -382,9 +388,9 @@ def audit(one: DataFrame, counts: DataFrame, threshold: float) -> float:
             units, ids, copies = t["unit"].to_pylist(), np.array(t["id"].to_pylist()), np.array(t["copies"].to_pylist())
             sizes = np.array([len(u) for u in units])
             for size in np.unique(sizes):
-                rows = np.flatnonzero(sizes == size)
                 mine = [k for k, (_, u) in enumerate(shared.value) if len(u) == size]
-                if mine:
+                every = np.flatnonzero(sizes == size)
+                for rows in np.array_split(every, -(-len(every) // AUDIT_ROWS)) if mine else ():
                     x = np.frombuffer(b"".join(units[r] for r in rows), np.float64).reshape(len(rows), -1)
                     q = np.frombuffer(b"".join(shared.value[k][1] for k in mine), np.float64).reshape(len(mine), -1)
                     hit = (x @ q.T >= threshold) & (ids[rows][:, None] != np.array([shared.value[k][0] for k in mine]))
@@ -394,6 +400,7 @@ def audit(one: DataFrame, counts: DataFrame, threshold: float) -> float:
     exact = {r["id"]: r["n"] for r in one.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
     got = {r["id"]: r["n"] for r in counts.filter(F.col("id").isin(list(exact))).collect()}
     shares = [min(got.get(k, 0), n) / n for k, n in exact.items() if n]
+    logging.getLogger(__name__).info("audit: %d of %d vectors are linked, mean share found %s", len(shares), len(exact), sum(shares) / len(shares) if shares else "unknown")
     return min(sum(shares) / len(shares), sum(min(got.get(k, 0), n) for k, n in exact.items()) / sum(exact.values())) if shares else 1.0
 
 
