@@ -44,7 +44,7 @@ MOST_LEVELS = 8
 PIECE_ROWS = 10_000  # rows that meet a shard's centres in one call
 AUDIT = 2000  # vectors searched by brute force over all rows
 AUDIT_ROWS = 2048  # that meet them at once
-RECALL = 0.99
+RECALL = 0.98
 LEAST_RECALL = 0.9  # of the last overlap
 THINNED = 0.9  # a shard that keeps more of the rows it was cut from than this is not cut again
 BLOCK_ROWS = 4096  # rows of a shard that is compared whole that meet as many others in one task
