@@ -94,3 +94,24 @@ def test_empty_index(spark):
     postings, idf = idx.build_index(none)
     assert postings.count() == 0 and idf.count() == 0
     assert sea.search_one(none, postings, idf, "anything").count() == 0
+
+
+def test_pruned_search_gives_the_same_rows_from_fewer_postings(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=rng.randrange(1, 60))) for _ in range(1_500)]
+    rows = [(f"n{i}", "f", "x", "function", "f", 1, 1, None, t, [], [], "python") for i, t in enumerate(texts)]
+    n = spark.createDataFrame(rows, NODES)
+    postings, idf = idx.build_index(n)
+    blocks = sea.term_blocks(postings)
+    asked = [(0, "word0 word1 word40"), (1, "word9"), (2, "word59 word58 word0 word0 unknownword"), (3, None), (4, "zzz"), (5, " ".join(words)), (6, texts[7])]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    for k in (1, 3, 10, 5_000):
+        want = sorted(map(tuple, sea.ranked(sea.scores(postings, idf, queries), k).select("query_id", "rank", "node_id", "score").collect()))
+        assert sorted(map(tuple, sea.top_k(postings, idf, blocks, queries, k).select("query_id", "rank", "node_id", "score").collect())) == want
+    terms = sea.weighted_terms(idf, queries)
+    every = {r.query_id: r["count"] for r in sea.scores(postings, idf, queries).groupBy("query_id").count().collect()}
+    some = {r.query_id: r["count"] for r in sea.candidates(postings, blocks, terms, 10).groupBy("query_id").count().collect()}
+    assert all(some[q] <= every[q] for q in every) and some[1] < every[1] / 10 and some[2] < every[2] / 3

@@ -182,6 +182,9 @@ def digests_cte(at: str) -> str:
     return f"{at}_digests AS (SELECT id, count(*) AS n_files, CAST(sum(d) AS VARCHAR) AS digest FROM (SELECT unnest({above}) AS id, {bits("path || ':' || sha256(text)")} AS d FROM {at}_kept) GROUP BY id)"
 
 
+SEARCH_BATCH = f"""WITH {SEARCH}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM scores)
+SELECT query_id, rank, node_id, round(score, 6) AS score, name FROM best JOIN docs ON docs.id = node_id WHERE rank <= 10"""
+
 ORACLE_SQL = {
     "route_files": f"WITH {FILES} SELECT path, {LANGUAGE} AS language FROM files WHERE {LANGUAGE} IS NOT NULL",
     "exclude_paths": f"WITH {FILES} SELECT path FROM files WHERE {KEPT_PATH}",
@@ -241,8 +244,8 @@ SELECT p_partkey, name, {split_parts("name")} AS parts FROM named""",
     "query_terms": f"WITH {SEARCH} SELECT query_id, term, round(idf, 6) AS idf, n_tokens FROM terms",
     "search_scores": f"WITH {SEARCH} SELECT query_id, node_id, round(score, 6) AS score FROM scores",
     "search_top10": f"WITH {INDEX}, {scores_cte(f'''SELECT 0 AS query_id, '{SEARCHED}' AS query''')}, best AS (SELECT * FROM scores ORDER BY score DESC, node_id LIMIT 10) SELECT node_id, round(score, 6) AS score, name FROM best JOIN docs ON docs.id = node_id",
-    "search_batch": f"""WITH {SEARCH}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM scores)
-SELECT query_id, rank, node_id, round(score, 6) AS score, name FROM best JOIN docs ON docs.id = node_id WHERE rank <= 10""",
+    "search_batch": SEARCH_BATCH,
+    "search_pruned": SEARCH_BATCH,
     "search_json": f"""WITH {SEARCH}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM scores),
 hits AS (SELECT query_id, list({{'node': {DOCUMENT_NODE}, 'score': round(score, 4)}} ORDER BY rank) AS results FROM best JOIN docs ON docs.id = node_id WHERE rank <= 10 GROUP BY query_id)
 SELECT query_id, {json(command="'search'", query='query', count='len(coalesce(results, []))', results='coalesce(results, [])')} AS json FROM queries LEFT JOIN hits USING (query_id)""",

@@ -272,6 +272,14 @@ def search_batch(spark, sf_dir):
     return sea.search(nodes, postings, idf_table, ad.benchmark_queries(spark, sf_dir)).select("query_id", F.col("rank").cast("long").alias("rank"), "node_id", rounded("score"), "name")
 
 
+@query
+def search_pruned(spark, sf_dir):
+    nodes = ad.document_nodes(spark, sf_dir)
+    postings, idf_table = idx.build_index(nodes)
+    best = sea.top_k(postings, idf_table, written(sea.term_blocks(postings), "blocks"), ad.benchmark_queries(spark, sf_dir))
+    return best.join(nodes.select(F.col("id").alias("node_id"), "name"), "node_id").select("query_id", F.col("rank").cast("long").alias("rank"), "node_id", rounded("score"), "name")
+
+
 @query
 def search_json(spark, sf_dir):
     nodes, queries = ad.document_nodes(spark, sf_dir), ad.benchmark_queries(spark, sf_dir)
