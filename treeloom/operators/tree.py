@@ -46,46 +46,49 @@ def orphans(nodes: DataFrame) -> DataFrame:
     return nodes.filter("parent_id is not null").join(nodes.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
 
 
-def inner_sums(slim: DataFrame) -> DataFrame:
-    """(id, up, counts) of the inner nodes of slim(id, parent_id, inner, counts): their own counts and those of their childless children, which no later round has to move."""
-    sums = [F.sum(c).alias(f"{c}_below") for c in COUNTS]
-    leaves = slim.filter("not inner and parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(*sums)
-    return slim.filter("inner").join(leaves, "id", "left").select("id", F.col("parent_id").alias("up"), *added(COUNTS))
+def added(*columns: str) -> list[Column]:
+    """Each count with those of the given suffixes added; a suffix after a minus is taken off."""
+    part = lambda c, s: -F.coalesce(f"{c}{s[1:]}", F.lit(0)) if s.startswith("-") else F.coalesce(f"{c}{s}", F.lit(0))
+    return [sum((part(c, s) for s in columns), F.col(c)).alias(c) for c in COUNTS]
 
 
-def added(columns: list[str]) -> list[Column]:
-    return [(F.col(c) + F.coalesce(f"{c}_below", F.lit(0))).alias(c) for c in columns]
+def summed(rows: DataFrame, key: str, suffix: str) -> DataFrame:
+    """Counts summed by a key, which becomes ``id``; combined before the shuffle."""
+    return rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(*[F.sum(c).alias(f"{c}{suffix}") for c in COUNTS])
 
 
-def stats(nodes: DataFrame) -> DataFrame:
-    """(id, files, classes, functions, methods) below and at every node.
+def stats(nodes: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(id, files, classes, functions, methods) below and at every node, or at those of only(id).
 
-    Pointer doubling over the inner nodes: before round k a node holds the counts of all that is less than 2^k
-    levels below it and points to the node 2^k levels above; the round adds each node's counts to the one
-    it points to and doubles the pointers. So rounds grow with the logarithm of the depth, and pointers that
-    are left when 2^k exceeds the number of nodes run in a cycle, which is an error. A parent that does not
-    exist is no node and gets nothing. What the driver sees of a round is the number of pointers left.
+    Childless nodes are added to their parents once. Then pointer doubling over the inner nodes: before round k a
+    node holds the counts of all inner nodes less than 2^k levels below it and points to the one 2^k
+    levels above; the round adds each node's counts to the one it points to and doubles the pointers. So
+    rounds grow with the logarithm of the depth, and pointers that are left when 2^k exceeds the number of inner
+    nodes run in a cycle, which is an error. A parent that does not exist is no node and gets nothing. What the
+    driver sees of a round is the number of pointers left.
     """
     own = nodes.select("id", "parent_id", *[(F.col("type") == t).cast("long").alias(c) for c, t in COUNTED_TYPES.items()])
-    parents = own.select(F.col("parent_id").alias("id")).filter("id is not null").distinct().withColumn("inner", F.lit(True))
-    slim = written(own.join(parents, "id", "left").withColumn("inner", F.coalesce("inner", F.lit(False))), "slim")
-    current, seen = counted(inner_sums(slim), "climb", rows=F.count("*"), left=F.count("up"))
+    kids = summed(own, "parent_id", "_kids")
+    inner, seen = counted(own.join(kids, "id").withColumnRenamed("parent_id", "up"), "inner", rows=F.count("*"), left=F.count("up"))
+    # inner children climb on their own, so they are taken off their parents' sums
+    current = inner.join(summed(inner, "up", "_inner"), "id", "left").select("id", "up", *added("_kids", "-_inner"))
     reach, left = 1, seen["left"]
     while left:
         if reach > seen["rows"]:
             raise ValueError("the parents form a cycle")
-        moved = current.filter("up is not null").groupBy(F.col("up").alias("id")).agg(*[F.sum(c).alias(f"{c}_below") for c in COUNTS])
         above = current.select(F.col("id").alias("up"), F.col("up").alias("farther"))
-        summed = current.join(moved, "id", "left").select("id", "up", *added(COUNTS))
-        doubled = summed.join(above, "up", "left").select("id", F.col("farther").alias("up"), *COUNTS)
+        moved = current.join(summed(current, "up", "_below"), "id", "left").select("id", "up", *added("_below"))
+        doubled = moved.join(above, "up", "left").select("id", F.col("farther").alias("up"), *COUNTS)
         current, now = counted(doubled, "climb", left=F.count("up"))
         reach, left = 2 * reach, now["left"]
-    return current.select("id", *COUNTS).unionByName(slim.filter("not inner").select("id", *COUNTS))
+    total = current.select("id", *[F.col(c).alias(f"{c}_total") for c in COUNTS])
+    asked = own if only is None else own.join(only.select("id").distinct(), "id", "left_semi")
+    return asked.join(total, "id", "left").select("id", *[F.coalesce(f"{c}_total", c).alias(c) for c in COUNTS])
 
 
 def stats_of(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """Counts for ids(id); zeros for unknown ones."""
-    return ids.join(stats(nodes), "id", "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS])
+    return ids.join(stats(nodes, ids), "id", "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS])
 
 
 def node_stats(nodes: DataFrame, root: str = ROOT) -> DataFrame:
@@ -96,10 +99,10 @@ def node_stats(nodes: DataFrame, root: str = ROOT) -> DataFrame:
 def project_map(nodes: DataFrame) -> DataFrame:
     """Counts of the root and of every directory at the top."""
     top = nodes.filter((F.col("id") == ROOT) | ((F.col("parent_id") == ROOT) & (F.col("type") == "dir"))).select("id")
-    return stats(nodes).join(top, "id", "left_semi")
+    return stats(nodes, top)
 
 
 def expand(nodes: DataFrame, parent: str) -> DataFrame:
     """Children of a node, each with its children's ids and its counts."""
     listed = lookup(nodes, nodes.filter(F.col("parent_id") == parent).select("id"))
-    return listed.select("parent_id", "id", "name", "type", "children_ids").join(stats(nodes), "id")
+    return listed.select("parent_id", "id", "name", "type", "children_ids").join(stats(nodes, listed.select("id")), "id")
