@@ -6,7 +6,8 @@ from treeloom.operators import entities as ent
 from treeloom.operators import refresh as ref
 from treeloom.operators import render, tree
 from treeloom.operators import search as sea
-from treeloom.sources import snapshots
+from treeloom.schemas import POSTINGS
+from treeloom.sources import segments, snapshots
 
 from .fixtures import GOODS, SAMPLE, files
 
@@ -212,3 +213,52 @@ def test_an_equal_corpus_reads_nothing_stored(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(snapshots, "rows", refuse)
     assert snapshots.refresh(spark, path, files(spark, SAMPLE), ent.extract) == []
+
+
+def found(df):
+    return sorted((r.query_id, r["rank"], r.node_id, r.score, r.name) for r in df.collect())
+
+
+def test_stored_search_equals_search_after_a_refresh(spark, tmp_path):
+    path = str(tmp_path / "snapshots")
+    snapshots.save(ref.full_build(files(spark, SAMPLE), ent.extract), path, buckets=4, part_rows=4)
+    n = 2 * segments.FEW_TERMS
+    new = {**NEW, "m.py": "".join(f"def word{i}(): pass\n" for i in range(n))}
+    snapshots.refresh(spark, path, files(spark, new), ent.extract)
+    snapshots.prune(spark, path, keep=1)
+    want = ref.full_build(files(spark, new), ent.extract)
+    few = [(1, "put pieces away int"), (2, "apple fruit"), (3, "zzz"), (4, None), (5, "ring ring second sale")]
+    for asked in (few, [*few, (6, " ".join(f"word{i}" for i in range(n)))]):
+        queries = spark.createDataFrame(asked, "query_id long, query string")
+        assert found(snapshots.search(spark, path, queries)) == found(sea.search(want.nodes, want.postings, want.idf, queries))
+
+
+def word_postings(spark, rows):
+    return spark.createDataFrame([(f"n{i}", w, 0.5) for i, w in rows], POSTINGS)
+
+
+def test_a_search_opens_the_files_of_its_terms(spark, tmp_path):
+    path = str(tmp_path)
+    first = segments.write(word_postings(spark, [(i, f"word{i}") for i in range(3_000)]), None, 3_000, path, "v1", 100)
+    gone = spark.createDataFrame([("n1",), ("n2",)], "node_id string")
+    at = segments.after(spark, path, [first], word_postings(spark, [(1, "other")]), gone, "v2", 100)
+    assert at[0] == first and len(first["parts"]) == 30 and len(at[1]["parts"]) == 1 and at[1]["rows"] == 3
+    asked = lambda *words: segments.live(spark, path, at, terms=spark.createDataFrame([(w,) for w in words], "term string"))
+    assert [r.node_id for r in asked("word7").collect()] == ["n7"]
+    assert asked("word1", "word2", "unknown").count() == 0 and asked("other").count() == 1 and asked().count() == 0
+    read = [f for f in asked("word7").inputFiles() if "/terms/" in f]
+    assert len(read) == 2 and len(segments.live(spark, path, at).inputFiles()) > 30
+
+
+def test_segments_are_merged_as_they_grow(spark, tmp_path):
+    at, holds = [], {}
+    for i in range(8):
+        new = {j: f"word{i}" for j in (i, i + 1, (3 * i) % 8)}
+        lost = [0] if i == 5 else []
+        gone = spark.createDataFrame([(f"n{j}",) for j in [*new, *lost]], "node_id string")
+        at = segments.after(spark, str(tmp_path), at, word_postings(spark, new.items()), gone, f"v{i}", 2)
+        holds = {j: w for j, w in (holds | new).items() if j not in lost}
+        assert len(at) <= 3
+    assert sorted((r.node_id, r.term) for r in segments.live(spark, str(tmp_path), at).collect()) == sorted((f"n{j}", w) for j, w in holds.items())
+    none = spark.createDataFrame([], "node_id string")
+    assert segments.after(spark, str(tmp_path), at, word_postings(spark, []), none, "none", 2) == at

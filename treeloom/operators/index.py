@@ -52,12 +52,13 @@ def build_index(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @dataclass
 class Index:
-    """Postings, idf, and what idf comes from: (term, df) and the number of searchable nodes."""
+    """Postings, idf, and what idf comes from: (term, df) and the number of searchable nodes. ``fresh``: the postings that an update added."""
 
     postings: DataFrame
     idf: DataFrame
     frequencies: DataFrame
     documents: int
+    fresh: DataFrame | None = None
 
 
 def build(nodes: DataFrame) -> Index:
@@ -99,13 +100,13 @@ def updated(index: Index, before: DataFrame, after: DataFrame, net: int, policy:
     merged = index.postings.join(ids, "node_id", "left_anti").unionByName(fresh)
     anew = idf_of(frequencies, documents)
     if policy == "exact":
-        return Index(merged, anew, frequencies, documents)
+        return Index(merged, anew, frequencies, documents, fresh)
     touched = fresh.select("term").distinct()
     if abs(net) > threshold * documents:
         anew = anew.join(touched, "term", "left_semi")
-        return Index(merged, index.idf.join(anew, "term", "left_anti").unionByName(anew), frequencies, documents)
+        return Index(merged, index.idf.join(anew, "term", "left_anti").unionByName(anew), frequencies, documents, fresh)
     default = F.log((F.lit(documents) + 1) / F.lit(2.0)) + 1
-    return Index(merged, index.idf.unionByName(touched.join(index.idf, "term", "left_anti").select("term", default.alias("idf"))), frequencies, documents)
+    return Index(merged, index.idf.unionByName(touched.join(index.idf, "term", "left_anti").select("term", default.alias("idf"))), frequencies, documents, fresh)
 
 
 def update_index(postings: DataFrame, idf: DataFrame, nodes: DataFrame, changed: DataFrame, net_change: int, policy: str = "exact", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:

@@ -270,4 +270,7 @@ FROM idf_old a FULL JOIN touched t ON a.term = t.term LEFT JOIN idf_new b ON b.t
     "refresh": SNAPSHOT,
     "refresh_stored": SNAPSHOT,
     "load_snapshot": SNAPSHOT,
+    "search_stored": f"""WITH {BUILDS}, {texts_cte("texts", "new_nodes")}, {index_cte("texts")}, {scores_cte("SELECT item_id AS query_id, text AS query FROM benchmark")},
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM scores)
+SELECT query_id, rank, node_id, round(score, 6) AS score, name FROM best JOIN new_nodes ON id = node_id WHERE rank <= 10""",
 }

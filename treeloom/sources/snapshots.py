@@ -3,7 +3,8 @@
 Rows of nodes, postings and file hashes lie in ``buckets`` buckets by a hash of their file's path; directories
 are a bucket of their own, and the vocabulary's two tables are written whole. A version is one small pointer file
 that names, for each table and bucket, the folder that holds it. A refresh rewrites the buckets of changed files
-and lets the new pointer name the old folders of all others, so its writes grow with the change.
+and lets the new pointer name the old folders of all others, so its writes grow with the change. Postings are stored
+a second time, by term (see segments), for searches.
 
 A pointer is created exclusively, under the number behind the version it came from: of two savers that started
 from the same version one fails, and its folder is left for ``prune``. A reader sees the old version until the new
@@ -15,7 +16,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from ..operators import files as fil
 from ..operators import index as idx
 from ..operators import refresh as ref
+from ..operators import search as sea
 from ..operators.refresh import Snapshot
 from ..schemas import FILE_HASHES, FREQUENCIES, IDF, NODES, POSTINGS
+from . import segments as seg
 from .scratch import folder_system, removed, written
 
 BUCKETS = 64
@@ -46,9 +49,14 @@ class Version:
     documents: int
     parts: dict[str, dict[str, str]] = field(default_factory=dict)  # table, bucket: folder below the snapshots' path
     digests: dict[str, str] = field(default_factory=dict)  # of the files of each bucket that has any
+    segments: list[dict] = field(default_factory=list)  # of the postings by term, oldest first
+    part_rows: int = seg.PART_ROWS
 
     def text(self) -> str:
-        return json.dumps({"buckets": self.buckets, "documents": self.documents, "parts": self.parts, "digests": self.digests})
+        return json.dumps({k: v for k, v in asdict(self).items() if k != "number"})
+
+    def folders(self) -> set[str]:
+        return {f for parts in self.parts.values() for f in parts.values()}.union(*[seg.folders(s) for s in self.segments])
 
 
 def bucket(key: Column, buckets: int) -> Column:
@@ -85,19 +93,14 @@ def publish(spark: SparkSession, path: str, new: Version) -> None:
 
 
 def write_part(df: DataFrame, path: str, folder: str, name: str, buckets: int) -> dict[str, str]:
-    """Writes rows of one table and returns the folder of each bucket that has any. Large buckets are split over several files; postings are sorted by term within them, so that a search skips row groups."""
-    spark = df.sparkSession
+    """Writes rows of one table and returns the folder of each bucket that has any. Large buckets are split over several files."""
     if name not in KEYS:
         df.write.parquet(f"{path}/{folder}/{name}")
         return {WHOLE: f"{folder}/{name}"}
     at = bucket(F.col(KEYS[name]), buckets)
     at = F.when(F.col("type") == "dir", DIRECTORIES).otherwise(at) if name == "nodes" else at
     rows = df.withColumn("bucket", at).hint("rebalance", "bucket")
-    rows = rows.sortWithinPartitions("bucket", "term") if name == "postings" else rows
-    rows.write.partitionBy("bucket").parquet(f"{path}/{folder}/{name}")
-    fs, root = folder_system(spark, f"{path}/{folder}/{name}")
-    names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("bucket=")]
-    return {n.removeprefix("bucket="): f"{folder}/{name}/{n}" for n in names}
+    return seg.write_split(rows, path, f"{folder}/{name}")
 
 
 def rows(spark: SparkSession, path: str, at: Version, name: str, buckets: set[str] | None = None) -> DataFrame:
@@ -111,14 +114,16 @@ def snapshot_of(spark: SparkSession, path: str, at: Version, buckets: set[str] |
     return Snapshot(of("nodes"), of("postings"), of("idf"), of("file_hashes"), of("frequencies"), at.documents)
 
 
-def save(snapshot: Snapshot, path: str, buckets: int = BUCKETS) -> str:
-    """Writes every table as the next version and returns its folder."""
+def save(snapshot: Snapshot, path: str, buckets: int = BUCKETS, part_rows: int = seg.PART_ROWS) -> str:
+    """Writes every table as the next version and returns its folder. part_rows: postings of a folder of the segments."""
     spark = snapshot.nodes.sparkSession
     number = max(pointers(spark, path), default=0) + 1
     folder = f"v{number:012d}-{uuid.uuid4().hex}"
-    new = Version(number, buckets, snapshot.documents, digests=bucket_digests(snapshot.file_hashes, buckets))
+    new = Version(number, buckets, snapshot.documents, digests=bucket_digests(snapshot.file_hashes, buckets), part_rows=part_rows)
     for name in SCHEMAS:
         new.parts[name] = write_part(getattr(snapshot, name), path, folder, name, buckets)
+    stored = rows(spark, path, new, "postings")
+    new.segments = [seg.write(stored, None, stored.count(), path, folder, part_rows)]
     publish(spark, path, new)
     return f"{path}/{folder}"
 
@@ -150,15 +155,27 @@ def refresh(spark: SparkSession, path: str, files: DataFrame, extract: Callable[
     nodes = fil.directory_nodes(current).unionByName(ref.kept_nodes(old.nodes, status)).unionByName(after)
     number = at.number + 1
     folder = f"v{number:012d}-{uuid.uuid4().hex}"
-    new = Version(number, at.buckets, index.documents, digests=digests)
+    new = Version(number, at.buckets, index.documents, digests=digests, part_rows=at.part_rows)
     fresh = {"nodes": nodes, "postings": index.postings, "file_hashes": ref.new_hashes(old.file_hashes, current, status), "idf": index.idf, "frequencies": index.frequencies}
     for name, df in fresh.items():
         gone = {*touched, str(DIRECTORIES), WHOLE}
         new.parts[name] = {b: f for b, f in at.parts[name].items() if b not in gone} | write_part(df, path, folder, name, at.buckets)
+    gone = written(idx.searchable(before).select(F.col("id").alias("node_id")), "gone")
+    new.segments = seg.after(spark, path, at.segments, index.fresh, gone, folder, at.part_rows)
     publish(spark, path, new)
     return touched
 
 
+def search(spark: SparkSession, path: str, queries: DataFrame, k: int = sea.TOP) -> DataFrame:
+    """The rows of search.search over the newest version, for queries(query_id, query). Of the postings only folders that may hold a term of the queries are opened, and of the nodes only buckets of those found."""
+    at = version(spark, path, pointers(spark, path)[0])
+    terms = written(sea.weighted_terms(rows(spark, path, at, "idf"), queries), "terms")
+    postings = seg.live(spark, path, at.segments, terms=terms.select("term").distinct())
+    best = written(sea.ranked(sea.summed(postings.join(terms, "term")), k), "best")
+    asked = {str(r[0]) for r in best.select(bucket(F.col("node_id"), at.buckets)).distinct().collect()}
+    return best.join(rows(spark, path, at, "nodes", asked).withColumnRenamed("id", "node_id"), "node_id")
+
+
 def prune(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
     """Deletes all but the newest ``keep`` (at least one) versions: their pointers, and the folders that no kept version names. Returns the folders deleted. Readers of an older version must be done; a save that has not ended is not touched."""
     if keep < 1:
@@ -166,7 +183,7 @@ def prune(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
     numbers = pointers(spark, path)
     if not numbers:
         return []
-    named = {f for n in numbers[:keep] for parts in version(spark, path, n).parts.values() for f in parts.values()}
+    named = set().union(*[version(spark, path, n).folders() for n in numbers[:keep]])
     for n in numbers[keep:]:
         removed(spark, f"{path}/current/{n:012d}")
     deleted = []
