@@ -18,11 +18,11 @@ from treeloom.llm.queries import bpe_digests
 LEAST_LIKENESS = 0.12
 
 
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no learned language is found; lang stays as it was. Learns from two thirds of the labelled documents."""
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least_likeness: float = LEAST_LIKENESS) -> DataFrame:
+    """Drops documents without letters, and those whose likeness to the nearest learned language is under least_likeness (0: none); lang stays as it was. Learns from two thirds of the labelled documents."""
     model = language.fit(docs.filter((language.fold("doc_id", 3) != 1) & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
     found = language.identify(docs, model)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("likeness") >= LEAST_LIKENESS)).select(*docs.columns)
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("likeness") >= least_likeness)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
