@@ -68,6 +68,21 @@ def test_empty_documents(spark, tmp_path):
     assert cp.run(spark, sf).count() == 0
 
 
+def test_language_stage_keeps_short_clean_texts(spark):
+    """One-word texts, repeated ids with other texts, no n_chars, further columns; a text of letters drawn at random goes unless the bound is zero."""
+    rows = [r for r in corpus()[0] if r[2] and r[1] and r[1][0].isalpha()]
+    noise = " ".join("".join(random.Random(i).choices("bcdfjkmpvxyz", k=8)) for i in range(200))
+    short = [(900 + i, " ".join(r[1].split()[: i + 1]), None, "s") for i, r in enumerate(rows[:6])]
+    odd = [(900, "the thing", None, "s"), (950, noise, None, "s"), (951, "12 34", None, "s")]
+    df = spark.createDataFrame([(*r, 0.5) for r in [*map(tuple, rows), *short, *odd]], "doc_id long, text string, lang string, source string, likeness double")
+    some = cp.identify_language(spark, df, "")
+    assert some.columns == df.columns
+    got = sorted((r.doc_id, r.text) for r in some.collect() if r.doc_id >= 900)
+    assert got == sorted((r[0], r[1]) for r in [*short, odd[0]])
+    every = {r.doc_id for r in cp.identify_language(spark, df, "", least_likeness=0.0).collect()}
+    assert 950 in every and 951 not in every
+
+
 @needs_data
 def test_queries_keep_every_row(spark):
     for n in (1, 3, 5, 9):
