@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,7 @@ from treeloom.operators import entities as ent
 from treeloom.operators import files as fil
 from treeloom.operators import refresh as ref
 from treeloom.operators import relations as rel
-from treeloom.operators import tree
+from treeloom.operators import render, tree
 from treeloom.schemas import NODES
 
 from .fixtures import GOODS, SAMPLE, files, nodes
@@ -56,6 +58,25 @@ def test_last_definition_wins(spark):
     assert [(r.id, r.signature) for r in n] == [("a.py:f", "def f(y)")]
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_read_the_table_a_few_times(spark):
+    n = built(spark, SAMPLE).nodes
+    documents = render.inspect_json(n, n.select("id"))
+    assert plan(documents).count("FileScan") <= 3
+    got = {r.id: json.loads(r.json) for r in documents.collect()}
+    assert set(got) == {r.id for r in n.collect()}
+    kids = {r.id: sorted(k.id for k in n.filter(n.parent_id == r.id).collect()) for r in n.collect()}
+    assert {i: d["node"]["children_ids"] for i, d in got.items()} == kids
+    calls = {r.name: sorted(c.id for c in rel.callers(n, r.name).collect()) for r in n.collect()}
+    assert {i: d["called_by"] for i, d in got.items()} == {i: calls[d["node"]["name"]] for i, d in got.items()}
+    shop = [json.loads(r.json) for r in render.expand_json(n, "shop").collect()]
+    assert [(d["node"]["id"], [(k["id"], k["stats"]["functions"]) for k in d["children"]]) for d in shop] == [("shop", [("shop/__init__.py", 0), ("shop/stock", 2), ("shop/till.py", 2)])]
+    assert render.expand_json(n, "nowhere").count() == 0
+
+
 def test_children_lookup_orphans(spark):
     n = built(spark, SAMPLE).nodes
     kids = {r.id: r.children_ids for r in tree.children(n, "shop").collect()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from . import relations, tree
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -30,17 +31,18 @@ def map_json(nodes: DataFrame, project: str, root: str) -> DataFrame:
 
 
 def expand_json(nodes: DataFrame, parent: str) -> DataFrame:
-    below = nodes.filter(F.col("parent_id") == parent).select("id")
-    node = tree.lookup(nodes, nodes.filter(F.col("id") == parent).select("id")).select(F.lit(0).alias("k"), node_struct().alias("node"))
-    kids = tree.lookup(nodes, below).join(tree.stats(nodes).select("id", stats_struct().alias("stats")), "id")
+    near = nodes.filter((F.col("id") == parent) | (F.col("parent_id") == parent)).select("id")
+    rows = written(tree.lookup(nodes, near), "near")
+    below = rows.filter(F.col("parent_id") == parent)
+    kids = below.join(tree.stats(nodes, below.select("id")).select("id", stats_struct().alias("stats")), "id")
+    node = rows.filter(F.col("id") == parent).select(F.lit(0).alias("k"), node_struct().alias("node"))
     listed = kids.agg(F.array_sort(F.collect_list(F.struct(*FIELDS, "stats"))).alias("children")).withColumn("k", F.lit(0))
     return node.join(listed, "k").select(as_json(F.lit("expand").alias("command"), "node", "children"))
 
 
 def inspect_json(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, json) for the nodes of ids(id). A document lists all callers, so it is as large as they are many; relations.inspect_all counts them for whole tables."""
-    callers = relations.inspect(nodes, ids).select("id", "called_by")
-    rows = tree.lookup(nodes, ids).join(callers, "id")
+    rows = relations.inspect(nodes, ids)
     return rows.select("id", as_json(F.lit("inspect").alias("command"), node_struct().alias("node"), "calls", "called_by"))
 
 

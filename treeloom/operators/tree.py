@@ -14,7 +14,11 @@ COUNTS = list(COUNTED_TYPES)
 
 
 def last_wins(nodes: DataFrame, position: str = "position") -> DataFrame:
-    """One row for each id, that of the largest position; one aggregation with map-side combining, which sorts the rows on both sides of its exchange. Refreshes call it for changed files alone."""
+    """One row for each id, that of the largest position.
+
+    One aggregation with map-side combining, which sorts the rows on both sides of its exchange and so lets no task
+    get all rows of an id that repeats very often. Refreshes call it for changed files alone.
+    """
     row = F.struct(*[F.col(c) for c in NODE_COLUMNS])
     return nodes.groupBy("id").agg(F.max_by(row, F.struct(position, F.hash(row))).alias("n")).select("n.*")
 
