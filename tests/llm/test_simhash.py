@@ -88,6 +88,32 @@ def test_hot_values_are_split_without_loss(spark, cut):
     assert all(got.get(i, i) == want[i] for i in want)
 
 
+def test_values_are_split_until_no_split_thins_them(spark):
+    rng = np.random.default_rng(8)
+    common = int(rng.integers(0, 2**40))
+    values = [common | int(rng.integers(0, 2**6)) << 40 | int(rng.integers(0, 2**18)) << 46 for _ in range(1500)]
+    values += [v ^ sum(1 << int(k) for k in rng.choice(64, 3, False)) for v in values[:60]]
+    values = list(dict.fromkeys(values))
+    df = spark.createDataFrame([(i, v.to_bytes(8, "big")) for i, v in enumerate(values)], "id long, fingerprint binary")
+    parts = [np.arange(0, 22), np.arange(22, 43), np.arange(43, 64)]
+    probes = simhash.probe_rows(df, 64, parts, [-1, -1, 3])
+    hottest = lambda t: t.groupBy("key").count().agg({"count": "max"}).first()[0]
+    split = simhash.split_hot(probes, 64, parts, 3, 0.0, 20)
+    assert hottest(split) < hottest(probes) / 4
+    want = groups(dict(enumerate(values)), 3)
+    got = {r.node: r.component for r in components(simhash.verified_links(split, 64, 3)).collect()}
+    assert all(got.get(i, i) == want[i] for i in want)
+    ball = [common ^ sum(1 << int(k) for k in rng.choice(12, 3, False)) for _ in range(400)]  # no split thins these
+    dense = spark.createDataFrame([(i, v.to_bytes(8, "big")) for i, v in enumerate(dict.fromkeys(ball))], "id long, fingerprint binary")
+    probes = simhash.probe_rows(dense, 64, parts, [1, 0, 0])
+    split = simhash.split_hot(probes, 64, parts, 3, 0.0, 20)
+    assert split.count() <= 16 * probes.count()
+    links = components(simhash.verified_links(split, 64, 3))
+    want = groups(dict(enumerate(dict.fromkeys(ball))), 3)
+    got = {r.node: r.component for r in links.collect()}
+    assert all(got.get(i, i) == want[i] for i in want)
+
+
 @pytest.mark.parametrize("hot", [simhash.HOT, 3])
 def test_pairs_at_the_radius_meet(spark, hot):
     rng = np.random.default_rng(6)
@@ -230,3 +256,13 @@ def test_rows_with_one_id_are_judged_apart(spark):
     df = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (None, a), (None, "c d e")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(df).collect()), key=repr)
     assert got == sorted([(1, a), (2, b), (2, b), (None, "c d e")], key=repr)
+
+
+@pytest.mark.parametrize("pieces", [simhash.EDGES_PER_PIECE, 2])
+def test_edges_of_hot_texts_are_dealt(spark, monkeypatch, pieces):
+    monkeypatch.setattr(simhash, "EDGES_PER_PIECE", pieces)
+    sets = {i: set(range(i, i + 10)) for i in range(12)}
+    edges = [(0, i) for i in range(1, 12)] + [(i, 11) for i in range(1, 11)]
+    got = simhash.similar(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "node long, set array<long>"), 0.8)
+    want = {(a, b): len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in edges}
+    assert got.count() == len(edges) and {(r.a, r.b): r.ok for r in got.collect()} == want

@@ -11,8 +11,9 @@ fingerprints that meet are verified on all bits. Fewer and wider partitions take
 the number of fingerprints grows and candidates come to outweigh probes.
 
 A value that more than ``HOT`` rows share is split by further partitions of the bits that
-it leaves open, under the same guarantee, so a mass of unrelated fingerprints with one
-value is not compared in one task.
+it leaves open, under the same guarantee, and its parts again as long as a split at least halves
+the pairs; so a mass of unrelated fingerprints with one value is not compared in one task. What
+no split thins is a mass of near copies, which breadth-first search compares in few steps.
 
 For similarity of word sets the fingerprint only finds candidates: bits are the signs of sums of weights that
 shingles have by their hashes, so that two sets' bits differ by their angle whatever their sizes, and every pair
@@ -25,6 +26,7 @@ edges for each partition, not n squared.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -43,6 +45,7 @@ SMALL = 64  # groups up to this size are compared by shifting whole batches
 QUADRATIC = 10  # weight of a candidate next to a probe among partitions of one cut: candidates fall on few tasks
 CANDIDATE = 0.02  # time of a candidate next to a probe, by which cuts are compared
 HOT = 20_000  # rows with one value that are compared in one task
+PATH = 512  # base of the digits that name a split value's partition and pieces
 STEPS = 1000  # steps in which the chance of a miss is counted
 
 
@@ -244,36 +247,64 @@ def probe_rows(prints: DataFrame, bits: int, parts: list[np.ndarray], limits: li
 
 
 def finer_parts(taken: np.ndarray, bits: int, radius: int, miss: float) -> list[np.ndarray]:
-    """Cuts the bits that a partition leaves open so that pairs within the radius agree in one of the pieces."""
+    """Cuts the bits that partitions leave open so that pairs within the radius agree in one of the pieces; none if there are too few bits."""
     free = np.setdiff1d(np.arange(bits), taken)
+    if len(free) <= radius:
+        return []
     count = radius + 1
     if miss:
-        chance = lambda k: missed(-(-len(free) // k), radius / bits, 0) ** k
+        chance = lambda k: missed(-(-len(free) // k), radius / len(free), 0) ** k
         count = next((k for k in range(1, len(free)) if chance(k) <= miss), len(free))
-    return [free[j::count] for j in range(min(count, len(free)))]
+    return [free[j::count] for j in range(count)]
+
+
+def pieces_at(path: int, parts: list[np.ndarray], bits: int, radius: int, miss: float) -> tuple[list[np.ndarray], int]:
+    """(the pieces of the bits that a path leaves open, the weight of its next digit). A path's digits, lowest first, are a partition and pieces from 1; each split takes half of the chance of a miss that is left."""
+    path, digit = divmod(path, PATH)
+    taken, miss, weight = parts[digit], miss / 2, PATH
+    pieces = finer_parts(taken, bits, radius, miss)
+    while path:
+        path, digit = divmod(path, PATH)
+        taken, miss, weight = np.union1d(taken, pieces[digit - 1]), miss / 2, weight * PATH
+        pieces = finer_parts(taken, bits, radius, miss)
+    return (pieces if weight < PATH**7 else []), weight
 
 
 def split_hot(probes: DataFrame, bits: int, parts: list[np.ndarray], radius: int, miss: float, hot: int) -> DataFrame:
-    """probes, with rows of a key that more than ``hot`` rows share under keys of that key and a further piece of their bits."""
-    keys = written(probes.groupBy("key").count().filter(F.col("count") > hot).select("key"), "hot")
-    if keys.isEmpty():
-        return probes
-    finer = [finer_parts(p, bits, radius, miss) for p in parts]
+    """probes, with rows of a key that more than ``hot`` rows share under keys of that key and a further piece of their bits; those keys again while that pays."""
 
     def run(batches):
+        known: dict[int, tuple[list[np.ndarray], int]] = {}
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
-                rows = batch.slice(k, 2048)
-                key, table = rows.column(0).to_numpy(), bit_table(rows.column(2), bits)
-                for i in np.unique(key >> 40).tolist():
-                    at = np.flatnonzero(key >> 40 == i)
-                    for j, piece in enumerate(finer[i]):
-                        value = table[np.ix_(at, piece)].astype(U64) @ (np.uint64(1) << np.arange(len(piece), dtype=U64))
-                        fine = mixed(mixed(key[at].astype(U64) + np.uint64(j << 56)) + value)
-                        yield pa.RecordBatch.from_arrays([pa.array(fine.view(np.int64)), rows.column(1).take(pa.array(at)), rows.column(2).take(pa.array(at))], names=["key", "id", "fingerprint"])
-
-    split = probes.join(keys, "key", "left_semi").select("key", "id", "fingerprint").mapInArrow(run, probes.schema)
-    return probes.join(keys, "key", "left_anti").unionByName(split)
+                key, n, path, ids, prints = (batch.slice(k, 2048).column(c) for c in range(5))
+                keys, paths, table = key.to_numpy(), path.to_numpy(), bit_table(prints, bits)
+                for p in np.unique(paths).tolist():
+                    rows = np.flatnonzero(paths == p)
+                    at = pa.array(rows)
+                    known[p] = known.get(p) or pieces_at(p, parts, bits, radius, miss)
+                    pieces, weight = known[p]
+                    for j, piece in enumerate(pieces):
+                        value = table[np.ix_(rows, piece)].astype(U64) @ (np.uint64(1) << np.arange(len(piece), dtype=U64))
+                        fine = mixed(mixed(keys[rows].astype(U64) ^ mixed(np.array([j + 1], U64))) + value).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(fine), key.take(at), n.take(at), pa.array(np.full(len(rows), p + (j + 1) * weight)), ids.take(at), prints.take(at)], names=names)
+                    if not pieces:
+                        yield pa.RecordBatch.from_arrays([key.take(at), key.take(at), n.take(at), path.take(at), ids.take(at), prints.take(at)], names=names)
+
+    schema = "key long, parent long, n long, path long, id long, fingerprint binary"
+    names = [c.split()[0] for c in schema.split(", ")]
+    rows, settled = probes.withColumn("path", F.shiftright("key", 40)), []
+    keys = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot), "hot")
+    while not keys.isEmpty():
+        settled.append(rows.join(keys.select("key"), "key", "left_anti"))
+        split = rows.drop("n").join(keys, "key").select("key", "n", "path", "id", "fingerprint")
+        rows = written(split.mapInArrow(run, schema), "split")
+        counts = rows.groupBy("parent", "n", "key").agg(F.count("*").cast("double").alias("m"))
+        pays = counts.groupBy("parent", "n").agg(F.sum(F.col("m") * F.col("m")).alias("pairs")).filter(F.col("pairs") * 2 <= F.col("n").cast("double") * F.col("n"))
+        again = counts.filter(F.col("m") > hot).join(pays.select("parent"), "parent", "left_semi")
+        keys = written(again.groupBy("key").agg(F.sum("m").cast("long").alias("n")), "hot")
+    out = [t.select("key", "id", "fingerprint") for t in (*settled, rows)]
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 class Forest:
@@ -446,11 +477,15 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, ok): whether two texts' sets of shingles are similar enough. Edges of one text are dealt into pieces, so that none is hot."""
-    of_a = edges.groupBy("a").agg(F.ceil(F.count("*") / EDGES_PER_PIECE).alias("pieces"))
-    left = edges.join(of_a, "a").withColumn("piece", F.pmod(F.xxhash64("b"), F.col("pieces"))).select("a", "b", "piece")
-    right = sets.join(of_a, sets["node"] == of_a["a"]).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).select("a", "piece", F.col("set").alias("x"))
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(right, ["a", "piece"])
+    """(a, b, ok): whether two texts' sets of shingles are similar enough. Edges of one text, whichever end it is, are dealt into pieces, so that none is hot."""
+    both, copies = edges, {}
+    for end, other, name in (("b", "a", "y"), ("a", "b", "x")):
+        of = edges.groupBy(end).agg(F.ceil(F.count("*") / EDGES_PER_PIECE).alias("pieces"))
+        both = both.join(of, end).withColumn(f"{end}_piece", F.pmod(F.xxhash64(other), F.col("pieces"))).drop("pieces")
+        piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias(f"{end}_piece")
+        copies[end] = sets.join(of, sets["node"] == of[end]).select(end, piece, F.col("set").alias(name))
+    for end, sets_of_end in copies.items():
+        both = both.join(sets_of_end, [end, f"{end}_piece"])
     shared = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (shared >= similarity * (F.size("x") + F.size("y") - shared)).alias("ok"))
 
