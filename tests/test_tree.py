@@ -164,6 +164,13 @@ def test_hot_names_are_dealt_to_cells(spark):
     assert found == 8 and max(r["count"] for side in (a, b) for r in side.groupBy("name", "row", "column").count().collect()) <= 25
 
 
+def test_pairs_of_one_name_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(rel, "TASK_PAIRS", 500, raising=False)
+    rows = [(f"c{i}", None, f"c{i}", "function", ["hot"], []) for i in range(200)] + [(f"h{i}", None, "hot", "function", [], []) for i in range(200)]
+    dealt = rel.edges(nodes(spark, rows), 25).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in dealt) == 40_000 and max(r["count"] for r in dealt) <= 10_000
+
+
 def test_digests_tell_lists_apart(spark):
     n = nodes(spark, [("a", None, "a", "function", ["t", "u"], []), ("b", None, "b", "function", ["t", "v"], []), ("t", None, "t", "function", [], []), ("u", None, "u", "function", [], []), ("v", None, "v", "function", [], []), ("w", None, "w", "function", [], [])])
     got = {r.name: (r.n_callers, r.digest) for r in rel.inspect_digests(n).collect()}
