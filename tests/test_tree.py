@@ -171,6 +171,32 @@ def test_pairs_of_one_name_are_dealt_to_many_tasks(spark, monkeypatch):
     assert sum(r["count"] for r in dealt) == 40_000 and max(r["count"] for r in dealt) <= 10_000
 
 
+def test_links_are_those_of_the_last_definition(spark):
+    row = lambda i, parent, kind, position, name="n": (i, parent, name, kind, None, None, None, None, None, [], [], "python", position)
+    rows = [row("a", "p", "class", 1), row("a", "q", "function", 2), row("b", "p", "class", 2), row("b", "p", "class", 1, "m"), row("p", None, "dir", 0), row("q", None, "dir", 0), row(None, "p", "class", 1), row(None, "q", "class", 3)]
+    t = spark.createDataFrame(rows, NODES + ", position int")
+    whole = tree.assemble(t)
+    want = sorted(map(repr, whole.select(*tree.LINKS).collect()))
+    got = tree.links(t)
+    assert sorted(map(repr, got.collect())) == want and counts(tree.stats(got)) == counts(tree.stats(whole))
+    for parent in ("p", "q"):
+        some = tree.assemble_some(tree.near(got, parent), t)
+        assert sorted(map(tuple, tree.expand(some, parent, got).collect()), key=repr) == sorted(map(tuple, tree.expand(whole, parent).collect()), key=repr)
+    assert "docstring" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_ids_that_repeat_are_compared_alone(spark, monkeypatch):
+    f = files(spark, {"a.py": "def f(x): pass\ndef f(y): pass\ndef g(): pass\n", "b.py": "def h(): pass\n"})
+    tables = fil.file_nodes(f), ent.entity_nodes(ent.extract(f.selectExpr("*", "'python' AS language")))
+    want = sorted(map(repr, tree.assemble(*tables).collect()))
+    for most in (0, 10):
+        monkeypatch.setattr(tree, "MOST_AGAIN", most)
+        assert sorted(map(repr, tree.assemble_written(*tables).collect())) == want
+    once = tree.assemble_written(fil.file_nodes(f))
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert once.count() == 2 and "Aggregate" not in plan and "Exchange" not in plan
+
+
 def test_digests_tell_lists_apart(spark):
     n = nodes(spark, [("a", None, "a", "function", ["t", "u"], []), ("b", None, "b", "function", ["t", "v"], []), ("t", None, "t", "function", [], []), ("u", None, "u", "function", [], []), ("v", None, "v", "function", [], []), ("w", None, "w", "function", [], [])])
     got = {r.name: (r.n_callers, r.digest) for r in rel.inspect_digests(n).collect()}

@@ -30,11 +30,14 @@ def map_json(nodes: DataFrame, project: str, root: str) -> DataFrame:
     return whole.select(as_json(F.lit("map").alias("command"), F.lit(project).alias("project"), F.lit(root).alias("root"), "stats", "children"))
 
 
-def expand_json(nodes: DataFrame, parent: str) -> DataFrame:
-    near = nodes.filter((F.col("id") == parent) | (F.col("parent_id") == parent)).select("id")
-    rows = written(tree.lookup(nodes, near), "near")
+def expand_json(nodes: DataFrame, parent: str, links: DataFrame | None = None) -> DataFrame:
+    """links: those of the whole table, where ``nodes`` holds the nodes near the parent alone."""
+    links = nodes if links is None else links
+    ids = written(tree.near(links, parent).select("id"), "near")
+    listed = tree.lookup(links.select(*tree.LINKS), ids).select("id", "children_ids")
+    rows = written(nodes.join(listed, "id"), "near")
     below = rows.filter(F.col("parent_id") == parent)
-    kids = below.join(tree.stats(nodes, below.select("id")).select("id", stats_struct().alias("stats")), "id")
+    kids = below.join(tree.stats(links, below.select("id")).select("id", stats_struct().alias("stats")), "id")
     node = rows.filter(F.col("id") == parent).select(F.lit(0).alias("k"), node_struct().alias("node"))
     listed = kids.agg(F.array_sort(F.collect_list(F.struct(*FIELDS, "stats"))).alias("children")).withColumn("k", F.lit(0))
     return node.join(listed, "k").select(as_json(F.lit("expand").alias("command"), "node", "children"))

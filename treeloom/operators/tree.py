@@ -11,6 +11,8 @@ from ..schemas import COUNTED_TYPES, NODE_COLUMNS, ROOT
 from ..sources.scratch import counted, written
 
 COUNTS = list(COUNTED_TYPES)
+LINKS = ["id", "parent_id", "type"]
+MOST_AGAIN = 100_000  # ids that are broadcast
 
 
 def last_wins(nodes: DataFrame, position: str = "position") -> DataFrame:
@@ -23,10 +25,61 @@ def last_wins(nodes: DataFrame, position: str = "position") -> DataFrame:
     return nodes.groupBy("id").agg(F.max_by(row, F.struct(position, F.hash(row))).alias("n")).select("n.*")
 
 
-def assemble(*tables: DataFrame) -> DataFrame:
-    """The union of node tables; a table without ``position`` comes first for its ids."""
+def stacked(*tables: DataFrame) -> DataFrame:
+    """The union of node tables, with ``position``; a table without one comes first for its ids."""
     ready = [t if "position" in t.columns else t.withColumn("position", F.lit(-1)) for t in tables]
-    return last_wins(reduce(lambda a, b: a.unionByName(b), [t.select(*NODE_COLUMNS, "position") for t in ready]))
+    return reduce(lambda a, b: a.unionByName(b), [t.select(*NODE_COLUMNS, "position") for t in ready])
+
+
+def assemble(*tables: DataFrame) -> DataFrame:
+    """The union of node tables, one row for each id."""
+    return last_wins(stacked(*tables))
+
+
+def among(rows: DataFrame, other: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose values in all columns of ``other`` are those of a row of it, nulls included; or, by left_anti, the others."""
+    few = other.select(*[F.col(c).alias(f"__{c}") for c in other.columns])
+    return rows.join(few, reduce(lambda a, b: a & b, [rows[c].eqNullSafe(few[f"__{c}"]) for c in other.columns]), how)
+
+
+def assemble_written(*tables: DataFrame) -> DataFrame:
+    """The rows of assemble, written. Tables are evaluated once, as they are; only ids are compared, and whole rows only of those that repeat."""
+    rows = written(stacked(*tables), "nodes")
+    again, n = repeated(rows)
+    if not n:
+        return rows.select(*NODE_COLUMNS)
+    if n > MOST_AGAIN:
+        return written(last_wins(rows), "nodes")
+    won = written(last_wins(among(rows, F.broadcast(again))), "nodes")
+    return among(rows, F.broadcast(again), "left_anti").select(*NODE_COLUMNS).unionByName(won)
+
+
+def repeated(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(the ids that several rows have, their number)."""
+    again = written(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "again")
+    return again, again.count()
+
+
+def links(*tables: DataFrame) -> DataFrame:
+    """(id, parent_id, type) of assemble(*tables), written; all that counts of descendants need.
+
+    Rows of an id mostly agree on these, so they are made distinct without their positions and other columns; only
+    where they differ are whole rows compared.
+    """
+    rows = stacked(*tables)
+    seen = written(rows.select(*LINKS).distinct(), "links")
+    torn, n = repeated(seen)
+    if not n:
+        return seen
+    won = written(last_wins(among(rows, torn)).select(*LINKS), "links")
+    return written(among(seen, torn, "left_anti").unionByName(won), "links")
+
+
+def assemble_some(some: DataFrame, *tables: DataFrame) -> DataFrame:
+    """The nodes of assemble(*tables) of the ids in ``some``, rows of links(*tables). Rows that differ from an id's link have lost, and tables without their types are not read."""
+    types = [r[0] for r in some.select("type").distinct().collect()]
+    rows = stacked(*tables)
+    return last_wins(among(rows if None in types else rows.filter(F.col("type").isin(types)), some))
 
 
 def lookup(nodes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -106,7 +159,14 @@ def project_map(nodes: DataFrame) -> DataFrame:
     return stats(nodes, top)
 
 
-def expand(nodes: DataFrame, parent: str) -> DataFrame:
-    """Children of a node, each with its children's ids and its counts."""
-    listed = lookup(nodes, nodes.filter(F.col("parent_id") == parent).select("id"))
-    return listed.select("parent_id", "id", "name", "type", "children_ids").join(stats(nodes, listed.select("id")), "id")
+def near(nodes: DataFrame, parent: str) -> DataFrame:
+    """A node and its children."""
+    return nodes.filter((F.col("id") == parent) | (F.col("parent_id") == parent))
+
+
+def expand(nodes: DataFrame, parent: str, tree: DataFrame | None = None) -> DataFrame:
+    """Children of a node, each with its children's ids and its counts. tree: links of the whole table, where ``nodes`` holds those near the parent alone."""
+    tree = nodes if tree is None else tree
+    below = written(nodes.filter(F.col("parent_id") == parent).select("id", "name"), "below")
+    listed = lookup(tree.select(*LINKS), below.select("id")).join(below, "id")
+    return listed.select("parent_id", "id", "name", "type", "children_ids").join(stats(tree, below.select("id")), "id")

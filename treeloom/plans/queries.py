@@ -35,6 +35,14 @@ def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(tree.assemble(ad.order_tree(spark, sf_dir)), "order-tree")
 
 
+def tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.links(ad.order_tree(spark, sf_dir))
+
+
+def tree_near(spark: SparkSession, sf_dir: str, links: DataFrame, parent: str) -> DataFrame:
+    return tree.assemble_some(written(tree.near(links, parent), "near"), ad.order_tree(spark, sf_dir))
+
+
 @query
 def route_files(spark, sf_dir):
     return ad.files(spark, sf_dir).select("path", paths.language(F.col("path")).alias("language")).filter("language is not null")
@@ -128,22 +136,23 @@ def orphans(spark, sf_dir):
 
 @query
 def node_stats(spark, sf_dir):
-    return tree.node_stats(tree_nodes(spark, sf_dir))
+    return tree.node_stats(tree_links(spark, sf_dir))
 
 
 @query
 def stats_all(spark, sf_dir):
-    return tree.stats(tree_nodes(spark, sf_dir))
+    return tree.stats(tree_links(spark, sf_dir))
 
 
 @query
 def project_map(spark, sf_dir):
-    return tree.project_map(tree_nodes(spark, sf_dir))
+    return tree.project_map(tree_links(spark, sf_dir))
 
 
 @query
 def expand_node(spark, sf_dir):
-    return tree.expand(tree_nodes(spark, sf_dir), "ASIA").select("parent_id", "id", "name", "type", listed("children_ids"), *tree.COUNTS)
+    links = tree_links(spark, sf_dir)
+    return tree.expand(tree_near(spark, sf_dir, links, "ASIA"), "ASIA", links).select("parent_id", "id", "name", "type", listed("children_ids"), *tree.COUNTS)
 
 
 @query
@@ -175,12 +184,13 @@ def inspect_json(spark, sf_dir):
 
 @query
 def map_json(spark, sf_dir):
-    return render.map_json(tree_nodes(spark, sf_dir), "orders", "/data")
+    return render.map_json(tree_links(spark, sf_dir), "orders", "/data")
 
 
 @query
 def expand_json(spark, sf_dir):
-    return render.expand_json(tree_nodes(spark, sf_dir), "ASIA")
+    links = tree_links(spark, sf_dir)
+    return render.expand_json(tree_near(spark, sf_dir, links, "ASIA"), "ASIA", links)
 
 
 @query
