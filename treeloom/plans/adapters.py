@@ -142,7 +142,8 @@ def caller_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python source for each customer, by the last digit of its key: 9 does not parse, 8 has decorated, nested and keyword forms, 7 is no UTF-8."""
-    c = table(spark, sf_dir, "customer")
+    # sources are many times larger than the rows that they are made of, so few splits of the table would parse them all
+    c = table(spark, sf_dir, "customer").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
     good = F.concat(
         F.lit("class C"), key, F.lit("(Base"), nation, F.lit('):\n    """'), "c_mktsegment", F.lit(' customer."""\n    def balance(self, x: int) -> float:\n        """Balance of it."""\n        return fetch(self.load(x))\n\n\nasync def seg_'), key, F.lit("(a, b=1):\n    return C"), key, F.lit("(a)\n"),
