@@ -32,6 +32,15 @@ def test_counts(spark, sample):
     }
 
 
+def test_counts_of_single_texts_are_not_shuffled(spark):
+    texts = spark.createDataFrame([("a", "one two two three TWO"), ("b", None), ("c", "the of"), ("d", "word " * 5_000 + "other"), (None, "alone")], "node_id string, text string")
+    got = idx.term_counts(texts)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("a", "one", 1), ("a", "two", 3), ("a", "three", 1), ("d", "word", 5_000), ("d", "other", 1), (None, "alone", 1)], key=repr)
+    assert "Exchange" not in idx.postings_of(texts)._jdf.queryExecution().executedPlan().toString()
+    again = texts.unionByName(spark.createDataFrame([("a", "one four"), (None, "alone")], "node_id string, text string"))
+    assert {(r.node_id, r.term): r.tf for r in idx.postings_of(again).collect()} == {("a", "one"): 2 / 3, ("a", "two"): 1.0, ("a", "three"): 1 / 3, ("a", "four"): 1 / 3, ("d", "word"): 1.0, ("d", "other"): 1 / 5_000, (None, "alone"): 1.0}
+
+
 def test_idf(sample):
     got = {r.term: r.idf for r in sample[2].collect()}
     assert len(got) == 26 and sample[1].count() == 33

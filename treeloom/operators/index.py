@@ -13,6 +13,7 @@ from ..schemas import SEARCHABLE_TYPES
 from ..sources.scratch import written
 
 THRESHOLD = 0.05
+MOST_IDS = 1 << 20  # ids that are broadcast
 
 
 def searchable(nodes: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -24,15 +25,52 @@ def searchable_texts(nodes: DataFrame) -> DataFrame:
     return searchable(nodes).select(F.col("id").alias("node_id"), text.searchable_text(F.col("name"), F.col("signature"), F.col("docstring")).alias("text"))
 
 
-def term_counts(texts: DataFrame) -> DataFrame:
-    """(node_id, term, n). Counts are combined before the shuffle, which is by (node_id, term)."""
+def runs(texts: DataFrame) -> DataFrame:
+    """(node_id, runs, most): the terms of each text with their counts, and the largest. Sorted words are cut where they change, in the row that holds the text, so nothing is shuffled."""
+    # explode of one array keeps Spark from putting an expression in the place of each mention of its column
+    once = lambda c: F.explode(F.array(c))
+    words = texts.select("node_id", once(F.sort_array(text.tokens(F.col("text")))).alias("w")).filter(F.size("w") > 0)
+    starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == 1) | (F.get("w", i - 1) != F.get("w", i - 2)))
+    cut = words.select("node_id", "w", once(starts).alias("at")).select("node_id", "w", "at", once(F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("w") + 1))).alias("ends"))
+    run = F.transform("at", lambda s, k: F.struct(F.get("w", s - 1).alias("term"), (F.get("ends", k) - s).cast("long").alias("n")))
+    return cut.select("node_id", once(run).alias("runs")).withColumn("most", F.array_max(F.transform("runs", lambda r: r["n"])))
+
+
+def merged_counts(texts: DataFrame) -> DataFrame:
+    """(node_id, term, n) where an id may have several texts."""
     return texts.select("node_id", F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("node_id", "term").agg(F.count("*").alias("n"))
 
 
-def postings_of(counts: DataFrame) -> DataFrame:
-    """tf: count over the largest count of the node."""
+def several(texts: DataFrame) -> DataFrame | None:
+    """(node_id) of ids with more than one text, null among them; none in a node table."""
+    again = written(texts.groupBy("node_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("node_id").alias("__id")), "again")
+    return None if again.isEmpty() else again
+
+
+def split_repeated(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(texts of ids that have one, texts of the others)."""
+    again = several(texts)
+    if again is None:
+        return texts, None
+    same = texts["node_id"].eqNullSafe(again["__id"])
+    return texts.join(again, same, "left_anti"), texts.join(again, same, "left_semi")
+
+
+def term_counts(texts: DataFrame) -> DataFrame:
+    """(node_id, term, n). The texts of an id that repeats are counted together."""
+    once, rest = split_repeated(texts)
+    out = runs(once).select("node_id", F.explode("runs").alias("r")).select("node_id", "r.term", "r.n")
+    return out if rest is None else out.unionByName(merged_counts(rest))
+
+
+def postings_of(texts: DataFrame) -> DataFrame:
+    """(node_id, term, tf) of texts(node_id, text): count over the largest count of the node."""
+    once, rest = split_repeated(texts)
+    out = runs(once).select("node_id", "most", F.explode("runs").alias("r")).select("node_id", "r.term", (F.col("r.n") / F.col("most")).alias("tf"))
+    if rest is None:
+        return out
     most = F.max("n").over(Window.partitionBy("node_id"))
-    return counts.select("node_id", "term", (F.col("n") / most).alias("tf"))
+    return out.unionByName(merged_counts(rest).select("node_id", "term", (F.col("n") / most).alias("tf")))
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
@@ -46,7 +84,7 @@ def idf_of(frequencies: DataFrame, documents: int) -> DataFrame:
 
 def build_index(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings, idf) of a node table. Postings are written, so that texts are tokenised once however often the index is read."""
-    postings = written(postings_of(term_counts(searchable_texts(nodes))), "postings")
+    postings = written(postings_of(searchable_texts(nodes)), "postings")
     return postings, idf_of(document_frequencies(postings), searchable(nodes).count())
 
 
@@ -63,15 +101,20 @@ class Index:
 
 def build(nodes: DataFrame) -> Index:
     """The index of a node table, with frequencies written, as they are the size of the vocabulary and read by every update."""
-    postings = written(postings_of(term_counts(searchable_texts(nodes))), "postings")
+    postings = written(postings_of(searchable_texts(nodes)), "postings")
     frequencies = written(document_frequencies(postings), "frequencies")
     documents = searchable(nodes).count()
     return Index(postings, idf_of(frequencies, documents), frequencies, documents)
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it has at most MOST_IDS, so that postings are not shuffled to meet it."""
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+
+
 def remove_nodes(postings: DataFrame, ids: DataFrame) -> DataFrame:
     """Postings without those of ids(id); idf stays as it is."""
-    return postings.join(ids.select(F.col("id").alias("node_id")), "node_id", "left_anti")
+    return postings.join(small(written(ids.select(F.col("id").alias("node_id")), "ids")), "node_id", "left_anti")
 
 
 def frequencies_after(frequencies: DataFrame, gone: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -92,8 +135,8 @@ def updated(index: Index, before: DataFrame, after: DataFrame, net: int, policy:
     """
     if policy not in ("exact", "threshold"):
         raise ValueError("policy is exact or threshold")
-    ids = before.select(F.col("id").alias("node_id")).distinct()
-    fresh = written(postings_of(term_counts(searchable_texts(after))), "fresh")
+    ids = small(written(before.select(F.col("id").alias("node_id")).distinct(), "ids"))
+    fresh = written(postings_of(searchable_texts(after)), "fresh")
     gone = index.postings.join(ids, "node_id", "left_semi")
     frequencies = written(frequencies_after(index.frequencies, gone, fresh), "frequencies")
     documents = index.documents + net

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..sources.scratch import written
 
 TOP = 10
 LAST_BLOCK = 15
@@ -26,7 +27,12 @@ def scores(postings: DataFrame, idf: DataFrame, queries: DataFrame) -> DataFrame
 
     The largest idf is a single row that every query row takes along as a scalar subquery.
     """
-    return summed(postings.join(weighted_terms(idf, queries), "term"))
+    return summed(postings.join(asked_terms(idf, queries), "term"))
+
+
+def asked_terms(idf: DataFrame, queries: DataFrame) -> DataFrame:
+    """weighted_terms, written: their size is then known, and where they are few they are broadcast rather than all postings shuffled."""
+    return written(weighted_terms(idf, queries), "terms")
 
 
 def weighted_terms(idf: DataFrame, queries: DataFrame) -> DataFrame:
@@ -64,7 +70,7 @@ def seeds(blocks: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     the floor cannot carry a node alone, and a block whose product stays below it even with the largest of
     all other terms holds none of the best.
     """
-    each = terms.join(blocks, "term")
+    each = blocks.join(terms, "term")
     down = Window.partitionBy("query_id", "term").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     each = each.withColumn("so_far", F.sum("n").over(down))
     of_term = Window.partitionBy("query_id", "term")
@@ -80,12 +86,12 @@ def seeds(blocks: DataFrame, terms: DataFrame, k: int) -> DataFrame:
 
 def candidates(postings: DataFrame, blocks: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     """(query_id, node_id): the nodes among which a query's k best are."""
-    return postings.withColumn("block", impact()).join(seeds(blocks, terms, k), ["term", "block"]).select("query_id", "node_id").distinct()
+    return postings.withColumn("block", impact()).join(written(seeds(blocks, terms, k), "seeds"), ["term", "block"]).select("query_id", "node_id").distinct()
 
 
 def top_k(postings: DataFrame, idf: DataFrame, blocks: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """The rows of ranked(scores(...)), scoring candidates alone. blocks: term_blocks of the postings, kept with them. Short queries of rare and common words gain most: common words are looked up for the candidates of the rare ones only."""
-    terms = weighted_terms(idf, queries)
+    terms = asked_terms(idf, queries)
     chosen = candidates(postings, blocks, terms, k)
     hits = postings.join(terms, "term").join(chosen, ["query_id", "node_id"], "left_semi")
     return ranked(summed(hits), k)
