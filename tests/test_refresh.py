@@ -134,6 +134,12 @@ def test_delta_sees_values_that_move_between_columns(spark):
     assert [(r.id, r.status) for r in ref.node_delta(old, new).collect()] == [("a", "updated")]
 
 
+def test_kept_texts_are_not_shuffled(spark, old):
+    changed = files(spark, {"shop/till.py": NEW["shop/till.py"]}).selectExpr("*", "'python' AS language")
+    got = ref.replace_files(old.nodes, changed, files(spark, SAMPLE), ent.extract).filter("type <> 'dir'")
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def stored(spark, tmp_path, sources, buckets=8):
     path = str(tmp_path / "snapshots")
     snapshots.save(ref.full_build(files(spark, sources), ent.extract), path, buckets)

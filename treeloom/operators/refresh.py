@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..schemas import ROOT
+from ..schemas import NODE_COLUMNS, ROOT
 from ..sources.scratch import written
 from . import entities as ent
 from . import files as fil
@@ -70,7 +70,7 @@ def removed_files(current: DataFrame, stored: DataFrame) -> DataFrame:
 
 def delete_file_nodes(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """Nodes without those of paths(path); directories stay."""
-    gone = paths.select(F.col("path").alias("__path"))
+    gone = idx.small(written(paths.select(F.col("path").alias("__path")), "gone"))
     return nodes.join(gone, F.coalesce("file_path", "id") == F.col("__path"), "left_anti")
 
 
@@ -83,13 +83,14 @@ def replace_files(nodes: DataFrame, changed: DataFrame, every: DataFrame, extrac
 
     Directories are those above the files of every(path): none is left behind, none is missing.
     """
-    kept = delete_file_nodes(nodes, changed).filter("type <> 'dir'")
-    return tree.assemble(fil.directory_nodes(every), kept, fil.file_nodes(changed), ent.entity_nodes(extract(changed)))
+    kept = delete_file_nodes(nodes, changed).filter("type <> 'dir'").select(*NODE_COLUMNS)
+    fresh = tree.assemble_written(fil.file_nodes(changed), ent.entity_nodes(extract(changed)))
+    return fil.directory_nodes(every).unionByName(kept).unionByName(fresh)
 
 
 def node_delta(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(id, status): nodes that appear, go, or belong to both tables and differ in what is indexed; nulls are values."""
-    compared = F.struct("name", "type", "signature", "docstring", "file_path")
+    """(id, status): nodes that appear, go, or belong to both tables and differ in what is indexed; nulls are values. Texts are compared by SHA-256 and not shuffled."""
+    compared = F.sha2(F.to_json(F.struct("name", "type", "signature", "docstring", "file_path"), {"ignoreNullFields": "false"}), 256)
     both = old.select("id", compared.alias("was")).join(new.select("id", compared.alias("now")), "id", "full_outer")
     status = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(~F.col("was").eqNullSafe(F.col("now")), "updated")
     return both.select("id", status.alias("status")).filter("status is not null")
@@ -101,20 +102,25 @@ def changed_nodes(old: DataFrame, new: DataFrame, paths: DataFrame) -> DataFrame
     return of(old).unionByName(of(new)).distinct()
 
 
+def node_table(kept: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The nodes of supported files, written."""
+    return tree.assemble_written(fil.directory_nodes(kept), fil.file_nodes(kept), ent.entity_nodes(extract(kept)))
+
+
 def full_build(files: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> Snapshot:
     """Everything from files(path, content). Nodes and postings are written, so files are parsed and texts tokenised once."""
     kept = fil.supported(files)
-    nodes = written(tree.assemble(fil.directory_nodes(kept), fil.file_nodes(kept), ent.entity_nodes(extract(kept))), "nodes")
+    nodes = node_table(kept, extract)
     index = idx.build(nodes)
     return Snapshot(nodes, index.postings, index.idf, fil.file_hashes(kept), index.frequencies, index.documents)
 
 
 def changes(nodes: DataFrame, status: DataFrame, kept: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, int]:
     """(before, after, net): the nodes that files added, updated or removed had in ``nodes`` and have now, and by how many searchable nodes the table grows. Only changed files are parsed."""
-    touched = status.filter("status <> 'unchanged'").select(F.col("path").alias("__path"))
+    touched = idx.small(written(status.filter("status <> 'unchanged'").select(F.col("path").alias("__path")), "touched"))
     before = nodes.filter("type <> 'dir'").join(touched, F.coalesce("file_path", "id") == F.col("__path"), "left_semi")
-    fresh = kept.join(status.filter("status in ('added', 'updated')").select("path"), "path", "left_semi")
-    after = written(tree.assemble(fil.file_nodes(fresh), ent.entity_nodes(extract(fresh))), "changed")
+    fresh = kept.join(idx.small(written(status.filter("status in ('added', 'updated')").select("path"), "fresh")), "path", "left_semi")
+    after = tree.assemble_written(fil.file_nodes(fresh), ent.entity_nodes(extract(fresh)))
     return before, after, idx.searchable(after).count() - idx.searchable(before).count()
 
 

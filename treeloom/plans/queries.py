@@ -335,9 +335,13 @@ def old_snapshot(spark, sf_dir):
     return ref.full_build(ad.old_files(spark, sf_dir), ad.prose_entities)
 
 
+def old_nodes(spark, sf_dir):
+    return ref.node_table(fil.supported(ad.old_files(spark, sf_dir)), ad.prose_entities)
+
+
 @query
 def delete_file_nodes(spark, sf_dir):
-    return ref.delete_file_nodes(old_snapshot(spark, sf_dir).nodes, removed_files(spark, sf_dir)).select("id", "type")
+    return ref.delete_file_nodes(old_nodes(spark, sf_dir), removed_files(spark, sf_dir)).select("id", "type")
 
 
 @query
@@ -350,25 +354,26 @@ def changed_files(spark, sf_dir):
     return fil.supported(ad.new_files(spark, sf_dir)).join(status, "path", "left_semi")
 
 
-def replaced(spark, sf_dir):
-    old = ref.delete_file_nodes(old_snapshot(spark, sf_dir).nodes, removed_files(spark, sf_dir))
+def replaced(spark, sf_dir, nodes):
+    old = ref.delete_file_nodes(nodes, removed_files(spark, sf_dir))
     return ref.replace_files(old, changed_files(spark, sf_dir), current_hashes(spark, sf_dir), ad.prose_entities)
 
 
 @query
 def replace_files(spark, sf_dir):
-    return replaced(spark, sf_dir).select("id", "parent_id", "type", F.md5("docstring").alias("docstring_md5"))
+    return replaced(spark, sf_dir, old_nodes(spark, sf_dir)).select("id", "parent_id", "type", F.md5("docstring").alias("docstring_md5"))
 
 
 @query
 def node_delta(spark, sf_dir):
-    return ref.node_delta(old_snapshot(spark, sf_dir).nodes, replaced(spark, sf_dir))
+    nodes = old_nodes(spark, sf_dir)
+    return ref.node_delta(nodes, replaced(spark, sf_dir, nodes))
 
 
 @query
 def remove_postings(spark, sf_dir):
     old = old_snapshot(spark, sf_dir)
-    gone = ref.node_delta(old.nodes, replaced(spark, sf_dir)).filter("status <> 'added'")
+    gone = ref.node_delta(old.nodes, replaced(spark, sf_dir, old.nodes)).filter("status <> 'added'")
     return idx.remove_nodes(old.postings, gone.select("id")).select("node_id", "term", rounded("tf"))
 
 
