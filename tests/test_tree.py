@@ -171,6 +171,18 @@ def test_pairs_of_one_name_are_dealt_to_many_tasks(spark, monkeypatch):
     assert sum(r["count"] for r in dealt) == 40_000 and max(r["count"] for r in dealt) <= 10_000
 
 
+def test_both_relations_are_one_loop_over_lists(spark, monkeypatch):
+    rows = [(f"c{i}", None, f"c{i % 30}", "function", ["hot", "hot", None, "gone", f"c{i % 7}"], ["Base"]) for i in range(60)] + [(f"h{i}", None, "hot", "class" if i % 2 else None, None, ["hot", "Base"]) for i in range(40)] + [("b", None, "Base", "class", ["Base"], None), ("u", None, None, "class", ["c1"], [None])]
+    n = nodes(spark, rows)
+    want = sorted((r[0], t[0], relation) for at, relation in ((4, "calls"), (5, "inherits")) for r in rows for x in {*(r[at] or [])} - {None} for t in rows if t[2] == x and (relation == "calls" or t[3] == "class"))
+    for most in (0, 1 << 20):
+        monkeypatch.setattr(rel, "LISTED_BYTES", most, raising=False)
+        for cell in (1_000, 7):
+            found = rel.edges(n, cell)
+            assert "Union" not in plan(found) and plan(found).count("explode(target_ids") == 1
+            assert sorted(map(tuple, found.collect())) == want
+
+
 def test_links_are_those_of_the_last_definition(spark):
     row = lambda i, parent, kind, position, name="n": (i, parent, name, kind, None, None, None, None, None, [], [], "python", position)
     rows = [row("a", "p", "class", 1), row("a", "q", "function", 2), row("b", "p", "class", 2), row("b", "p", "class", 1, "m"), row("p", None, "dir", 0), row("q", None, "dir", 0), row(None, "p", "class", 1), row(None, "q", "class", 3)]
