@@ -82,11 +82,16 @@ def assemble_some(some: DataFrame, *tables: DataFrame) -> DataFrame:
     return last_wins(among(rows if None in types else rows.filter(F.col("type").isin(types)), some))
 
 
+def listed_children(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, children_ids) of those of ids(id) that have children."""
+    kids = nodes.join(ids.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    return kids.groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("children_ids"))
+
+
 def lookup(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """The nodes of ids(id), each with its ``children_ids``."""
     found = nodes.join(ids, "id", "left_semi")
-    kids = nodes.join(ids.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").groupBy("parent_id").agg(F.array_sort(F.collect_list("id")).alias("children_ids"))
-    return found.join(kids.withColumnRenamed("parent_id", "id"), "id", "left").withColumn("children_ids", F.coalesce("children_ids", F.array().cast("array<string>")))
+    return found.join(listed_children(nodes, ids), "id", "left").withColumn("children_ids", F.coalesce("children_ids", F.array().cast("array<string>")))
 
 
 def children(nodes: DataFrame, parent: str | None = None) -> DataFrame:
@@ -139,7 +144,7 @@ def stats(nodes: DataFrame, only: DataFrame | None = None) -> DataFrame:
         current, now = counted(doubled, "climb", left=F.count("up"))
         reach, left = 2 * reach, now["left"]
     total = current.select("id", *[F.col(c).alias(f"{c}_total") for c in COUNTS])
-    asked = own if only is None else own.join(only.select("id").distinct(), "id", "left_semi")
+    asked = own if only is None else own.join(only.select("id"), "id", "left_semi")
     return asked.join(total, "id", "left").select("id", *[F.coalesce(f"{c}_total", c).alias(c) for c in COUNTS])
 
 
@@ -167,6 +172,6 @@ def near(nodes: DataFrame, parent: str) -> DataFrame:
 def expand(nodes: DataFrame, parent: str, tree: DataFrame | None = None) -> DataFrame:
     """Children of a node, each with its children's ids and its counts. tree: links of the whole table, where ``nodes`` holds those near the parent alone."""
     tree = nodes if tree is None else tree
-    below = written(nodes.filter(F.col("parent_id") == parent).select("id", "name"), "below")
-    listed = lookup(tree.select(*LINKS), below.select("id")).join(below, "id")
-    return listed.select("parent_id", "id", "name", "type", "children_ids").join(stats(tree, below.select("id")), "id")
+    below = written(nodes.filter(F.col("parent_id") == parent).select("parent_id", "id", "name", "type"), "below")
+    ids = below.select("id")
+    return below.join(listed_children(tree, ids), "id", "left").withColumn("children_ids", F.coalesce("children_ids", F.array().cast("array<string>"))).join(stats(tree, ids), "id")
